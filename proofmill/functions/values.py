@@ -51,27 +51,41 @@ def lookup(c: Column, table: dict) -> Column:
 
 def finite(c: Column) -> Column:
     """NULL for NaN and infinities, so no later comparison sees them."""
-    ok = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return F.when(ok, c)
+    return F.when(F.abs(F.nanvl(c, F.lit(None).cast("double"))) < float("inf"), c)
+
+
+# The expressions below name each input once.  Filters are pushed through projections by
+# substitution, so an input named twice per level would double the generated code per level.
+
+
+def spell_relation(text: Column) -> Column:
+    out = F.replace(F.replace(text, F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">="))
+    for spelling, canonical in RELATION_SPELLINGS.items():
+        if spelling not in "≤≥":
+            out = F.regexp_replace(out, f"^{spelling}$", canonical)
+    return out
 
 
 def normalize_relation(c) -> Column:
-    text = F.regexp_replace(clean(c), r"\s+", "")
-    text = F.replace(F.replace(text, F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">="))
-    return F.coalesce(lookup(text, RELATION_SPELLINGS), text)
+    return spell_relation(F.regexp_replace(clean(c), r"\s+", ""))
 
 
 def extract_relation(value, explicit) -> Column:
     """Explicit relation when present, else the prefix of the value text, else ``=``."""
-    given = normalize_relation(explicit)
-    prefix = F.regexp_extract(clean(value), r"^\s*([<>]=?|=|~|≤|≥|≈)", 1)
-    return F.when(given != "", given).when(prefix != "", normalize_relation(prefix)).otherwise("=")
+    both = F.concat(F.regexp_replace(clean(explicit), r"\s+", ""), F.lit("\n"), clean(value))
+    either = F.regexp_replace(both, r"(?s)^(?:([^\n]+)\n.*|\n\s*([<>]=?|=|~|≤|≥|≈)?.*)$", "$1$2")
+    return F.regexp_replace(spell_relation(either), "^$", "=")
 
 
 def parse_numeric(c) -> Column:
     """First numeric token of a text, thousands commas ignored; NULL when there is none."""
     text = F.replace(clean(c), F.lit(","), F.lit(""))
-    return finite(F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit("")).try_cast("double"))
+    number = F.regexp_extract(text, NUMBER, 0).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
+
+
+def positive(c: Column) -> Column:
+    return F.nullif(F.greatest(c, F.lit(0.0)), F.lit(0.0))
 
 
 def with_qualified(df: DataFrame, column: str, out: str = "qualified") -> DataFrame:
@@ -153,9 +167,8 @@ def unit_status(c, table: dict = CONCENTRATION_TO_NANO) -> Column:
 
 
 def p_value(nano) -> Column:
-    """9 - log10(nanomolar value); NULL when not positive."""
-    x = as_col(nano)
-    return F.when(x > 0, F.lit(9.0) - F.log10(x))
+    """9 - log10(nanomolar value); NULL when not positive (log10 is NULL there)."""
+    return F.lit(9.0) - F.log10(as_col(nano))
 
 
 def censoring_direction(relation) -> Column:

@@ -38,7 +38,7 @@ def normalize_values(df: DataFrame, *, endpoint_names: dict | None = None, unit_
         }
     )
     scaled = F.col("value_numeric") * V.unit_factor("unit_original", table)
-    out = out.withColumn("value_scaled", F.when(scaled > 0, scaled))
+    out = out.withColumn("value_scaled", V.positive(scaled))
     out = out.withColumn("p_value", V.p_value("value_scaled"))
     lower, upper = V.bounds("value_scaled", "relation")
     p_low_src, p_up_src = V.bounds("p_value", "relation")

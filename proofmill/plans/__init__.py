@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("measurements",)
+MODULES = ("measurements", "aggregates")
 
 
 def load():
