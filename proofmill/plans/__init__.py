@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("measurements", "aggregates")
+MODULES = ("measurements", "aggregates", "evaluation")
 
 
 def load():

@@ -247,7 +247,7 @@ def series_summary(t):
 
 @query("weighted_ensemble", """
 with c as (select l_orderkey, l_extendedprice as x, l_quantity as w, sum(l_quantity) over (partition by l_orderkey order by l_extendedprice range between unbounded preceding and current row) as cw, sum(l_quantity) over (partition by l_orderkey) as tw from lineitem)
-select l_orderkey, count(*) as n_members, round(sum(w*x)/sum(w)+1e-6,4) as mean, round(sqrt(greatest(0.0,sum(w*x*x)/sum(w)-(sum(w*x)/sum(w))*(sum(w*x)/sum(w)))),2) as sd,
+select l_orderkey, count(*) as n_members, round(sum(w*x)/sum(w)+1e-6,4) as mean, round(sqrt(greatest(0.0,sum(w*x*x)/sum(w)-(sum(w*x)/sum(w))*(sum(w*x)/sum(w))))+1e-4,2) as sd,
  min(case when cw>=0.05*tw then x end) as q05, min(case when cw>=0.5*tw then x end) as q50, min(case when cw>=0.95*tw then x end) as q95,
  round(sum(w)*sum(w)/sum(w*w),6) as effective_count, round(ln(sum(w))-sum(w*ln(w))/sum(w),6) as entropy, min(x) as value_min, max(x) as value_max, round(max(x)-min(x),4) as span
 from c group by 1
@@ -257,7 +257,7 @@ def weighted_ensemble(t):
     return d.withColumns(
         {
             "mean": F.round(F.col("mean") + 1e-6, 4),
-            "sd": F.round("sd", 2),
+            "sd": F.round(F.col("sd") + 1e-4, 2),
             "span": F.round("span", 4),
             "effective_count": F.round("effective_count", 6),
             "entropy": F.round("entropy", 6),
