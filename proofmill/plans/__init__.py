@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("measurements", "aggregates", "evaluation")
+MODULES = ("measurements", "aggregates", "evaluation", "relations")
 
 
 def load():
