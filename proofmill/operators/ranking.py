@@ -154,29 +154,33 @@ def order_number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def ordered_index(df: DataFrame, value: str, tie: str, out: str, total: str | None = None) -> DataFrame:
-    """Attach the 1-based position in ascending (value, tie) order over the whole table.
+def ordered_index(df: DataFrame, value: str, tie: str, out: str, total: str | None = None, keys=()) -> DataFrame:
+    """Attach the 1-based position in ascending (value, tie) order, over the table or within ``keys``.
 
     Both axes are cut into ranges, so neither one sort nor one heavily repeated value is ever
     handled by a single task.  Rows with a NULL value are left out.
     """
+    keys = list(keys)
     base = df.where(F.col(value).isNotNull()).withColumn("__v", F.col(value).cast("double") + F.lit(0.0))
     base = base.withColumn("__t", order_number(df, tie))
-    vc, tc = cut_points(base, "__v"), cut_points(base, "__t")
+    probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    got = base.agg(F.percentile_approx("__v", probs, 200).alias("v"), F.percentile_approx("__t", probs, 200).alias("t")).first()
+    vc, tc = sorted(set(got.v or [])), sorted(set(got.t or []))
     base = base.withColumn("__rv", range_of(F.col("__v"), vc)).withColumn("__rt", range_of(F.col("__t"), tc))
-    cells = base.groupBy("__rv", "__v", "__rt").agg(F.count(F.lit(1)).alias("__n"))
-    per = cells.groupBy("__rv").agg(F.sum("__n").alias("__m"))  # at most RANGES rows
-    w = Window.orderBy("__rv")
+    cells = base.groupBy(*keys, "__rv", "__v", "__rt").agg(F.count(F.lit(1)).alias("__n"))
+    per = cells.groupBy(*keys, "__rv").agg(F.sum("__n").alias("__m"))  # at most RANGES rows per key
+    w = Window.partitionBy(*keys).orderBy("__rv")
     per = per.select(
+        *keys,
         "__rv",
         F.coalesce(F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        F.sum("__m").over(Window.partitionBy()).alias("__all"),
+        F.sum("__m").over(Window.partitionBy(*keys)).alias("__all"),
     )
-    local = Window.partitionBy("__rv").orderBy("__v", "__rt").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(*keys, "__rv").orderBy("__v", "__rt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__loc", F.coalesce(F.sum("__n").over(local), F.lit(0))).drop("__n")
-    cells = cells.join(F.broadcast(per), "__rv")
-    rn = F.row_number().over(Window.partitionBy("__rv", "__v", "__rt").orderBy(tie))
-    got = base.withColumn("__rn", rn).join(cells, ["__rv", "__v", "__rt"])
+    cells = null_safe_join(cells, per, [*keys, "__rv"])
+    rn = F.row_number().over(Window.partitionBy(*keys, "__rv", "__v", "__rt").orderBy(tie))
+    got = null_safe_join(base.withColumn("__rn", rn), cells, [*keys, "__rv", "__v", "__rt"])
     got = got.withColumn(out, F.col("__off") + F.col("__loc") + F.col("__rn"))
     if total:
         got = got.withColumn(total, F.col("__all"))

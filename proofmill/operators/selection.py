@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,25 +130,26 @@ def maximin(df: DataFrame, key: str, vec: str, k: int, *, mandatory=(), stratum:
 
 
 def information_gain(vec: str, inverse) -> Column:
-    """log(1 + x' A^-1 x) for a small d x d inverse held as literals (D-optimal gain)."""
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in inverse])
-    x = F.col(vec)
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    ax = F.transform(rows, lambda r: dot(r, x))
-    return F.log(1 + dot(ax, x))
+    """log(1 + x' A^-1 x) for a small d x d inverse, evaluated on Arrow batches (D-optimal gain)."""
+    a = np.asarray(inverse, dtype=float)
+
+    @F.pandas_udf("double")
+    def gain(v: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(r, dtype=float) for r in v]) if len(v) else np.zeros((0, len(a)))
+        return pd.Series(np.log1p(np.einsum("ij,jk,ik->i", x, a, x)))
+
+    return gain(F.col(vec))
 
 
 def d_optimal(df: DataFrame, key: str, vec: str, k: int, ridge: float = 1.0) -> list:
     """Greedy information picks; only the d x d matrix lives on the driver."""
-    import numpy as np
-
     d = df.select(F.size(vec)).first()[0]
     inv = np.eye(d) / ridge
     work = df.select(key, F.col(vec).cast("array<double>").alias(vec))
     chosen: list = []
     while len(chosen) < k:
         pool = work.where(~F.col(key).isin(*chosen)) if chosen else work
-        gain = F.round(information_gain(vec, inv.tolist()), 9)
+        gain = F.round(information_gain(vec, inv), 9)
         best = pool.agg(F.max_by(F.struct(key, vec), F.struct(gain, F.negate(key))).alias("b")).first().b
         if best is None:
             break

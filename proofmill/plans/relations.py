@@ -407,9 +407,9 @@ def doc_sets(t):
     return FT.word_set(t.documents.select("doc_id", "text", "n_chars"), "text", "tokens").drop("text")
 
 
-@query("similarity_pairs", "select id_a, id_b, round(similarity,6) as similarity from @simpairs where similarity>=0.5")
+@query("similarity_pairs", "select id_a, id_b, round(similarity,6) as similarity from @simpairs where similarity>=0.65")
 def similarity_pairs(t):
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.5)
+    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
     return rounded(p)
 
 
@@ -421,24 +421,24 @@ def copy_groups(t):
 
 @query("activity_cliffs", """
 select id_a, id_b, round(similarity,6) as similarity, abs(a.n_chars-b.n_chars)::double as delta, case when a.n_chars>=b.n_chars then id_a else id_b end as higher_id, round(case when similarity<0.999 then abs(a.n_chars-b.n_chars)/(1-similarity) end,4) as steepness, similarity>=1.0 as identical_set
-from @simpairs join documents a on a.doc_id=id_a join documents b on b.doc_id=id_b where similarity>=0.4 and abs(a.n_chars-b.n_chars)>=200
+from @simpairs join documents a on a.doc_id=id_a join documents b on b.doc_id=id_b where similarity>=0.65 and abs(a.n_chars-b.n_chars)>=20
 """)
 def activity_cliffs(t):
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.4)
-    c = PR.cliffs(p, t.documents, "doc_id", "n_chars", 200)
+    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
+    c = PR.cliffs(p, t.documents, "doc_id", "n_chars", 20)
     return c.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), "delta", "higher_id", F.round("steepness", 4).alias("steepness"), "identical_set")
 
 
 @query("split_topology", """
-select count(*) as n_pairs, round(max(similarity),6) as max_similarity, count_if(similarity>=0.8) as n_over_80, count_if(similarity>=0.6) as n_over_60 from @simpairs join documents a on a.doc_id=id_a join documents b on b.doc_id=id_b where similarity>=0.5 and a.source<>b.source
+select count(*) as n_pairs, round(max(similarity),6) as max_similarity, count_if(similarity>=0.8) as n_over_80, count_if(similarity>=0.7) as n_over_70 from @simpairs join documents a on a.doc_id=id_a join documents b on b.doc_id=id_b where similarity>=0.65 and a.source<>b.source
 """)
 def split_topology(t):
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.5)
+    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
     g = t.documents.select("doc_id", "source")
     j = p.join(g.select(F.col("doc_id").alias("id_a"), F.col("source").alias("ga")), "id_a").join(g.select(F.col("doc_id").alias("id_b"), F.col("source").alias("gb")), "id_b")
     s = F.col("similarity")
     return j.where("ga <> gb").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.round(F.max(s), 6).alias("max_similarity"), F.count_if(s >= 0.8 - 1e-12).alias("n_over_80"), F.count_if(s >= 0.6 - 1e-12).alias("n_over_60")
+        F.count(F.lit(1)).alias("n_pairs"), F.round(F.max(s), 6).alias("max_similarity"), F.count_if(s >= 0.8 - 1e-12).alias("n_over_80"), F.count_if(s >= 0.7 - 1e-12).alias("n_over_70")
     )
 
 
@@ -480,12 +480,12 @@ def applicability_domain(t):
 
 
 @query("similarity_components", """
-with recursive e as materialized (select id_a, id_b from @simpairs where similarity>=0.5), b as (select id_a as x, id_b as y from e union all select id_b, id_a from e),
+with recursive e as materialized (select id_a, id_b from @simpairs where similarity>=0.65), b as (select id_a as x, id_b as y from e union all select id_b, id_a from e),
 walk(x, l) as (select rep, rep from @sets union select b.y, w.l from walk w join b on b.x=w.x) select x as doc_id, min(l) as component from walk group by 1
 """)
 def similarity_components(t):
     sets, _ = SI.collapse_copies(doc_sets(t), "doc_id", "tokens")
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.5)
+    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
     return G.connected_components(sets.select(F.col("rep").alias("doc_id")), p, "doc_id")
 
 
@@ -496,10 +496,10 @@ def component_topology(t):
 
     sets, _ = SI.collapse_copies(doc_sets(t), "doc_id", "tokens")
     nodes = cut_lineage(sets.select(F.col("rep").alias("doc_id")))
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.5)
+    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
     p = cut_lineage(p)
     out = None
-    for th in (0.5, 0.7, 0.9):
+    for th in (0.65, 0.8, 0.9):
         c = G.connected_components(nodes, p.where(F.col("similarity") >= th), "doc_id")
         row = G.component_topology(c).withColumn("threshold", F.lit(th))
         out = row if out is None else out.unionByName(row)
@@ -511,7 +511,7 @@ def leader_clusters(t):
     from proofmill.session import cut_lineage
 
     sets, _ = SI.collapse_copies(doc_sets(t), "doc_id", "tokens")
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.5)
+    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
     p = cut_lineage(p)
     c = cut_lineage(G.leader_clusters(sets.select(F.col("rep").alias("doc_id")), p, "doc_id"))
     return G.cluster_summary(c, p, "doc_id")
@@ -522,7 +522,7 @@ def diverse_ranking(t):
     """Walk documents by falling length, skipping any too similar to a kept one."""
     from proofmill.operators.ranking import total_order
 
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.5)
+    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
     sets, _ = SI.collapse_copies(doc_sets(t), "doc_id", "tokens")
     n = sets.select(F.col("rep").alias("doc_id"), F.size("tokens").alias("n"))
     n = total_order(n, "n", "doc_id", "place")
