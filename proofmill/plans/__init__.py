@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("measurements", "aggregates", "evaluation", "relations")
+MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality")
 
 
 def load():

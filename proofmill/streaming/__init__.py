@@ -1,0 +1,5 @@
+"""Nothing here keeps state: the engine's inputs are complete tables.
+
+Row-local operators (value parsing, units, bounds, classification) are plain column expressions,
+so they also accept a streaming DataFrame; ``tests/test_sources.py`` runs one that way.
+"""
