@@ -20,14 +20,10 @@ def interactions(df: DataFrame, terms) -> DataFrame:
 def hashed_ngrams(df: DataFrame, text: str, out: str = "bits", low: int = 2, high: int = 4, n_bits: int = 1024) -> DataFrame:
     """Sorted distinct hashed character n-grams of the whole text (a binary fingerprint)."""
     t = clean(text)
-    grams = []
-    for n in range(low, high + 1):
-        starts = F.sequence(F.lit(1), F.length(t) - (n - 1))
-        grams.append(
-            F.when(F.length(t) >= n, F.transform(starts, lambda i, n=n: F.pmod(F.xxhash64(F.substr(t, i, F.lit(n))), F.lit(n_bits)).cast("int")))
-            .otherwise(F.array().cast("array<int>"))
-        )
-    return df.withColumn(out, F.array_sort(F.array_distinct(F.concat(*grams))))
+    # a zero-width look-ahead yields every overlapping n-gram in one linear scan of the text
+    grams = [F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)]
+    bits = F.transform(F.concat(*grams), lambda g: F.pmod(F.xxhash64(g), F.lit(n_bits)).cast("int"))
+    return df.withColumn(out, F.array_sort(F.array_distinct(bits)))
 
 
 def word_set(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality")
+MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality", "modelling")
 
 
 def load():
