@@ -70,24 +70,28 @@ def normalize_relation(c) -> Column:
     return spell_relation(F.regexp_replace(clean(c), r"\s+", ""))
 
 
+def relation_text(value, explicit) -> Column:
+    """The explicit relation without blanks, else the prefix of the value text, as written."""
+    both = F.concat(F.regexp_replace(clean(explicit), r"\s+", ""), F.lit("\n"), clean(value))
+    return F.regexp_replace(both, r"(?s)^(?:([^\n]+)\n.*|\n\s*([<>]=?|=|~|≤|≥|≈)?.*)$", "$1$2")
+
+
 def extract_relation(value, explicit) -> Column:
     """Explicit relation when present, else the prefix of the value text, else ``=``."""
-    both = F.concat(F.regexp_replace(clean(explicit), r"\s+", ""), F.lit("\n"), clean(value))
-    either = F.regexp_replace(both, r"(?s)^(?:([^\n]+)\n.*|\n\s*([<>]=?|=|~|≤|≥|≈)?.*)$", "$1$2")
-    return F.regexp_replace(spell_relation(either), "^$", "=")
+    return F.regexp_replace(spell_relation(relation_text(value, explicit)), "^$", "=")
+
+
+def number_text(c) -> Column:
+    """First numeric token as a double, possibly infinite."""
+    return F.regexp_extract(F.replace(clean(c), F.lit(","), F.lit("")), NUMBER, 0).try_cast("double")
 
 
 def parse_numeric(c) -> Column:
     """First numeric token of a text, thousands commas ignored; NULL when there is none."""
-    text = F.replace(clean(c), F.lit(","), F.lit(""))
-    number = F.regexp_extract(text, NUMBER, 0).try_cast("double")
+    number = number_text(c)
     return F.when(F.abs(number) < float("inf"), number)
 
 
-def positive(c: Column) -> Column:
-    return F.nullif(F.greatest(c, F.lit(0.0)), F.lit(0.0))
-
-
 def with_qualified(df: DataFrame, column: str, out: str = "qualified") -> DataFrame:
     """Attach struct(value, relation, censoring, lower_bound, upper_bound, annotation, status).
 

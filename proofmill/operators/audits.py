@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from proofmill.functions.text import blank_to_null, clean, optional_bool
 from proofmill.functions.values import CONCENTRATION_TO_NANO, RELATIONS, normalize_unit, p_value, parse_numeric, unit_factor
 from proofmill.operators.ranking import null_safe_join
+from proofmill.session import cut_lineage
 
 
 @dataclass
@@ -60,22 +61,26 @@ def annotate(df: DataFrame, policy: AuditPolicy) -> DataFrame:
         }
     )
     d = d.withColumn("__scaled", F.col("__value") * unit_factor("unit", policy.units))
-    content = F.xxhash64(*[c for c in df.columns if c != "row_key"])
-    d = d.withColumn("__content", content)
-    ids = d.groupBy("__source", "__record").agg(F.count(F.lit(1)).alias("__id_n"))
-    ids = null_safe_join(ids, _varies(d, ["__source", "__record"], policy.compare, "__id_bad"), ["__source", "__record"])
-    d = d.join(ids, ["__source", "__record"])
-    same = d.groupBy("__source", "__record", "__content").agg(F.count(F.lit(1)).alias("__same_n"))
-    d = d.join(same, ["__source", "__record", "__content"])
-    a, b = policy.identity
-    d = null_safe_join(d, _varies(d, [a], [b], "__ident_bad"), [a])
-    d = d.join(_varies(d, ["__desc"], ["method", "target_id"], "__desc_bad"), "__desc")
+    content = F.sha2(F.concat_ws("\0", *[clean(c) for c in df.columns if c != "row_key"]), 256)
+    # six grouped facts are read from this table, so it is stored once
+    base = cut_lineage(d.withColumn("__content", content))
     usable = clean("relation").isin("", "=") & (F.col("__scaled") > 0)
+    ids = base.where(F.col("__record") != "").groupBy("__source", "__record").agg(F.count(F.lit(1)).alias("__id_n")).where("__id_n > 1")
+    id_bad = _varies(base, ["__source", "__record"], policy.compare, "__id_bad").where("__id_bad")
+    same = base.groupBy("__content").agg(F.count(F.lit(1)).alias("__same_n")).where("__same_n > 1")
+    a, b = policy.identity
+    ident = _varies(base, [a], [b], "__ident_bad").where("__ident_bad")
+    desc = _varies(base, ["__desc"], ["method", "target_id"], "__desc_bad").where("__desc_bad")
     keys = ["subject_id", "endpoint", "target_id"]
-    rep = d.where(usable).groupBy(*keys).agg(
+    rep = base.where(usable).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rep_n"), (F.log10(F.max("__scaled")) - F.log10(F.min("__scaled"))).alias("__rep_spread")
     )
-    return null_safe_join(d, rep, keys, "left").withColumn("__usable", usable)
+    rep = rep.where((F.col("__rep_n") > 1) & (F.col("__rep_spread") >= policy.repeat_log10))
+    out = base.join(ids, ["__source", "__record"], "left").join(id_bad, ["__source", "__record"], "left")
+    out = out.join(same, "__content", "left").join(desc, "__desc", "left")
+    out = null_safe_join(out, ident, [a], "left")
+    out = null_safe_join(out, rep, keys, "left").withColumn("__usable", usable)
+    return out.fillna({"__id_n": 1, "__same_n": 1, "__id_bad": False, "__desc_bad": False, "__ident_bad": False})
 
 
 def findings(df: DataFrame, policy: AuditPolicy, key: str = "row_key") -> DataFrame:
@@ -93,7 +98,7 @@ def findings(df: DataFrame, policy: AuditPolicy, key: str = "row_key") -> DataFr
     id_hit = F.arrays_overlap(F.transform(F.split(F.lower(tid), "[,;|]"), lambda x: F.trim(x)), F.array(*map(F.lit, policy.expected_target_ids)))
     name_hit = F.lower(tname).rlike("|".join(policy.expected_target_terms) or "$^")
     desc, method = F.col("__desc"), clean("method")
-    repeated = F.col("__usable") & (F.col("__rep_n") > 1) & (F.col("__rep_spread") >= policy.repeat_log10)
+    repeated = F.col("__usable") & F.col("__rep_n").isNotNull()
     sev = lambda c, a, b: F.when(c, a).otherwise(b)
     rules: list[tuple[Column, str, object, str]] = [
         *[(clean(c) == "", "missing_required_value", "error", c) for c in policy.required],

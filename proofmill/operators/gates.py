@@ -17,29 +17,33 @@ def normalize_values(df: DataFrame, *, endpoint_names: dict | None = None, unit_
     ``_original`` suffix.  A missing or unknown unit gives NULL scaled values, never a default.
     """
     table = unit_table or V.CONCENTRATION_TO_NANO
-    endpoint = clean("endpoint")
-    if endpoint_names:
-        compact = F.upper(F.regexp_replace(endpoint, r"[\s_\-]", ""))
-        endpoint = F.coalesce(V.lookup(compact, endpoint_names), endpoint)
+    # staged so every regular expression runs once per row and later stages only read columns
     out = df.withColumns(
         {
             "endpoint_original": F.col("endpoint"),
             "relation_original": F.col("relation"),
             "unit_original": F.col("unit"),
+            "endpoint": clean("endpoint"),
+            "__rel": V.relation_text("value_text", "relation"),
+            "__num": V.number_text("value_text"),
+            "unit_normalized": V.normalize_unit("unit"),
         }
     )
+    if endpoint_names:
+        out = out.withColumn("__ep", F.upper(F.regexp_replace("endpoint", r"[\s_\-]", "")))
+        out = out.withColumn("endpoint", F.coalesce(V.lookup(F.col("__ep"), endpoint_names), F.col("endpoint"))).drop("__ep")
+    u = F.col("unit_normalized")
     out = out.withColumns(
         {
-            "endpoint": endpoint,
-            "relation": V.extract_relation("value_text", "relation"),
-            "value_numeric": V.parse_numeric("value_text"),
-            "unit_normalized": V.normalize_unit("unit"),
-            "unit_status": V.unit_status("unit", table),
+            "relation": F.coalesce(V.lookup(F.col("__rel"), {**V.RELATION_SPELLINGS, "": "="}), F.col("__rel")),
+            "value_numeric": F.when(F.abs("__num") < float("inf"), F.col("__num")),
+            "__factor": V.lookup(u, table),
         }
     )
-    scaled = F.col("value_numeric") * V.unit_factor("unit_original", table)
-    out = out.withColumn("value_scaled", V.positive(scaled))
-    out = out.withColumn("p_value", V.p_value("value_scaled"))
+    status = F.when(u == "", "missing_unit").when(F.col("__factor").isNotNull(), "converted").otherwise("unsupported_unit")
+    out = out.withColumns({"unit_status": status, "__scaled": F.col("value_numeric") * F.col("__factor")})
+    out = out.withColumn("value_scaled", F.when(F.col("__scaled") > 0, F.col("__scaled")))
+    out = out.withColumn("p_value", V.p_value("value_scaled")).drop("__rel", "__num", "__factor", "__scaled")
     lower, upper = V.bounds("value_scaled", "relation")
     p_low_src, p_up_src = V.bounds("p_value", "relation")
     return out.withColumns(
@@ -77,32 +81,46 @@ def measurement_ids(df: DataFrame, fields=IDENTITY) -> DataFrame:
     return df.withColumn("measurement_id", stable_id("MEA", fields, 24))
 
 
-def flag_duplicates(df: DataFrame, *, fields=IDENTITY, record: str = "record_id", order: str = "row_key") -> DataFrame:
+def repeated_identities(df: DataFrame, fields, record: str, order: str) -> DataFrame:
+    """First ``order`` value of every identity that occurs more than once."""
+    g = df.where(clean(record) != "").groupBy(*fields)
+    g = g.agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    return g.where(F.col("__n") > 1).drop("__n")
+
+
+def flag_duplicates(df: DataFrame, *, fields=IDENTITY, record: str = "record_id", order: str = "row_key", repeated=None) -> DataFrame:
     """True for every row but the first (by the unique ``order`` column) of an identity group.
 
-    A grouped minimum joined back, not a window: the aggregate combines map-side and the join is
-    splittable by adaptive skew handling, so one repeated identity never lands in one task.
+    Only identities that occur twice are joined back: normally a small table, which adaptive execution
+    broadcasts after measuring it; a huge one stays a splittable shuffle join.  No window, so a
+    repeated identity never lands whole in one task.
     """
-    firsts = df.groupBy(*fields).agg(F.min(order).alias("__first"))
+    firsts = repeated_identities(df, fields, record, order) if repeated is None else repeated
     out = null_safe_join(df, firsts, list(fields), "left")
-    return out.withColumn(
-        "is_duplicate", (clean(record) != "") & (F.col(order) != F.col("__first"))
-    ).drop("__first")
+    later = F.coalesce(F.col(order) != F.col("__first"), F.lit(False))
+    return out.withColumn("is_duplicate", (clean(record) != "") & later).drop("__first")
 
 
-def flag_record_conflicts(
-    df: DataFrame, *, keys=("source", "record_id", "endpoint"), compare=("value_numeric", "subject_id"), record="record_id"
-) -> DataFrame:
-    """True when one record key carries more than one non-NULL value in any compared column."""
-    spread = df.groupBy(*keys).agg(
+def conflicting_records(df: DataFrame, keys, compare, record: str) -> DataFrame:
+    """Record keys with more than one distinct value, found from minimum and maximum."""
+    spread = df.where(clean(record) != "").groupBy(*keys).agg(
         *[F.min(c).alias(f"__lo_{c}") for c in compare], *[F.max(c).alias(f"__hi_{c}") for c in compare]
     )
     bad = F.lit(False)
-    for c in compare:  # min < max is "more than one distinct value" with constant state
+    for c in compare:
         bad = bad | F.coalesce(F.col(f"__lo_{c}") < F.col(f"__hi_{c}"), F.lit(False))
-    spread = spread.select(*keys, bad.alias("__bad"))
-    out = null_safe_join(df, spread, list(keys), "left")
-    return out.withColumn("record_conflict", (clean(record) != "") & F.col("__bad")).drop("__bad")
+    return spread.where(bad).select(*keys, F.lit(True).alias("__bad"))
+
+
+RECORD = ("source", "record_id", "endpoint")
+COMPARED = ("value_numeric", "subject_id")
+
+
+def flag_record_conflicts(df: DataFrame, *, keys=RECORD, compare=COMPARED, record="record_id", conflicts=None) -> DataFrame:
+    """True when one record key carries more than one non-NULL value in any compared column."""
+    bad = conflicting_records(df, keys, compare, record) if conflicts is None else conflicts
+    out = null_safe_join(df, bad, list(keys), "left")
+    return out.withColumn("record_conflict", (clean(record) != "") & F.col("__bad").isNotNull()).drop("__bad")
 
 
 def gate(
@@ -118,7 +136,12 @@ def gate(
     ``extra_rules`` holds (condition, flag, excludes) for source-specific checks such as target
     relevance, variant exclusion or a source's own validity comments.
     """
-    out = flag_record_conflicts(flag_duplicates(measurement_ids(df)))
+    # both lookups are built from the input itself, so its plan is not nested twice
+    base = measurement_ids(df)
+    firsts = repeated_identities(base, ("measurement_id",), "record_id", "row_key")
+    conflicts = conflicting_records(df, RECORD, COMPARED, "record_id")
+    out = flag_duplicates(base, fields=("measurement_id",), repeated=firsts)
+    out = flag_record_conflicts(out, conflicts=conflicts)
     rules: list[tuple[Column, Column, bool]] = [
         (clean("subject_id") == "", F.lit("missing_subject"), True),
         (F.col("value_numeric").isNull(), F.lit("missing_or_non_numeric_value"), True),

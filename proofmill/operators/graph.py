@@ -146,6 +146,23 @@ def _front_mask(x):
     return mask
 
 
+def _all_fronts(x):
+    """Front number of every row of a distinct matrix: one more than the best dominator's."""
+    import numpy as np
+
+    order = np.argsort(-x.sum(axis=1), kind="stable")
+    y = x[order]
+    rank = np.ones(len(y), dtype="int32")
+    for i in range(1, len(y)):
+        # points are distinct, so "at least as large everywhere" already means dominated
+        dom = np.all(y[:i] >= y[i], axis=1)
+        if dom.any():
+            rank[i] = rank[:i][dom].max() + 1
+    out = np.empty(len(x), dtype="int32")
+    out[order] = rank
+    return out
+
+
 def _front(points: DataFrame, cols, block: int) -> DataFrame:
     """Non-dominated distinct points: local fronts, then block-against-block elimination."""
     names = list(cols)
@@ -203,18 +220,7 @@ def pareto_ranks(df: DataFrame, key: str, objectives, eligible: str | None = Non
         start = rank
 
         def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            import numpy as np
-
-            x = pdf[names].to_numpy(float)
-            out = np.zeros(len(x), dtype="int32")
-            idx = np.arange(len(x))
-            r = start
-            while len(idx):
-                m = _front_mask(x[idx])
-                out[idx[m]] = r
-                idx = idx[~m]
-                r += 1
-            return pdf[names].assign(front=out)
+            return pdf[names].assign(front=_all_fronts(pdf[names].to_numpy(float)) + (start - 1))
 
         schema = ", ".join(f"`{c}` double" for c in names) + ", front int"
         parts.append(pts.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(finish, schema))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from proofmill.functions.text import blank_to_null, clean, join_flags
 from proofmill.functions.values import RELATIONS, extract_relation, parse_numeric
-from proofmill.operators.gates import flag_record_conflicts
+from proofmill.operators.gates import conflicting_records, flag_record_conflicts
 from proofmill.operators.ranking import null_safe_join
+from proofmill.session import cut_lineage
 
 
 def pseudonymizer(spark: SparkSession, key: bytes, namespace: str, prefix: str):
@@ -61,12 +62,15 @@ def validate_intake(df: DataFrame, assays: DataFrame, units: DataFrame, *, endpo
     d = d.join(u, "unit_resolved", "left")
     d = d.withColumns({"value_numeric": parse_numeric("result"), "relation_resolved": extract_relation("result", "relation")})
     content = F.sha2(F.concat_ws("\0", *[clean(c) for c in ("record_id", "subject_id", "assay_code", "endpoint", "relation", "result", "unit")]), 256)
-    d = d.withColumn("__content", content)
-    firsts = d.groupBy("__content").agg(F.min("row_key").alias("__first"))
-    d = d.join(firsts, "__content")
-    d = flag_record_conflicts(d.withColumn("source", F.lit("submission")), keys=("source", "record_id"), compare=("__content",))
+    # three grouped facts are read from this table, so it is stored once
+    d = cut_lineage(d.withColumns({"__content": content, "source": F.lit("submission")}))
+    firsts = d.groupBy("__content").agg(F.min("row_key").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    bad = conflicting_records(d, ("source", "record_id"), ("__content",), "record_id")
     ident = d.groupBy("subject_id").agg(F.min(blank_to_null("structure")).alias("__slo"), F.max(blank_to_null("structure")).alias("__shi"))
-    d = null_safe_join(d, ident.select("subject_id", F.coalesce(F.col("__slo") < F.col("__shi"), F.lit(False)).alias("__sbad")), ["subject_id"])
+    ident = ident.where("__slo < __shi").select("subject_id", F.lit(True).alias("__sbad"))
+    d = d.join(firsts, "__content", "left")
+    d = flag_record_conflicts(d, keys=("source", "record_id"), conflicts=bad)
+    d = null_safe_join(d, ident, ["subject_id"], "left")
     rules = [
         (clean("subject_id") == "", "missing_subject"),
         (clean("record_id") == "", "missing_record_id"),

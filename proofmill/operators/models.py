@@ -230,8 +230,11 @@ def censored_ridge(df: DataFrame, features, lower: str, upper: str, *, alpha: fl
     src = df.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(lower).cast("double").alias("__lo"), F.col(upper).cast("double").alias("__hi"))
     src = src.where(F.col("__lo").isNotNull() | F.col("__hi").isNotNull())
     mid = F.coalesce((F.col("__lo") + F.col("__hi")) / 2, "__lo", "__hi")
-    st = src.agg(F.avg(mid).alias("m"), F.stddev_pop(mid).alias("s")).first()
-    beta, s = np.append([st.m], np.zeros(d - 1)), math.log(max(st.s or 1.0, 1e-3))
+    # start from the fit that reads bounds as exact values
+    m0 = moment_sums(src.withColumn("__mid", mid), names, "__mid")[0]
+    start = ridge(m0, names, alpha)
+    beta = np.array([start.intercept, *start.coefficients])
+    s = 0.5 * math.log(max(sse(m0, names, start) / m0[0, 0], 1e-6))
     pen = np.append(0.0, np.full(d - 1, alpha))
 
     def total(beta, s):
@@ -256,12 +259,13 @@ def censored_ridge(df: DataFrame, features, lower: str, upper: str, *, alpha: fl
     obj, n, grad, hess = total(beta, s)
     for it in range(rounds):
         w, u = np.linalg.eigh(-hess)
-        step = u @ ((u.T @ grad) / np.maximum(w, 1e-6 * max(1.0, w.max())))
+        # where the surface is not concave, step by the size of the curvature instead
+        step = u @ ((u.T @ grad) / np.maximum(np.abs(w), 1e-8 * np.abs(w).max()))
         scale = 1.0
         while True:
             nb, ns = beta + scale * step[:d], s + float(np.clip(scale * step[d], -1, 1))
             cand = total(nb, ns)
-            if cand[0] >= obj - 1e-9 or scale < 1e-4:
+            if cand[0] >= obj - 1e-9 or scale < 1e-6:
                 break
             scale /= 2
         gain = cand[0] - obj

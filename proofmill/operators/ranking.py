@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +36,14 @@ def cut_points(df: DataFrame, value: str, ranges: int = RANGES, error: float = 0
     return sorted({float(x) for x in (got.q or [])})
 
 
-def range_of(value: Column, cuts: list[float]) -> Column:
-    """Index of the half-open range the value falls in (binary ladder over literal cuts)."""
+def with_range(df: DataFrame, value: str, cuts, out: str) -> DataFrame:
+    """Attach the index of the half-open range a double falls in (a binary search in the JVM)."""
+    cuts = sorted(set(float(c) for c in cuts))
     if not cuts:
-        return F.lit(0)
-
-    def ladder(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(cuts[mid]), ladder(lo, mid)).otherwise(ladder(mid + 1, hi))
-
-    return ladder(0, len(cuts))
+        return df.withColumn(out, F.lit(0))
+    edges = [float("-inf"), *cuts, float("inf")]
+    b = Bucketizer(splits=edges, inputCol=value, outputCol=out, handleInvalid="keep")
+    return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
 def rank_cells(cells: DataFrame, value: str, keys=(), weights=("n",), cuts=()) -> DataFrame:
@@ -56,7 +53,7 @@ def rank_cells(cells: DataFrame, value: str, keys=(), weights=("n",), cuts=()) -
     of the same key) and ``<w>_group``.  Other columns are carried along.
     """
     keys, names = list(keys), list(weights)
-    parted = cells.withColumn("__range", range_of(F.col(value), list(cuts)))
+    parted = with_range(cells, value, cuts, "__range")
     per_range = parted.groupBy(*keys, "__range").agg(
         *[F.sum(f"{n}_tied").alias(f"__{n}_in") for n in names]
     )
@@ -166,7 +163,7 @@ def ordered_index(df: DataFrame, value: str, tie: str, out: str, total: str | No
     probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     got = base.agg(F.percentile_approx("__v", probs, 200).alias("v"), F.percentile_approx("__t", probs, 200).alias("t")).first()
     vc, tc = sorted(set(got.v or [])), sorted(set(got.t or []))
-    base = base.withColumn("__rv", range_of(F.col("__v"), vc)).withColumn("__rt", range_of(F.col("__t"), tc))
+    base = with_range(with_range(base, "__v", vc, "__rv"), "__t", tc, "__rt")
     cells = base.groupBy(*keys, "__rv", "__v", "__rt").agg(F.count(F.lit(1)).alias("__n"))
     per = cells.groupBy(*keys, "__rv").agg(F.sum("__n").alias("__m"))  # at most RANGES rows per key
     w = Window.partitionBy(*keys).orderBy("__rv")
@@ -198,7 +195,8 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family=()) -> DataFrame:
     cuts = cut_points(src, p)
     r = ranked_values(src, p, family, cuts=cuts).withColumn(
         "__raw", F.col(p) * F.col("n_group") / (F.col("n_before") + F.col("n_tied"))
-    ).withColumn("__range", range_of(F.col(p), cuts))
+    )
+    r = with_range(r, p, cuts, "__range")
     per = r.groupBy(*family, "__range").agg(F.min("__raw").alias("__m"))
     later = Window.partitionBy(*family).orderBy(F.col("__range").desc()).rowsBetween(
         Window.unboundedPreceding, -1

@@ -77,7 +77,7 @@ from (select subject_id, endpoint, bool_or(relation='=') as ex, min(relation) as
  median(case when relation='=' then value_scaled end) as med_ex, median(value_scaled) as med_all, max(p_value)-min(p_value) as mr from @normalized where value_scaled is not null group by 1,2)
 """)
 def replicate_aggregate(t):
-    return rounded(A.aggregate_replicates(t.normalized, ["subject_id", "endpoint"], tolerance=0.5))
+    return rounded(A.aggregate_replicates(t.measured, ["subject_id", "endpoint"], tolerance=0.5))
 
 
 @query("interval_consensus", """
@@ -193,7 +193,7 @@ select endpoint, count(*) as n_subjects, count_if(n>=2) as n_repeated, round(max
 from (select endpoint, subject_id, count(*) as n, max(p_value)-min(p_value) as r, stddev_samp(p_value) as s from @normalized where p_value is not null group by 1,2) group by 1
 """)
 def measurement_dispersion(t):
-    return rounded(E.dispersion(t.normalized, "subject_id", "endpoint", "p_value"))
+    return rounded(E.dispersion(t.measured, "subject_id", "endpoint", "p_value"))
 
 
 @query("selection_bias", f"""

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.plans.registry import VIEWS
+from proofmill.session import cut_lineage
 
 SOURCE_PRIORITY = ("alpha", "beta", "gamma")
 ENDPOINTS = {"1URGENT": "urgent", "2HIGH": "high", "3MEDIUM": "medium", "5LOW": "low"}
+STAGE_COLUMNS = (
+    "row_key", "subject_id", "source", "endpoint", "family", "relation", "yr", "value_scaled", "p_value",
+    "is_exact", "is_censored", "is_core_endpoint", "is_eligible", "exclusion_reason",
+)
 CORE_ENDPOINTS = ("urgent", "high", "medium", "low")
 
 
@@ -23,7 +28,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        self.__dict__[name] = df = self._spread(df)
+        return df
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Use all cores on a table stored as too few splits; larger tables are left as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        want = min(cores, size // (1 << 20))
+        if want > 1 and df.rdd.getNumPartitions() < want:
+            return df.repartition(want)
+        return df
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -91,7 +107,14 @@ class Tables:
     def mirrored(self) -> DataFrame:
         from proofmill.operators.gates import link_mirrors
 
-        return link_mirrors(self.gated, priority=SOURCE_PRIORITY)
+        # the gated table is a stage boundary: linking and aggregation read it several times
+        return link_mirrors(cut_lineage(self.gated.select(*STAGE_COLUMNS)), priority=SOURCE_PRIORITY)
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        """Stored value columns for operators that read the normalised table several times."""
+        keep = [c for c in STAGE_COLUMNS if c not in ("is_core_endpoint", "is_eligible", "exclusion_reason")]
+        return cut_lineage(self.normalized.select(*keep, "document_id"))
 
     @cached_property
     def predictions(self) -> DataFrame:

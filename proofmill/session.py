@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ def local_session(cpus: str = "8", **conf) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # larger generated methods are not compiled by the JVM; split evaluation is faster there
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -25,21 +28,23 @@ def local_session(cpus: str = "8", **conf) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a temporary one only on a local master."""
+def stage_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder for cut lineage; a temporary one only on a local master."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    else:
+        return shared
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to reliable storage so iterative plans stay small and survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the table to the shared folder and read it back.
+
+    The plan is evaluated once, later readers prune columns, and the files outlive lost executors.
+    """
+    path = f"{stage_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
