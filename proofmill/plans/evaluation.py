@@ -269,7 +269,7 @@ def retained_candidates(t):
     """Best rows overall, keeping at least the best of each family."""
     r = R.total_order(t.part, "p_retailprice", "p_partkey", "g")
     best = t.part.groupBy("p_type").agg(F.min_by("p_partkey", F.struct(F.negate("p_retailprice"), F.col("p_partkey"))).alias("b"))
-    return r.join(F.broadcast(best.select(F.col("b").alias("p_partkey"), F.lit(True).alias("top"))), "p_partkey", "left").where(
+    return r.join(best.select(F.col("b").alias("p_partkey"), F.lit(True).alias("top")), "p_partkey", "left").where(
         (F.col("g") <= 500) | F.col("top")
     ).select("p_partkey", "p_type")
 
