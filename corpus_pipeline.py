@@ -39,9 +39,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, packed ids and digests of ids and decoded bytes."""
+    import public_tokenizers
+
     from proofmill.llm.bytebpe import round_trip
 
-    return round_trip(docs).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    out = round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -39,3 +39,64 @@ with t as (select doc_id, sha256(regexp_replace(coalesce(text,''), '[\x20\x09-\x
 select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
  doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256 from t
 """
+
+SQL["op4_benchmark_decontamination"] = rf"""
+with d as (select doc_id, {_ALNUM} as ws from documents),
+b as (select item_id::varchar as item, {_ALNUM} as ws from benchmark),
+v as (select item, unnest(case when len(ws) = 0 then [] when len(ws) < 10 then [ws] else list_transform(range(1, len(ws) - 8), lambda i: ws[i:i+9]) end) as g from b),
+m as (select distinct g, len(g) as n from v),
+s as (select doc_id, k.n, unnest(range(1, len(ws) - k.n + 2)) as i, ws from d, (select distinct n from m) k where len(ws) >= k.n),
+h as (select doc_id, i, s.n, g from s join m on m.n = s.n and m.g = s.ws[i:i+s.n-1]),
+p as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item collate "C") as items from (select distinct doc_id, item from h join v using (g)) group by doc_id)
+select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join p using (doc_id) left join t using (doc_id)
+"""
+
+
+def _url_sql() -> str:
+    from proofmill.llm.urlfilter import LIMIT, RULES, VOCABULARY
+
+    term = lambda t: f"regexp_matches(judged, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int"
+    count = lambda some: " + ".join(term(t) for t in some) or "0"
+    strict, soft = ([t for t, w in VOCABULARY.items() if (w >= LIMIT) == side] for side in (True, False))
+    rules = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
+    case = lambda value: "case " + " ".join(f"when {fits(r[1], r[2])} then '{value(r)}'" for r in rules) + " end"
+    low = "translate({},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+with r as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, {low.format("regexp_extract(rest, '^([^/?#]*)', 1)")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+j as (select *, host || {low.format('path')} as judged from p),
+c as (select *, {count(strict)} as n_strict, {count(soft)} as n_soft from j)
+select page_id, host, path, {case(lambda r: r[1] + r[2])} as rule,
+ coalesce({case(lambda r: r[0])}, case when n_strict > 0 or n_soft >= {LIMIT} then 'block' else 'allow' end) as verdict, n_strict::bigint as n_strict, n_soft::bigint as n_soft from c
+"""
+
+
+SQL["op7_url_vocabulary"] = _url_sql()
+
+
+def _licence_sql() -> str:
+    from proofmill.llm.licences import BASE, NOTICES
+
+    templates = BASE + NOTICES
+    keys = ", ".join(f"({t}, {first + i}, '{w}')" for t, x in enumerate(templates) for first, words in x.spans() for i, w in enumerate(words))
+    every = ", ".join(f"({t}, {i}, '{w}')" for t, x in enumerate(templates) for i, w in enumerate(x.words.split()))
+    names = ", ".join(f"({t}, '{x.label}', {str(x.base).lower()}, {sum(len(w) for _, w in x.spans())}, {len(x.words.split())})" for t, x in enumerate(templates))
+    return rf"""
+with k(t, off, w) as (values {keys}), e(t, off, w) as (values {every}), n(t, label, base, need, size) as (values {names}),
+d as (select doc_id, {_ALNUM} as ws from documents),
+p as (select doc_id, unnest(range(0, len(ws))) as pos, unnest(ws) as w from d),
+f as (select doc_id, t, pos - off as start from p join k using (w) group by doc_id, t, pos - off having count(*) = (select need from n where n.t = k.t)),
+s as (select f.doc_id, f.t, f.start, count(p.w) as same from f join e using (t) left join p on p.doc_id = f.doc_id and p.pos = f.start + e.off and p.w = e.w group by all),
+h as (select s.*, label, base, same / size as share from s join n using (t)),
+a as (select doc_id, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
+  string_agg(distinct label, ',' order by label collate "C") filter (base) as base_labels, string_agg(distinct label, ',' order by label collate "C") as labels,
+  max(case when base then 0.5::double else share end) as score from h group by doc_id)
+select doc_id, len(ws) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
+from d left join a using (doc_id)
+"""
+
+
+SQL["op9_licence_scan"] = _licence_sql()

@@ -32,3 +32,58 @@ def op3_exact_dedup(spark, sf_dir):
     from proofmill.llm.exact import exact_duplicates
 
     return exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_benchmark_decontamination(spark, sf_dir):
+    from proofmill.llm.decontaminate import contamination
+
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from proofmill.llm.bytebpe import round_trip
+
+    out = round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op6_ans_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from proofmill.llm.tokenfile import token_files
+
+    return token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408, 2)
+
+
+@query
+def op7_url_vocabulary(spark, sf_dir):
+    from proofmill.llm.urlfilter import url_verdicts
+
+    return url_verdicts(read(spark, sf_dir, "pages"))
+
+
+@query
+def op8_byte_cnn_language(spark, sf_dir):
+    from proofmill.llm.bytecnn import learn_languages, predict_languages
+
+    docs = read(spark, sf_dir, "documents")
+    return predict_languages(docs, learn_languages(docs))
+
+
+@query
+def op9_licence_scan(spark, sf_dir):
+    from proofmill.llm.licences import licence_scan
+
+    return licence_scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_latent_quality(spark, sf_dir):
+    from proofmill.llm.latent import quality_scores
+
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
