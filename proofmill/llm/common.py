@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,17 @@ def shuffle_tasks(df: DataFrame) -> int:
 def ascii_lower(text) -> F.Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bit_table(tokens: DataFrame, column: str, bits: int = 22) -> bytes:
+    """A packed table of 2**bits bits, set at the upper bits of each 64-bit value; at most 2**bits / 64 rows reach the driver."""
+    at = F.shiftrightunsigned(column, 64 - bits)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for r in tokens.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(one).alias("b")).collect():
+        table[r["w"]] = r["b"]
+    return table.tobytes()
+
+
+def unpack_bits(table: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(table, np.uint8), bitorder="little").view(bool)

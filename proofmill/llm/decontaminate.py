@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import ALNUM, U64, chunks, shingle_hashes, utf8, word_hashes, word_spans
-from proofmill.llm.common import stage
+from proofmill.llm.common import bit_table, stage, unpack_bits
 
 #: The bit table has 2**BITS bits; false matches only cost work.
 BITS = 22
@@ -58,16 +58,6 @@ def _item_windows(window: int, k: int):
     return run
 
 
-def _bit_table(tokens: DataFrame) -> bytes:
-    """Packed bits, set at the upper bits of each token: at most 2**BITS / 64 rows reach the driver."""
-    at = F.shiftrightunsigned("token", 64 - BITS)
-    words = tokens.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - BITS}) & 63 as int))")).alias("bits")).collect()
-    table = np.zeros(1 << (BITS - 6), np.int64)
-    for r in words:
-        table[r["w"]] = r["bits"]
-    return table.tobytes()
-
-
 def _marked(table: np.ndarray, words: np.ndarray, rows: np.ndarray, lengths: tuple[int, ...]):
     """For each shingle length, the positions whose bit is set and that lie inside one row, with their hashes."""
     row_end = np.repeat(rows[1:], np.diff(rows)) if len(words) else np.zeros(0, np.int64)
@@ -78,15 +68,11 @@ def _marked(table: np.ndarray, words: np.ndarray, rows: np.ndarray, lengths: tup
         yield k, at, grams[at]
 
 
-def _unpack(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
-
-
 def _frequencies(bits: bytes, lengths: tuple[int, ...]):
     """Per chunk, how many rows have each marked shingle."""
 
     def run(batches):
-        table = _unpack(bits)
+        table = unpack_bits(bits)
         for batch in batches:
             buf, off, _ = utf8(batch.column(0))
             for lo, hi in chunks(off):
@@ -104,7 +90,7 @@ def _candidates(bits: bytes, lengths: tuple[int, ...], window: int):
     """Per row its number of words and the marked positions, each with the words that a window over it can use."""
 
     def run(batches):
-        table = _unpack(bits)
+        table = unpack_bits(bits)
         for batch in batches:
             buf, off, _ = utf8(batch.column(1))
             for lo, hi in chunks(off):
@@ -145,13 +131,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     # rarity over all documents, then the rarest shingle of each window; one that occurs nowhere ends the window
     tokens = spread.select("token").distinct()
-    seen = src.select("text").mapInArrow(_frequencies(_bit_table(tokens), lengths), "token long, n long")
+    seen = src.select("text").mapInArrow(_frequencies(bit_table(tokens, "token", BITS), lengths), "token long, n long")
     rarity = seen.groupBy("token").agg(F.sum("n").alias("df")).join(tokens, "token", "left_semi")
     rarest = F.min(F.struct("df", "token", "offset")).alias("r")
     index = spread.join(rarity, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).groupBy("words", "length").agg(rarest)
     index = stage(index.where("r.df > 0").select("words", "length", "r.token", "r.offset"))
 
-    bits = _bit_table(index.select("token"))
+    bits = bit_table(index, "token", BITS)
     rows = src.mapInArrow(_candidates(bits, lengths, window), "doc_id long, n_words long, marks array<struct<token: long, pos: long, base: long, context: string>>")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()))
     marks = rows.where(F.size("marks") > 0).select("row", "n_words", F.explode("marks").alias("m")).select("row", "n_words", "m.*")

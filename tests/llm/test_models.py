@@ -1,0 +1,106 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from proofmill.llm.bytecnn import ByteNetwork, learn_languages, log_probabilities, predict_languages, windows
+from proofmill.llm.latent import keep_good, learn_quality, quality_scores, term_counts, with_score
+from tests.llm.conftest import prose
+
+KINDS = {"aa": ("the", "and", "ing", "of"), "bb": ("der", "und", "sch", "ß"), "cc": ("ción", "que", "los", "ñ")}
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    rows = [(i, prose(i, 40 + i % 30, KINDS[k]), k) for i, k in enumerate(sorted(KINDS) * 60)]
+    rows += [(1001, None, "aa"), (1002, "", "aa"), (1003, "12 !!", "bb"), (None, prose(1, 50, KINDS["aa"]), "zz"), (1004, prose(9, 30000, KINDS["bb"]), None), (5, prose(5, 45, KINDS["cc"]), "cc")]
+    return spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, held_out string, score double").repartition(3)
+
+
+def test_gradients_match_differences():
+    net, r = ByteNetwork(3), np.random.default_rng(1)
+    x, y = r.integers(0, 256, (6, 20)).astype(np.uint8), np.arange(6) % 3
+    loss = lambda: -np.log(net._forward(x)[3][np.arange(6), y]).mean()
+    g = net._gradients(x, y)
+    for k, v in net.p.items():
+        at = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
+        old, eps = v[at], 1e-5
+        v[at] = old + eps
+        up = loss()
+        v[at] = old - eps
+        down = loss()
+        v[at] = old
+        assert abs((up - down) / (2 * eps) - g[k][at]) < 1e-4
+    assert np.allclose(np.exp(log_probabilities(x, net.tables())), net._forward(x)[3], atol=1e-4)
+
+
+def test_windows_cover_every_byte():
+    texts = [b"", b"a" * 10, bytes(range(1, 256)) * 3, b"b" * 192]
+    off = np.cumsum([0, *map(len, texts)])
+    x, row, fill = windows(np.frombuffer(b"".join(texts), np.uint8), off)
+    for i, t in enumerate(texts):
+        assert b"".join(w[:n].tobytes() for w, n in zip(x[row == i], fill[row == i])) == t
+
+
+def test_languages(spoken):
+    learned = learn_languages(spoken)
+    assert learned[0] == sorted(KINDS)  # the null key is never learned from
+    got = predict_languages(spoken, learned).collect()
+    assert len(got) == spoken.count()
+    truth = {i: k for i, k in enumerate(sorted(KINDS) * 60)} | {1004: "bb"}
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
+    for r in got:
+        assert 0 <= r.score <= 1
+        assert r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 5 == 0)
+        if r.doc_id in (1001, 1002, 1003):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_languages_of_nothing(spoken):
+    assert predict_languages(spoken.limit(0), learn_languages(spoken.limit(0))).count() == 0
+    assert {r.lang_pred for r in predict_languages(spoken, ([], None)).collect()} == {"und"}
+
+
+@pytest.fixture(scope="module")
+def rated(spark):
+    rows = [(i, prose(i, 60) if i % 4 else prose(i, 60).upper().replace(" ", "!! "), int(i % 4 > 0)) for i in range(240)]
+    docs = [(k, t, "x", 1.0) for k, t, _ in rows] + [(2001, None, "x", 1.0), (2002, "", "x", 1.0), (2003, "ab", "x", 1.0), (None, prose(3, 50), "x", 1.0), (3, "other text of the same key", "x", 1.0), (2004, prose(4, 30000), "x", 1.0)]
+    labels = [(k, q, 0) for k, _, q in rows] + [(None, 1, 0), (7, None, 0), (8, 1, 0)]
+    return spark.createDataFrame(docs, "doc_id long, text string, predicted string, score double").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows
+
+
+def test_quality(rated):
+    docs, labels, rows = rated
+    got = quality_scores(docs, labels).collect()
+    assert len(got) == docs.count()
+    by = {r.doc_id: r for r in got if r.doc_id != 3}
+    held = [(q, by[k].predicted) for k, _, q in rows if k in by and by[k].held_out]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 3 == 1)
+    assert by[2001].score == by[2002].score == by[2003].score
+
+
+def test_good_rows_keep_their_columns(rated):
+    docs, labels, rows = rated
+    left = keep_good(docs, docs, labels)
+    assert left.columns == docs.columns
+    ids = {r.doc_id for r in left.collect()}
+    good, bad = {k for k, _, q in rows if q}, {k for k, _, q in rows if not q}
+    assert len(good - ids) <= 2 and len(bad & ids) <= 2
+    assert keep_good(docs.limit(0), docs, labels).count() == 0
+
+
+def test_quality_without_labels_and_exact_neighbours(rated):
+    docs, labels, _ = rated
+    assert {r.score for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+    model = learn_quality(docs, labels)
+    t = prose(1, 60).encode()
+    c = term_counts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+    s = (model.vectors @ model.project(c)[0]).astype(float)
+    near = np.argsort(-s)[:15]
+    w = np.maximum(s[near], 0) ** 4 * model.weights[near]
+    assert abs(model.scores(c)[0] - (w * model.labels[near]).sum() / w.sum()) < 1e-6
+    assert with_score(docs.select("doc_id", "text"), model, "s").columns == ["doc_id", "text", "s"]
