@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from proofmill.functions.text import as_col, clean
+from proofmill.functions.text import clean
 
 
 def any_term(text: Column, terms) -> Column:
@@ -81,32 +81,16 @@ def first_pattern(text, patterns) -> Column:
     return F.coalesce(*[F.when(t.rlike(p), F.lit(label)) for p, label in patterns], F.lit(""))
 
 
-def relevance(
-    name, accession, text, *, ids, name_pattern, off_pattern, decision=None, include=None
-) -> Column:
-    """Struct(status, relevant, reason): reviewed decision first, then id, name and text evidence."""
-    n, tx = F.lower(clean(name)), F.lower(clean(text))
-    tokens = F.split(F.lower(clean(accession)), r"[;,|\s]+")
-    hit = F.arrays_overlap(tokens, F.array(*[F.lit(i.lower()) for i in ids]))
-
-    def verdict(status, ok, reason):
-        return F.struct(
-            F.lit(status).alias("status"), F.lit(ok).alias("relevant"), F.lit(reason).alias("reason")
-        )
-
-    d = F.lower(clean(decision)) if decision is not None else F.lit("")
-    inc = as_col(include) if include is not None else F.lit(None).cast("boolean")
-    return (
-        F.when((inc.eqNullSafe(True)) | d.isin("include", "included", "accept", "accepted"),
-               verdict("manual_include", True, "included by review"))
-        .when((inc.eqNullSafe(False)) | d.isin("exclude", "excluded", "reject", "rejected"),
-              verdict("manual_exclude", False, "excluded by review"))
-        .when(d.isin("review", "pending", "unresolved"),
-              verdict("manual_review", False, "review required"))
-        .when(hit, verdict("confirmed_accession", True, "target accession present"))
-        .when(n.rlike(name_pattern), verdict("confirmed_target_name", True, "target name present"))
-        .when(n != "", verdict("off_target", False, "other target named"))
-        .when(tx.rlike(name_pattern), verdict("text_supported", True, "text names the target"))
-        .when(tx.rlike(off_pattern), verdict("off_target", False, "text names another target"))
-        .otherwise(verdict("unresolved", False, "no target evidence"))
-    )
+def any_listed(text, ids, separators: str = r"[;,|\s]+") -> Column:
+    """Whether a separated list holds one of the ids, case aside."""
+    parts = F.split(F.lower(clean(text)), separators)
+    return F.arrays_overlap(parts, F.array(*[F.lit(i.lower()) for i in ids]))
+
+
+def first_verdict(rules, fields) -> Column:
+    """Struct of the first rule that holds; ``rules``: ordered (condition, values for ``fields``), the last condition None."""
+    out = None
+    for condition, values in reversed(list(rules)):
+        row = F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, values)])
+        out = row if condition is None else F.when(condition, row).otherwise(out)
+    return out

@@ -36,7 +36,7 @@ def component_topology(components: DataFrame) -> DataFrame:
     s = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     return s.agg(
         F.count(F.lit(1)).alias("n_components"),
-        (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("effective_components"),
+        (F.sum("n").cast("double") * F.sum("n") / F.sum(F.col("n").cast("double") * F.col("n"))).alias("effective_components"),
         F.max("n").alias("largest_component"),
         F.count_if(F.col("n") == 1).alias("singletons"),
     )
@@ -69,16 +69,16 @@ def greedy_independent(nodes: DataFrame, edges: DataFrame, key: str, priority: s
 
 
 def leader_clusters(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """(key, leader): nodes with most neighbours lead; others join their best-placed adjacent leader.
+    """(key, leader) of classes, ``nodes`` with their number of ``copies``: nodes with most neighbours lead; others join their best-placed adjacent leader.
 
     Neighbour counts are fixed up front (the variant without re-counting after each pick).
     """
     from proofmill.operators.ranking import ordered_index
 
     both = pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionAll(pairs.select("id_b", "id_a"))
-    deg = both.groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
-    n = nodes.select(key).distinct()
-    n = n.join(deg, n[key] == deg.x, "left").select(key, F.negate(F.coalesce("deg", F.lit(0))).alias("nd"))
+    n = nodes.select(key, "copies").distinct()
+    deg = both.join(n.select(F.col(key).alias("y"), "copies"), "y").groupBy("x").agg(F.sum("copies").alias("deg"))
+    n = n.join(deg, n[key] == deg.x, "left").select(key, F.negate(F.coalesce("deg", F.lit(0)) + F.col("copies") - 1).alias("nd"))
     order = cut_lineage(ordered_index(n, "nd", key, "place").select(key, "place"))
     lead = cut_lineage(greedy_independent(order, pairs, key, "place"))
     adj = both.join(lead, both.y == lead[key]).select("x", F.col("y").alias("l"))
@@ -88,21 +88,24 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return j.select(key, F.when(F.col("is_lead").isNotNull(), F.col(key)).otherwise(F.col("leader")).alias("leader"))
 
 
-def cluster_summary(clusters: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Per leader: size, medoid (largest total similarity, ties lowest key), content id of the member set."""
-    c = clusters
-    ca, cb = c.select(F.col(key).alias("id_a"), F.col("leader").alias("la")), c.select(F.col(key).alias("id_b"), F.col("leader").alias("lb"))
+def cluster_summary(clusters: DataFrame, pairs: DataFrame, member: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Per leader over all rows: size, medoid (largest total similarity, ties lowest key), content id of the member set.
+
+    ``clusters`` has a leader for each class; ``member`` gives each row's class; a row without a class is its own cluster.
+    """
+    c = clusters.select(F.col(key).alias("rep"), "leader").join(member.where(F.col(key) == F.col("rep")).select("rep", "copies"), "rep")
+    ca, cb = (c.select(F.col("rep").alias(f"id_{x}"), F.col("leader").alias(f"l{x}"), F.col("copies").alias(f"n{x}")) for x in "ab")
     inside = pairs.join(ca, "id_a").join(cb, "id_b").where("la = lb")
-    tot = inside.select(F.col("id_a").alias("m"), "similarity").unionAll(inside.select("id_b", "similarity")).groupBy("m").agg(F.sum("similarity").alias("s"))
-    d = c.join(tot, c[key] == tot.m, "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)), 9))
-    h = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12), 16, 10).cast("long")
-    g = d.groupBy("leader").agg(
-        F.count(F.lit(1)).alias("cluster_size"),
-        F.min_by(key, F.struct(F.negate("s"), F.col(key))).alias("medoid"),
-        F.sum(h).alias("member_sum"),
-    )
+    s = F.col("similarity")
+    tot = inside.select(F.col("id_a").alias("m"), (s * F.col("nb")).alias("s")).unionAll(inside.select("id_b", s * F.col("na"))).groupBy("m").agg(F.sum("s").alias("s"))
+    d = c.join(tot, c.rep == tot.m, "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)) + F.col("copies") - 1, 9))
+    best = d.groupBy("leader").agg(F.min_by("rep", F.struct(F.negate("s"), F.col("rep"))).alias("medoid"))
+    every = member.select(key, "rep").join(c.select("rep", "leader"), "rep").select(key, "leader")
+    every = rows.select(key).join(every, key, "left").select(key, F.coalesce("leader", key).alias("leader"))
+    h = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
     # the member set is digested by an order-free sum, so no member list is ever built
-    return g.withColumn("cluster_id", stable_id("CLU", ["cluster_size", "member_sum"], 16)).drop("member_sum")
+    g = every.groupBy("leader").agg(F.count(F.lit(1)).alias("cluster_size"), F.sum(h).cast("string").alias("member_sum")).join(best, "leader", "left")
+    return g.select("leader", "cluster_size", F.coalesce("medoid", "leader").alias("medoid"), stable_id("CLU", ["cluster_size", "member_sum"], 16).alias("cluster_id"))
 
 
 def greedy_matching(pairs: DataFrame, a: str, b: str, order) -> DataFrame:
@@ -129,78 +132,45 @@ def greedy_matching(pairs: DataFrame, a: str, b: str, order) -> DataFrame:
         live = cut_lineage(live.join(take.select(a), a, "left_anti").join(take.select(b), b, "left_anti"))
 
 
-def _front_mask(x):
-    """Rows not dominated by any row of the same (distinct) matrix; larger is better."""
+def _beaten_by(x, judges, ranks):
+    """For each row of ``x`` the largest rank among the judges that dominate it, 0 without one; larger values are better."""
     import numpy as np
 
-    order = np.argsort(-x.sum(axis=1), kind="stable")
-    keep: list[int] = []
-    front = np.empty((0, x.shape[1]))
-    for i in order:
-        # a dominator always has a larger sum, so it was seen before
-        if not len(front) or not np.any(np.all(front >= x[i], axis=1) & np.any(front > x[i], axis=1)):
-            keep.append(i)
-            front = np.vstack([front, x[i]])
-    mask = np.zeros(len(x), dtype=bool)
-    mask[keep] = True
-    return mask
-
-
-def _all_fronts(x):
-    """Front number of every row of a distinct matrix: one more than the best dominator's."""
-    import numpy as np
-
-    order = np.argsort(-x.sum(axis=1), kind="stable")
-    y = x[order]
-    rank = np.ones(len(y), dtype="int32")
-    for i in range(1, len(y)):
-        # points are distinct, so "at least as large everywhere" already means dominated
-        dom = np.all(y[:i] >= y[i], axis=1)
-        if dom.any():
-            rank[i] = rank[:i][dom].max() + 1
-    out = np.empty(len(x), dtype="int32")
-    out[order] = rank
+    out = np.zeros(len(x), dtype="int64")
+    for i in range(0, len(x), 256):
+        part = x[i : i + 256]
+        dominated = np.ones((len(part), len(judges)), dtype=bool)
+        for c in range(x.shape[1]):
+            dominated &= judges[None, :, c] >= part[:, None, c]
+        out[i : i + 256] = np.where(dominated, ranks[None, :], 0).max(1, initial=0)
     return out
 
 
-def _front(points: DataFrame, cols, block: int) -> DataFrame:
-    """Non-dominated distinct points: local fronts, then block-against-block elimination."""
-    names = list(cols)
-
-    def local(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pdf[_front_mask(pdf[names].to_numpy(float))]
-
-    cand = cut_lineage(points.select(*names).mapInPandas(local, points.select(*names).schema))
-    n = cand.count()
-    nb = max(1, -(-n // block))
-    h = F.pmod(F.xxhash64(*names), F.lit(nb)).cast("int")
-    d = cand.withColumn("__b", h)
-    subj = d.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("__judge", F.lit(False))
-    judge = d.withColumnRenamed("__b", "__o").withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("__judge", F.lit(True))
-    grid = subj.unionByName(judge)
-
-    def beaten(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        s, j = pdf[~pdf["__judge"]], pdf[pdf["__judge"]]
-        sx, jx = s[names].to_numpy(float), j[names].to_numpy(float)
-        bad = np.zeros(len(sx), dtype=bool)
-        for i in range(len(sx)):
-            bad[i] = bool(np.any(np.all(jx >= sx[i], axis=1) & np.any(jx > sx[i], axis=1)))
-        return s.loc[bad, names]
+def _ranks_inside(x, start):
+    """Fronts of one block of distinct points, each at least one below ``start``."""
+    import numpy as np
 
-    lost = grid.groupBy("__b", "__o").applyInPandas(beaten, points.select(*names).schema).distinct()
-    return cand.join(lost, names, "left_anti")
+    order = np.lexsort((*(-x[:, c] for c in range(x.shape[1] - 1, -1, -1)), -x.sum(axis=1)))
+    y, best = x[order], start[order]
+    for i in range(len(y)):
+        # a dominator has no smaller sum and no smaller coordinate, so it comes earlier
+        above = np.all(y[:i] >= y[i], axis=1)
+        best[i] = max(best[i], best[:i][above].max(initial=0)) + 1
+    out = np.empty_like(best)
+    out[order] = best
+    return out
 
 
-def pareto_ranks(df: DataFrame, key: str, objectives, eligible: str | None = None, *, block: int = 4000, tail: int = 20000) -> DataFrame:
+def pareto_ranks(df: DataFrame, key: str, objectives, eligible: str | None = None, *, block: int = 4000) -> DataFrame:
     """(key, front): 1 for non-dominated eligible rows, then peeled; others NULL.  Larger is better.
 
-    Equal points are collapsed first.  While more than ``tail`` distinct points remain, fronts are peeled
-    with distributed eliminations; a remainder of checked size is finished in one bounded task.
+    Equal points are collapsed and put in the order of falling sums, in which nothing dominates an
+    earlier point; points of one sum share a block.  Blocks of that order are ranked one after another: a block meets every earlier
+    block in a task of its own (two blocks in memory at most), a point's front is one more than the
+    largest front among its dominators, and the block's own points are settled in one more task.
     """
+    from proofmill.operators.ranking import ranked_values
+
     names = list(objectives)
     ok = None
     for c in names:
@@ -208,23 +178,32 @@ def pareto_ranks(df: DataFrame, key: str, objectives, eligible: str | None = Non
         ok = t if ok is None else ok & t
     if eligible:
         ok = ok & F.coalesce(F.col(eligible), F.lit(False))
-    src = df.select(key, ok.alias("__ok"), *[F.col(c).cast("double").alias(c) for c in names])
+    src = df.select(key, ok.alias("__ok"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in names])
     pts = cut_lineage(src.where("__ok").select(*names).distinct())
-    parts, rank, left = [], 1, pts.count()
-    while left > tail:
-        f = cut_lineage(_front(pts, names, block))
-        parts.append(f.withColumn("front", F.lit(rank)))
-        pts = cut_lineage(pts.join(f, names, "left_anti"))
-        rank, left = rank + 1, pts.count()
-    if left:
-        start = rank
-
-        def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pdf[names].assign(front=_all_fronts(pdf[names].to_numpy(float)) + (start - 1))
-
-        schema = ", ".join(f"`{c}` double" for c in names) + ", front int"
-        parts.append(pts.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(finish, schema))
-    ranks = parts[0] if parts else pts.withColumn("front", F.lit(1))
-    for p in parts[1:]:
-        ranks = ranks.unionByName(p)
+    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    placed = pts.withColumn("__s", F.negate(total))
+    place = ranked_values(placed, "__s").select("__s", F.expr(f"cast(n_before div {int(block)} as int)").alias("__block"))
+    placed = cut_lineage(placed.join(place, "__s").select(*names, "__block"))
+    fields = ", ".join(f"`{c}` double" for c in names)
+
+    def against(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        best = _beaten_by(left[names].to_numpy(float), right[names].to_numpy(float), right["front"].to_numpy("int64"))
+        return left[names].assign(front=best)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[names].assign(front=_ranks_inside(pdf[names].to_numpy(float), pdf["front"].to_numpy("int64")), __block=pdf["__block"])
+
+    done, before = None, []
+    for (b,) in placed.select("__block").distinct().orderBy("__block").collect():
+        now = placed.where(F.col("__block") == b)
+        if done is None:
+            started = now.withColumn("front", F.lit(0).cast("long"))
+        else:
+            copies = now.select(*names, F.explode(F.array(*map(F.lit, before))).alias("__block"))
+            met = copies.groupBy("__block").cogroup(done.groupBy("__block")).applyInPandas(against, f"{fields}, front long")
+            started = met.groupBy(*names).agg(F.max("front").alias("front")).withColumn("__block", F.lit(b))
+        ranked = cut_lineage(started.select(*names, "front", "__block").groupBy("__block").applyInPandas(inside, f"{fields}, front long, __block int"))
+        done = ranked if done is None else done.unionByName(ranked)
+        before.append(b)
+    ranks = pts.limit(0).withColumn("front", F.lit(1)) if done is None else done.select(*names, F.col("front").cast("int").alias("front"))
     return src.join(ranks.withColumn("__ok", F.lit(True)), [*names, "__ok"], "left").select(key, "front")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import text as T
 from proofmill.functions import values as V
-from proofmill.functions.classify import Rule, classify, classify_struct, first_pattern, first_term, relevance
+from proofmill.functions.classify import Rule, any_listed, classify, classify_struct, first_pattern, first_term, first_verdict
 from proofmill.operators import aggregate as A
 from proofmill.operators import gates as G
 from proofmill.plans.registry import VIEWS, query
@@ -170,17 +170,22 @@ def target_relevance(t):
     d = t.part
     decision = F.when(F.col("p_size") == 1, "include").when(F.col("p_size") == 2, "rejected").when(F.col("p_size") == 3, "pending")
     name = F.when(F.col("p_name").contains("ring") | (F.col("p_type") == "ECONOMY"), F.col("p_name"))
-    v = relevance(
-        name,
-        F.replace("p_brand", F.lit("#"), F.lit(";")),
-        "p_type",
-        ids=("7",),
-        name_pattern=r"ring|promo",
-        off_pattern=r"standard",
-        decision=decision,
+    named, text = F.coalesce(F.lower(name), F.lit("")), F.lower("p_type")
+    target = r"ring|promo"
+    v = first_verdict(
+        [
+            (decision == "include", ("manual_include", True, "included by review")),
+            (decision == "rejected", ("manual_exclude", False, "excluded by review")),
+            (decision == "pending", ("manual_review", False, "review required")),
+            (any_listed(F.replace("p_brand", F.lit("#"), F.lit(";")), ("7",)), ("confirmed_accession", True, "target accession present")),
+            (named.rlike(target), ("confirmed_target_name", True, "target name present")),
+            ((named != "") | (~text.rlike(target) & text.rlike("standard")), ("off_target", False, "")),
+            (text.rlike(target), ("text_supported", True, "text names the target")),
+            (None, ("unresolved", False, "no target evidence")),
+        ],
+        ("status", "relevant", "reason"),
     )
     d = d.select(v.alias("v")).select("v.*")
-    d = d.withColumn("reason", F.when(F.col("status") == "off_target", "").otherwise(F.col("reason")))
     return d.groupBy("status", "relevant", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 

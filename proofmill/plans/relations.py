@@ -10,6 +10,8 @@ from proofmill.operators import graph as G
 from proofmill.operators import joins as J
 from proofmill.operators import pairs as PR
 from proofmill.operators import priority as PI
+from proofmill.plans import policy as PO
+from proofmill.session import cut_lineage
 from proofmill.operators import selection as SE
 from proofmill.operators import similarity as SI
 from proofmill.plans.aggregates import rounded
@@ -397,20 +399,38 @@ def external_reference_coverage(t):
 DOCS = """select doc_id, list_sort(list_distinct(list_filter(string_split_regex(trim(lower(text)),'\\s+'), lambda w: w<>''))) as toks, n_chars from documents"""
 VIEWS["docs"] = DOCS
 VIEWS["sets"] = "select toks, min(doc_id) as rep, count(*) as copies, len(toks) as n from @docs where len(toks)>0 group by toks"
-VIEWS["simpairs"] = """
-select id_a, id_b, ov/(na+nb-ov) as similarity from (select a.rep as id_a, b.rep as id_b, count(*) as ov, any_value(a.n) as na, any_value(b.n) as nb
- from (select rep, n, unnest(toks) as tok from @sets) a join (select rep, n, unnest(toks) as tok from @sets) b on a.tok=b.tok and a.rep<b.rep group by 1,2)
+# pairs of rows, copies included; an empty set is like nothing
+VIEWS["rowpairs"] = """
+select id_a, id_b, ov/(na+nb-ov) as similarity from (select a.doc_id as id_a, b.doc_id as id_b, count(*) as ov, any_value(a.n) as na, any_value(b.n) as nb
+ from (select doc_id, len(toks) as n, unnest(toks) as tok from @docs) a join (select doc_id, len(toks) as n, unnest(toks) as tok from @docs) b on a.tok=b.tok and a.doc_id<b.doc_id group by 1,2)
+ where ov/(na+nb-ov)>=0.65
 """
+VIEWS["docreps"] = "select doc_id, case when len(toks)=0 then doc_id else min(doc_id) over (partition by toks) end as rep, case when len(toks)=0 then 1 else count(*) over (partition by toks) end as copies from @docs"
 
 
 def doc_sets(t):
     return FT.word_set(t.documents.select("doc_id", "text", "n_chars"), "text", "tokens").drop("text")
 
 
-@query("similarity_pairs", "select id_a, id_b, round(similarity,6) as similarity from @simpairs where similarity>=0.65")
+def doc_pairs(t):
+    """(pairs of classes at 0.65, membership), both stored: every query below reads them several times."""
+    if "doc_pairs" not in t.__dict__:
+        p, m = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
+        t.__dict__["doc_pairs"] = (cut_lineage(p), cut_lineage(m))
+    return t.__dict__["doc_pairs"]
+
+
+@query("similarity_pairs", """
+select least(x.rep,y.rep) as id_a, greatest(x.rep,y.rep) as id_b, round(any_value(similarity),6) as similarity, any_value(case when x.rep<=y.rep then x.copies else y.copies end) as copies_a, any_value(case when x.rep<=y.rep then y.copies else x.copies end) as copies_b, count(*) as n_pairs
+ from @rowpairs join @docreps x on x.doc_id=id_a join @docreps y on y.doc_id=id_b group by 1,2
+""")
 def similarity_pairs(t):
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
-    return rounded(p)
+    return rounded(SI.class_pairs(*doc_pairs(t), "doc_id"))
+
+
+@query("similarity_links", "select doc_id, rep, copies, count(b) as n_links from @docreps left join (select id_a as a, id_b as b from @rowpairs union all select id_b, id_a from @rowpairs) on a=doc_id group by 1,2,3")
+def similarity_links(t):
+    return SI.row_links(*doc_pairs(t), t.documents, "doc_id")
 
 
 @query("copy_groups", "select rep, copies from @sets where copies>1")
@@ -420,32 +440,33 @@ def copy_groups(t):
 
 
 @query("activity_cliffs", """
-select id_a, id_b, round(similarity,6) as similarity, abs(a.n_chars-b.n_chars)::double as delta, case when a.n_chars>=b.n_chars then id_a else id_b end as higher_id, round(case when similarity<0.999 then abs(a.n_chars-b.n_chars)/(1-similarity) end,4) as steepness, similarity>=1.0 as identical_set
-from @simpairs join documents a on a.doc_id=id_a join documents b on b.doc_id=id_b where similarity>=0.65 and abs(a.n_chars-b.n_chars)>=20
+with v as (select d.doc_id, n_chars, min(d.doc_id) over (partition by rep, n_chars) as cell from documents d join @docreps r on r.doc_id=d.doc_id)
+select least(x.cell,y.cell) as id_a, greatest(x.cell,y.cell) as id_b, round(any_value(similarity),6) as similarity, any_value(abs(x.n_chars-y.n_chars))::double as delta, any_value(case when x.n_chars>y.n_chars then x.cell when x.n_chars<y.n_chars then y.cell else least(x.cell,y.cell) end) as higher_id,
+ round(any_value(case when similarity<0.999 then abs(x.n_chars-y.n_chars)/(1-similarity) end),4) as steepness, any_value(similarity>=1.0) as identical_set, count(*) as n_pairs
+ from @rowpairs join v x on x.doc_id=id_a join v y on y.doc_id=id_b where abs(x.n_chars-y.n_chars)>=20 group by 1,2
 """)
 def activity_cliffs(t):
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
-    c = PR.cliffs(p, t.documents, "doc_id", "n_chars", 20)
-    return c.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), "delta", "higher_id", F.round("steepness", 4).alias("steepness"), "identical_set")
+    p, m = doc_pairs(t)
+    c = PR.cliffs(p, m, t.documents, "doc_id", "n_chars", 20)
+    return c.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), "delta", "higher_id", F.round("steepness", 4).alias("steepness"), "identical_set", "n_pairs")
 
 
 @query("split_topology", """
-select count(*) as n_pairs, round(max(similarity),6) as max_similarity, count_if(similarity>=0.8) as n_over_80, count_if(similarity>=0.7) as n_over_70 from @simpairs join documents a on a.doc_id=id_a join documents b on b.doc_id=id_b where similarity>=0.65 and a.source<>b.source
+select count(*) as n_pairs, round(max(similarity),6) as max_similarity, count_if(similarity>=0.8) as n_over_80, count_if(similarity>=0.7) as n_over_70 from @rowpairs join documents a on a.doc_id=id_a join documents b on b.doc_id=id_b where a.source<>b.source
 """)
 def split_topology(t):
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
-    g = t.documents.select("doc_id", "source")
-    j = p.join(g.select(F.col("doc_id").alias("id_a"), F.col("source").alias("ga")), "id_a").join(g.select(F.col("doc_id").alias("id_b"), F.col("source").alias("gb")), "id_b")
-    s = F.col("similarity")
-    return j.where("ga <> gb").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.round(F.max(s), 6).alias("max_similarity"), F.count_if(s >= 0.8 - 1e-12).alias("n_over_80"), F.count_if(s >= 0.7 - 1e-12).alias("n_over_70")
-    )
+    p, m = doc_pairs(t)
+    j = SI.cross_group(p, m, t.documents, "doc_id", "source")
+    s, n = F.col("similarity"), F.col("n_pairs")
+    over = lambda x: F.coalesce(F.sum(F.when(s >= x - 1e-12, n)), F.lit(0))
+    return j.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_pairs"), F.round(F.max(s), 6).alias("max_similarity"), over(0.8).alias("n_over_80"), over(0.7).alias("n_over_70"))
 
 
 NN_SQL = """
 with q as (select doc_id, n_chars, unnest(toks) as tok, len(toks) as n from @docs where doc_id%5=0), r as (select doc_id, unnest(toks) as tok, len(toks) as n from @docs where doc_id%5<>0),
 o as (select q.doc_id, r.doc_id as neighbor, count(*)/(any_value(q.n)+any_value(r.n)-count(*)) as similarity from q join r on q.tok=r.tok group by 1,2),
-k as (select *, row_number() over (partition by doc_id order by round(similarity,12) desc, neighbor) as rk from o)
+o0 as (select d.doc_id, neighbor, coalesce(similarity,0.0) as similarity from (select doc_id from documents where doc_id%5=0) d left join o using (doc_id)),
+k as (select *, row_number() over (partition by doc_id order by round(similarity,12) desc, neighbor) as rk from o0)
 """
 
 
@@ -470,61 +491,96 @@ def neighbor_vote(t):
     return v.select("doc_id", F.round("prediction", 4).alias("prediction"), F.round("max_similarity", 6).alias("max_similarity"), "n_neighbors")
 
 
-@query("applicability_domain")
+LOO_SQL = """
+with s as (select doc_id, unnest(toks) as tok, len(toks) as n from @docs where {}),
+o as (select q.doc_id, r.doc_id as neighbor, count(*)/(any_value(q.n)+any_value(r.n)-count(*)) as similarity from s q join s r on q.tok=r.tok and q.doc_id<>r.doc_id group by 1,2),
+loo as (select d.doc_id, neighbor, coalesce(similarity,0.0) as similarity from (select doc_id from documents where {}) d left join (select *, row_number() over (partition by doc_id order by round(similarity,12) desc, neighbor) as rk from o) x on x.doc_id=d.doc_id and rk=1)
+"""
+
+
+@query("nearest_neighbor_self", LOO_SQL.format("doc_id%5=0", "doc_id%5=0") + "select doc_id, neighbor, round(similarity,6) as similarity from loo")
+def nearest_neighbor_self(t):
+    """Leave-one-out: the nearest other row of the same table."""
+    q, _ = doc_split(t)
+    return SI.top_neighbors(q, q, "doc_id", "tokens", k=1, exclude_self=True).select("doc_id", "neighbor", F.round("similarity", 6).alias("similarity"))
+
+
+@query("applicability_domain", LOO_SQL.format("doc_id%5<>0", "doc_id%5<>0") + NN_SQL.strip().replace("with q as", ", q as").replace("\no as", "\no1 as").replace("left join o using", "left join o1 using") + """,
+h as (select quantile_cont(similarity, 0.05) as threshold from loo where similarity>0)
+select doc_id, round(similarity,6) as similarity, round(threshold,6) as threshold, similarity>=threshold as inside from k, h where rk=1
+""")
 def applicability_domain(t):
     q, r = doc_split(t)
-    fit, cal = r.where("doc_id % 2 = 0"), r.where("doc_id % 2 = 1")
-    a = SI.top_neighbors(cal, fit, "doc_id", "tokens", k=1)
-    b = SI.top_neighbors(q, fit, "doc_id", "tokens", k=1)
-    return rounded(SI.applicability(a, b, "doc_id", 0.05))
+    own = SI.top_neighbors(r, r, "doc_id", "tokens", k=1, exclude_self=True)
+    near = SI.top_neighbors(q, r, "doc_id", "tokens", k=1)
+    return rounded(SI.applicability(own, near, "doc_id", 0.05))
+
+
+def doc_components(t, at):
+    """(doc_id, component) over all rows at one threshold."""
+    p, m = doc_pairs(t)
+    nodes = m.select(F.col("rep").alias("doc_id")).distinct()
+    c = G.connected_components(nodes, p.where(F.col("similarity") >= at - 1e-12), "doc_id")
+    return SI.over_rows(c, m, t.documents, "doc_id", "component")
+
+
+WALK = """
+e as materialized (select id_a, id_b, similarity from @rowpairs), b as (select id_a as x, id_b as y, similarity as s from e union all select id_b, id_a, similarity from e)
+"""
 
 
-@query("similarity_components", """
-with recursive e as materialized (select id_a, id_b from @simpairs where similarity>=0.65), b as (select id_a as x, id_b as y from e union all select id_b, id_a from e),
-walk(x, l) as (select rep, rep from @sets union select b.y, w.l from walk w join b on b.x=w.x) select x as doc_id, min(l) as component from walk group by 1
+@query("similarity_components", f"""
+with recursive {WALK}, walk(x, l) as (select doc_id, doc_id from documents union select b.y, w.l from walk w join b on b.x=w.x) select x as doc_id, min(l) as component from walk group by 1
 """)
 def similarity_components(t):
-    sets, _ = SI.collapse_copies(doc_sets(t), "doc_id", "tokens")
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
-    return G.connected_components(sets.select(F.col("rep").alias("doc_id")), p, "doc_id")
+    return doc_components(t, 0.65)
 
 
-@query("component_topology")
+@query("component_topology", f"""
+with recursive {WALK}, h(threshold) as (values (0.65::double),(0.8::double),(0.9::double)),
+walk(t, x, l) as (select threshold, doc_id, doc_id from documents, h union select w.t, b.y, w.l from walk w join b on b.x=w.x and b.s>=w.t),
+c as (select t, component, count(*) as n from (select t, x, min(l) as component from walk group by 1,2) group by 1,2)
+select t as threshold, count(*) as n_components, round(sum(n)*sum(n)/sum(n*n),6) as effective_components, max(n) as largest_component, count_if(n=1) as singletons from c group by 1
+""")
 def component_topology(t):
     """Components over a ladder of thresholds; one similarity join at the lowest feeds them all."""
-    from proofmill.session import cut_lineage
-
-    sets, _ = SI.collapse_copies(doc_sets(t), "doc_id", "tokens")
-    nodes = cut_lineage(sets.select(F.col("rep").alias("doc_id")))
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
-    p = cut_lineage(p)
     out = None
-    for th in (0.65, 0.8, 0.9):
-        c = G.connected_components(nodes, p.where(F.col("similarity") >= th), "doc_id")
-        row = G.component_topology(c).withColumn("threshold", F.lit(th))
+    for at in (0.65, 0.8, 0.9):
+        row = G.component_topology(doc_components(t, at)).withColumn("threshold", F.lit(at))
         out = row if out is None else out.unionByName(row)
     return rounded(out)
 
 
-@query("leader_clusters")
-def leader_clusters(t):
-    from proofmill.session import cut_lineage
+GREEDY = """
+adj as materialized (select x, list(y) as ys from b group by 1), ordered as materialized (select o.*, coalesce(ys, []) as ys from o left join adj on x=doc_id),
+g(i, kept) as (select 0::bigint, []::bigint[] union all select i+1, case when list_has_any(kept, ys) then kept else list_append(kept, doc_id) end from g join ordered on place=i+1),
+lead as (select unnest(kept) as doc_id from (select kept from g order by i desc limit 1))
+"""
 
-    sets, _ = SI.collapse_copies(doc_sets(t), "doc_id", "tokens")
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
-    p = cut_lineage(p)
-    c = cut_lineage(G.leader_clusters(sets.select(F.col("rep").alias("doc_id")), p, "doc_id"))
-    return G.cluster_summary(c, p, "doc_id")
 
+@query("leader_clusters", f"""
+with recursive {WALK}, deg as (select doc_id, count(y) as n from documents left join b on x=doc_id group by 1), o as (select doc_id, row_number() over (order by n desc, doc_id) as place from deg), {GREEDY},
+own as (select o.doc_id, coalesce(max(l0.doc_id), arg_min(l.doc_id, p.place)) as leader from o left join lead l0 on l0.doc_id=o.doc_id left join b on b.x=o.doc_id left join lead l on l.doc_id=b.y left join o p on p.doc_id=l.doc_id group by 1),
+tot as (select u.doc_id, u.leader, round(coalesce(sum(case when v.leader=u.leader then b.s end),0),9) as s from own u left join b on b.x=u.doc_id left join own v on v.doc_id=b.y group by 1,2)
+select leader, count(*) as cluster_size, arg_min(doc_id, (-s, doc_id)) as medoid, 'CLU-'||upper(substr(sha256(count(*)||chr(0)||sum(('0x'||substr(sha256(doc_id::varchar),1,12))::bigint)::varchar),1,16)) as cluster_id from tot group by 1
+""")
+def leader_clusters(t):
+    p, m = doc_pairs(t)
+    nodes = m.where("doc_id = rep").select("doc_id", "copies")
+    c = cut_lineage(G.leader_clusters(nodes, p, "doc_id"))
+    return G.cluster_summary(c, p, m, t.documents, "doc_id")
 
-@query("diverse_ranking")
+
+@query("diverse_ranking", f"""
+with recursive {WALK}, o as (select doc_id, row_number() over (order by len(toks) desc, doc_id) as place from @docs), {GREEDY} select doc_id from lead
+""")
 def diverse_ranking(t):
-    """Walk documents by falling length, skipping any too similar to a kept one."""
+    """Walk documents by falling length, skipping any too similar to a kept one; of copies the first is met first."""
     from proofmill.operators.ranking import total_order
 
-    p, _ = SI.similarity_pairs(doc_sets(t), "doc_id", "tokens", 0.65)
-    sets, _ = SI.collapse_copies(doc_sets(t), "doc_id", "tokens")
-    n = sets.select(F.col("rep").alias("doc_id"), F.size("tokens").alias("n"))
+    p, m = doc_pairs(t)
+    d = doc_sets(t)
+    n = d.join(m, "doc_id", "left").where("rep is null or rep = doc_id").select("doc_id", F.size("tokens").alias("n"))
     n = total_order(n, "n", "doc_id", "place")
     return G.greedy_independent(n, p, "doc_id", "place")
 
@@ -582,6 +638,14 @@ def items(t):
     )
 
 
+def desired(t):
+    return PI.desirabilities(items(t), PO.GOALS, PO.LABELS)
+
+
+def prioritized(t):
+    return PI.prioritize(items(t), PO.GOALS, labels=PO.LABELS, scores=PO.SCORES, gates=PO.GATES, tiers=PO.TIERS, otherwise=PO.LAST_TIER)
+
+
 VIEWS["prior"] = """
 select *, (potency_d*0.35+quality_d*0.15+property_d*0.15+evidence_d*0.10)/0.75 as score_without_safety, potency_d*0.35+quality_d*0.15+property_d*0.15+evidence_d*0.10+safety_d*0.25 as complete_score,
  not invalid and not heterogeneous and potency>=7 and spread<=1 and violations<=1 as evidence_gate from (select *,
@@ -596,30 +660,30 @@ TIER = "case when evidence_gate and status in ('observed_clear','predicted_lower
 select p_partkey, status, {TIER} as tier, round(score_without_safety,6) as score_without_safety, round(complete_score,6) as complete_score, evidence_gate from @prior
 """)
 def prioritization(t):
-    return rounded(PI.prioritize(items(t), "p_partkey").select("p_partkey", "status", "tier", "score_without_safety", "complete_score", "evidence_gate"))
+    return rounded(prioritized(t).select("p_partkey", "status", "tier", "score_without_safety", "complete_score", "evidence_gate"))
 
 
 @query("score_trace", """
 select p_partkey, objective, round(d,6) as desirability, weight::double as weight, d is not null as included, round(d*weight,6) as contribution from @prior, lateral (select unnest([{'objective':'potency','d':potency_d,'weight':0.35},{'objective':'quality','d':quality_d,'weight':0.15},{'objective':'property','d':property_d,'weight':0.15},{'objective':'evidence','d':evidence_d,'weight':0.10},{'objective':'safety','d':safety_d,'weight':0.25}], recursive := true))
 """)
 def score_trace(t):
-    return rounded(PI.score_trace(PI.desirabilities(items(t)), "p_partkey"))
+    return rounded(PI.score_trace(desired(t), "p_partkey", PO.WEIGHTS))
 
 
 @query("data_gaps", """
 select p_partkey, array_to_string(list_sort(g),';') as data_gaps, len(g)::bigint as n_data_gaps from (select p_partkey, list_filter([case when status like 'unknown%' then status end, case when n_exact<2 then 'no_replicated_measurement' end, case when n_sources<2 then 'single_source' end, case when violations>0 then 'property_review' end], lambda x: x is not null) as g from @prior)
 """)
 def data_gaps(t):
-    return PI.data_gaps(PI.desirabilities(items(t)), "p_partkey")
+    return PI.data_gaps(desired(t), "p_partkey", PO.GAPS)
 
 
-SCEN = {**{"base_complete": {}}, **{f"leave_out_{n}": {n: 0.0} for n in PI.WEIGHTS}, **{f"emphasize_{n}": {n: PI.WEIGHTS[n] * 2} for n in PI.WEIGHTS}}
+SCEN = {**{"base_complete": {}}, **{f"leave_out_{n}": {n: 0.0} for n in PO.WEIGHTS}, **{f"emphasize_{n}": {n: PO.WEIGHTS[n] * 2} for n in PO.WEIGHTS}}
 
 
 def _scen_sql():
     out = []
     for name, ch in SCEN.items():
-        w = {**PI.WEIGHTS, **ch}
+        w = {**PO.WEIGHTS, **ch}
         act = [n for n in w if w[n] > 0]
         tot = sum(w[n] for n in act)
         s = "(" + "+".join(f"{n}_d*{w[n]!r}::double" for n in act) + f")/{tot!r}::double"
@@ -631,8 +695,8 @@ def _scen_sql():
 select p_partkey, count(*) as n_scenarios, min(rank) as rank_min, median(rank) as rank_median, max(rank) as rank_max, max(rank)-min(rank) as rank_span from (select *, row_number() over (partition by scenario order by score desc, p_partkey) as rank from ({_scen_sql()})) group by 1
 """)
 def rank_sensitivity(t):
-    d = PI.desirabilities(items(t))
-    return PI.rank_stability(PI.scenario_ranks(d, "p_partkey"), "p_partkey")
+    d = desired(t)
+    return PI.rank_stability(PI.scenario_ranks(d, "p_partkey", PO.WEIGHTS), "p_partkey")
 
 
 @query("pareto_fronts", """
@@ -640,7 +704,7 @@ with recursive p as materialized (select p_partkey, round(potency_d,4) as a, rou
 r(id, k) as (select p_partkey, 1 from p union select d.loser, r.k+1 from r join dom d on d.winner=r.id) select p.p_partkey, m.k::int as front from part p left join (select id, max(k) as k from r group by 1) m on m.id=p.p_partkey where p.p_partkey in (select p_partkey from @items)
 """)
 def pareto_fronts(t):
-    d = PI.desirabilities(items(t)).withColumn("ok", ~F.col("invalid"))
+    d = desired(t).withColumn("ok", ~F.col("invalid"))
     d = d.select("p_partkey", "ok", *[F.round(f"{c}_d", 4).alias(c) for c in ("potency", "quality", "property")])
     return G.pareto_ranks(d, "p_partkey", ["potency", "quality", "property"], "ok")
 
@@ -675,7 +739,7 @@ def priority_ranking(t):
 
 @query("quota_selection")
 def quota_selection(t):
-    d = PI.prioritize(items(t), "p_partkey").withColumn("s", F.round("score_without_safety", 9))
+    d = prioritized(t).withColumn("s", F.round("score_without_safety", 9))
     cats = [
         ("safety_gap", F.col("tier") == "priority_2_safety_gap", [F.desc("s"), F.col("p_partkey")], 12),
         ("liability", F.col("tier") == "priority_3_liability", [F.desc("s"), F.col("p_partkey")], 8),

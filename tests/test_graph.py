@@ -35,6 +35,28 @@ def test_similarity_pairs_exact(sets, t):
     pairs, member = SI.similarity_pairs(df, "id", "tokens", t, block=7)
     assert {(r.id_a, r.id_b) for r in pairs.collect()} == want
     assert member.count() == len(base)
+    # copies: every pair of rows is counted, and no row loses a link
+    linked = [(i, j) for i, j in itertools.combinations(range(len(base)), 2) if jac(base[i], base[j]) >= t - 1e-12]
+    classes = SI.class_pairs(pairs, member, "id").collect()
+    assert sum(r.n_pairs for r in classes) == len(linked)
+    degree = {i: 0 for i in range(len(base))}
+    for i, j in linked:
+        degree[i] += 1
+        degree[j] += 1
+    assert {r.id: r.n_links for r in SI.row_links(pairs, member, df, "id").collect()} == degree
+    groups = df.withColumn("g", F.col("id") % 3)
+    crossed = SI.cross_group(pairs, member, groups, "id", "g").agg(F.sum("n_pairs")).first()[0]
+    assert (crossed or 0) == sum((i - j) % 3 != 0 for i, j in linked)
+    values = df.withColumn("v", F.col("id") % 5)
+    cliffs = PR.cliffs(pairs, member, values, "id", "v", 2).collect()
+    assert sum(r.n_pairs for r in cliffs) == sum(abs(i % 5 - j % 5) >= 2 for i, j in linked)
+
+
+def test_one_text_in_a_third_of_the_rows_makes_no_row_pairs(spark):
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, array('a','b'), array(concat('x', id), concat('y', id))) as tokens")
+    pairs, member = SI.similarity_pairs(df, "id", "tokens", 0.6)
+    assert SI.class_pairs(pairs, member, "id").collect()[0].n_pairs == 1000 * 999 // 2
+    assert SI.row_links(pairs, member, df, "id").agg(F.sum("n_links")).first()[0] == 1000 * 999
 
 
 def test_top_neighbors_exact(sets):
@@ -46,13 +68,26 @@ def test_top_neighbors_exact(sets):
             got.setdefault(x.id, []).append((x.rank, x.neighbor, round(x.similarity, 9)))
         for i in range(0, len(base), 3):
             order = sorted(((-jac(base[i], base[j]), j) for j in range(len(base)) if j % 3 and base[i] & base[j]))[:k]
-            have = sorted(got.get(i, []))
+            have = sorted(got[i], key=lambda x: x[0])
+            if not order:
+                assert have == [(1, None, 0.0)]
+                continue
             assert [round(-s, 9) for s, _ in order] == [s for _, _, s in have]
             if k == 1 and order:
                 tied = min(j for s, j in order)
                 assert have[0][1] == tied
 
 
+def test_leave_one_out_never_finds_the_row_itself(sets):
+    base, df = sets
+    got = {}
+    for x in SI.top_neighbors(df, df, "id", "tokens", k=2, exclude_self=True).collect():
+        got.setdefault(x.id, []).append((x.rank, x.neighbor, round(x.similarity, 9)))
+    for i in range(len(base)):
+        order = sorted((-round(jac(base[i], base[j]), 9), j) for j in range(len(base)) if j != i and base[i] & base[j])[:2]
+        assert sorted(got[i], key=lambda x: x[0]) == [(n + 1, j, -s) for n, (s, j) in enumerate(order)]
+
+
 def test_split_pairs_covers_hot_group(spark):
     df = spark.createDataFrame([("h", i) for i in range(50)] + [("x", 100), ("x", 101)], "k string, id int")
     p = SI.split_pairs(df, ["k"], "id", block=8)
@@ -93,8 +128,8 @@ def test_greedy_matching(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("tail", [10, 100000])
-def test_pareto(spark, tail):
+@pytest.mark.parametrize("block", [7, 4000])
+def test_pareto(spark, block):
     rng = np.random.default_rng(4)
     x = np.round(rng.random((60, 2)), 1)
     df = spark.createDataFrame([(i, float(a), float(b), i % 9 != 0) for i, (a, b) in enumerate(x)], "id int, a double, b double, ok boolean")
@@ -105,17 +140,17 @@ def test_pareto(spark, tail):
         want.update({i: k for i in f})
         left -= f
         k += 1
-    got = {r.id: r.front for r in G.pareto_ranks(df, "id", ["a", "b"], "ok", block=5, tail=tail).collect()}
+    got = {r.id: r.front for r in G.pareto_ranks(df, "id", ["a", "b"], "ok", block=block).collect()}
     assert got == {i: want.get(i) for i in range(60)}
 
 
 def test_leader_clusters(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (3, 4, 0.8)], "id_a int, id_b int, similarity double")
-    nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "id int")
+    nodes = spark.createDataFrame([(i, 1) for i in range(1, 6)], "id int, copies int")
     c = {r.id: r.leader for r in G.leader_clusters(nodes, pairs, "id").collect()}
     assert c == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
-    s = {r.leader: (r.cluster_size, r.medoid) for r in G.cluster_summary(spark.createDataFrame(list(c.items()), "id int, leader int"), pairs, "id").collect()}
-    assert s[1] == (3, 1)
+    s = {r.leader: (r.cluster_size, r.medoid) for r in G.cluster_summary(spark.createDataFrame(list(c.items()), "id int, leader int"), pairs, nodes.selectExpr("id", "id as rep", "copies"), nodes.union(spark.createDataFrame([(9, 1)], nodes.schema)), "id").collect()}
+    assert s[1] == (3, 1) and s[9] == (1, 9)
 
 
 def test_rules_match_pair_table(spark):
