@@ -43,14 +43,13 @@ def join_flags(flags: Column) -> Column:
     return F.concat_ws(";", F.array_sort(F.array_distinct(F.array_compact(flags))))
 
 
-def join_set(c, limit: int | None = 20) -> Column:
+def join_set(c) -> Column:
     """Aggregate: sorted distinct non-blank values, ``;``-joined.
 
     Meant for columns with a fixed vocabulary (sources, relations, endpoints).  For open
-    vocabularies use :func:`proofmill.operators.aggregate.joined_uniques`, whose state is bounded.
+    vocabularies use :func:`proofmill.operators.aggregate.joined_uniques`.
     """
-    values = F.array_sort(F.collect_set(blank_to_null(c)))
-    return F.concat_ws(";", F.slice(values, 1, limit) if limit else values)
+    return F.concat_ws(";", F.array_sort(F.collect_set(blank_to_null(c))))
 
 
 def split_trim(c, pattern: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.functions.text import blank_to_null
@@ -15,12 +15,12 @@ CLASS_CUTS = (100, 1000, 10000)
 CLASS_NAMES = ("class_1_le_100", "class_2_le_1000", "class_3_le_10000", "class_4_gt_10000")
 
 
-def joined_uniques(df: DataFrame, keys, columns: dict, limit: int | None = 20) -> DataFrame:
+def joined_uniques(df: DataFrame, keys, columns: dict) -> DataFrame:
     """Sorted distinct non-blank values per key for several columns, ``;``-joined, one shuffle.
 
-    ``columns`` maps output name to input column.  Distinct happens map-side, and the per-key rank
-    limit is applied before the shuffle, so a key with millions of distinct values ships at most
-    ``limit`` of them per task.  ``limit=None`` keeps all values.
+    ``columns`` maps output name to input column.  Repeats are removed map-side; the lists are whole,
+    so a row is as long as its key has distinct values (use the distinct (key, value) rows where that
+    is not bounded).
     """
     keys = list(keys)
     fields = F.array(
@@ -28,9 +28,6 @@ def joined_uniques(df: DataFrame, keys, columns: dict, limit: int | None = 20) -
     )
     long = df.select(*keys, F.explode(fields).alias("x")).select(*keys, "x.f", "x.v")
     long = long.where(F.col("v").isNotNull()).distinct()
-    if limit is not None:
-        w = Window.partitionBy(*keys, "f").orderBy("v")
-        long = long.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
     one = long.groupBy(*keys).agg(
         *[
             F.concat_ws(";", F.array_sort(F.collect_list(F.when(F.col("f") == n, F.col("v"))))).alias(n)
@@ -113,7 +110,7 @@ def aggregate_subjects(
             "endpoints": F.concat_ws(";", "__endpoints"),
             "families": F.concat_ws(";", "__familys"),
             "n_families": n_families,
-            "years": F.concat_ws(";", F.slice("__yrs", 1, 20)),
+            "years": F.concat_ws(";", "__yrs"),
             "spread": spread,
             "is_heterogeneous": (spread > spread_threshold) | (n_families > 1),
             "semantics": F.when(F.col("n_exact") == F.col("n_measurements"), "exact_point_estimate")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions.values import normal_cdf
 from proofmill.operators.ranking import benjamini_hochberg, group_quantiles, null_safe_join, ranked_values
+from proofmill.session import cut_lineage
 
 
 def stack(df: DataFrame, keys, name: str, value: str, columns) -> DataFrame:
@@ -17,10 +18,11 @@ def stack(df: DataFrame, keys, name: str, value: str, columns) -> DataFrame:
     return df.select(*keys, F.explode(items).alias("x")).select(*keys, f"x.{name}", f"x.{value}")
 
 
-def closure(df: DataFrame, study: str, *, tolerance: float = 0.05) -> DataFrame:
+def closure(df: DataFrame, study: str, *, tolerance: float = 0.05, points: float = 5.0) -> DataFrame:
     """Recompute clearance = dose/AUC and availability = 100 * dose-corrected AUC ratio per study.
 
-    Expects columns arm ('iv'/'po'), dose, auc, reported_cl, reported_f.
+    Expects columns arm ('iv'/'po'), dose, auc, reported_cl, reported_f.  Clearance closes within the
+    relative ``tolerance``, availability within absolute percentage ``points``.
     """
     iv, po = F.col("arm") == "iv", F.col("arm") == "po"
     g = df.groupBy(study).agg(
@@ -34,12 +36,12 @@ def closure(df: DataFrame, study: str, *, tolerance: float = 0.05) -> DataFrame:
     cl = F.col("iv_dose") / F.nullif(F.col("iv_auc"), F.lit(0.0))
     av = 100.0 * F.col("po_auc") * F.col("iv_dose") / F.nullif(F.col("iv_auc") * F.col("po_dose"), F.lit(0.0))
     g = g.withColumns({"cl": cl, "availability": av})
-    err_cl = F.abs(F.col("reported_cl") - F.col("cl")) / F.abs(F.col("cl"))
-    err_f = F.abs(F.col("reported_f") - F.col("availability")) / F.abs(F.col("availability"))
-    g = g.withColumns({"cl_relative_error": err_cl, "f_relative_error": err_f})
-    worst = F.greatest("cl_relative_error", "f_relative_error")
+    err_cl = F.abs(F.col("reported_cl") - F.col("cl")) / F.greatest(F.abs(F.col("cl")), F.lit(1e-12))
+    err_f = F.abs(F.col("reported_f") - F.col("availability"))
+    g = g.withColumns({"cl_relative_error": err_cl, "f_error_points": err_f})
+    worst = F.greatest(F.col("cl_relative_error") / tolerance, F.col("f_error_points") / points)
     return g.withColumn(
-        "status", F.when(worst.isNull(), "not_computable").when(worst <= tolerance, "closed").otherwise("open")
+        "status", F.when(worst.isNull(), "not_computable").when(worst <= 1, "closed").otherwise("open")
     )
 
 
@@ -152,21 +154,22 @@ def boltzmann(df: DataFrame, keys, energy: str, kt: float, out: str = "weight")
     return null_safe_join(d, total, keys).withColumn(out, F.col("__b") / F.col("__z")).drop("__e0", "__b", "__z")
 
 
-def batch_offsets(df: DataFrame, value: str, factors, prior: float = 8.0) -> DataFrame:
+def batch_offsets(df: DataFrame, value: str, subject: str, priors: dict) -> DataFrame:
     """Remove shrunken mean residuals factor by factor; adds ``corrected`` and ``total_offset``.
 
-    The grand mean is a one-row aggregate read once; each factor's table has one row per level.
+    Residuals are taken from the subject's median, so differences between subjects never enter an
+    offset.  ``priors``: factor -> prior weight, in the order of removal; a missing level is a level
+    of its own.  All levels come from one stored table of sums per factor combination.
     """
-    grand = df.agg(F.avg(value)).first()[0]
-    d = df.withColumn("__r", F.col(value) - F.lit(float(grand or 0.0))).withColumn("total_offset", F.lit(0.0))
+    factors = list(priors)
+    centre = group_quantiles(df, value, {"__c": 0.5}, [subject])
+    d = null_safe_join(df, centre, [subject], "left").withColumn("__r", F.col(value) - F.col("__c")).drop("__c")
+    cells = cut_lineage(d.groupBy(*factors).agg(F.sum("__r").alias("__s"), F.count("__r").alias("__n"))).withColumn("__o", F.lit(0.0))
     for f in factors:
-        lv = d.groupBy(f).agg(F.avg("__r").alias("__m"), F.count("__r").alias("__n"))
-        lv = lv.select(f, (F.col("__m") * F.col("__n") / (F.col("__n") + F.lit(prior))).alias("__o"))
-        d = null_safe_join(d, lv, [f], "left")
-        d = d.withColumns(
-            {"__r": F.col("__r") - F.col("__o"), "total_offset": F.col("total_offset") + F.col("__o")}
-        ).drop("__o")
-    return d.withColumn("corrected", F.col(value) - F.col("total_offset")).drop("__r")
+        lv = cells.groupBy(f).agg((F.sum(F.col("__s") - F.col("__o") * F.col("__n")) / (F.sum("__n") + F.lit(float(priors[f])))).alias("__f"))
+        cells = cut_lineage(null_safe_join(cells, lv, [f]).withColumn("__o", F.col("__o") + F.coalesce("__f", F.lit(0.0))).drop("__f"))
+    out = null_safe_join(d, cells.select(*factors, F.col("__o").alias("total_offset")), factors)
+    return out.withColumn("corrected", F.col(value) - F.col("total_offset")).drop("__r")
 
 
 def feature_qc(df: DataFrame, columns, train: str) -> DataFrame:

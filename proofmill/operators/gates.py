@@ -188,7 +188,8 @@ def link_mirrors(
     """Link observations repeated across sources; same-source replicates are never collapsed.
 
     Only eligible rows count: a quarantined preferred record suppresses nothing.  State per group
-    is two minima, one maximum and a set drawn from the fixed source list.
+    is two minima, one maximum and the distinct sources; sources that share the best rank (all
+    unlisted ones rank last) are named together.
     """
     rank = F.coalesce(
         V.lookup(F.lower(clean(source)), {s: i for i, s in enumerate(priority)}), F.lit(99)
@@ -199,9 +200,11 @@ def link_mirrors(
         F.min(source).alias("__lo"),
         F.max(source).alias("__hi"),
         F.min("__prio").alias("__best"),
-        F.min_by(source, F.col("__prio")).alias("__pref"),
+        F.collect_set(F.struct(F.col("__prio").alias("p"), F.col(source).alias("s"))).alias("__seen"),
     )
-    group = group.where(F.col("__lo") < F.col("__hi")).drop("__lo", "__hi")
+    best = F.filter("__seen", lambda x: x["p"] == F.col("__best"))
+    pref = F.concat_ws(";", F.array_sort(F.transform(best, lambda x: x["s"])))
+    group = group.where(F.col("__lo") < F.col("__hi")).withColumn("__pref", pref).drop("__lo", "__hi", "__seen")
     out = null_safe_join(work, group, list(keys), "left")
     cand = ok & F.col("__best").isNotNull() & F.col("p_value").isNotNull()
     return out.withColumns(

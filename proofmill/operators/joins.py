@@ -172,3 +172,14 @@ def apply_rules(parents: DataFrame, rules: DataFrame, visited: DataFrame, *, per
     fresh = best.join(visited.select("product").distinct(), "product", "left_anti")
     rn = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("support"), "product"))
     return fresh.withColumn("rank", rn).where(F.col("rank") <= per_parent)
+
+
+def unique_pivot(df: DataFrame, key: str, name: str, value: str, names) -> DataFrame:
+    """One column per name; two values for one key and name are an error, never silently merged."""
+
+    def only(n):
+        here = F.col(name) == n
+        many = F.raise_error(F.concat(F.lit(f"several values of {n} for "), F.col(key).cast("string")))
+        return F.when(F.count_if(here) > 1, many).otherwise(F.max(F.when(here, F.col(value)))).alias(n)
+
+    return df.groupBy(key).agg(*[only(n) for n in names])

@@ -38,7 +38,7 @@ def cut_points(df: DataFrame, value: str, ranges: int = RANGES, error: float = 0
 
 def with_range(df: DataFrame, value: str, cuts, out: str) -> DataFrame:
     """Attach the index of the half-open range a double falls in (a binary search in the JVM)."""
-    cuts = sorted(set(float(c) for c in cuts))
+    cuts = sorted({float(c) for c in cuts if abs(float(c)) < float("inf")})
     if not cuts:
         return df.withColumn(out, F.lit(0))
     edges = [float("-inf"), *cuts, float("inf")]

@@ -121,7 +121,7 @@ def maximin(df: DataFrame, key: str, vec: str, k: int, *, mandatory=(), stratum:
             pool = pool.where(~F.col(stratum).isin(*done)) if done else pool
         score = F.coalesce(F.col("__d"), _distance(vec, dim_zero))
         best = pool.agg(
-            F.max_by(F.struct(*work.columns[:-1]), F.struct(F.round(score, 9), F.negate(key))).alias("b")
+            F.min_by(F.struct(*work.columns[:-1]), F.struct(F.negate(F.round(score, 9)), F.col(key))).alias("b")
         ).first().b
         if best is None:
             break
@@ -150,7 +150,7 @@ def d_optimal(df: DataFrame, key: str, vec: str, k: int, ridge: float = 1.0) ->
     while len(chosen) < k:
         pool = work.where(~F.col(key).isin(*chosen)) if chosen else work
         gain = F.round(information_gain(vec, inv), 9)
-        best = pool.agg(F.max_by(F.struct(key, vec), F.struct(gain, F.negate(key))).alias("b")).first().b
+        best = pool.agg(F.min_by(F.struct(key, vec), F.struct(F.negate(gain), F.col(key))).alias("b")).first().b
         if best is None:
             break
         chosen.append(best[key])

@@ -92,13 +92,13 @@ def split_audit(df: DataFrame, group: str, role: str = "role") -> DataFrame:
 
 
 def table_digest(df: DataFrame, columns) -> DataFrame:
-    """Order-free digest: count plus four 60-bit modular sums of row hashes."""
+    """Order-free digest: count plus four sums of 32-bit words of row hashes, exact to 38 digits."""
     h = F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
     d = df.select(h.alias("h"))
     parts = []
     for i in range(4):
-        v = F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long")
-        parts.append(F.sum(v).alias(f"s{i}"))
+        v = F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")
+        parts.append(F.sum(v).cast("string").alias(f"s{i}"))
     return d.agg(F.count(F.lit(1)).alias("n_rows"), *parts).select(
         "n_rows", F.sha2(F.concat_ws(":", F.col("n_rows"), *[F.col(f"s{i}") for i in range(4)]), 256).alias("digest")
     )

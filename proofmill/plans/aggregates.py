@@ -141,13 +141,13 @@ with g as (select l_orderkey, max(case when l_linenumber=1 then l_quantity end)
  max(case when l_linenumber=2 then l_quantity end) as po_dose, max(case when l_linenumber=2 then l_extendedprice end) as po_auc,
  max(case when l_linenumber=1 then round(l_quantity/l_extendedprice,4) end) as rc, max(case when l_linenumber=2 then l_tax*1000 end) as rf from lineitem where l_linenumber<=2 group by 1),
 h as (select *, iv_dose/iv_auc as cl, 100.0*po_auc*iv_dose/(iv_auc*po_dose) as av from g),
-k as (select *, abs(rc-cl)/abs(cl) as ec, abs(rf-av)/abs(av) as ef from h)
-select l_orderkey, round(cl+1e-9,6) as cl, round(av+1e-9,6) as availability, round(ec+1e-9,6) as cl_relative_error, round(ef+1e-9,6) as f_relative_error,
- case when ec is null and ef is null then 'not_computable' when greatest(ec,ef)<=0.05 then 'closed' else 'open' end as status from k
+k as (select *, abs(rc-cl)/greatest(abs(cl),1e-12) as ec, abs(rf-av) as ef from h)
+select l_orderkey, round(cl+1e-9,6) as cl, round(av+1e-9,6) as availability, round(ec+1e-9,6) as cl_relative_error, round(ef+1e-9,6) as f_error_points,
+ case when ec is null and ef is null then 'not_computable' when greatest(ec/0.05,ef/5.0)<=1 then 'closed' else 'open' end as status from k
 """)
 def exposure_closure(t):
     d = E.closure(studies(t), "l_orderkey")
-    return rounded(d.select("l_orderkey", "cl", "availability", "cl_relative_error", "f_relative_error", "status"), nudge=1e-9)
+    return rounded(d.select("l_orderkey", "cl", "availability", "cl_relative_error", "f_error_points", "status"), nudge=1e-9)
 
 
 @query("derived_interval_views", """
@@ -275,14 +275,15 @@ def boltzmann_weights(t):
 
 
 @query("batch_offsets", """
-with a as (select row_id, observed, stratum, fold, grp, observed-(select avg(observed) from @predictions) as r0 from @predictions),
-b as (select *, r0-avg(r0) over (partition by stratum)*count(*) over (partition by stratum)/(count(*) over (partition by stratum)+8.0) as r1 from a),
-c as (select *, r1-avg(r1) over (partition by fold)*count(*) over (partition by fold)/(count(*) over (partition by fold)+8.0) as r2 from b),
-d as (select *, r2-avg(r2) over (partition by grp)*count(*) over (partition by grp)/(count(*) over (partition by grp)+8.0) as r3 from c)
+with a as (select row_id, observed, stratum, fold, grp, observed-median(observed) over (partition by subject) as r0 from @predictions),
+b as (select *, r0-sum(r0) over (partition by stratum)/(count(*) over (partition by stratum)+35.0) as r1 from a),
+c as (select *, r1-sum(r1) over (partition by fold)/(count(*) over (partition by fold)+45.0) as r2 from b),
+d as (select *, r2-sum(r2) over (partition by grp)/(count(*) over (partition by grp)+50.0) as r3 from c)
 select row_id, round(r0-r3,6) as total_offset, round(observed-(r0-r3),6) as corrected from d
 """)
 def batch_offsets(t):
-    return E.batch_offsets(t.predictions, "observed", ["stratum", "fold", "grp"]).select("row_id", *rnd("total_offset", "corrected"))
+    d = E.batch_offsets(t.predictions, "observed", "subject", {"stratum": 35.0, "fold": 45.0, "grp": 50.0})
+    return d.select("row_id", *rnd("total_offset", "corrected"))
 
 
 @query("feature_qc", """
@@ -313,10 +314,10 @@ def alias_conflicts(t):
 
 
 @query("alias_lists", """
-select subject_id, array_to_string(list_sort(list(distinct document_id))[1:20],';') as documents, array_to_string(list_sort(list(distinct unit) filter (where unit<>'')),';') as units from @raw group by 1
+select subject_id, array_to_string(list_sort(list(distinct document_id)),';') as documents, array_to_string(list_sort(list(distinct unit) filter (where unit<>'')),';') as units from @raw group by 1
 """)
 def alias_lists(t):
-    d = A.joined_uniques(t.raw, ["subject_id"], {"documents": "document_id", "units": "unit"}, limit=20)
+    d = A.joined_uniques(t.raw, ["subject_id"], {"documents": "document_id", "units": "unit"})
     return d
 
 

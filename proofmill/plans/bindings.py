@@ -28,17 +28,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        self.__dict__[name] = df = self._spread(df)
-        return df
-
-    def _spread(self, df: DataFrame) -> DataFrame:
-        """Use all cores on a table stored as too few splits; larger tables are left as they are."""
-        cores = self.spark.sparkContext.defaultParallelism
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        want = min(cores, size // (1 << 20))
-        if want > 1 and df.rdd.getNumPartitions() < want:
-            return df.repartition(want)
+        self.__dict__[name] = df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return df
 
     @cached_property

@@ -351,7 +351,7 @@ def split_audit(t):
 
 
 @query("split_digest", """
-select n_rows, sha256(n_rows||':'||s0||':'||s1||':'||s2||':'||s3) as digest from (select count(*) as n_rows, sum(('0x'||substr(h,1,8))::bigint)::bigint as s0, sum(('0x'||substr(h,9,8))::bigint)::bigint as s1, sum(('0x'||substr(h,17,8))::bigint)::bigint as s2, sum(('0x'||substr(h,25,8))::bigint)::bigint as s3
+select n_rows, sha256(n_rows||':'||s0||':'||s1||':'||s2||':'||s3) as digest from (select count(*) as n_rows, sum(('0x'||substr(h,1,8))::bigint) as s0, sum(('0x'||substr(h,9,8))::bigint) as s1, sum(('0x'||substr(h,17,8))::bigint) as s2, sum(('0x'||substr(h,25,8))::bigint) as s3
  from (select sha256(l_orderkey||chr(0)||l_partkey||chr(0)||l_returnflag) as h from lineitem))
 """)
 def split_digest(t):

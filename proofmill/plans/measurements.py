@@ -404,7 +404,7 @@ select {by}, count(*) as n_source_rows, count_if(is_mirror_redundant) as n_mirro
  string_agg(distinct case when k then endpoint end, ';' order by case when k then endpoint end) as endpoints,
  string_agg(distinct case when k then family end, ';' order by case when k then family end) as families,
  count(distinct case when k then family end) as n_families,
- array_to_string(list_sort(list(distinct case when k then yr::varchar end) filter (where k))[1:20],';') as years
+ array_to_string(list_sort(list(distinct case when k then yr::varchar end) filter (where k)),';') as years
 from (select *, not is_mirror_redundant as k from ({src})) group by {by} having count_if(k)>0
 """
 SUBJECT_FINAL = """

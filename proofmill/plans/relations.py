@@ -156,7 +156,7 @@ from (select l_partkey, l_returnflag, max(l_quantity) as q from lineitem group b
 """)
 def metric_pivot(t):
     g = t.lineitem.groupBy("l_partkey", "l_returnflag").agg(F.max("l_quantity").alias("q"))
-    p = g.groupBy("l_partkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.max("q"))
+    p = J.unique_pivot(g, "l_partkey", "l_returnflag", "q", ["A", "N", "R"])
     need = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in "ANR"]))
     return p.select("l_partkey", *[F.col(c).alias(f"{c.lower()}_value") for c in "ANR"], F.concat_ws(";", need).alias("required_data"))
 
