@@ -6,6 +6,8 @@ penalty and feature subset is then solved from those sums, and predictions are c
 
 from __future__ import annotations
 
+from functools import reduce
+
 import math
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -338,13 +340,22 @@ def classifier_out_of_fold(df: DataFrame, label: str, fold: str, folds, candidat
     return out
 
 
-def sigmoid_calibration(df: DataFrame, label: str, score: str, out: str = "calibrated") -> tuple[DataFrame, tuple[float, float]]:
-    """One-feature logistic fit on the logit of out-of-fold scores."""
-    p = F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6))
-    d = df.withColumn("__logit", F.log(p / (1 - p)))
-    m = LogisticRegression(featuresCol="__f", labelCol=label, maxIter=50).fit(assemble(d, ["__logit"], "__f"))
+def sigmoid_calibration(train: DataFrame, df: DataFrame, label: str, score: str, out: str = "calibrated") -> DataFrame:
+    """``df`` with its scores calibrated by a one-feature logistic fit on the logits of ``train``."""
+
+    def logit(d):
+        p = F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6))
+        return d.withColumn("__logit", F.log(p / (1 - p)))
+
+    m = LogisticRegression(featuresCol="__f", labelCol=label, maxIter=50).fit(assemble(logit(train), ["__logit"], "__f"))
     a, b = float(m.coefficients[0]), float(m.intercept)
-    return d.withColumn(out, 1 / (1 + F.exp(-(F.lit(a) * F.col("__logit") + F.lit(b))))).drop("__logit"), (a, b)
+    return logit(df).withColumn(out, 1 / (1 + F.exp(-(F.lit(a) * F.col("__logit") + F.lit(b))))).drop("__logit")
+
+
+def cross_calibrated(df: DataFrame, label: str, score: str, fold: str, folds, out: str = "calibrated") -> DataFrame:
+    """Every row calibrated by a fit on the rows of the other folds."""
+    parts = [sigmoid_calibration(df.where(F.col(fold) != f), df.where(F.col(fold) == f), label, score, out) for f in folds]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def score_bands(score: str) -> Column:
@@ -357,12 +368,24 @@ def entropy(score: str) -> Column:
     return -(p * F.log2(p) + (1 - p) * F.log2(1 - p))
 
 
-def cluster_groups(df: DataFrame, key: str, vec: str, k: int, seed: int = 13) -> DataFrame:
-    """(key, cluster) by k-means on an array column."""
+def cluster_groups(df: DataFrame, key: str, vec: str, k: int | None = None, seed: int = 13) -> DataFrame:
+    """(key, cluster) by k-means on an array column; k defaults to the root of the row count, from 3 to 64."""
+    if k is None:
+        n = df.count()
+        k = max(1, min(n - 1, max(3, min(64, round(n**0.5)))))
     v = df.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     return KMeans(k=k, seed=seed, maxIter=20).fit(v).transform(v).select(key, F.col("prediction").alias("cluster"))
 
 
+def cluster_holdout(groups: DataFrame, key: str, test_share: float = 0.2) -> DataFrame:
+    """(key, cluster, role): whole clusters go to the test side, in hash order, while they fit into its share."""
+    sizes = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))  # at most k rows
+    order = Window.orderBy(F.md5(F.col("cluster").cast("string")))
+    sizes = sizes.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    sizes = sizes.select("cluster", F.when(F.col("upto") <= F.greatest(F.col("all") * test_share, F.min("n").over(Window.partitionBy())), "test").otherwise("train").alias("role"))
+    return groups.join(F.broadcast(sizes), "cluster").select(key, "cluster", "role")
+
+
 def residual_clusters(df: DataFrame, key: str, columns, k: int, seed: int = 13) -> DataFrame:
     """Median imputation, scaling, then k-means over residual profiles."""
     imp = Imputer(strategy="median", inputCols=list(columns), outputCols=[f"__i_{c}" for c in columns])
@@ -377,11 +400,11 @@ def residual_clusters(df: DataFrame, key: str, columns, k: int, seed: int = 13)
     return pipe.fit(df).transform(df).select(key, F.col("prediction").alias("cluster"))
 
 
-def hybrid_features(df: DataFrame, vec: str, components: int, clusters: int, seed: int = 13) -> DataFrame:
-    """Principal components plus distances to k-means centres, as one ``features`` vector."""
-    v = df.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
-    p = PCA(k=components, inputCol="__v", outputCol="__pca").fit(v).transform(v)
-    km = KMeans(k=clusters, seed=seed, featuresCol="__v", predictionCol="__c", maxIter=20).fit(v)
+def hybrid_features(train: DataFrame, df: DataFrame, vec: str, components: int, clusters: int, seed: int = 13) -> DataFrame:
+    """``df`` with principal components and distances to k-means centres as ``features``, both fitted on ``train`` only."""
+    fit, d = (x.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>"))) for x in (train, df))
+    p = PCA(k=components, inputCol="__v", outputCol="__pca").fit(fit).transform(d)
+    km = KMeans(k=clusters, seed=seed, featuresCol="__v", predictionCol="__c", maxIter=20).fit(fit)
     x = vector_to_array("__v")
     dist = []
     for c in km.clusterCenters():
@@ -390,6 +413,17 @@ def hybrid_features(df: DataFrame, vec: str, components: int, clusters: int, see
     return p.withColumn("features", array_to_vector(F.concat(vector_to_array("__pca"), F.array(*dist)))).drop("__v", "__pca")
 
 
+def hybrid_out_of_fold(df: DataFrame, vec: str, label: str, fold: str, folds, components: int, clusters: int, **params) -> DataFrame:
+    """Out-of-fold logistic scores on hybrid features; nothing is fitted on the fold that is scored."""
+    parts = []
+    for f in folds:
+        train = df.where(F.col(fold) != f)
+        h = hybrid_features(train, df, vec, components, clusters)
+        m = LogisticRegression(featuresCol="features", labelCol=label, **params).fit(h.where(F.col(fold) != f))
+        parts.append(m.transform(h.where(F.col(fold) == f)).withColumn("score", vector_to_array("probability")[1]).select(*[c for c in df.columns if c != vec], "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stack_experts(df: DataFrame, experts, target: str, fold: str, alpha: float = 1.0) -> DataFrame:
     """Non-negative, fold-wise ridge over out-of-fold expert predictions."""
     s = moment_sums(df, experts, target, fold)

@@ -110,7 +110,7 @@ def seed_stability(t):
 
 @query("forest_regression")
 def forest_regression(t):
-    p = MD.forest_out_of_fold(table(t), FEATURES, "y", "fold", range(2), trees=10, depth=5)
+    p = MD.forest_out_of_fold(table(t), FEATURES, "y", "fold", range(5), trees=10, depth=5)
     e = F.col("y") - F.col("predicted")
     return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
@@ -137,14 +137,14 @@ def classifier_selection(t):
 
 @query("calibrated_scores")
 def calibrated_scores(t):
-    d, _ = MD.sigmoid_calibration(t.scores.withColumn("label", F.col("label").cast("double")), "label", "score")
+    d = t.scores.withColumns({"label": F.col("label").cast("double"), "fold": F.col("doc_id") % 3})
+    d = MD.cross_calibrated(d, "label", "score", "fold", range(3))
     return d.select("doc_id", "calibrated", MD.entropy("calibrated").alias("entropy"), MD.score_bands("calibrated").alias("band"))
 
 
 @query("cluster_split")
 def cluster_split(t):
-    c = MD.cluster_groups(t.embeddings, "vec_id", "embedding", 8)
-    return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return MD.cluster_holdout(MD.cluster_groups(t.embeddings, "vec_id", "embedding"), "vec_id")
 
 
 @query("residual_clusters")
@@ -152,16 +152,16 @@ def residual_clusters(t):
     e = F.log10("l_extendedprice") - F.log10(F.col("l_quantity") * 3000)
     w = t.lineitem.groupBy("l_partkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.avg(e))
     c = MD.residual_clusters(w, "l_partkey", ["A", "N", "R"], 4)
-    return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    means = [F.avg(x).alias(f"mean_{x.lower()}") for x in "ANR"]
+    return c.join(w, "l_partkey").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *means)
 
 
 @query("hybrid_classifier")
 def hybrid_classifier(t):
     from proofmill.operators.metrics import classification_metrics
 
-    h = MD.hybrid_features(t.embeddings, "embedding", 8, 6)
-    h = h.select("vec_id", (F.col("label") < 5).cast("double").alias("label"), (F.col("vec_id") % 2).cast("int").alias("fold"), "features")
-    p = MD.classifier_out_of_fold(h, "label", "fold", range(2), {"logistic": ("logistic", {"regParam": 0.01, "maxIter": 30})})
+    h = t.embeddings.select("vec_id", (F.col("label") < 5).cast("double").alias("label"), (F.col("vec_id") % 2).cast("int").alias("fold"), "embedding")
+    p = MD.hybrid_out_of_fold(h, "embedding", "label", "fold", range(2), 8, 6, regParam=0.01, maxIter=30).withColumn("candidate", F.lit("logistic"))
     return classification_metrics(p, "label", "score", keys=["candidate"]).select("candidate", "n", "roc_auc", "brier")
 
 

@@ -41,3 +41,25 @@ def test_train_only_standardisation(spark):
     d = spark.createDataFrame([(1.0, True), (3.0, True), (None, True), (100.0, False)], "v double, tr boolean")
     got = [r.v_std for r in MD.standardize_by_train(d, ["v"], "tr").collect()]
     assert got == [-1.0, 1.0, 0.0, 98.0]
+
+
+def test_calibration_and_hybrid_never_see_the_scored_fold(spark):
+    r = np.random.default_rng(3)
+    y = r.integers(0, 2, 300)
+    pdf = pd.DataFrame({"id": np.arange(300), "label": y.astype(float), "score": np.clip(0.3 * y + r.random(300) * 0.6, 0.01, 0.99), "fold": np.arange(300) % 3})
+    df = spark.createDataFrame(pdf)
+    got = MD.cross_calibrated(df, "label", "score", "fold", range(3)).toPandas().set_index("id").calibrated
+    pdf.loc[pdf.fold == 0, "label"] = 1 - pdf.label[pdf.fold == 0]  # other labels in fold 0 leave its own scores alone
+    again = MD.cross_calibrated(spark.createDataFrame(pdf), "label", "score", "fold", range(3)).toPandas().set_index("id").calibrated
+    zero = pdf.id[pdf.fold == 0]
+    np.testing.assert_allclose(got[zero], again[zero], atol=1e-6)
+    assert not np.allclose(got.drop(zero), again.drop(zero), atol=1e-3)
+
+
+def test_cluster_holdout_keeps_clusters_whole(spark):
+    r = np.random.default_rng(5)
+    v = [(int(i), [float(x) for x in r.normal(size=3) + 8 * (i % 5)]) for i in range(200)]
+    g = MD.cluster_groups(spark.createDataFrame(v, "id int, v array<double>"), "id", "v")
+    s = MD.cluster_holdout(g, "id").toPandas()
+    assert len(s) == 200 and s.groupby("cluster").role.nunique().max() == 1 and set(s.role) == {"train", "test"}
+    assert g.select("cluster").distinct().count() <= 14
