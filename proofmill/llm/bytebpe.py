@@ -9,8 +9,9 @@ anything, and lets an edit be followed only until the stored tokens agree with t
 from __future__ import annotations
 
 import base64
+import struct
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from proofmill.llm.arrowtext import chunks, utf8
 
 NONE = 1 << 62
-CACHE = 400_000
+CACHE, LONG = 400_000, 64
 PIECES = 200_000
 
 
@@ -32,14 +33,15 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.tails: dict[bytes, list[int]] = {}
-        for b in ranks:
-            if len(b) > 1:
-                self.tails.setdefault(b[-2:], []).append(len(b))
-        self.tails = {t: sorted(set(n), reverse=True) for t, n in self.tails.items()}
+        self.backward: dict = {}  # byte -> {byte before it -> ...}; a token that starts here is under None
+        for b, rank in ranks.items():
+            node = self.backward
+            for byte in reversed(b):
+                node = node.setdefault(byte, {})
+            node[None] = rank
         self._spines: dict[tuple[int, bool], tuple[int, ...]] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge completes ``token``; None for a single byte."""
@@ -66,7 +68,7 @@ class Vocabulary:
         Both sides are replayed from their outer bytes in rank order; a join across the border wins
         against a later merge of the left side and against an equal or later one of the right side.
         """
-        known = self._stable.get((a, b))
+        known = self._stable.get(a << 32 | b)
         if known is None:
             x, y = self.spine(a, True), self.spine(b, False)
             i, j, known = len(x) - 1, len(y) - 1, True
@@ -84,10 +86,47 @@ class Vocabulary:
                     j -= 1
             if len(self._stable) > 2 * CACHE:
                 self._stable.clear()
-            self._stable[a, b] = known
+            self._stable[a << 32 | b] = known
         return known
 
 
+def extend(vocabulary: Vocabulary, data: bytes, last: list[int], first: int, end: int) -> None:
+    """Add the last tokens of the prefixes of ``first`` to ``end`` bytes to those of all shorter ones.
+
+    Tokens that end at a prefix are found by walking its bytes backwards; the longest that forms a
+    stable pair with the last token of the rest is the only valid one.
+    """
+    tree, stable, known = vocabulary.backward, vocabulary.stable, vocabulary._stable.get
+    for at in range(first, end + 1):
+        node, i, found = tree, at, []
+        while i:
+            node = node.get(data[i - 1])
+            if node is None:
+                break
+            i -= 1
+            if None in node:
+                found.append((i, node[None]))
+        for start, token in reversed(found):
+            if not start:
+                break
+            before = last[start]
+            ok = known(before << 32 | token)
+            if ok is None:
+                ok = stable(before, token)
+            if ok:
+                break
+        last.append(token)
+
+
+def walk(vocabulary: Vocabulary, last: list[int], end: int) -> list[int]:
+    """The tokens of the first ``end`` bytes, read from the last one backwards."""
+    out = []
+    while end:
+        out.append(last[end])
+        end -= len(vocabulary.bytes[out[-1]])
+    return out[::-1]
+
+
 class PrefixTable:
     """The last token of every prefix of one piece of bytes."""
 
@@ -95,22 +134,11 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _token(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        if end > 1:
-            for n in v.tails.get(data[end - 2 : end], ()):
-                if n <= end:
-                    t = v.ranks.get(data[end - n : end])
-                    if t is not None and (n == end or v.stable(last[end - n], t)):
-                        return t
-        return v.ranks[data[end - 1 : end]]
-
     def append(self, more: bytes) -> PrefixTable:
         """Only the new prefixes are looked at."""
         start = len(self.data)
         self.data += more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._token(end))
+        extend(self.vocabulary, self.data, self.last, start + 1, len(self.data))
         return self
 
     def replace(self, start: int, end: int, new: bytes) -> int:
@@ -124,8 +152,8 @@ class PrefixTable:
         self.last = old[: start + 1]
         agree, done = 0, 0
         for at in range(start + 1, len(self.data) + 1):
-            token = self._token(at)
-            self.last.append(token)
+            extend(self.vocabulary, self.data, self.last, at, at)
+            token = self.last[at]
             done += 1
             before = at - shift
             agree = agree + 1 if before > end and old[before] == token else 0
@@ -136,11 +164,7 @@ class PrefixTable:
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes."""
-        end, out = len(self.data) if end is None else end, []
-        while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.bytes[out[-1]])
-        return out[::-1]
+        return walk(self.vocabulary, self.last, len(self.data) if end is None else end)
 
 
 @lru_cache(maxsize=4)
@@ -156,16 +180,35 @@ class _Packed(dict):
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
 
+    def _pack(self, last: list[int]) -> bytes:
+        tokens = walk(self.vocabulary, last, len(last) - 1)
+        return struct.pack(f"<{len(tokens)}I", *tokens)
+
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        rank = self.vocabulary.ranks.get(data)
-        ids = np.array([rank] if rank is not None else PrefixTable(self.vocabulary, data).tokens(), "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(data) <= 64:
+        data, last = piece.encode(), [-1]
+        extend(self.vocabulary, data, last, 1, len(data))
+        ids = self._pack(last)
+        if len(data) <= LONG:
             self[piece] = ids
         return ids
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the new pieces in sorted order: each starts from the prefix that it shares with the one before."""
+        if len(self) + len(pieces) > CACHE:
+            self.clear()
+        last, before = [-1], b""
+        for data, piece in sorted((p.encode(), p) for p in pieces.difference(self)):
+            if len(data) > LONG:
+                continue
+            same = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :]
+            extend(self.vocabulary, data, last, same + 1, len(data))
+            self[piece], before = self._pack(last), data
+
 
 @lru_cache(maxsize=4)
 def _packed(path: str) -> _Packed:
@@ -176,18 +219,24 @@ def _encode(path: str, pattern: str):
     def run(batches):
         cache, split = _packed(path), regex.compile(pattern)
 
-        def ids(text: str) -> bytes:
-            if len(text) < PIECES:
-                return b"".join(map(cache.__getitem__, split.findall(text)))
+        def long(text: str) -> bytes:
             pieces, parts = (m.group() for m in split.finditer(text)), []
             while block := list(islice(pieces, PIECES)):
+                cache.learn(set(block))
                 parts.append(b"".join(map(cache.__getitem__, block)))
             return b"".join(parts)
 
+        def every(texts: list[str]) -> list[bytes]:
+            if len(texts) == 1:
+                return [long(texts[0])]
+            pieces = [split.findall(t) for t in texts]
+            cache.learn(set(chain.from_iterable(pieces)))
+            return [b"".join(map(cache.__getitem__, p)) for p in pieces]
+
         for batch in batches:
             _, off, _ = utf8(batch.column(1))
             for lo, hi in chunks(off):
-                out = [ids(t or "") for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                out = every([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return run
