@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality", "modelling")
+MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality", "modelling", "storage")
 
 
 def load():

@@ -20,24 +20,34 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) ->
         raise
 
 
-def read_inband_csv(spark: SparkSession, path: str, columns, *, tag: str, unit_row: str = "RESULT_UNIT", prefix: str = "RESULT_", allowed=None) -> DataFrame:
-    """Multi-file CSV whose first data rows carry metadata.
-
-    Rows whose ``tag`` column starts with ``prefix`` are headers; the unit row gives per-file units, kept as
-    a ``units`` map (column -> unit, absent when the file has none).  ``file_id`` is the digits of the name.
+def read_inband_csv(
+    spark: SparkSession, path, columns=None, *, tag: str, unit_row: str = "RESULT_UNIT", prefix: str = "RESULT_", allowed=None, file_pattern: str = r"(\d+)", id_from: str = "file_name"
+) -> DataFrame:
+    """Multi-file CSV whose files have their own headers and metadata rows; columns are united by name.
+
+    Each file's header is the row whose first field is ``tag``.  Rows whose first field starts with
+    ``prefix`` carry metadata; the unit row gives per-file units, kept as a ``units`` map (column ->
+    unit, absent when the file has none).  ``columns`` defaults to all names found, in order; a column
+    that a file lacks is null.  ``file_id`` is the first group of ``file_pattern`` in the file's name or path.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).options(header=True, enforceSchema=False).csv(path)
-    raw = raw.withColumn("file_id", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1))
+    heads = spark.read.text(path).where(F.col("value").startswith(tag))
+    width = heads.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    fields = [f"_c{i}" for i in range(width)]
+    raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in fields])).csv(path, header=False)
+    raw = raw.select("_c0", F.array(*fields).alias("values"), F.col("_metadata.file_path").alias("__file"), F.regexp_extract(F.col(f"_metadata.{id_from}"), file_pattern, 1).alias("file_id"))
     if allowed is not None:
         raw = raw.where(F.col("file_id").isin(*allowed))
-    head = F.coalesce(F.col(tag).startswith(prefix), F.lit(False))
-    units = raw.where(F.col(tag) == unit_row)
-    pairs = F.map_from_entries(
-        F.array_compact(F.array(*[F.when(F.trim(F.col(c)) != "", F.struct(F.lit(c), F.trim(F.col(c)))) for c in columns if c != tag]))
-    )
-    units = units.groupBy("file_id").agg(F.min_by(pairs, F.lit(0)).alias("units"))
-    return raw.where(~head).join(units, "file_id", "left")
+    names = raw.where(F.col("_c0") == tag).groupBy("__file").agg(F.first(F.array_compact("values")).alias("names"))
+    if columns is None:  # as many rows as there are column names
+        found = names.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
+        columns = [r["name"] for r in sorted(found.collect(), key=lambda r: (r["at"], r["name"]))]
+    rows = raw.where(F.coalesce(F.col("_c0"), F.lit("")) != tag).join(names, "__file")
+    rows = rows.withColumn("cells", F.map_from_arrays("names", F.slice("values", F.lit(1), F.size("names"))))
+    head = F.coalesce(F.col("_c0").startswith(prefix), F.lit(False))
+    units = rows.where(F.col("_c0") == unit_row).groupBy("__file").agg(F.first("cells").alias("cells"))
+    units = units.select("__file", F.map_filter(F.transform_values("cells", lambda _, v: F.trim(v)), lambda k, v: (v != "") & (k != tag)).alias("units"))
+    got = rows.where(~head).join(units, "__file", "left")
+    return got.select(*[F.col("cells")[c].alias(c) for c in columns], "file_id", "units")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -21,6 +21,12 @@ def test_inband_csv_units_and_missing_unit_row(spark, tmp_path):
     got = {r.file_id: (r.Value, (r.units or {}).get("Value")) for r in d.collect()}
     assert got == {"11": ("2.5", "uM"), "12": ("7", None)}
     assert TB.read_inband_csv(spark, str(tmp_path), ["TAG", "SID", "Value"], tag="TAG", allowed=["12"]).count() == 1
+    # another file with other columns: united by name
+    (tmp_path / "aid_13.csv").write_text('TAG,Other,SID\nRESULT_UNIT,nM,\n1,"a,b",8\n')
+    d = TB.read_inband_csv(spark, str(tmp_path), tag="TAG")
+    assert set(d.columns) == {"TAG", "SID", "Value", "Other", "file_id", "units"}
+    got = {r.file_id: (r.SID, r.Value, r.Other, r.units) for r in d.collect()}
+    assert got == {"11": ("5", "2.5", None, {"Value": "uM"}), "12": ("6", "7", None, None), "13": ("8", None, "a,b", {"Other": "nM"})}
 
 
 def test_missing_csv_is_empty_and_tsv_is_tagged(spark, tmp_path):
