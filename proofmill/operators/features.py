@@ -18,11 +18,11 @@ def interactions(df: DataFrame, terms) -> DataFrame:
 
 
 def hashed_ngrams(df: DataFrame, text: str, out: str = "bits", low: int = 2, high: int = 4, n_bits: int = 1024) -> DataFrame:
-    """Sorted distinct hashed character n-grams of the whole text (a binary fingerprint)."""
+    """Sorted distinct hashed character n-grams of the whole text (a binary fingerprint; MD5, so any engine gives the same bits)."""
     t = clean(text)
     # a zero-width look-ahead yields every overlapping n-gram in one linear scan of the text
     grams = [F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)]
-    bits = F.transform(F.concat(*grams), lambda g: F.pmod(F.xxhash64(g), F.lit(n_bits)).cast("int"))
+    bits = F.transform(F.concat(*grams), lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % n_bits).cast("int"))
     return df.withColumn(out, F.array_sort(F.array_distinct(bits)))
 
 

@@ -298,11 +298,11 @@ def feature_qc(t):
 
 @query("redundant_columns", """
 with m as (select corr(l_quantity,l_extendedprice) as a, corr(l_quantity,l_discount) as b, corr(l_quantity,l_tax) as c, corr(l_extendedprice,l_discount) as d, corr(l_extendedprice,l_tax) as e, corr(l_discount,l_tax) as f from lineitem)
-select 'l_quantity' as "left", 'l_extendedprice' as "right", round(a,6) as r from m union all select 'l_quantity','l_discount',round(b,6) from m union all select 'l_quantity','l_tax',round(c,6) from m
-union all select 'l_extendedprice','l_discount',round(d,6) from m union all select 'l_extendedprice','l_tax',round(e,6) from m union all select 'l_discount','l_tax',round(f,6) from m
+select * from (select 'l_quantity' as "left", 'l_extendedprice' as "right", round(a,6) as r from m union all select 'l_quantity','l_discount',round(b,6) from m union all select 'l_quantity','l_tax',round(c,6) from m
+union all select 'l_extendedprice','l_discount',round(d,6) from m union all select 'l_extendedprice','l_tax',round(e,6) from m union all select 'l_discount','l_tax',round(f,6) from m) where abs(r)>=0.005
 """)
 def redundant_columns(t):
-    return rounded(E.correlated_pairs(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    return rounded(E.correlated_pairs(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 0.005))
 
 
 @query("alias_conflicts", """

@@ -199,7 +199,10 @@ def transfer_permutation_test(t):
     return t.spark.createDataFrame([r], "baseline_rmse double, gain double, null_mean_gain double, p_value double, replicates long")
 
 
-@query("hashed_ngrams")
+@query("hashed_ngrams", """
+with g as (select doc_id, unnest(list_distinct(flatten(list_transform([2,3,4], lambda n: list_transform(range(1, length(t)-n+2), lambda i: substr(t,i,n)))))) as g from (select doc_id, trim(text) as t from documents))
+select d.doc_id, count(distinct ('0x'||substr(md5(g),1,8))::bigint%1024) as n_bits, sha256(coalesce(array_to_string(list_sort(list(distinct (('0x'||substr(md5(g),1,8))::bigint%1024)::int)),','),'')) as bits from documents d left join g using (doc_id) group by 1
+""")
 def hashed_ngrams(t):
     d = FT.hashed_ngrams(t.documents.select("doc_id", "text"), "text", "bits", 2, 4, 1024)
-    return d.select("doc_id", F.size("bits").alias("n_bits"))
+    return d.select("doc_id", F.size("bits").cast("long").alias("n_bits"), F.sha2(F.array_join(F.col("bits").cast("array<string>"), ","), 256).alias("bits"))

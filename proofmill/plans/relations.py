@@ -737,7 +737,14 @@ def priority_ranking(t):
     return d.select("p_partkey", *rnd("priority_score"))
 
 
-@query("quota_selection")
+@query("quota_selection", f"""
+with p as (select *, {TIER} as tier, round(score_without_safety,9) as s from @prior),
+c1 as (select p_partkey, series from (select *, row_number() over (partition by series order by s desc, p_partkey) as rn from p where tier='priority_2_safety_gap') where rn<=4 order by s desc, p_partkey limit 12),
+c2 as (select p_partkey, series from (select *, row_number() over (partition by series order by s desc, p_partkey) as rn from p where tier='priority_3_liability' and p_partkey not in (select p_partkey from c1)) left join (select series, count(*) as u from c1 group by 1) using (series) where rn+coalesce(u,0)<=4 order by s desc, p_partkey limit 8),
+b2 as (select * from c1 union all select * from c2),
+c3 as (select p_partkey, series from (select *, row_number() over (partition by series order by quality desc, p_partkey) as rn from p where potency<=5 and p_partkey not in (select p_partkey from b2)) left join (select series, count(*) as u from b2 group by 1) using (series) where rn+coalesce(u,0)<=4 order by quality desc, p_partkey limit 6)
+select *, 'safety_gap' as category, 0 as category_order from c1 union all select *, 'liability', 1 from c2 union all select *, 'negative_control', 2 from c3
+""")
 def quota_selection(t):
     d = prioritized(t).withColumn("s", F.round("score_without_safety", 9))
     cats = [
