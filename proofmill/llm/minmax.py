@@ -2,12 +2,16 @@
 
 One hash evaluation of a shingle under a permutation serves twice: the signature keeps the smallest
 and the largest value, both of which two sets share with probability equal to their Jaccard
-similarity.  Bands of ``rows`` values, half of them minima and half maxima, give candidate buckets.
-
-Equal sets are one *class*.  Inside a bucket, members are compared with one leader; after each
-round components are formed, and only buckets that still hold several components go on with another
-leader.  When few cross-component pairs are left they are all compared, so no linked pair that
-shares a bucket is lost and a group of n near copies costs about n comparisons, not n².
+similarity.  Bands of ``rows`` values, half of them minima and half maxima, give candidate buckets; one
+byte of each value is kept as a sketch that rules out unlike pairs before full sets are fetched.
+
+Equal sets are one *class*.  In each bucket the most central member (the one that shares most
+buckets) leads and is compared with the others; a group of near copies around one text costs one
+comparison a member and leader.  What is left goes through an exact prefix join inside the groups of
+one leader C: two linked sets A and B have |A ∩ B| >= t (|A| + |B|) / (1 + t)
+and |A ∩ B ∩ C| <= min(|A ∩ C|, |B ∩ C|), so either they share a token outside C, or their sizes alone
+leave the link open.  Both cases are joined by equality, so members that are alike but not linked
+are not paired with each other.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import SPACED, U64, chunks, mix, shingle_hashes, utf8, word_hashes, word_spans
-from proofmill.llm.common import stage
+from proofmill.llm.common import bit_table, stage, unpack_bits
 from proofmill.operators.graph import connected_components
 
 BANDS, ROWS = 32, 5
+#: The table that marks the texts whose sets are fetched again has 2**BITS bits; false marks only cost work.
+BITS = 24
 
 
 def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,19 +53,20 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.nd
             yield words[:0]
 
 
-def min_max_bands(found: np.ndarray, perms, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band; the first half of the bands uses minima, the second maxima."""
+def min_max_bands(found: np.ndarray, perms, bands: int, rows: int) -> tuple[np.ndarray, bytes]:
+    """One 64-bit key per band and one byte per value; the first half of the bands uses minima, the second maxima."""
     low = np.full(len(perms[0]), ~U64(0), U64)
     high = np.zeros(len(perms[0]), U64)
     for i in range(0, len(found), 2048):
         h = found[i : i + 2048] * perms[0] + perms[1]
         np.minimum(low, h.min(1), out=low)
         np.maximum(high, h.max(1), out=high)
-    sig = np.concatenate([low, high]).reshape(bands, rows)
+    values = np.concatenate([low, high])
+    sig = values.reshape(bands, rows)
     key = np.arange(1, bands + 1, dtype=U64)
     for j in range(rows):
         key = mix(key ^ sig[:, j]) + U64(j)
-    return key.view(np.int64)
+    return key.view(np.int64), (mix(values) & U64(255)).astype(np.uint8).tobytes()
 
 
 def _sketch(k: int, bands: int, rows: int):
@@ -69,48 +76,98 @@ def _sketch(k: int, bands: int, rows: int):
         for batch in batches:
             buf, off, _ = utf8(batch.column(1))
             for lo, hi in chunks(off):
-                n, digest, keys = [], [], []
+                n, digest, keys, bytes_ = [], [], [], []
                 for s in shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k):
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    keys.append(min_max_bands(s, perms, bands, rows) if len(s) else none)
+                    digest.append(_digest(s) if len(s) else None)
+                    key, sketch = min_max_bands(s, perms, bands, rows) if len(s) else (none, None)
+                    keys.append(key)
+                    bytes_.append(sketch)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))), pa.array(bytes_, pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
 
     return run
 
 
-def _full_sets(k: int):
+def _digest(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
+def _full_sets(k: int, bits: bytes, log2: int):
+    """(doc_id, digest, items) of the rows whose hashed key is marked."""
+
     def run(batches):
+        table = unpack_bits(bits)
         for batch in batches:
+            marked = table[batch.column(2).to_numpy().view(U64) >> U64(64 - log2)]
+            batch = batch.filter(pa.array(marked))
             buf, off, _ = utf8(batch.column(1))
             for lo, hi in chunks(off):
-                sets = [s.tobytes() for s in shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)]
-                digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary()), pa.array(digest, pa.binary())], ["cid", "items", "digest"])
+                sets = list(shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "items"])
 
     return run
 
 
-def _confirm(percent: int):
+def _alike(least: float):
+    """Rows (a, b, sketch, sketch) whose share of equal bytes reaches ``least``."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (utf8(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (2, 3))
+            yield batch.filter(pa.array((x == y).mean(1) >= least)).select([0, 1])
+
+    return run
+
+
+def _rows(batch, i: int) -> list[np.ndarray]:
+    buf, off, _ = utf8(batch.column(i))
+    return [np.frombuffer(buf[a:b].tobytes(), U64) for a, b in zip(off[:-1], off[1:])]
+
+
+def _shared(batches):
+    """Rows (a, b, set, set) to (a, b, size, size, shared)."""
+    for batch in batches:
+        out = [np.zeros(batch.num_rows, np.int64) for _ in range(3)]
+        for i, (p, q) in enumerate(zip(_rows(batch, 2), _rows(batch, 3))):
+            both = np.concatenate([p, q])
+            both.sort()
+            out[0][i], out[1][i], out[2][i] = len(p), len(q), (both[1:] == both[:-1]).sum()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], ["a", "b", "na", "nb", "shared"])
+
+
+#: Tokens are ordered by how often their hash value occurs in a table of this many cells, then by themselves.
+CELLS = 1 << 18
+
+
+def _cell_counts(batches):
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        total += np.bincount((utf8(batch.column(0))[0].view(U64) >> U64(46)).astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["cell", "n"])
+
+
+def _outside(counts: np.ndarray, percent: int):
+    """Rows (kind, lead, cid, label, set of cid, set of lead) to the prefix of the tokens outside the leader, rarest first."""
+
     def run(batches):
         for batch in batches:
-            x, xo, _ = utf8(batch.column(2))
-            y, yo, _ = utf8(batch.column(3))
-            keep = []
-            for i in range(batch.num_rows):
-                p = np.frombuffer(x[xo[i] : xo[i + 1]].tobytes(), U64)
-                q = np.frombuffer(y[yo[i] : yo[i + 1]].tobytes(), U64)
-                both = np.concatenate([p, q])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    keep.append(i)
-            if keep:
-                yield batch.take(pa.array(keep)).select([0, 1])
+            n, inside, prefix = [], [], []
+            for p, c in zip(_rows(batch, 4), _rows(batch, 5)):
+                out = p[~np.isin(p, c, assume_unique=True)]
+                shared = len(p) - len(out)
+                need = max(1, -((100 * shared - percent * len(p)) // 100))  # at least t |A| - |A ∩ C| of them are shared
+                out = out[np.lexsort((out, counts[(out >> U64(46)).astype(np.int64)]))]
+                n.append(len(p))
+                inside.append(shared)
+                prefix.append(out[: max(0, len(out) - need + 1)].view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(inside, pa.int64()), tokens], ["kind", "lead", "cid", "label", "n", "inside", "tokens"])
 
     return run
 
@@ -127,28 +184,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     A pair at the limit misses all buckets with probability (1 - 0.8^5)^32, about 3e-6.
     """
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = stage(src.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    classes = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sketches = stage(src.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
+    full = sketches.where("n_shingles > 0").groupBy("digest")
+    classes = full.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    # buckets with more than one class
+    # buckets with more than one class, and the sets of their classes from one text each
     spread = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("bucket")
+    shared = spread.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
     members = stage(spread.join(shared, "bucket"))
+    wanted = classes.select("cid", "digest", "rep").join(members.select("cid").distinct(), "cid", "left_semi")
+    bits = bit_table(wanted.select(F.xxhash64("rep").alias("h")), "h", BITS)
+    sets = src.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_full_sets(k, bits, BITS), "doc_id long, digest binary, items binary").alias("s")
+    sets = sets.join(wanted.alias("w"), (F.col("s.digest") == F.col("w.digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    sets = stage(sets.groupBy("s.digest", "cid").agg(F.first("items").alias("items")).select("cid", "items"))
 
-    # full sets of the classes that share a bucket, one text for each
-    wanted = members.select("cid").distinct().join(classes.select("cid", "digest", "n"), "cid")
-    holders = sketches.where("n_shingles > 0").select("doc_id", "digest").join(wanted, "digest").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("digest").alias("digest"))
-    texts = src.join(holders.where("doc_id is not null"), "doc_id").select("cid", "text", "digest")
-    lone = holders.where("doc_id is null").select("cid", "digest")
-    sets = _sets_of(texts, k).join(holders.select("cid", F.col("digest").alias("want")), "cid").where("digest = want").groupBy("cid").agg(F.first("items").alias("items"))
-    if not lone.isEmpty():  # classes without any key: found again by their sets
-        every = _sets_of(src.where("doc_id is null").select(F.lit(0).cast("long").alias("cid"), "text"), k)
-        sets = sets.unionByName(every.join(lone.withColumnRenamed("cid", "c"), "digest").groupBy("c").agg(F.first("items").alias("items")).withColumnRenamed("c", "cid"))
-    sets = stage(sets)
-
-    labels = _components(members, sets, classes.select("cid", "n"), percent)
+    labels = _components(members, classes.select("cid", "sketch"), sets, percent)
     named = classes.select("cid", "digest", "rep").join(labels, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("digest", F.col("rep").alias("class_id"), "component_id")
@@ -169,52 +221,87 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     return docs.join(stay, F.col(key).cast("long").eqNullSafe(stay["__key"]), "left_semi")
 
 
-def _sets_of(texts: DataFrame, k: int) -> DataFrame:
-    """(cid, items, digest) of the texts."""
-    return texts.select("cid", "text").mapInArrow(_full_sets(k), "cid long, items binary, digest binary")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def _compared(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, shared) of the pairs whose sketches do not rule a link out (six standard deviations)."""
+    one = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("x"))
+    two = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("y"))
+    p = percent / 100
+    least = p - 6 * (p * (1 - p) / (BANDS * ROWS)) ** 0.5
+    close = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
+    close = stage(close)
     one = sets.select(F.col("cid").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
-    fit = F.least(F.length("x"), F.length("y")) * 100 >= F.greatest(F.length("x"), F.length("y")) * percent
-    got = pairs.join(two, "b").join(one, "a").where(fit)
-    return stage(got.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"))
-
-
-def _components(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, few: int = 4) -> DataFrame:
-    """(cid, component) of the classes that have a link.
-
-    Each round takes in every open bucket the member that comes first in that round's order and
-    compares it with the members of other components.  Once at most ``few`` cross-component pairs
-    are left per open member, or a round did not halve them, all of them are compared.
+    got = close.join(two, "b").join(one, "a").select("a", "b", "x", "y")
+    return stage(got.mapInArrow(_shared, "a long, b long, na long, nb long, shared long"))
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b")
+
+
+def _components(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, component) of the classes that have a link; ``members`` has bucket, cid and the number of others in the bucket."""
+    weight = stage(members.groupBy("cid").agg(F.sum("others").alias("weight")))
+    lead = members.join(weight, "cid").groupBy("bucket").agg(F.max(F.struct("weight", "cid")).alias("m")).select("bucket", F.col("m.cid").alias("lead"))
+    led = stage(members.select("bucket", "cid").join(lead, "bucket"))
+    pairs = led.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+    met = _compared(pairs, sketches, sets, percent)
+    star = _linked(met, percent)
+
+    # each class: the most similar leader, and the weightiest leader that it is linked with
+    likeness = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    homes = met.groupBy("b").agg(F.max(F.struct(likeness.alias("j"), F.col("a"))).alias("m")).select(F.col("b").alias("cid"), F.col("m.a").alias("home"))
+    leaders = led.select(F.col("lead").alias("a"), F.col("lead").alias("b")).distinct()
+    best = star.unionByName(leaders).join(weight.withColumnRenamed("cid", "a"), "a").groupBy("b").agg(F.max(F.struct("weight", "a")).alias("m"))
+    best = stage(best.select(F.col("b").alias("cid"), F.col("m.a").alias("label")))
+    jump = best.select(F.col("cid").alias("label"), F.col("label").alias("next"))
+    best = best.join(jump, "label", "left").select("cid", F.coalesce("next", "label").alias("label"))
+    named = stage(members.select("cid").distinct().join(best, "cid", "left").join(homes, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), F.coalesce("home", "cid").alias("home")))
+
+    live = led.join(named, "cid")
+    mixed = live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    live = stage(live.join(mixed, "bucket").select("lead", "cid", "label", "home").distinct())
+    more = _linked(_compared(_open_pairs(live, named, sets, percent), sketches, sets, percent), percent)
+    edges = star.unionByName(more)
+    return connected_components(edges.select(F.col("a").alias("cid")).union(edges.select("b")), edges, "cid", "a", "b")
+
+
+def _open_pairs(live: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of differently labelled members of one leader's buckets that may be linked.
+
+    Two members with the same most similar leader ("home") are judged against that one; all others
+    against the leader of the bucket, where members of its most frequent home are not joined with
+    each other.  In both groups a pair shares a prefix token outside the leader, or the sizes are
+    such that the parts inside the leader may suffice.
     """
-    edges, turn, labels, before, live = None, 0, None, None, members.withColumn("label", F.col("cid"))
-    while True:
-        per = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
-        per = per.groupBy("bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("sq")).where("n * n > sq")
-        left = per.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs")).first()
-        if not left["n"]:
-            return labels if labels is not None else members.sparkSession.createDataFrame([], "cid long, component long")
-        live = stage(live.join(per.select("bucket"), "bucket"))
-        last = left["pairs"] <= few * left["n"] or (turn > 0 and 2 * left["pairs"] > before)
-        before = left["pairs"]
-        if last:
-            other = live.select("bucket", F.col("cid").alias("b"), F.col("label").alias("lb"))
-            pairs = live.select("bucket", F.col("cid").alias("a"), F.col("label").alias("la")).join(other, "bucket").where("la < lb")
-        else:
-            order = F.struct(F.xxhash64("cid", F.lit(turn)).alias("o"), F.col("cid").alias("a"), F.col("label").alias("la"))
-            lead = live.groupBy("bucket").agg(F.min(order).alias("lead")).select("bucket", "lead.a", "lead.la")
-            pairs = live.join(lead, "bucket").where("la <> label").select("a", F.col("cid").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = _linked(pairs, sets, percent)
-        if not fresh.isEmpty():
-            edges = fresh if edges is None else edges.unionByName(fresh)
-            nodes = edges.select(F.col("a").alias("cid")).union(edges.select("b"))
-            labels = connected_components(nodes, edges, "cid", "a", "b")
-        if last:
-            return labels if labels is not None else members.sparkSession.createDataFrame([], "cid long, component long")
-        if labels is not None:
-            live = live.select("bucket", "cid").join(labels, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("label"))
-        turn += 1
+    counts = np.zeros(CELLS, np.int64)
+    for r in sets.select("items").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most CELLS rows
+        counts[r["cell"]] = r["n"]
+    usual = live.groupBy("lead", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(F.max(F.struct("n", "home")).alias("m"), F.count(F.lit(1)).alias("homes"))
+    usual = usual.where("homes > 1").select("lead", F.col("m.home").alias("usual"))
+    strangers = live.join(usual, "lead").select(F.lit(False).alias("at_home"), "lead", "cid", "label", "home", (F.col("home") != F.col("usual")).alias("odd"))
+    family = live.where("home <> cid").select(F.lit(True).alias("at_home"), F.col("home").alias("lead"), "cid", "label", "home", F.lit(True).alias("odd")).distinct()
+    rows = strangers.unionByName(family).where("cid <> lead")
+    rows = rows.join(sets, "cid").join(sets.select(F.col("cid").alias("lead"), F.col("items").alias("of_lead")), "lead")
+    rows = rows.select(F.struct("at_home", "odd", "home").alias("kind"), "lead", "cid", "label", "items", "of_lead")
+    rows = rows.mapInArrow(_outside(counts, percent), "kind struct<at_home: boolean, odd: boolean, home: long>, lead long, cid long, label long, n long, inside long, tokens array<long>")
+    rows = stage(rows.select("kind.*", "lead", "cid", "label", "n", "inside", "tokens"))
+
+    one = rows.where("odd").toDF(*(c if c in ("at_home", "lead", "tokens") else f"{c}_a" for c in rows.columns))
+    two = rows.toDF(*(c if c in ("at_home", "lead", "tokens") else f"{c}_b" for c in rows.columns))
+    apart = F.when(F.col("at_home"), F.col("label_a") < F.col("label_b")).otherwise((F.col("label_a") != F.col("label_b")) & (F.col("home_a") != F.col("home_b")))
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    by = ["at_home", "lead", "token"]
+    slim = lambda d, s: d.select("at_home", "lead", F.explode("tokens").alias("token"), *(f"{c}_{s}" for c in ("cid", "label", "home", "n")))
+    token = slim(one, "a").join(slim(two, "b"), by).where(apart & sized).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+
+    t = percent / 100
+    half = t / (1 + t)
+    low, high = F.ceil(F.col("n_a") * t), F.floor((F.col("inside_a") + 1) / half - F.col("n_a"))
+    loose = one.drop("tokens").withColumn("low", low).withColumn("high", high).where("low <= high")
+    linked = named.select(F.col("cid").alias("lead"), F.col("label").alias("led"))
+    loose = loose.join(linked, "lead", "left").where("not at_home or label_a <> led").withColumn("n_b", F.explode(F.sequence("low", "high")))
+    apart = (F.col("label_a") != F.col("label_b")) & (F.col("at_home") | (F.col("home_a") != F.col("home_b")))
+    enough = F.col("inside_b") + 1 >= (F.col("n_a") + F.col("n_b")) * half
+    size = loose.join(two.drop("tokens"), ["at_home", "lead", "n_b"]).where(apart & enough).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+    return token.union(size).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
