@@ -15,6 +15,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,21 +147,46 @@ def joined_crc32(first: int, second: int, length: int) -> int:
 
 
 class _Words(dict):
-    """White-space separated word (bytes) -> packed ids, each new word encoded by the library."""
+    """White-space separated word (bytes) -> packed ids, as the library encodes it.
+
+    New words go to the library many at a time, with a lone control character between them; words
+    never join over white space, so the ids between two such characters are those of one word.
+    """
+
+    MARK, TOGETHER, LONG = b"\x7f", 64, 64
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
-        self.library, self.kind = Tokenizer.from_file(path), kind
+        self.library, self.kind = Tokenizer.from_file(path), np.dtype(kind)
+        self.mark = self._ids(self.MARK)
+
+    def _ids(self, word: bytes) -> list[int]:
+        return self.library.encode(word.decode(errors="replace"), add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) >= WORDS:
-            self.clear()
-        if len(word) <= 64:
+        ids = np.array(self._ids(word), self.kind).tobytes()
+        if len(word) <= self.LONG:
             self[word] = ids
         return ids
 
+    def learn(self, words: set) -> None:
+        if len(self) + len(words) > WORDS:
+            self.clear()
+        fresh = [w for w in words.difference(self) if len(w) <= self.LONG and self.MARK not in w]
+        groups = [fresh[i : i + self.TOGETHER] for i in range(0, len(fresh), self.TOGETHER)]
+        texts = [(b" " + self.MARK + b" ").join(g).decode(errors="replace") for g in groups]
+        if len(self.mark) != 1:
+            return
+        for group, found in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(at) != len(group) - 1:
+                continue  # each of them is then encoded alone
+            raw, width = ids.tobytes(), self.kind.itemsize
+            starts, ends = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(raw)]
+            self.update({w: raw[x:y] for w, x, y in zip(group, starts, ends)})
+
 
 @lru_cache(maxsize=2)
 def _words(path: str, kind: str) -> _Words:
@@ -175,10 +201,9 @@ def _tokenize(path: str, end_id: int, kind: str):
         for batch in batches:
             buf, off, _ = utf8(batch.column(1))
             for lo, hi in chunks(off):
-                out = []
-                for i in range(lo, hi):
-                    words = buf[off[i] : off[i + 1]].tobytes().split()
-                    out.append(b"".join(map(cache.__getitem__, words)) + end)
+                texts = [buf[off[i] : off[i + 1]].tobytes().split() for i in range(lo, hi)]
+                cache.learn(set(chain.from_iterable(texts)))
+                out = [b"".join(map(cache.__getitem__, words)) + end for words in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return run
@@ -250,7 +275,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
     spark = docs.sparkSession
     at = np.flatnonzero(freq)
     spark.createDataFrame([(int(i), int(freq[i])) for i in at], "id int, freq long").coalesce(1).write.parquet(f"{path}/model")
-    order = ["doc_id", "n_tokens", "ids"]
+    order = ["doc_id", "n_tokens", F.xxhash64("ids")]  # a hash, as the range sampler brings whole sort keys to the driver
     ranged = tokens.repartitionByRange(shuffle_tasks(docs), *order).sortWithinPartitions(*order)
     ranged.select("doc_id", "ids").mapInArrow(_blocks(kind, freq, BITS, block), BLOCK_ROW).write.option("compression", "none").parquet(f"{path}/blocks")
 
