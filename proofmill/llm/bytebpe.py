@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import chunks, utf8
+from proofmill.llm.common import small_batches
 
 NONE = 1 << 62
 CACHE, LONG = 400_000, 64
@@ -248,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     Each match of ``pattern`` is encoded on its own by the ranks in the file at ``path``; there are no
     special tokens.  Null and empty texts give no ids.  Other columns are not read.
     """
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return src.mapInArrow(_encode(path, pattern), "doc_id long, n_tokens long, ids binary")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import chunks, utf8
+from proofmill.llm.common import small_batches
 
 WINDOW, WIDTHS, FILTERS, DIM = 192, (2, 3, 4), 16, 8
 #: At most this many labelled rows of each language are learned from, three windows of each.
@@ -173,7 +174,7 @@ def predict_languages(docs: DataFrame, learned, key: str = "doc_id", text: str =
     """
     names, tables = learned
     body = F.col(text).cast("string")
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), (hashed_remainder(F.col(key), folds) == 0).alias("held_out"), body.alias("text"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    src = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), (hashed_remainder(F.col(key), folds) == 0).alias("held_out"), body.alias("text"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     none = src.where("not lettered" if names else "true").select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if not names:
         return none

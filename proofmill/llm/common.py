@@ -22,6 +22,19 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows that go to a Python worker at once; texts reach from nothing to megabytes.
+BATCH = 500
+
+
+def small_batches(df: DataFrame, rows: int = BATCH) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch size to ``rows`` where it is larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def shuffle_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import ALNUM, U64, chunks, shingle_hashes, utf8, word_hashes, word_spans
-from proofmill.llm.common import bit_table, stage, unpack_bits
+from proofmill.llm.common import bit_table, small_batches, stage, unpack_bits
 
 #: The bit table has 2**BITS bits; false matches only cost work.
 BITS = 22
@@ -122,7 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     joined by commas.  Null and empty texts have no words; an item without words has no window; an
     empty benchmark gives zero hits; repeated rows are counted one by one.  Other columns are not read.
     """
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     made = stage(bench.mapInArrow(_item_windows(window, k), "item string, words string, length int, tokens array<long>"))
     windows = made.groupBy("words").agg(F.first("length").alias("length"), F.first("tokens").alias("tokens"))

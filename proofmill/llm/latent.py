@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from proofmill.llm.arrowtext import chunks, utf8
 from proofmill.llm.bytecnn import hashed_remainder
+from proofmill.llm.common import small_batches
 
 TERMS, GRAM, RANK = 4096, 4, 32
 #: At most this many labelled rows of each label are learned from.
@@ -121,7 +122,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     """
     spark = docs.sparkSession
     df = np.zeros(TERMS + 1)
-    seen = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_frequencies, "term long, n long")
+    seen = small_batches(docs).select(F.col(text).cast("string").alias("text")).mapInArrow(_frequencies, "term long, n long")
     for r in seen.groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row per hashed term
         df[r["term"]] = r["n"]
     idf = np.log1p(df[TERMS] / np.maximum(1, df[:TERMS])).astype(np.float32)
@@ -162,8 +163,7 @@ def _latent_axes(x: np.ndarray, rank: int) -> np.ndarray:
 
 def with_score(docs: DataFrame, model: LatentVote, name: str, text: str = "text", least: float | None = None) -> DataFrame:
     """``docs`` with the column ``name`` (0 to 1); with ``least``, only rows that reach it."""
-    place = len(docs.columns)
-    wide = docs.withColumn(name, F.coalesce(F.col(text).cast("string"), F.lit("")))  # the text, last, replaced by its score below
+    place = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
@@ -173,11 +173,11 @@ def with_score(docs: DataFrame, model: LatentVote, name: str, text: str = "text"
                 for a in range(lo, hi, 256):
                     b = min(hi, a + 256)
                     out[a:b] = model.scores(term_counts(buf[off[a] : off[b]], off[a : b + 1] - off[a]))
-            done = pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(out)], batch.schema.names)
+            done = pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
             yield done if least is None else done.filter(pa.array(out >= least))
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return wide.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1) -> DataFrame:

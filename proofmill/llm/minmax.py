@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import SPACED, U64, chunks, mix, shingle_hashes, utf8, word_hashes, word_spans
-from proofmill.llm.common import bit_table, stage, unpack_bits
+from proofmill.llm.common import bit_table, small_batches, stage, unpack_bits
 from proofmill.operators.graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -123,9 +123,10 @@ def _alike(least: float):
     return run
 
 
-def _rows(batch, i: int) -> list[np.ndarray]:
+def _rows(batch, i: int) -> Iterator[np.ndarray]:
     buf, off, _ = utf8(batch.column(i))
-    return [np.frombuffer(buf[a:b].tobytes(), U64) for a, b in zip(off[:-1], off[1:])]
+    for a, b in zip(off[:-1], off[1:]):
+        yield buf[a:b].view(U64)
 
 
 def _shared(batches):
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     A pair at the limit misses all buckets with probability (1 - 0.8^5)^32, about 3e-6.
     """
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = stage(src.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
     full = sketches.where("n_shingles > 0").groupBy("digest")
     classes = full.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofmill.llm.arrowtext import chunks, utf8
-from proofmill.llm.common import shuffle_tasks, stage
+from proofmill.llm.common import shuffle_tasks, small_batches, stage
 from proofmill.session import stage_dir
 
 BITS, LANES, STEPS, BLOCK = 20, 1024, 256, 1 << 19
@@ -265,7 +265,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
     id; rows without a key come first; repeated keys follow each other.  Ids are shuffled, not texts.
     """
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tokens = stage(src.mapInArrow(_tokenize(tokenizer, end_id, kind), "doc_id long, n_tokens long, ids binary"))
     counted = tokens.select("ids").mapInArrow(_count(kind, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
