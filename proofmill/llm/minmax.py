@@ -142,6 +142,7 @@ def _shared(batches):
 
 #: Tokens are ordered by how often their hash value occurs in a table of this many cells, then by themselves.
 CELLS = 1 << 18
+GONE = ("gone0", "gone1", "gone2", "gone3")
 
 
 def _cell_counts(batches):
@@ -153,11 +154,16 @@ def _cell_counts(batches):
 
 
 def _outside(counts: np.ndarray, percent: int):
-    """Rows (kind, lead, cid, label, set of cid, set of lead) to the prefix of the tokens outside the leader, rarest first."""
+    """Rows (kind, lead, cid, label, set of cid, set of lead) to the prefix of the tokens outside the leader, rarest first.
+
+    ``gone`` marks, in 256 bits, the leader's tokens that the member lacks: a bit that only one of two
+    members has stands for at least one token that the other does not lack.
+    """
 
     def run(batches):
         for batch in batches:
-            n, inside, prefix = [], [], []
+            n, inside, needs, lost, prefix = [], [], [], [], []
+            gone = np.zeros((batch.num_rows, 256), bool)
             for p, c in zip(_rows(batch, 4), _rows(batch, 5)):
                 out = p[~np.isin(p, c, assume_unique=True)]
                 shared = len(p) - len(out)
@@ -165,10 +171,13 @@ def _outside(counts: np.ndarray, percent: int):
                 out = out[np.lexsort((out, counts[(out >> U64(46)).astype(np.int64)]))]
                 n.append(len(p))
                 inside.append(shared)
+                needs.append(need)
+                lost.append(len(c) - shared)
+                gone[len(n) - 1, c[~np.isin(c, p, assume_unique=True)] >> U64(56)] = True
                 prefix.append(out[: max(0, len(out) - need + 1)].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(inside, pa.int64()), tokens], ["kind", "lead", "cid", "label", "n", "inside", "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(x, pa.int64()) for x in (n, inside, needs, lost)), *map(pa.array, np.packbits(gone, 1).view(np.int64).T.copy()), tokens], ["kind", "lead", "cid", "label", "n", "inside", "need", "lost", *GONE, "tokens"])
 
     return run
 
@@ -285,24 +294,32 @@ def _open_pairs(live: DataFrame, named: DataFrame, sets: DataFrame, percent: int
     rows = strangers.unionByName(family).where("cid <> lead")
     rows = rows.join(sets, "cid").join(sets.select(F.col("cid").alias("lead"), F.col("items").alias("of_lead")), "lead")
     rows = rows.select(F.struct("at_home", "odd", "home").alias("kind"), "lead", "cid", "label", "items", "of_lead")
-    rows = rows.mapInArrow(_outside(counts, percent), "kind struct<at_home: boolean, odd: boolean, home: long>, lead long, cid long, label long, n long, inside long, tokens array<long>")
-    rows = stage(rows.select("kind.*", "lead", "cid", "label", "n", "inside", "tokens"))
+    rows = rows.mapInArrow(_outside(counts, percent), "kind struct<at_home: boolean, odd: boolean, home: long>, lead long, cid long, label long, n long, inside long, need long, lost long, gone0 long, gone1 long, gone2 long, gone3 long, tokens array<long>")
+    rows = stage(rows.select("kind.*", "lead", "cid", "label", "n", "inside", "need", "lost", *GONE, "tokens"))
 
     one = rows.where("odd").toDF(*(c if c in ("at_home", "lead", "tokens") else f"{c}_a" for c in rows.columns))
     two = rows.toDF(*(c if c in ("at_home", "lead", "tokens") else f"{c}_b" for c in rows.columns))
     apart = F.when(F.col("at_home"), F.col("label_a") < F.col("label_b")).otherwise((F.col("label_a") != F.col("label_b")) & (F.col("home_a") != F.col("home_b")))
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    by = ["at_home", "lead", "token"]
-    slim = lambda d, s: d.select("at_home", "lead", F.explode("tokens").alias("token"), *(f"{c}_{s}" for c in ("cid", "label", "home", "n")))
-    token = slim(one, "a").join(slim(two, "b"), by).where(apart & sized).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
-
     t = percent / 100
     half = t / (1 + t)
+    by = ["at_home", "lead", "token"]
+    slim = lambda d, s: d.select("at_home", "lead", F.explode("tokens").alias("token"), *(f"{c}_{s}" for c in ("cid", "label", "home", "n", "inside", "need", "lost", *GONE)))
+    met = slim(one, "a").join(slim(two, "b"), by).where(apart & sized)
+    # beyond the prefix that ends first lie at most need - 1 of its own tokens; with them a pair must reach what the parts inside the leader leave open
+    alone = lambda x, y: sum(F.bit_count(F.col(f"{g}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{g}_{y}")))) for g in GONE)
+    both_lost = F.least(F.col("lost_a") - alone("a", "b"), F.col("lost_b") - alone("b", "a"))
+    # A ∩ B inside the leader: what neither lacks
+    within = F.col("inside_a") - F.col("lost_b") + both_lost
+    open_ = (F.col("n_a") + F.col("n_b")) * half - within - 1e-6
+    met = met.groupBy("at_home", "lead", "cid_a", "cid_b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("rest"), F.max(open_).alias("open"))
+    token = met.where(F.col("shared") + F.col("rest") - 1 >= F.col("open")).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+
     low, high = F.ceil(F.col("n_a") * t), F.floor((F.col("inside_a") + 1) / half - F.col("n_a"))
     loose = one.drop("tokens").withColumn("low", low).withColumn("high", high).where("low <= high")
     linked = named.select(F.col("cid").alias("lead"), F.col("label").alias("led"))
     loose = loose.join(linked, "lead", "left").where("not at_home or label_a <> led").withColumn("n_b", F.explode(F.sequence("low", "high")))
     apart = (F.col("label_a") != F.col("label_b")) & (F.col("at_home") | (F.col("home_a") != F.col("home_b")))
-    enough = F.col("inside_b") + 1 >= (F.col("n_a") + F.col("n_b")) * half
+    enough = within + 1 >= (F.col("n_a") + F.col("n_b")) * half
     size = loose.join(two.drop("tokens"), ["at_home", "lead", "n_b"]).where(apart & enough).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
     return token.union(size).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
