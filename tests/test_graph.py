@@ -88,6 +88,22 @@ def test_leave_one_out_never_finds_the_row_itself(sets):
         assert sorted(got[i], key=lambda x: x[0]) == [(n + 1, j, -s) for n, (s, j) in enumerate(order)]
 
 
+def test_nearest_other_row_is_searched_in_the_whole_table(spark, tmp_path):
+    from proofmill.plans import load
+
+    texts = {0: "a b c d", 1: "a b c d", 5: "a b x y", 7: "p q r", 10: "p q s t", 11: "u v", 15: "m n o", 20: "a b c d", 22: None, 25: "", 30: "p q r"}
+    rows = [(i, x, len(x or "")) for i, x in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.neighbor, r.similarity) for r in load().QUERIES["nearest_neighbor_self"](spark, str(tmp_path)).collect()}
+    words = {i: set((x or "").split()) for i, x in texts.items()}
+    want = {}
+    for i in (i for i in texts if i % 5 == 0):
+        order = sorted((-round(jac(words[i], words[j]), 6), j) for j in texts if j != i and words[i] & words[j])
+        want[i] = (order[0][1], -order[0][0]) if order else (None, 0.0)
+    assert got == want
+    assert got[0] == (1, 1.0) and got[30] == (7, 1.0)
+
+
 def test_split_pairs_covers_hot_group(spark):
     df = spark.createDataFrame([("h", i) for i in range(50)] + [("x", 100), ("x", 101)], "k string, id int")
     p = SI.split_pairs(df, ["k"], "id", block=8)
