@@ -18,6 +18,15 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Names each row of a staged table; keys may be null or repeated.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows once in the shared folder, with an id of their own in ``ROW``: every later read sees the same ids."""
+    return stage(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

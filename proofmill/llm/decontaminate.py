@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import ALNUM, U64, chunks, shingle_hashes, utf8, word_hashes, word_spans
-from proofmill.llm.common import bit_table, small_batches, stage, unpack_bits
+from proofmill.llm.common import ROW, bit_table, numbered, small_batches, stage, unpack_bits
 
 #: The bit table has 2**BITS bits; false matches only cost work.
 BITS = 22
@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns; rows that share a key go together, rows without a key are judged as one."""
-    found = contamination(docs, benchmark, key, text, **how)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(bad, F.col(key).cast("long").eqNullSafe(bad["__key"]), "left_anti")
+    """The rows of ``docs`` without any hit, all columns; each row is judged by itself, whatever its key."""
+    rows = numbered(docs)
+    bad = contamination(rows, benchmark, ROW, text, **how).where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").drop(ROW)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import SPACED, U64, chunks, mix, shingle_hashes, utf8, word_hashes, word_spans
-from proofmill.llm.common import bit_table, small_batches, stage, unpack_bits
+from proofmill.llm.common import ROW, bit_table, numbered, small_batches, stage, unpack_bits
 from proofmill.operators.graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -222,13 +222,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns.
+    """One row of ``docs`` for each component of :func:`near_duplicates` over its rows, with all columns.
 
-    Rows without a key stay where their component has no key.  Rows that repeat a key stay or go together.
+    It is the row with the smallest key; rows without a key come last, and the row id decides between
+    rows of one key.  Null and empty texts are components of one row, so all of them stay.
     """
-    found = near_duplicates(docs, key, text, k, percent)
-    stay = found.where("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(stay, F.col(key).cast("long").eqNullSafe(stay["__key"]), "left_semi")
+    rows = numbered(docs)
+    found = near_duplicates(rows, ROW, text, k, percent).select(F.col("doc_id").alias(ROW), "component_id")
+    named = rows.select(ROW, F.col(key).cast("long").alias("key")).join(found, ROW)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", ROW))
+    stay = named.groupBy("component_id").agg(first.alias("m")).select(F.col(f"m.{ROW}").alias(ROW))
+    return rows.join(stay, ROW, "left_semi").drop(ROW)
 
 
 def _compared(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -65,3 +65,10 @@ def test_empty_tables(spark, edge_docs, edge_rows, no_docs):
     got = contamination(edge_docs, none)
     assert got.count() == len(edge_rows) and got.where("contaminated").count() == 0
     assert drop_contaminated(edge_docs, none).count() == len(edge_rows)
+
+
+def test_rows_without_or_with_shared_keys_are_judged_one_by_one(spark):
+    rows = [(None, prose(1, 30)), (None, prose(2, 30)), (None, None), (7, prose(1, 40)), (7, prose(3, 30)), (8, prose(4, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = drop_contaminated(docs, table(spark, [(1, prose(1, 30))]))
+    assert Counter(map(tuple, left.collect())) == Counter(x for x in rows if not (x[1] or "").startswith(prose(1, 30)))

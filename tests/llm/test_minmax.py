@@ -72,6 +72,17 @@ def test_group_without_any_key(spark):
     assert as_counter(near_duplicates(docs)) == Counter({(None, 76, None, True): 2, (1, 76, 1, True): 1})
 
 
+def test_one_row_of_each_group_stays_whatever_the_keys(spark):
+    a, b, c, d = (prose(i, 80) for i in range(20, 24))
+    rows = [(3, a), (None, edited(a, 40)), (None, edited(a, 60)), (2, edited(a, 20)), (None, b), (None, edited(b, 40)), (None, b), (5, c), (5, c), (5, d), (None, None), (None, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in drop_near_duplicates(docs).collect()]
+    assert len(left) == 7
+    assert (2, edited(a, 20)) in left and (5, c) in left and (5, d) in left
+    assert sum(k is None and x in (b, edited(b, 40)) for k, x in left) == 1
+    assert Counter(x for x in left if not x[1]) == Counter([(None, None), (None, ""), (9, "")])
+
+
 def test_minimum_and_maximum_estimate_similarity():
     r = np.random.default_rng(2)
     items = r.integers(0, 2**63, 1500, dtype=np.int64).astype(U64)
