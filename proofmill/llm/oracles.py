@@ -100,3 +100,40 @@ from d left join a using (doc_id)
 
 
 SQL["op9_licence_scan"] = _licence_sql()
+
+
+def _turn_sql() -> str:
+    # a state is its cost in nine digits and its audit; null where it cannot be reached
+    add = lambda v, cost, letter: f"(lpad((substr({v}, 1, 9)::int + {cost})::varchar, 9, '0') || substr({v}, 10) || '{letter}')"
+    insert = lambda v: add(v, 3, "I")
+    move = lambda v, k: f"case when not gone and kind = '{k}' then {add(v, 'extra', 'K')} when not gone then {add(v, 'extra + 3', 'R')} end"
+    closed = f"""select *, least(u1, {insert('a1')}) as u2, least(a1, {insert('u1')}) as a2 from (select *, least(vu, {insert('v0')}, {insert('vs')}, {insert('va')}) as u1, least(va, {insert('vu')}) as a1 from {{}})"""
+    return rf"""
+with recursive k as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+f as (select *, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, len(name) + 1), lambda i: [ascii(substr(name, i, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+   lambda a, e: case when e >= 0 then xor(a, e) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295) % 20 as fate from k),
+d as (select conv_id, turn, case when fate = 4 then 'user' else coalesce(role, ' ') end as role,
+   case fate when 1 then '' when 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text, unnest(range(0, case fate when 0 then 0 when 3 then 2 else 1 end)) as copy from f),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) as mark from d),
+s as (select *, mark = '' as blank, mark <> '' and row_number() over (partition by conv_id, role, text order by i) > 1 as twice, lag(substr(role, 1, 1)) over (partition by conv_id order by i) as before from o),
+t as (select *, not blank and not twice and mark not in ('.', '!', '?') as cut, blank or twice as gone, substr(role, 1, 1) as kind, case when mark not in ('.', '!', '?') then 3 else 0 end as extra from s),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (twice) as duplicate, count(*) filter (cut) as truncated,
+   count(*) filter (before is not null and before || kind not in ('su', 'ua', 'au')) as illegal, count(*) as n from t group by conv_id),
+r(conv_id, i, v0, vs, vu, va) as (
+  select distinct conv_id, 0::bigint, '000000000', null::varchar, null::varchar, null::varchar from conversations
+  union all
+  select conv_id, i + 1, {add('v0', 4, 'D')}, least({add('vs', 4, 'D')}, case when not gone and kind = 's' then {add('v0', 'extra', 'K')} end),
+   least({add('u2', 4, 'D')}, {move('v0', 'u')}, {move('vs', 'u')}, {move('a2', 'u')}), least({add('a2', 4, 'D')}, {move('u2', 'a')})
+  from ({closed.format("(select r.*, t.kind, t.gone, t.extra from r join t on t.conv_id is not distinct from r.conv_id and t.i = r.i + 1)")})),
+e as (select conv_id, least(v0, a2) as v from ({closed.format("(select r.* from r left join n on n.conv_id is not distinct from r.conv_id where r.i = coalesce(n.n, 0))")})),
+a as (select conv_id, substr(v, 1, 9)::bigint as cost, substr(v, 10) as audit from e),
+l as (select conv_id, p, substr(audit, p, 1) as letter from (select conv_id, audit, unnest(range(1, len(audit) + 1)) as p from a)),
+w as (select *, count(*) filter (letter <> 'I') over g as i, count(*) filter (letter <> 'D') over g as nth from l window g as (partition by conv_id order by p)),
+x as (select w.*, t.role, t.text, bool_or(nth = 1 and letter = 'K' and kind = 's') over (partition by w.conv_id) as led from w left join t on t.conv_id is not distinct from w.conv_id and t.i = w.i and letter <> 'I' where letter <> 'D'),
+y as (select conv_id, string_agg(case when letter = 'K' then role when (nth - coalesce(led, false)::int) % 2 = 1 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end, chr(10) order by p) as lines from x group by conv_id)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cost, audit, sha256(coalesce(lines, '')) as repaired_sha256
+from a left join n on n.conv_id is not distinct from a.conv_id left join y on y.conv_id is not distinct from a.conv_id
+"""
+
+
+SQL["op12_turn_alignment"] = _turn_sql()

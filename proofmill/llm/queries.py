@@ -87,3 +87,10 @@ def op10_latent_quality(spark, sf_dir):
     from proofmill.llm.latent import quality_scores
 
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op12_turn_alignment(spark, sf_dir):
+    from proofmill.llm.turns import damaged, repair_conversations
+
+    return repair_conversations(damaged(read(spark, sf_dir, "conversations")), key="conv").withColumnRenamed("conv", "conv_id")
