@@ -89,6 +89,13 @@ def op10_latent_quality(spark, sf_dir):
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op11_exact_whitening(spark, sf_dir):
+    from proofmill.llm.whitening import whitened_components
+
+    return whitened_components(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_turn_alignment(spark, sf_dir):
     from proofmill.llm.turns import damaged, repair_conversations
