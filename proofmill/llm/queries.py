@@ -101,3 +101,11 @@ def op12_turn_alignment(spark, sf_dir):
     from proofmill.llm.turns import damaged, repair_conversations
 
     return repair_conversations(damaged(read(spark, sf_dir, "conversations")), key="conv").withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op13_toxic_segments(spark, sf_dir):
+    from proofmill.llm.toxic import learn_toxicity, toxicity_scores
+
+    docs = read(spark, sf_dir, "documents")
+    return toxicity_scores(docs, learn_toxicity(docs, read(spark, sf_dir, "labels")))
