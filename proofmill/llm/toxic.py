@@ -1,9 +1,9 @@
 """Toxic passages by maximum-scoring segments of token log-odds, with extreme-value statistics.
 
-A token is a word or one of its beginnings, so inflected forms count with their stem.  Tokens that stand
-out in labelled toxic texts get the log-odds of the two classes under a Dirichlet prior, whose shape
-are the tokens' counts over all documents.  In a text each word gains its best token's log-odds and
-pays a small drift; the scan of Ruzzo and Tompa then finds all maximal segments in linear time.
+A token is a word or, for words that tell nothing themselves, one of their beginnings, the longest that is
+known; so inflected forms count with their stem.  Tokens that stand out in labelled toxic texts get the
+log-odds of the two classes under a Dirichlet prior, whose shape are the tokens' counts over all
+documents.  In a text each word gains its token's log-odds and pays a small drift; the scan of Ruzzo and Tompa then finds all maximal segments in linear time.
 For texts of N words the number of chance segments of score S is K N exp(-lambda S) (Karlin and Altschul), so
 segments get expectations, the significant ones are summed up to a p-value of the text, and that
 becomes the probability of the label by its least Bayes factor.
@@ -27,21 +27,39 @@ from proofmill.llm.common import small_batches, stage
 #: At most about this many labelled texts of each label are learned from.
 SAMPLE = 8_000
 #: Lengths in bytes of the beginnings that are tokens beside whole words.
-STEMS = (4, 5, 6, 7, 8)
+STEMS = (8, 7, 6, 5, 4)
 #: Tokens kept: at least so many toxic texts, a signed root of the likelihood ratio, and a number.
 LEAST_TEXTS, LEAST_ROOT, TERMS = 3, 4.5, 1 << 15
 #: Weight of the prior as a share of all learned counts; cost of a word; expectation up to which a segment is significant.
-PRIOR, DRIFT, SIGNIFICANT = 0.1, 0.1, 0.1
+PRIOR, DRIFT, SIGNIFICANT = 0.02, 0.1, 0.1
 WORDS = 1 << 20
 EMPTY = np.zeros(0, np.int64)
 
 
-def token_levels(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(word numbers, hashes) of the whole words and then of each length of beginnings of longer words."""
-    yield np.arange(len(starts)), word_hashes(buf, starts, ends, ALNUM[1])
-    for n in STEMS:
-        long = np.flatnonzero(ends - starts > n)
-        yield long, word_hashes(buf, starts[long], starts[long] + n, ALNUM[1]) ^ U64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def known_tokens(model, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, level: int | None = None):
+    """(word numbers, token numbers) of the words with a known token, the most special one of each.
+
+    With a ``level`` (0 whole words, then STEMS) only levels before it are looked up, and the words left
+    come back as (word numbers, their hashes on that level).
+    """
+    left, found = np.arange(len(starts)), []
+    for k, n in enumerate((None, *STEMS)):
+        if n is None:
+            hashes = word_hashes(buf, starts, ends, ALNUM[1])
+            at = left
+        else:
+            at = left[ends[left] - starts[left] > n]
+            hashes = word_hashes(buf, starts[at], starts[at] + n, ALNUM[1]) ^ U64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        if k == level:
+            return at, hashes
+        place, token = model.look_up(hashes)
+        found.append((at[place], token))
+        rest = np.ones(len(starts), bool)
+        rest[at[place]] = False
+        left = left[rest[left]]
+    words, tokens = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(words)
+    return words[order], tokens[order]
 
 
 def maximal_segments(places: np.ndarray, gains: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -97,27 +115,23 @@ class ToxicModel:
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places among ``hashes``, token numbers) of the known tokens."""
+        if not len(self.tokens):
+            return EMPTY, EMPTY
         maybe = np.flatnonzero(self.bits[hashes >> U64(42)])
         at = np.minimum(np.searchsorted(self.tokens, hashes[maybe]), len(self.tokens) - 1)
         same = self.tokens[at] == hashes[maybe]
         return maybe[same], at[same]
 
     def hits(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word numbers, gains) of words with a known token; the largest gain of a word counts."""
+        """(word numbers, gains) of the words with a known token."""
         if not len(self.tokens):
             return EMPTY, np.zeros(0)
-        words, gains = [EMPTY], [np.zeros(0)]
+        words, tokens = [EMPTY], [EMPTY]
         for a in range(0, len(starts), WORDS):
-            for at, hashes in token_levels(buf, starts[a : a + WORDS], ends[a : a + WORDS]):
-                place, token = self.look_up(hashes)
-                words.append(at[place] + a)
-                gains.append(self.gains[token])
-        words, gains = np.concatenate(words), np.concatenate(gains)
-        order = np.lexsort((-gains, words))
-        words, gains = words[order], gains[order]
-        first = np.ones(len(words), bool)
-        first[1:] = words[1:] != words[:-1]
-        return words[first], gains[first]
+            at, token = known_tokens(self, buf, starts[a : a + WORDS], ends[a : a + WORDS])
+            words.append(at + a)
+            tokens.append(token)
+        return np.concatenate(words), self.gains[np.concatenate(tokens)]
 
     def passages(self, buf: np.ndarray, offsets: np.ndarray):
         """(words of the row, maximal segments as word numbers and score, byte spans of its words) for each row."""
@@ -151,26 +165,32 @@ def _least_shingle(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "least"])
 
 
-def _token_texts(batches):
-    """(token, toxic texts, other texts): in how many texts of the batch each token stands."""
-    for batch in batches:
-        label = batch.column(0).to_numpy()
-        buf, off, _ = utf8(batch.column(1))
-        for lo, hi in chunks(off):
-            part = buf[off[lo] : off[hi]]
-            starts, ends, rows = word_spans(part, off[lo : hi + 1] - off[lo], ALNUM[0])
-            row = np.repeat(np.arange(hi - lo), np.diff(rows))
-            pairs = [np.stack([h, row[at].astype(U64)], 1) for at, h in token_levels(part, starts, ends)]
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            tokens, inverse = np.unique(pairs[:, 0], return_inverse=True)
-            one = label[lo:hi][pairs[:, 1].astype(np.int64)]
-            y1 = np.bincount(inverse, one, len(tokens)).astype(np.int64)
-            y0 = np.bincount(inverse, minlength=len(tokens)) - y1
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(y1), pa.array(y0)], ["token", "y1", "y0"])
+def _token_texts(model: ToxicModel, level: int):
+    """(token, toxic texts, other texts): in how many texts of a chunk each token of the level stands, in words that no earlier level knows."""
+
+    def run(batches):
+        for batch in batches:
+            label = batch.column(0).to_numpy()
+            buf, off, _ = utf8(batch.column(1))
+            for lo, hi in chunks(off):
+                part = buf[off[lo] : off[hi]]
+                starts, ends, rows = word_spans(part, off[lo : hi + 1] - off[lo], ALNUM[0])
+                row = np.repeat(np.arange(hi - lo), np.diff(rows))
+                at, h = known_tokens(model, part, starts, ends, level)
+                order = np.lexsort((row[at], h))
+                h, r = h[order], row[at][order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+                tokens, inverse = np.unique(h[new], return_inverse=True)
+                y1 = np.bincount(inverse, label[lo:hi][r[new]], len(tokens)).astype(np.int64)
+                y0 = np.bincount(inverse, minlength=len(tokens)) - y1
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(y1), pa.array(y0)], ["token", "y1", "y0"])
+
+    return run
 
 
 def _corpus_counts(model: ToxicModel):
-    """(token number, occurrences) of the known tokens; number -1 counts all."""
+    """(token number, occurrences) of the known tokens; number -1 counts all words."""
 
     def run(batches):
         total = np.zeros(len(model.tokens) + 1, np.int64)
@@ -179,10 +199,9 @@ def _corpus_counts(model: ToxicModel):
             for lo, hi in chunks(off):
                 part = buf[off[lo] : off[hi]]
                 starts, ends, _ = word_spans(part, off[lo : hi + 1] - off[lo], ALNUM[0])
+                total[-1] += len(starts)
                 for a in range(0, len(starts), WORDS):
-                    for at, h in token_levels(part, starts[a : a + WORDS], ends[a : a + WORDS]):
-                        total[-1] += len(at)
-                        total[:-1] += np.bincount(model.look_up(h)[1], minlength=len(model.tokens))
+                    total[:-1] += np.bincount(known_tokens(model, part, starts[a : a + WORDS], ends[a : a + WORDS])[1], minlength=len(model.tokens))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at == len(model.tokens), -1, at)), pa.array(total[at])], ["at", "n"])
 
@@ -236,26 +255,31 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, key: str, tex
 def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> ToxicModel:
     """Fit on labelled texts outside fold ``held``; the prior's counts cover all documents.
 
-    At most TERMS tokens and their counts reach the driver.  Without labels of both kinds nothing is known and
+    At most TERMS tokens of each level and their counts reach the driver.  Without labels of both kinds nothing is known and
     every text gets the share of label 1 (0.5 without any label).
     """
     texts, sizes = labelled_texts(docs, labels, label, key, text, folds, held, sample)
     none = ToxicModel(np.zeros(0, U64), np.zeros(0), prior=sizes.get(1, 0) / sum(sizes.values()) if sizes else 0.5)
-    counts = stage(texts.mapInArrow(_token_texts, "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
-    n1, n0 = counts.agg(F.sum("y1"), F.sum("y0")).first()
-    if not n1 or not n0:
-        return none
-    y1, y0 = F.col("y1"), F.col("y0")
-    part = lambda y, n: F.when(y > 0, y * F.log(y * (n1 + n0) / ((y1 + y0) * n))).otherwise(0.0)
-    root = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(y1, n1) + part(y0, n0))))
-    telling = counts.where((y1 >= LEAST_TEXTS) & (y1 * n0 > y0 * n1)).withColumn("root", root).where(F.col("root") >= LEAST_ROOT)
-    rows = telling.orderBy(F.desc("root"), "token").limit(TERMS).collect()
-    if not rows:
+    tokens, y1, y0 = np.zeros(0, U64), np.zeros(0), np.zeros(0)
+    n1 = n0 = 0
+    for level in range(1 + len(STEMS)):
+        counts = stage(texts.mapInArrow(_token_texts(ToxicModel(tokens, y1), level), "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
+        m1, m0 = counts.agg(F.sum("y1"), F.sum("y0")).first()
+        if not level:
+            n1, n0 = m1, m0  # (word, text) pairs of either label
+            if not n1 or not n0:
+                return none
+        a, b = F.col("y1"), F.col("y0")
+        part = lambda y, n: F.when(y > 0, y * F.log(y * (n1 + n0) / ((a + b) * n))).otherwise(0.0)
+        root = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(a, n1) + part(b, n0))))
+        telling = counts.where((a >= LEAST_TEXTS) & (a * n0 > b * n1)).withColumn("root", root).where(F.col("root") >= LEAST_ROOT)
+        rows = telling.orderBy(F.desc("root"), "token").limit(TERMS).collect()
+        tokens = np.concatenate([tokens, np.array([r["token"] for r in rows], np.int64).view(U64)])
+        order = np.argsort(tokens)
+        y1, y0 = (np.concatenate([y, [float(r[c]) for r in rows]])[order] for y, c in ((y1, "y1"), (y0, "y0")))
+        tokens = tokens[order]
+    if not len(tokens):
         return none
-    tokens = np.array([r["token"] for r in rows], np.int64).view(U64)
-    order = np.argsort(tokens)
-    tokens = tokens[order]
-    y1, y0 = (np.array([r[c] for r in rows], np.float64)[order] for c in ("y1", "y0"))
     bare = ToxicModel(tokens, np.ones(len(tokens)))
     seen = np.zeros(len(tokens) + 1)
     everywhere = small_batches(docs).select(F.col(text).cast("string").alias("text")).mapInArrow(_corpus_counts(bare), "at long, n long")
@@ -271,10 +295,15 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key
         return none
     chances = ((y0 + alpha) / (n0 + weight))[keep]
     model.rate = decay_rate(chances, model.gains, model.drift)
-    least = float(model.gains.min()) - model.drift
+    # chance segments of the other label's texts: the factor is the least that their numbers never exceed
     found = texts.where("label = 0").select("text").mapInArrow(_chance(model), "n long, scores array<double>")
-    s = found.agg(F.sum("n").alias("n"), F.sum(F.size(F.filter("scores", lambda x: x >= least - 1e-9))).alias("k")).first()
-    model.factor = ((s["k"] or 0) + 0.5) / max(1, s["n"] or 0) * exp(model.rate * least)
+    words = found.agg(F.sum("n")).first()[0] or 0
+    each = found.select(F.explode("scores").alias("s")).groupBy(F.floor(F.col("s") * 4).alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    above, most = 0, 0.5 * exp(model.rate * float(model.gains.min() - model.drift))
+    for r in sorted(each.collect(), key=lambda r: -r["q"]):  # a row for each quarter of a unit of score
+        above += r["n"]
+        most = max(most, above * exp(model.rate * r["q"] / 4))
+    model.factor = most / max(1, words)
     return model
 
 
