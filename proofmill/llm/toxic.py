@@ -6,13 +6,13 @@ log-odds of the two classes under a Dirichlet prior, whose shape are the tokens'
 documents.  In a text each word gains its token's log-odds and pays a small drift; the scan of Ruzzo and Tompa then finds all maximal segments in linear time.
 For texts of N words the number of chance segments of score S is K N exp(-lambda S) (Karlin and Altschul), so
 segments get expectations, the significant ones are summed up to a p-value of the text, and that
-becomes the probability of the label by its least Bayes factor.
+becomes the probability of the label by the Bayes factor of p-values.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import e, exp, lgamma, log
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +36,19 @@ WORDS = 1 << 20
 EMPTY = np.zeros(0, np.int64)
 
 
-def known_tokens(model, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, level: int | None = None):
-    """(word numbers, token numbers) of the words with a known token, the most special one of each.
+def token_levels(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, n: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, hashes) of those among ``words`` as they are, or of the first ``n`` bytes of the longer ones."""
+    if n is None:
+        return words, word_hashes(buf, starts[words], ends[words], ALNUM[1])
+    words = words[ends[words] - starts[words] > n]
+    return words, word_hashes(buf, starts[words], starts[words] + n, ALNUM[1]) ^ U64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
-    With a ``level`` (0 whole words, then STEMS) only levels before it are looked up, and the words left
-    come back as (word numbers, their hashes on that level).
-    """
+
+def known_tokens(model, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, token numbers) of the words with a known token, the most special one of each."""
     left, found = np.arange(len(starts)), []
-    for k, n in enumerate((None, *STEMS)):
-        if n is None:
-            hashes = word_hashes(buf, starts, ends, ALNUM[1])
-            at = left
-        else:
-            at = left[ends[left] - starts[left] > n]
-            hashes = word_hashes(buf, starts[at], starts[at] + n, ALNUM[1]) ^ U64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        if k == level:
-            return at, hashes
+    for n in (None, *STEMS):
+        at, hashes = token_levels(buf, starts, ends, left, n)
         place, token = model.look_up(hashes)
         found.append((at[place], token))
         rest = np.ones(len(starts), bool)
@@ -98,6 +95,12 @@ def sum_p_value(scores: list[float]) -> float:
     return exp(-best)
 
 
+def bayes_factor(p: float) -> float:
+    """What a p-value says for the label against chance, averaged over all laws p ** (x - 1) * x with x from 0 to 1; at least 1."""
+    p = max(p, 1e-300)
+    return max(1.0, (1 - p + p * log(p)) / (p * log(p) ** 2)) if p < 0.5 else 1.0
+
+
 @dataclass
 class ToxicModel:
     """Sorted token hashes with their log-odds, parameters of the extreme-value law, share of label 1."""
@@ -150,9 +153,7 @@ class ToxicModel:
     def probability(self, n: int, segments) -> float:
         """Probability of label 1, from the p-value of the significant segments."""
         kept = [s for s in (self.normalised(n, score) for _, _, score in segments) if s >= -log(SIGNIFICANT)]
-        p = max(sum_p_value(kept), 1e-300) if kept else 1.0
-        against = -e * p * log(p) if p < 1 / e else 1.0
-        return self.prior / (self.prior + (1 - self.prior) * against) if self.prior > 0 else 0.0
+        return self.prior / (self.prior + (1 - self.prior) / bayes_factor(sum_p_value(kept) if kept else 1.0)) if self.prior > 0 else 0.0
 
 
 def _least_shingle(batches):
@@ -165,28 +166,28 @@ def _least_shingle(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "least"])
 
 
-def _token_texts(model: ToxicModel, level: int):
-    """(token, toxic texts, other texts): in how many texts of a chunk each token of the level stands, in words that no earlier level knows."""
-
-    def run(batches):
-        for batch in batches:
-            label = batch.column(0).to_numpy()
-            buf, off, _ = utf8(batch.column(1))
-            for lo, hi in chunks(off):
-                part = buf[off[lo] : off[hi]]
-                starts, ends, rows = word_spans(part, off[lo : hi + 1] - off[lo], ALNUM[0])
-                row = np.repeat(np.arange(hi - lo), np.diff(rows))
-                at, h = known_tokens(model, part, starts, ends, level)
-                order = np.lexsort((row[at], h))
-                h, r = h[order], row[at][order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-                tokens, inverse = np.unique(h[new], return_inverse=True)
-                y1 = np.bincount(inverse, label[lo:hi][r[new]], len(tokens)).astype(np.int64)
-                y0 = np.bincount(inverse, minlength=len(tokens)) - y1
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(y1), pa.array(y0)], ["token", "y1", "y0"])
-
-    return run
+def _token_texts(batches):
+    """(token, word, toxic texts, other texts): in how many texts of a chunk each word stands, for the word itself and each of its beginnings."""
+    for batch in batches:
+        label = batch.column(0).to_numpy()
+        buf, off, _ = utf8(batch.column(1))
+        for lo, hi in chunks(off):
+            part = buf[off[lo] : off[hi]]
+            starts, ends, rows = word_spans(part, off[lo : hi + 1] - off[lo], ALNUM[0])
+            row = np.repeat(np.arange(hi - lo), np.diff(rows))
+            h = word_hashes(part, starts, ends, ALNUM[1])
+            order = np.lexsort((row, h))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+            order = order[new]  # one place for each word and text
+            words, first, inverse = np.unique(h[order], return_index=True, return_inverse=True)
+            y1 = np.bincount(inverse, label[lo:hi][row[order]], len(words)).astype(np.int64)
+            y0 = np.bincount(inverse, minlength=len(words)) - y1
+            by_place = np.argsort(order[first])
+            place, words, y1, y0 = order[first][by_place], words[by_place], y1[by_place], y0[by_place]
+            for n in (None, *STEMS):
+                at, tokens = token_levels(part, starts[place], ends[place], np.arange(len(place)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(words[at].view(np.int64)), pa.array(y1[at]), pa.array(y0[at])], ["token", "word", "y1", "y0"])
 
 
 def _corpus_counts(model: ToxicModel):
@@ -255,31 +256,29 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, key: str, tex
 def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> ToxicModel:
     """Fit on labelled texts outside fold ``held``; the prior's counts cover all documents.
 
-    At most TERMS tokens of each level and their counts reach the driver.  Without labels of both kinds nothing is known and
+    At most TERMS tokens and their counts reach the driver.  Without labels of both kinds nothing is known and
     every text gets the share of label 1 (0.5 without any label).
     """
     texts, sizes = labelled_texts(docs, labels, label, key, text, folds, held, sample)
     none = ToxicModel(np.zeros(0, U64), np.zeros(0), prior=sizes.get(1, 0) / sum(sizes.values()) if sizes else 0.5)
-    tokens, y1, y0 = np.zeros(0, U64), np.zeros(0), np.zeros(0)
-    n1 = n0 = 0
-    for level in range(1 + len(STEMS)):
-        counts = stage(texts.mapInArrow(_token_texts(ToxicModel(tokens, y1), level), "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
-        m1, m0 = counts.agg(F.sum("y1"), F.sum("y0")).first()
-        if not level:
-            n1, n0 = m1, m0  # (word, text) pairs of either label
-            if not n1 or not n0:
-                return none
-        a, b = F.col("y1"), F.col("y0")
-        part = lambda y, n: F.when(y > 0, y * F.log(y * (n1 + n0) / ((a + b) * n))).otherwise(0.0)
-        root = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(a, n1) + part(b, n0))))
-        telling = counts.where((a >= LEAST_TEXTS) & (a * n0 > b * n1)).withColumn("root", root).where(F.col("root") >= LEAST_ROOT)
-        rows = telling.orderBy(F.desc("root"), "token").limit(TERMS).collect()
-        tokens = np.concatenate([tokens, np.array([r["token"] for r in rows], np.int64).view(U64)])
-        order = np.argsort(tokens)
-        y1, y0 = (np.concatenate([y, [float(r[c]) for r in rows]])[order] for y, c in ((y1, "y1"), (y0, "y0")))
-        tokens = tokens[order]
-    if not len(tokens):
+    words = stage(texts.mapInArrow(_token_texts, "token long, word long, y1 long, y0 long").groupBy("token", "word").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
+    n1, n0 = words.where("token = word").agg(F.sum("y1"), F.sum("y0")).first()  # (word, text) pairs of either label
+    if not n1 or not n0:
+        return none
+    # a beginning counts without its most frequent word, which speaks for itself
+    top = F.max(F.when(F.col("token") != F.col("word"), F.struct("y1", "y0", "word")))
+    counts = words.groupBy("token").agg((F.sum("y1") - F.coalesce(top["y1"], F.lit(0))).alias("y1"), (F.sum("y0") - F.coalesce(top["y0"], F.lit(0))).alias("y0"))
+    y1, y0 = F.col("y1"), F.col("y0")
+    part = lambda y, n: F.when(y > 0, y * F.log(y * (n1 + n0) / ((y1 + y0) * n))).otherwise(0.0)
+    root = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(y1, n1) + part(y0, n0))))
+    telling = counts.where((y1 >= LEAST_TEXTS) & (y1 * n0 > y0 * n1)).withColumn("root", root).where(F.col("root") >= LEAST_ROOT)
+    rows = telling.orderBy(F.desc("root"), "token").limit(TERMS).collect()
+    if not rows:
         return none
+    tokens = np.array([r["token"] for r in rows], np.int64).view(U64)
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    y1, y0 = (np.array([r[c] for r in rows], np.float64)[order] for c in ("y1", "y0"))
     bare = ToxicModel(tokens, np.ones(len(tokens)))
     seen = np.zeros(len(tokens) + 1)
     everywhere = small_batches(docs).select(F.col(text).cast("string").alias("text")).mapInArrow(_corpus_counts(bare), "at long, n long")
