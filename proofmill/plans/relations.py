@@ -463,53 +463,51 @@ def split_topology(t):
 
 
 NN_SQL = """
-with q as (select doc_id, n_chars, unnest(toks) as tok, len(toks) as n from @docs where doc_id%5=0), r as (select doc_id, unnest(toks) as tok, len(toks) as n from @docs where doc_id%5<>0),
-o as (select q.doc_id, r.doc_id as neighbor, count(*)/(any_value(q.n)+any_value(r.n)-count(*)) as similarity from q join r on q.tok=r.tok group by 1,2),
-o0 as (select d.doc_id, neighbor, coalesce(similarity,0.0) as similarity from (select doc_id from documents where doc_id%5=0) d left join o using (doc_id)),
+with q as (select doc_id, n_chars, unnest(toks) as tok, len(toks) as n from @docs where {0}), r as (select doc_id, unnest(toks) as tok, len(toks) as n from @docs where {1}),
+o as (select q.doc_id, r.doc_id as neighbor, count(*)/(any_value(q.n)+any_value(r.n)-count(*)) as similarity from q join r on q.tok=r.tok and q.doc_id<>r.doc_id group by 1,2),
+o0 as (select d.doc_id, neighbor, coalesce(similarity,0.0) as similarity from (select doc_id from documents where {0}) d left join o using (doc_id)),
 k as (select *, row_number() over (partition by doc_id order by round(similarity,12) desc, neighbor) as rk from o0)
 """
+NN_QUERIES = "doc_id%100=0"  # the searches' query rows; each is compared with all other rows
 
 
-def doc_split(t):
+def doc_split(t, by=100):
     d = doc_sets(t)
-    return d.where("doc_id % 5 = 0"), d.where("doc_id % 5 <> 0")
+    return d.where(f"doc_id % {by} = 0"), d.where(f"doc_id % {by} <> 0")
 
 
-@query("nearest_neighbor", NN_SQL + "select doc_id, neighbor, round(similarity,6) as similarity from k where rk=1")
+@query("nearest_neighbor", NN_SQL.format(NN_QUERIES, "doc_id%100<>0") + "select doc_id, neighbor, round(similarity,6) as similarity from k where rk=1")
 def nearest_neighbor(t):
+    """Two tables: the query rows against the rows that are none."""
     q, r = doc_split(t)
     return SI.top_neighbors(q, r, "doc_id", "tokens", k=1).select("doc_id", "neighbor", F.round("similarity", 6).alias("similarity"))
 
 
-@query("neighbor_vote", NN_SQL + """
+@query("neighbor_vote", NN_SQL.format(NN_QUERIES, "true") + """
 select k.doc_id, round(sum(greatest(similarity,1e-6)*n_chars)/sum(greatest(similarity,1e-6)),4) as prediction, round(max(similarity),6) as max_similarity, count(*) as n_neighbors from k join documents d on d.doc_id=k.neighbor where rk<=3 group by 1
 """)
 def neighbor_vote(t):
-    q, r = doc_split(t)
-    nn = SI.top_neighbors(q, r, "doc_id", "tokens", k=3)
+    nn = SI.top_neighbors(doc_split(t)[0], doc_sets(t), "doc_id", "tokens", k=3, exclude_self=True)
     v = SI.weighted_vote(nn, "doc_id", t.documents, "doc_id", "n_chars")
     return v.select("doc_id", F.round("prediction", 4).alias("prediction"), F.round("max_similarity", 6).alias("max_similarity"), "n_neighbors")
 
 
-LOO_SQL = """
-with s as (select doc_id, unnest(toks) as tok, len(toks) as n from @docs where {}),
-o as (select q.doc_id, r.doc_id as neighbor, count(*)/(any_value(q.n)+any_value(r.n)-count(*)) as similarity from s q join s r on q.tok=r.tok and q.doc_id<>r.doc_id group by 1,2),
-loo as (select d.doc_id, neighbor, coalesce(similarity,0.0) as similarity from (select doc_id from documents where {}) d left join (select *, row_number() over (partition by doc_id order by round(similarity,12) desc, neighbor) as rk from o) x on x.doc_id=d.doc_id and rk=1)
-"""
+@query("nearest_neighbor_self", NN_SQL.format(NN_QUERIES, "true") + "select doc_id, neighbor, round(similarity,6) as similarity from k where rk=1")
+def nearest_neighbor_self(t):
+    """One table: for each query row the nearest other row of all."""
+    nn = SI.top_neighbors(doc_split(t)[0], doc_sets(t), "doc_id", "tokens", k=1, exclude_self=True)
+    return nn.select("doc_id", "neighbor", F.round("similarity", 6).alias("similarity"))
 
 
-@query("nearest_neighbor_self", LOO_SQL.format("doc_id%5=0", "doc_id%5=0") + "select doc_id, neighbor, round(similarity,6) as similarity from loo")
-def nearest_neighbor_self(t):
-    """For each row with doc_id % 5 = 0 the nearest other row of the whole table.  The SQL above searches the rows with doc_id % 5 = 0 only."""
-    q, _ = doc_split(t)
-    return SI.top_neighbors(q, doc_sets(t), "doc_id", "tokens", k=1, exclude_self=True).select("doc_id", "neighbor", F.round("similarity", 6).alias("similarity"))
+LOO_SQL = NN_SQL.format("doc_id%100<>0", "doc_id%100<>0").replace("with q as", "with q0 as").replace("r as (", "r0 as (").replace("o as (", "p0 as (").replace("from q join r on q.tok=r.tok and q.doc_id<>r.doc_id", "from q0 q join r0 r on q.tok=r.tok and q.doc_id<>r.doc_id").replace("o0 as (", "loo0 as (").replace("left join o using", "left join p0 using").replace("k as (", "loo as (").replace("from o0)", "from loo0)")
 
 
-@query("applicability_domain", LOO_SQL.format("doc_id%5<>0", "doc_id%5<>0") + NN_SQL.strip().replace("with q as", ", q as").replace("\no as", "\no1 as").replace("left join o using", "left join o1 using") + """,
-h as (select quantile_cont(similarity, 0.05) as threshold from loo where similarity>0)
+@query("applicability_domain", LOO_SQL + NN_SQL.format(NN_QUERIES, "doc_id%100<>0").strip().replace("with q as", ", q as") + """,
+h as (select quantile_cont(similarity, 0.05) as threshold from loo where similarity>0 and rk=1)
 select doc_id, round(similarity,6) as similarity, round(threshold,6) as threshold, similarity>=threshold as inside from k, h where rk=1
 """)
 def applicability_domain(t):
+    """The query rows against the rest, with the rest's own leave-one-out similarities as the yardstick."""
     q, r = doc_split(t)
     own = SI.top_neighbors(r, r, "doc_id", "tokens", k=1, exclude_self=True)
     near = SI.top_neighbors(q, r, "doc_id", "tokens", k=1)
