@@ -10,12 +10,12 @@ any file system and column pruning on the block directory.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofmill.llm.arrowtext import chunks, utf8
+from proofmill.llm.arrowtext import SPACED, U64, chunks, utf8, word_hashes, word_spans
 from proofmill.llm.common import shuffle_tasks, small_batches, stage
 from proofmill.session import stage_dir
 
 BITS, LANES, STEPS, BLOCK = 20, 1024, 256, 1 << 19
 LOW = 1 << 31
 HEAD = struct.Struct("<4sIIIIIII")  # magic, ids, lanes, bits, steps between checkpoints, checkpoints, words, CRC-32 of the ids
-WORDS = 500_000
 
 
 def shared_frequencies(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -146,65 +145,160 @@ def joined_crc32(first: int, second: int, length: int) -> int:
     return first ^ second
 
 
-class _Words(dict):
-    """White-space separated word (bytes) -> packed ids, as the library encodes it.
+#: Fixed values of the tokenizer files that are read here: how they normalise and split.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    New words go to the library many at a time, with a lone control character between them; words
-    never join over white space, so the ids between two such characters are those of one word.
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """(byte hashed as, byte is an ASCII mark)."""
+    value = np.arange(1, 257, dtype=U64)
+    value[65:91] = value[97:123]
+    mark = np.zeros(256, bool)
+    mark[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+    return value, mark
+
+
+VALUE, IS_MARK = _classes()
+
+
+class _Pieces:
+    """Ids of the pieces of white-space separated words, as the library encodes them, found again by 64-bit hash.
+
+    A word is cut before the ASCII marks at its end where an ASCII letter or digit or a Latin-1 letter
+    stands before them: there a run of letters or a digit ends for this split pattern, and no character
+    composes with an ASCII one after it.  A-Z are hashed as a-z, as the tokenizer lower-cases.  Pieces
+    that could hold an added token, and long ones, are encoded as they are.  New pieces go to the
+    library many at a time, with a lone control character between them; ids between two of those are one piece's.
     """
 
-    MARK, TOGETHER, LONG = b"\x7f", 64, 64
+    BREAK, TOGETHER, LONG, BITS, KEPT = b"\x7f", 256, 64, 21, 1 << 23
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.library, self.kind = Tokenizer.from_file(path), np.dtype(kind)
-        self.mark = self._ids(self.MARK)
-
-    def _ids(self, word: bytes) -> list[int]:
-        return self.library.encode(word.decode(errors="replace"), add_special_tokens=False).ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self._ids(word), self.kind).tobytes()
-        if len(word) <= self.LONG:
-            self[word] = ids
-        return ids
-
-    def learn(self, words: set) -> None:
-        if len(self) + len(words) > WORDS:
-            self.clear()
-        fresh = [w for w in words.difference(self) if len(w) <= self.LONG and self.MARK not in w]
-        groups = [fresh[i : i + self.TOGETHER] for i in range(0, len(fresh), self.TOGETHER)]
-        texts = [(b" " + self.MARK + b" ").join(g).decode(errors="replace") for g in groups]
-        if len(self.mark) != 1:
-            return
+        made = json.loads(self.library.to_str())
+        normal = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        first = splits[0] if splits else {}
+        level = splits[1] if len(splits) == 2 else {}
+        if normal != NORMALIZERS or first.get("pattern") != {"Regex": SPLIT} or not first.get("invert") or level.get("add_prefix_space") or level.get("use_regex"):
+            raise ValueError("the tokenizer neither lower-cases nor splits as the cuts made here need it")
+        added = [t["content"].encode() for t in made["added_tokens"]]
+        self.first, self.last = np.zeros(256, bool), np.zeros(256, bool)
+        self.first[[t[0] for t in added]] = True
+        self.last[[t[-1] for t in added]] = True
+        self.mark = self._ids(self.BREAK)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, U64)
+        self.at = np.zeros(1 << self.BITS, np.int64)
+        self.size = np.zeros(1 << self.BITS, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _ids(self, piece: bytes) -> list[int]:
+        return self.library.encode(piece.decode(errors="replace"), add_special_tokens=False).ids
+
+    def _store(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of the ids of each piece, now in the store; short pieces without the break go to the library together."""
+        at, size, done, parts, used = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), np.zeros(len(pieces), bool), [], self.used
+        short = np.array([i for i, p in enumerate(pieces) if len(p) <= self.LONG and self.BREAK not in p] if len(self.mark) == 1 else [], np.int64)
+        groups = [short[i : i + self.TOGETHER] for i in range(0, len(short), self.TOGETHER)]
+        texts = [(b" " + self.BREAK + b" ").join([pieces[i] for i in g]).decode(errors="replace") for g in groups]
         for group, found in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(found.ids, self.kind)
-            at = np.flatnonzero(ids == self.mark[0])
-            if len(at) != len(group) - 1:
-                continue  # each of them is then encoded alone
-            raw, width = ids.tobytes(), self.kind.itemsize
-            starts, ends = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(raw)]
-            self.update({w: raw[x:y] for w, x, y in zip(group, starts, ends)})
+            inside = ids != self.mark[0]
+            number = np.diff(np.concatenate([[-1], np.flatnonzero(~inside), [len(ids)]])) - 1
+            if len(number) == len(group):
+                at[group], size[group], done[group] = used + np.cumsum(number) - number, number, True
+                parts.append(ids[inside])
+                used += len(parts[-1])
+        for i in np.flatnonzero(~done):
+            parts.append(np.array(self._ids(pieces[i]), self.kind))
+            at[i], size[i] = used, len(parts[-1])
+            used += len(parts[-1])
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(used, len(self.ids)), self.kind)])
+        if parts:
+            self.ids[self.used : used] = np.concatenate(parts)
+        self.used = used
+        return at, size
+
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        down = U64(64 - self.BITS)
+        return h >> down, (h * U64(0x9E3779B97F4A7C15)) >> down
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, n + 1 offsets of the texts)."""
+        if self.used > self.KEPT:
+            self.clear()
+        s, e, rows = word_spans(buf, offsets, SPACED[0])
+        if not len(s):
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        marks = IS_MARK[buf]
+        end = np.maximum.accumulate(np.where(marks, 0, np.arange(1, len(buf) + 1)))[e - 1]  # after the last byte that is no mark
+        before, lead = buf[np.maximum(end - 1, 0)], buf[np.maximum(end - 2, 0)]
+        letter = (before < 128) & ~IS_MARK[before] | (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        added = lambda which, a, b: (total := np.concatenate([[0], np.cumsum(which[buf])]))[b] > total[a]
+        cut = (end > s) & (end < e) & letter & (before > 32) & (before != 127) & ~added(self.last, np.maximum(end, s), e)
+        count = 1 + cut
+        head = np.cumsum(count) - count
+        starts, ends = np.repeat(s, count), np.repeat(e, count)
+        ends[head[cut]] = end[cut]
+        starts[head[cut] + 1] = end[cut]
+        rows = np.concatenate([head, [len(starts)]])[rows]
+
+        h = word_hashes(buf, starts, ends, VALUE)
+        h[h == 0] = 1
+        plain = (ends - starts <= self.LONG) & ~added(self.first, starts, ends)
+        one, two = self._slots(h)
+        slot = np.where(self.keys[one] == h, one, two)
+        known = (self.keys[slot] == h) & plain
+        at, size = self.at[slot], self.size[slot]
+        fresh = np.flatnonzero(~known & plain)
+        if len(fresh):
+            keys, first, inverse = np.unique(h[fresh], return_index=True, return_inverse=True)
+            place, number = self._store([buf[starts[i] : ends[i]].tobytes() for i in fresh[first]])
+            at[fresh], size[fresh] = place[inverse], number[inverse]
+            one, two = self._slots(keys)
+            slot = np.where(self.keys[one] == 0, one, two)
+            self.keys[slot], self.at[slot], self.size[slot] = keys, place, number
+            # where two keys met in a slot, the one that stands there has its place
+            _, lasts = np.unique(slot[::-1], return_index=True)
+            last = len(slot) - 1 - lasts
+            self.keys[slot[last]], self.at[slot[last]], self.size[slot[last]] = keys[last], place[last], number[last]
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            texts: dict[bytes, int] = {}
+            which = np.array([texts.setdefault(buf[starts[i] : ends[i]].tobytes(), len(texts)) for i in odd])
+            place, number = self._store(list(texts))
+            at[odd], size[odd] = place[which], number[which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(at - upto[:-1], size) + np.arange(upto[-1])], upto[rows]
 
 
 @lru_cache(maxsize=2)
-def _words(path: str, kind: str) -> _Words:
+def _pieces(path: str, kind: str) -> _Pieces:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return _Words(path, kind)
+    return _Pieces(path, kind)
 
 
 def _tokenize(path: str, end_id: int, kind: str):
     def run(batches):
-        cache, end = _words(path, kind), np.array([end_id], kind).tobytes()
-        width = len(end)
+        cache, width = _pieces(path, kind), np.dtype(kind).itemsize
         for batch in batches:
             buf, off, _ = utf8(batch.column(1))
             for lo, hi in chunks(off):
-                texts = [buf[off[i] : off[i + 1]].tobytes().split() for i in range(lo, hi)]
-                cache.learn(set(chain.from_iterable(texts)))
-                out = [b"".join(map(cache.__getitem__, words)) + end for words in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                ids, rows = cache.encode(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                n = hi - lo
+                sizes = np.diff(rows) + 1
+                out = np.full(len(ids) + n, end_id, kind)
+                out[np.arange(len(ids)) + np.repeat(np.arange(n), sizes - 1)] = ids  # an end id after each row
+                bounds = pa.py_buffer((np.concatenate([[0], np.cumsum(sizes)]) * width).astype(np.int32).tobytes())
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, bounds, pa.py_buffer(out.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(sizes, pa.int64()), packed], ["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -260,8 +354,8 @@ def _blocks(kind: str, freq: np.ndarray, bits: int, most: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> None:
     """Encode every text, append ``end_id``, and write block rows in ascending key order under ``path``.
 
-    ``tokenizer`` is a tokenizers file whose words never reach over ASCII white space, so each distinct
-    word of a task is encoded by the library once.  Null texts count as empty and hold only the end
+    ``tokenizer`` is a tokenizers file of the kind that ``_Pieces`` states (else an error), so each distinct piece
+    of a word is encoded by the library once in a task.  Null texts count as empty and hold only the end
     id; rows without a key come first; repeated keys follow each other.  Ids are shuffled, not texts.
     """
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
