@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import chunks, utf8
-from proofmill.llm.common import small_batches
+from proofmill.llm.common import hash_sample, small_batches
 
 WINDOW, WIDTHS, FILTERS, DIM = 192, (2, 3, 4), 16, 8
 #: At most this many labelled rows of each language are learned from, three windows of each.
@@ -129,11 +129,11 @@ def learn_languages(docs: DataFrame, label: str = "lang", key: str = "doc_id", t
     """
     body = F.col(text).cast("string")
     fit = docs.where(F.col(label).isNotNull() & (hashed_remainder(F.col(key), folds) != 0) & body.rlike(r"\p{L}"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key", "size"))
     n = F.length(body)
     cut = [F.substring(body, 1, WINDOW), F.substr(body, F.greatest(F.lit(1), (n / 2).cast("int")), F.lit(WINDOW)), F.substr(body, F.greatest(F.lit(1), n - WINDOW), F.lit(WINDOW))]
     fit = fit.select(F.col(label).cast("string").alias("label"), F.col(key).alias("key"), n.alias("size"), F.array(*cut).alias("cuts"))
-    rows = sorted(fit.withColumn("nth", nth).where(F.col("nth") <= sample).select("label", "nth", "cuts").collect())
+    drawn = hash_sample(fit, "label", ["key", "size"], sample)
+    rows = sorted(drawn.select("label", F.xxhash64("key").alias("h"), "cuts").collect())
     names = sorted({r["label"] for r in rows})
     if not names:
         return [], None

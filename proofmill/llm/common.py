@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.session import stage_dir
@@ -65,3 +65,16 @@ def bit_table(tokens: DataFrame, column: str, bits: int = 22) -> bytes:
 
 def unpack_bits(table: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(table, np.uint8), bitorder="little").view(bool)
+
+
+def hash_sample(df: DataFrame, label: str, order: list, most: int) -> DataFrame:
+    """At most ``most`` rows of each label, those with the least hash of ``order[0]``.
+
+    Rows whose hash lies above what the label's number of rows leaves are let go where they are read, so
+    about ``most`` rows of a label are sorted, however many it has.
+    """
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    share = most * (1 + 6 / most**0.5) / F.col("__n")
+    few = df.join(sizes, label).where(F.pmod(F.xxhash64(order[0]), F.lit(1 << 30)) < share * (1 << 30)).drop("__n")
+    nth = F.row_number().over(Window.partitionBy(label).orderBy(F.pmod(F.xxhash64(order[0]), F.lit(1 << 30)), *order))
+    return few.withColumn("__nth", nth).where(F.col("__nth") <= most).drop("__nth")

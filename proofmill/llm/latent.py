@@ -1,7 +1,7 @@
 """Text quality by a vote of the nearest labelled documents in a latent-semantic space.
 
-Terms are hashed n-grams of character shapes (letters, capitals, digits, and each mark as itself).
-Their document frequencies cover all documents; a bounded labelled sample gives the latent space
+Terms are hashed n-grams of character shapes (letters, capitals, digits, and each mark as itself), hashed
+words, and hashed pairs of words.  Their document frequencies cover all documents; a bounded labelled sample gives the latent space
 and the labelled vectors.  Every document is scored by exact cosine products with all of them, block
 by block, and its nearest neighbours vote with weights that grow with similarity.
 """
@@ -12,15 +12,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofmill.llm.arrowtext import chunks, utf8
+from proofmill.llm.arrowtext import SPACED, U64, chunks, mix, utf8, word_hashes, word_spans
 from proofmill.llm.bytecnn import hashed_remainder
-from proofmill.llm.common import small_batches
+from proofmill.llm.common import hash_sample, small_batches
 
-TERMS, GRAM, RANK = 4096, 4, 32
+#: Hashed terms of each kind (shapes; words and their pairs), length of a shape, latent axes.
+KIND, GRAM, RANK = 4096, 4, 32
+TERMS = 2 * KIND
+#: Length of the word part of a document's vector; that of the shape part is 1.
+WORDS = 0.5
 #: At most this many labelled rows of each label are learned from.
 SAMPLE, NEIGHBOURS, SHARPNESS = 800, 15, 4
 
@@ -38,19 +42,35 @@ SHAPES = _shapes()
 
 
 def term_counts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows by terms: how often each hashed shape n-gram occurs; a text shorter than one has none."""
+    """Rows by terms: how often each hashed shape n-gram, and each hashed word or pair of words, occurs."""
     n = len(offsets) - 1
+    out = np.zeros((n, TERMS), np.int64)
     ends = len(buf) - GRAM + 1
-    if ends <= 0:
-        return np.zeros((n, TERMS), np.int64)
-    shape = SHAPES[buf]
-    h = np.zeros(ends, np.uint32)
-    for i in range(GRAM):
-        h = (h + shape[i : i + ends]) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-    row = np.repeat(np.arange(n), np.diff(offsets))[:ends]
-    inside = np.arange(ends) + GRAM <= offsets[1:][row]
-    return np.bincount(row[inside] * TERMS + (h[inside] % TERMS), minlength=n * TERMS).reshape(n, TERMS)
+    if ends > 0:
+        shape = SHAPES[buf]
+        h = np.zeros(ends, np.uint32)
+        for i in range(GRAM):
+            h = (h + shape[i : i + ends]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        row = np.repeat(np.arange(n), np.diff(offsets))[:ends]
+        inside = np.arange(ends) + GRAM <= offsets[1:][row]
+        out[:, :KIND] = np.bincount(row[inside] * KIND + (h[inside] % KIND), minlength=n * KIND).reshape(n, KIND)
+    starts, stops, rows = word_spans(buf, offsets, SPACED[0])
+    if len(starts):
+        words = word_hashes(buf, starts, stops, SPACED[1])
+        row = np.repeat(np.arange(n), np.diff(rows))
+        pairs = np.flatnonzero(row[1:] == row[:-1])
+        h = np.concatenate([words, mix(words[pairs] ^ (words[pairs + 1] * U64(3)))])
+        row = np.concatenate([row, row[pairs]])
+        out[:, KIND:] = np.bincount(row * KIND + (h >> U64(52)).astype(np.int64) % KIND, minlength=n * KIND).reshape(n, KIND)
+    return out
+
+
+def unit_parts(x: np.ndarray) -> np.ndarray:
+    """Each row's shape part at length 1 and its word part at length WORDS; a part without terms stays 0."""
+    for part, length in ((x[:, :KIND], 1.0), (x[:, KIND:], WORDS)):
+        part *= length / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+    return x
 
 
 def _frequencies(batches):
@@ -96,20 +116,21 @@ class LatentVote:
         x = np.zeros(counts.shape, np.float32)
         r, c = np.nonzero(counts)
         x[r, c] = (1 + np.log(counts[r, c])) * self.idf[c]
-        z = x @ self.axes
+        z = unit_parts(x) @ self.axes
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         z = self.project(counts)
         if not len(self.vectors):
             return np.full(len(z), self.prior)
-        cosine = z @ self.vectors.T
+        cosine = np.round((z @ self.vectors.T).astype(np.float64), 6)
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        s = np.take_along_axis(cosine, near, 1).astype(np.float64)
-        w = np.maximum(s, 0) ** SHARPNESS * self.weights[near]
+        last = np.partition(cosine, -k, axis=1)[:, -k, None]
+        near, tied = cosine > last, cosine == last
+        near |= tied & (np.cumsum(tied, 1) <= k - near.sum(1, keepdims=True))  # of equal cosines the first labelled rows
+        w = np.where(near, np.maximum(cosine, 0) ** SHARPNESS * self.weights, 0)
         total = w.sum(1)
-        vote = (w * self.labels[near]).sum(1)
+        vote = w @ self.labels
         return np.where(total > 0, np.clip(vote / np.maximum(total, 1e-300), 0, 1), self.prior)
 
 
@@ -130,8 +151,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     known = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     known = known.where(hashed_remainder(F.col("key"), folds) != held).groupBy("key").agg(F.min("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
-    drawn = known.withColumn("nth", nth).where(F.col("nth") <= sample).select("key", "label")  # at most 2 * sample rows
+    drawn = hash_sample(known, "label", ["key"], sample).select("key", "label")  # at most 2 * sample rows
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "key")
     texts = texts.groupBy("key", "label").agg(F.min("text").alias("text")).select("label", "text")
     rows = texts.mapInArrow(_sparse, "label int, terms array<long>, counts array<long>").collect()
@@ -145,8 +165,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     weights = np.array([sizes[int(v)] / max(1, (y == v).sum()) for v in y])
     model = LatentVote(idf, np.eye(TERMS, RANK, dtype=np.float32), np.zeros((0, RANK), np.float32), y, weights, prior)
     if len(rows):
-        x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = unit_parts(np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf)
         model.axes = _latent_axes(x, min(RANK, *x.shape)).astype(np.float32)
         model.vectors = model.project(counts).astype(np.float32)
     return model
@@ -183,7 +202,7 @@ def with_score(docs: DataFrame, model: LatentVote, name: str, text: str = "text"
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of ``docs``, from the text alone.
 
-    Null, empty and very short texts have no terms and get the share of label 1 among the labels
+    Null and empty texts, and others without terms, get the share of label 1 among the labels
     learned (0.5 without any).  Repeated rows score alike; an empty table gives no rows.
     """
     model = learn_quality(docs, labels, key=key, text=text, folds=folds, held=held)
