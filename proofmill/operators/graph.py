@@ -1,8 +1,7 @@
-"""Components, leader clusters, matchings and Pareto fronts as rounds of joins."""
+"""Components, leader clusters and matchings as rounds of joins."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,80 +129,3 @@ def greedy_matching(pairs: DataFrame, a: str, b: str, order) -> DataFrame:
             return res.drop("__k")
         out = take if out is None else out.unionByName(take)
         live = cut_lineage(live.join(take.select(a), a, "left_anti").join(take.select(b), b, "left_anti"))
-
-
-def _beaten_by(x, judges, ranks):
-    """For each row of ``x`` the largest rank among the judges that dominate it, 0 without one; larger values are better."""
-    import numpy as np
-
-    out = np.zeros(len(x), dtype="int64")
-    for i in range(0, len(x), 256):
-        part = x[i : i + 256]
-        dominated = np.ones((len(part), len(judges)), dtype=bool)
-        for c in range(x.shape[1]):
-            dominated &= judges[None, :, c] >= part[:, None, c]
-        out[i : i + 256] = np.where(dominated, ranks[None, :], 0).max(1, initial=0)
-    return out
-
-
-def _ranks_inside(x, start):
-    """Fronts of one block of distinct points, each at least one below ``start``."""
-    import numpy as np
-
-    order = np.lexsort((*(-x[:, c] for c in range(x.shape[1] - 1, -1, -1)), -x.sum(axis=1)))
-    y, best = x[order], start[order]
-    for i in range(len(y)):
-        # a dominator has no smaller sum and no smaller coordinate, so it comes earlier
-        above = np.all(y[:i] >= y[i], axis=1)
-        best[i] = max(best[i], best[:i][above].max(initial=0)) + 1
-    out = np.empty_like(best)
-    out[order] = best
-    return out
-
-
-def pareto_ranks(df: DataFrame, key: str, objectives, eligible: str | None = None, *, block: int = 4000) -> DataFrame:
-    """(key, front): 1 for non-dominated eligible rows, then peeled; others NULL.  Larger is better.
-
-    Equal points are collapsed and put in the order of falling sums, in which nothing dominates an
-    earlier point; points of one sum share a block.  Blocks of that order are ranked one after another: a block meets every earlier
-    block in a task of its own (two blocks in memory at most), a point's front is one more than the
-    largest front among its dominators, and the block's own points are settled in one more task.
-    """
-    from proofmill.operators.ranking import ranked_values
-
-    names = list(objectives)
-    ok = None
-    for c in names:
-        t = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-        ok = t if ok is None else ok & t
-    if eligible:
-        ok = ok & F.coalesce(F.col(eligible), F.lit(False))
-    src = df.select(key, ok.alias("__ok"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in names])
-    pts = cut_lineage(src.where("__ok").select(*names).distinct())
-    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
-    placed = pts.withColumn("__s", F.negate(total))
-    place = ranked_values(placed, "__s").select("__s", F.expr(f"cast(n_before div {int(block)} as int)").alias("__block"))
-    placed = cut_lineage(placed.join(place, "__s").select(*names, "__block"))
-    fields = ", ".join(f"`{c}` double" for c in names)
-
-    def against(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        best = _beaten_by(left[names].to_numpy(float), right[names].to_numpy(float), right["front"].to_numpy("int64"))
-        return left[names].assign(front=best)
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[names].assign(front=_ranks_inside(pdf[names].to_numpy(float), pdf["front"].to_numpy("int64")), __block=pdf["__block"])
-
-    done, before = None, []
-    for (b,) in placed.select("__block").distinct().orderBy("__block").collect():
-        now = placed.where(F.col("__block") == b)
-        if done is None:
-            started = now.withColumn("front", F.lit(0).cast("long"))
-        else:
-            copies = now.select(*names, F.explode(F.array(*map(F.lit, before))).alias("__block"))
-            met = copies.groupBy("__block").cogroup(done.groupBy("__block")).applyInPandas(against, f"{fields}, front long")
-            started = met.groupBy(*names).agg(F.max("front").alias("front")).withColumn("__block", F.lit(b))
-        ranked = cut_lineage(started.select(*names, "front", "__block").groupBy("__block").applyInPandas(inside, f"{fields}, front long, __block int"))
-        done = ranked if done is None else done.unionByName(ranked)
-        before.append(b)
-    ranks = pts.limit(0).withColumn("front", F.lit(1)) if done is None else done.select(*names, F.col("front").cast("int").alias("front"))
-    return src.join(ranks.withColumn("__ok", F.lit(True)), [*names, "__ok"], "left").select(key, "front")

@@ -9,6 +9,7 @@ from proofmill.operators import features as FT
 from proofmill.operators import graph as G
 from proofmill.operators import joins as J
 from proofmill.operators import pairs as PR
+from proofmill.operators import pareto as PA
 from proofmill.operators import priority as PI
 from proofmill.plans import policy as PO
 from proofmill.session import cut_lineage
@@ -704,7 +705,57 @@ r(id, k) as (select p_partkey, 1 from p union select d.loser, r.k+1 from r join
 def pareto_fronts(t):
     d = desired(t).withColumn("ok", ~F.col("invalid"))
     d = d.select("p_partkey", "ok", *[F.round(f"{c}_d", 4).alias(c) for c in ("potency", "quality", "property")])
-    return G.pareto_ranks(d, "p_partkey", ["potency", "quality", "property"], "ok")
+    return PA.pareto_ranks(d, "p_partkey", ["potency", "quality", "property"], "ok")
+
+
+def _fronts(name: str, columns) -> str:
+    better = " and ".join(f"x.{c}>=y.{c}" for c in columns)
+    return f"""
+{name}_p as materialized (select p_partkey, {", ".join(f"round({c},4) as {c}" for c in columns)} from @prior where not invalid{" and safety_d is not null" if "safety_d" in columns else ""}),
+{name}_d as materialized (select x.p_partkey as winner, y.p_partkey as loser from {name}_p x join {name}_p y on {better} and ({" or ".join(f"x.{c}>y.{c}" for c in columns)})),
+{name}_r(id, k) as (select p_partkey, 1 from {name}_p union select d.loser, r.k+1 from {name}_r r join {name}_d d on d.winner=r.id), {name}_f as (select id, max(k)::int as front from {name}_r group by 1)"""
+
+
+DISCOVERY = ["potency_d", "quality_d", "property_d", "evidence_d"]
+
+
+@query("candidate_ranks", f"""
+with recursive {_fronts('a', DISCOVERY)},{_fronts('b', [*DISCOVERY, 'safety_d'])},
+o as (select p_partkey, a_f.front as discovery_front, b_f.front as complete_front, round(score_without_safety,9) as sa, round(complete_score,9) as sb, round(potency,9) as pot from @prior left join a_f on a_f.id=p_partkey left join b_f on b_f.id=p_partkey)
+select p_partkey, discovery_front, complete_front, case when discovery_front is not null then row_number() over (partition by discovery_front is null order by discovery_front, sa desc, pot desc, p_partkey) end as discovery_rank,
+ case when complete_front is not null then row_number() over (partition by complete_front is null order by complete_front, sb desc, pot desc, p_partkey) end as complete_rank from o
+""")
+def candidate_ranks(t):
+    """Places by front first, then score, then potency, without and with the safety objective."""
+    d = prioritized(t).withColumns({"ok": ~F.col("invalid"), "ok_safe": ~F.col("invalid") & F.col("safety_d").isNotNull()})
+    d = d.withColumns({"sa": F.round("score_without_safety", 9), "sb": F.round("complete_score", 9), "pot": F.round("potency", 9)})
+    d = cut_lineage(d.select("p_partkey", "ok", "ok_safe", "sa", "sb", "pot", *[F.round(c, 4).alias(c) for c in [*DISCOVERY, "safety_d"]]))
+    a = PA.pareto_ranks(d, "p_partkey", DISCOVERY, "ok").withColumnRenamed("front", "discovery_front")
+    b = PA.pareto_ranks(d, "p_partkey", [*DISCOVERY, "safety_d"], "ok_safe").withColumnRenamed("front", "complete_front")
+    d = cut_lineage(d.join(a, "p_partkey").join(b, "p_partkey"))
+    out = d.select("p_partkey", "discovery_front", "complete_front")
+    out = out.join(PA.front_first(d, "p_partkey", "discovery_front", ["sa", "pot"], "discovery_rank"), "p_partkey")
+    return out.join(PA.front_first(d, "p_partkey", "complete_front", ["sb", "pot"], "complete_rank"), "p_partkey")
+
+
+@query("robust_ranking", """
+with recursive e as (select p_partkey, invalid, case when violations<>3 then round(least(potency-spread/2,8.0),6) end as a, violations=3 as a_miss, inside as a_in, case when n_exact>=25 then -round(quality+0.1,6) end as b, n_exact<25 as b_miss from @items),
+u as (select p_partkey, not invalid and not b_miss as ok, case when not a_miss and a_in then a end as a, a_miss or (not a_miss and not a_in) as a_fill, b,
+  concat_ws('; ', case when invalid then 'hard constraints' end, case when a_miss then 'missing a, worst case' end, case when not a_miss and not a_in then 'a outside domain, worst case' end, case when b_miss then 'missing b' end) as reasons from e),
+l as (select min(a) as lo, max(a) as hi from u), f as (select p_partkey, ok, reasons, case when a_fill then lo-greatest(1e-9,0.01*greatest(hi-lo,1.0)) else a end as a, b from u, l),
+p as materialized (select p_partkey, a, b from f where ok and a is not null and b is not null), d as materialized (select x.p_partkey as winner, y.p_partkey as loser from p x join p y on x.a>=y.a and x.b>=y.b and (x.a>y.a or x.b>y.b)),
+r(id, k) as (select p_partkey, 1 from p union select d.loser, r.k+1 from r join d on d.winner=r.id), n as (select id, max(k)::int as front from r group by 1),
+m as (select min(a) as a0, max(a) as a1, min(b) as b0, max(b) as b1 from f where ok), s as (select f.*, front, case when ok then round((a-a0)/(a1-a0)*0.7+(b-b0)/(b1-b0)*0.3,9) end as priority_score from f left join n on n.id=f.p_partkey, m)
+select p_partkey, ok as eligible, reasons, front, round(priority_score,6) as priority_score, case when front is not null then row_number() over (partition by front is null order by front, priority_score desc, p_partkey) end as place from s
+""")
+def robust_ranking(t):
+    d = items(t).select(
+        "p_partkey", (~F.col("invalid")).alias("feasible"), F.when(F.col("violations") != 3, F.round(F.col("potency") - F.col("spread") / 2, 6)).alias("a_lower"), (F.col("potency") + F.col("spread") / 2).alias("a_upper"),
+        F.col("inside").alias("a_inside"), (F.col("quality") - 0.1).alias("b_lower"), F.when(F.col("n_exact") >= 25, F.round(F.col("quality") + 0.1, 6)).alias("b_upper"), F.lit(False).alias("b_inside"),
+    )
+    goals = [{"endpoint": "a", "direction": "maximize", "target": 8.0, "missing": "warn", "outside": "warn", "weight": 0.7}, {"endpoint": "b", "direction": "minimize", "missing": "reject", "outside": "ignore", "weight": 0.3}]
+    out = PA.robust_ranking(d, "p_partkey", goals, "feasible")
+    return out.withColumn("priority_score", F.round("priority_score", 6))
 
 
 @query("constraint_evaluation", """

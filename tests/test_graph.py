@@ -147,22 +147,6 @@ def test_greedy_matching(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [7, 4000])
-def test_pareto(spark, block):
-    rng = np.random.default_rng(4)
-    x = np.round(rng.random((60, 2)), 1)
-    df = spark.createDataFrame([(i, float(a), float(b), i % 9 != 0) for i, (a, b) in enumerate(x)], "id int, a double, b double, ok boolean")
-    left = {i for i in range(60) if i % 9}
-    want, k = {}, 1
-    while left:
-        f = {i for i in left if not any((x[j] >= x[i]).all() and (x[j] > x[i]).any() for j in left)}
-        want.update({i: k for i in f})
-        left -= f
-        k += 1
-    got = {r.id: r.front for r in G.pareto_ranks(df, "id", ["a", "b"], "ok", block=block).collect()}
-    assert got == {i: want.get(i) for i in range(60)}
-
-
 def test_leader_clusters(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (3, 4, 0.8)], "id_a int, id_b int, similarity double")
     nodes = spark.createDataFrame([(i, 1) for i in range(1, 6)], "id int, copies int")
