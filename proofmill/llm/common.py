@@ -67,14 +67,23 @@ def unpack_bits(table: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(table, np.uint8), bitorder="little").view(bool)
 
 
+#: Distinct labels that a sample is drawn for; more are no classes.
+LABELS = 4096
+
+
 def hash_sample(df: DataFrame, label: str, order: list, most: int) -> DataFrame:
     """At most ``most`` rows of each label, those with the least hash of ``order[0]``.
 
     Rows whose hash lies above what the label's number of rows leaves are let go where they are read, so
-    about ``most`` rows of a label are sorted, however many it has.
+    about ``most`` rows of a label are moved and sorted, however many it has.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    share = most * (1 + 6 / most**0.5) / F.col("__n")
-    few = df.join(sizes, label).where(F.pmod(F.xxhash64(order[0]), F.lit(1 << 30)) < share * (1 << 30)).drop("__n")
-    nth = F.row_number().over(Window.partitionBy(label).orderBy(F.pmod(F.xxhash64(order[0]), F.lit(1 << 30)), *order))
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(LABELS + 1).collect()
+    if len(sizes) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    if not sizes:
+        return df.limit(0)
+    shares = F.create_map(*[F.lit(v) for r in sizes if r[0] is not None for v in (r[0], most * (1 + 6 / most**0.5) / r["n"])])
+    place = F.pmod(F.xxhash64(order[0]), F.lit(1 << 30))
+    few = df.where(place < shares[F.col(label)] * (1 << 30))
+    nth = F.row_number().over(Window.partitionBy(label).orderBy(place, *order))
     return few.withColumn("__nth", nth).where(F.col("__nth") <= most).drop("__nth")
