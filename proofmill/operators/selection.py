@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,87 +72,3 @@ def quota_plan(df: DataFrame, key: str, series: str, categories, *, per_series:
         "category", "quota", F.coalesce("selected", F.lit(0)).alias("selected"), (F.col("quota") - F.coalesce("selected", F.lit(0))).alias("shortfall")
     )
     return chosen, summary
-
-
-def pair_quota(pairs: DataFrame, a: str, b: str, order, used: DataFrame, key: str, quota: int) -> DataFrame:
-    """Best pairs whose members are both free, each member in at most one pair, atomically."""
-    from proofmill.operators.graph import greedy_matching
-
-    free = pairs
-    for side in (a, b):
-        free = free.join(F.broadcast(used.select(F.col(key).alias(side))), side, "left_anti")
-    return greedy_matching(free, a, b, order).orderBy(*order).limit(quota)
-
-
-def _distance(vec: str, point: list[float]) -> Column:
-    lit = F.array(*[F.lit(float(x)) for x in point])
-    sq = F.zip_with(F.col(vec), lit, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
-
-
-def maximin(df: DataFrame, key: str, vec: str, k: int, *, mandatory=(), stratum: str | None = None, per_stratum: int | None = None) -> list:
-    """Greedy farthest-point picks: each round adds the row farthest from those chosen.
-
-    The running minimum distance is a column; each round needs one scan and returns one row
-    (``max_by`` combines map-side).  The first pick without mandatory keys is the longest vector.
-    """
-    dim_zero = df.select(F.size(vec)).first()[0] * [0.0]
-    work = df.select(key, F.col(vec).cast("array<double>").alias(vec), *([stratum] if stratum else [])).withColumn("__d", F.lit(None).cast("double"))
-    chosen: list = []
-    full: dict = {}
-
-    def add(row):
-        nonlocal work
-        chosen.append(row[key])
-        if stratum:
-            full[row[stratum]] = full.get(row[stratum], 0) + 1
-        work = work.withColumn("__d", F.least(F.col("__d"), _distance(vec, row[vec])))
-        if len(chosen) % 8 == 0:
-            work = cut_lineage(work)
-
-    for row in df.where(F.col(key).isin(*mandatory)).select(work.columns[:-1]).orderBy(key).collect() if mandatory else []:
-        add(row.asDict())
-    while len(chosen) < k:
-        pool = work.where(~F.col(key).isin(*chosen)) if chosen else work
-        if stratum and per_stratum:
-            done = [s for s, n in full.items() if n >= per_stratum]
-            pool = pool.where(~F.col(stratum).isin(*done)) if done else pool
-        score = F.coalesce(F.col("__d"), _distance(vec, dim_zero))
-        best = pool.agg(
-            F.min_by(F.struct(*work.columns[:-1]), F.struct(F.negate(F.round(score, 9)), F.col(key))).alias("b")
-        ).first().b
-        if best is None:
-            break
-        add(best.asDict())
-    return chosen
-
-
-def information_gain(vec: str, inverse) -> Column:
-    """log(1 + x' A^-1 x) for a small d x d inverse, evaluated on Arrow batches (D-optimal gain)."""
-    a = np.asarray(inverse, dtype=float)
-
-    @F.pandas_udf("double")
-    def gain(v: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(r, dtype=float) for r in v]) if len(v) else np.zeros((0, len(a)))
-        return pd.Series(np.log1p(np.einsum("ij,jk,ik->i", x, a, x)))
-
-    return gain(F.col(vec))
-
-
-def d_optimal(df: DataFrame, key: str, vec: str, k: int, ridge: float = 1.0) -> list:
-    """Greedy information picks; only the d x d matrix lives on the driver."""
-    d = df.select(F.size(vec)).first()[0]
-    inv = np.eye(d) / ridge
-    work = df.select(key, F.col(vec).cast("array<double>").alias(vec))
-    chosen: list = []
-    while len(chosen) < k:
-        pool = work.where(~F.col(key).isin(*chosen)) if chosen else work
-        gain = F.round(information_gain(vec, inv), 9)
-        best = pool.agg(F.min_by(F.struct(key, vec), F.struct(F.negate(gain), F.col(key))).alias("b")).first().b
-        if best is None:
-            break
-        chosen.append(best[key])
-        x = np.asarray(best[vec])
-        ax = inv @ x
-        inv = inv - np.outer(ax, ax) / (1.0 + x @ ax)
-    return chosen

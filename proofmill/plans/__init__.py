@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality", "modelling", "storage", "splitting")
+MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality", "modelling", "storage", "splitting", "panels")
 
 
 def load():

@@ -805,18 +805,6 @@ def quota_selection(t):
     return picks
 
 
-@query("panel_maximin")
-def panel_maximin(t):
-    keys = SE.maximin(t.embeddings, "vec_id", "embedding", 8, stratum="label", per_stratum=2)
-    return t.embeddings.where(F.col("vec_id").isin(*keys)).select("vec_id", "label")
-
-
-@query("pilot_information")
-def pilot_information(t):
-    keys = SE.d_optimal(t.embeddings, "vec_id", "embedding", 6)
-    return t.embeddings.where(F.col("vec_id").isin(*keys)).select("vec_id", "label")
-
-
 @query("union_by_name", """
 select origin, count(*) as n, count(nationkey) as n_with_nation, count(segment) as n_with_segment from (select 'customer' as origin, c_nationkey as nationkey, c_mktsegment as segment from customer union all select 'supplier', s_nationkey, null from supplier union all select 'part', null, null from part) group by 1
 """)

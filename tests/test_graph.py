@@ -166,7 +166,7 @@ def test_rules_match_pair_table(spark):
         assert a[k].support == b[k].support and abs(a[k].mean_delta - b[k].mean_delta) < 1e-9 and abs(a[k].sd_delta - b[k].sd_delta) < 1e-6
 
 
-def test_quota_and_maximin(spark):
+def test_quotas(spark):
     rows = [(i, f"s{i % 3}", float(i)) for i in range(30)]
     d = spark.createDataFrame(rows, "id int, series string, v double")
     cats = [("top", F.col("v") >= 10, [F.desc("v")], 4), ("rest", F.lit(True), [F.desc("v")], 10)]
@@ -174,5 +174,3 @@ def test_quota_and_maximin(spark):
     got = picks.toPandas()
     assert got.id.is_unique and got.groupby("series").size().max() <= 2
     assert {r.category: r.shortfall for r in summary.collect()} == {"top": 0, "rest": 8}
-    v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(11)], "id int, x array<double>")
-    assert SE.maximin(v, "id", "x", 3) == [10, 0, 5]
