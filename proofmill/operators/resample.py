@@ -1,26 +1,34 @@
 """Group bootstraps, sign flips and permutations with reproducible MD5 draws.
 
-Bootstraps work on per-group sufficient statistics: rows are read once, and a replicate touches
-only the group table.  Memory never depends on the number of rows in a group.
+Bootstraps work on per-group sufficient statistics: rows are read once, and every group draws its own
+weight in each replicate, so replicates are summed where the groups are and only totals move.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.functions.draws import hash_int, hash_text
-from proofmill.operators.ranking import hashed_index, null_safe_join
+from proofmill.functions.draws import hash_int, hash_text, hash_unit
+from proofmill.operators.ranking import null_safe_join
+
 
+def poisson_weight(*parts) -> Column:
+    """A Poisson(1) number keyed by the parts: how often a group counts in a replicate, without looking at other groups."""
+    u, below, chance, out = hash_unit(*parts), 0.0, math.exp(-1), F.lit(0)
+    for k in range(1, 13):
+        below += chance
+        chance /= k
+        out = out + (u >= below).cast("int")
+    return out
 
-def bootstrap_weights(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
-    """(rep, group, weight): how often each group is drawn in each replicate of G draws."""
-    idx = hashed_index(groups, group, "__i")
-    n = idx.count()
-    draws = idx.select(F.col("__i").alias("__j"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    pick = hash_int(F.lit(seed), F.col("rep"), F.col("__j")) % F.lit(n)
-    w = draws.groupBy("rep", pick.alias("__i")).agg(F.count(F.lit(1)).alias("weight"))
-    return w.join(idx, "__i").select("rep", group, "weight")
+
+def replicated(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
+    """Each row of ``groups`` once for each replicate, with its ``rep`` and ``weight``; sums over replicates combine where the rows are."""
+    d = groups.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    return d.withColumn("weight", poisson_weight(F.lit(seed), F.col("rep"), F.col(group))).where("weight > 0")
 
 
 def group_bootstrap(df: DataFrame, group: str, stats: dict, metrics: dict, *, replicates: int, seed: int) -> DataFrame:
@@ -30,8 +38,8 @@ def group_bootstrap(df: DataFrame, group: str, stats: dict, metrics: dict, *, re
     over the replicate totals of those names.
     """
     g = df.where(F.col(group).isNotNull()).groupBy(group).agg(*[c.alias(n) for n, c in stats.items()])
-    w = bootstrap_weights(g, group, replicates, seed)
-    tot = w.join(g, group).groupBy("rep").agg(*[F.sum(F.col("weight") * F.col(n)).alias(n) for n in stats])
+    w = replicated(g, group, replicates, seed)
+    tot = w.groupBy("rep").agg(*[F.sum(F.col("weight") * F.col(n)).alias(n) for n in stats])
     return tot.select("rep", *[c.alias(n) for n, c in metrics.items()])
 
 
@@ -53,8 +61,7 @@ def paired_bootstrap(df: DataFrame, group: str, delta: str, *, replicates: int,
         F.sum(delta).alias("s"), F.count(F.lit(1)).alias("n")
     )
     point = g.agg((F.sum("s") / F.sum("n")).alias("effect"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
-    w = bootstrap_weights(g, group, replicates, seed)
-    boot = w.join(g, group).groupBy("rep").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("n"))).alias("b"))
+    boot = replicated(g, group, replicates, seed).groupBy("rep").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("n"))).alias("b"))
     ci = boot.agg(
         F.percentile("b", F.lit(0.025)).alias("lower"),
         F.percentile("b", F.lit(0.975)).alias("upper"),
@@ -111,82 +118,9 @@ def permutation_correlation(df: DataFrame, row_id: str, x: str, y: str, *, withi
     )
 
 
-def change_point(df: DataFrame, x: str, y: str, candidates, group: str | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Residual sums of squares of two-segment lines at every candidate cut.
-
-    Rows are reduced to moment sums per interval between candidates; prefix sums over those few
-    intervals give both segments for every cut.  With ``weights`` (rep, group, weight) the same is done per
-    bootstrap replicate from per-group moments.
-    """
-    cuts = sorted(candidates)
-    bin_ = F.lit(0)
-    for c in cuts:
-        bin_ = bin_ + F.when(F.col(x) >= c, 1).otherwise(0)
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    mom = {"n": F.lit(1.0), "sx": a, "sy": b, "sxx": a * a, "sxy": a * b, "syy": b * b}
-    keys = [group] if weights is not None else []
-    m = df.where(a.isNotNull() & b.isNotNull()).groupBy(*keys, bin_.alias("__bin")).agg(
-        *[F.sum(e).alias(k) for k, e in mom.items()]
-    )
-    reps = []
-    if weights is not None:
-        reps = ["rep"]
-        m = m.join(weights, group).groupBy("rep", "__bin").agg(*[F.sum(F.col("weight") * F.col(k)).alias(k) for k in mom])
-    left = Window.partitionBy(*reps).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*reps)
-    s = m.select(
-        *reps,
-        "__bin",
-        *[F.sum(k).over(left).alias(f"l_{k}") for k in mom],
-        *[F.sum(k).over(whole).alias(f"t_{k}") for k in mom],
-    ).where(F.col("__bin") > 0)
-
-    def rss(p):
-        n, sx, sy, sxx, sxy, syy = p
-        cxx, cxy, cyy = sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
-        return cyy - F.when(cxx > 1e-12, cxy * cxy / cxx).otherwise(0.0)
-
-    lo = [F.col(f"l_{k}") for k in mom]
-    hi = [F.col(f"t_{k}") - F.col(f"l_{k}") for k in mom]
-    tot = [F.col(f"t_{k}") for k in mom]
-    cut = F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), F.col("__bin"))
-    out = s.select(
-        *reps,
-        cut.alias("cut"),
-        F.col("t_n").alias("n"),
-        (rss(lo) + rss(hi)).alias("rss_segmented"),
-        rss(tot).alias("rss_single"),
-    )
-    n = F.col("n")
-    bic = lambda r, k: n * F.log(F.col(r) / n) + k * F.log(n)
-    return out.withColumns({"bic_segmented": bic("rss_segmented", 5), "bic_single": bic("rss_single", 2)})
-
-
-def best_change_point(table: DataFrame, keys=()) -> DataFrame:
-    """Cut with the smallest segmented error; model probability from the BIC difference."""
-    g = table.groupBy(*keys).agg(
-        F.min(F.struct(F.round("rss_segmented", 9).alias("r"), F.col("cut"))).alias("k"),
-        F.min("bic_segmented").alias("bs"),
-        F.min("bic_single").alias("b1"),
-    )
-    prob = 1 / (1 + F.exp(F.least(F.lit(700.0), (F.col("bs") - F.col("b1")) / 2)))
-    return g.select(*keys, F.col("k.cut").alias("cut"), (F.col("b1") - F.col("bs")).alias("bic_gain"), prob.alias("segmented_probability"))
-
-
 def leave_group_out_mean(df: DataFrame, group: str, value: str) -> DataFrame:
     """Each row's out-of-group mean, from group sums and one-row totals."""
     g = df.groupBy(group).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
     tot = g.agg(F.sum("__s").alias("s"), F.sum("__n").alias("n")).first()
     g = g.withColumn("group_out_mean", (F.lit(tot.s) - F.col("__s")) / (F.lit(tot.n) - F.col("__n")))
     return null_safe_join(df, g.select(group, "group_out_mean"), [group])
-
-
-def outcome_gate(cuts: DataFrame, outcome: str, cut: str, lower: str, upper: str, min_probability: float) -> DataFrame:
-    """A cut passes when its probability is high and another outcome's interval overlaps it."""
-    a = cuts.select(outcome, cut, lower, upper, "probability", F.lit(1).alias("__k"))
-    b = cuts.select(F.col(outcome).alias("__o"), F.col(lower).alias("__l"), F.col(upper).alias("__u"), F.lit(1).alias("__k"))
-    j = a.join(b, "__k").where(F.col(outcome) != F.col("__o"))  # one row per outcome: a handful
-    g = j.groupBy(outcome, cut, lower, upper, "probability").agg(
-        F.count_if((F.col("__l") <= F.col(upper)) & (F.col("__u") >= F.col(lower))).alias("overlapping_outcomes")
-    )
-    return g.withColumn("passed", (F.col("probability") >= min_probability) & (F.col("overlapping_outcomes") > 0))

@@ -227,7 +227,7 @@ def leave_group_out_ridge(df: DataFrame, group: str, features, target: str, alph
 
 def baseline_table(df: DataFrame, group: str, target: str, models, baseline: str, *, replicates: int, seed: int) -> DataFrame:
     """Per model: rows, groups, MAE, RMSE, mean change of the absolute error against ``baseline`` and its group-bootstrap interval."""
-    from proofmill.operators.resample import bootstrap_weights
+    from proofmill.operators.resample import replicated
 
     long = df.select(group, F.col(target).alias("y"), F.col(baseline).alias("b"), F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("p")) for c in models])).alias("x")).select("*", "x.*")
     long = long.where("p is not null and b is not null and y is not null")
@@ -236,7 +236,6 @@ def baseline_table(df: DataFrame, group: str, target: str, models, baseline: str
     point = g.groupBy("model").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), (F.sum("ae") / F.sum("n")).alias("mae"), F.sqrt(F.sum("se") / F.sum("n")).alias("rmse"), (F.sum("de") / F.sum("n")).alias("delta_mae")
     )
-    w = bootstrap_weights(g.select(group).distinct(), group, replicates, seed)
-    reps = w.join(g, group).groupBy("model", "rep").agg((F.sum(F.col("weight") * F.col("de")) / F.sum(F.col("weight") * F.col("n"))).alias("d"))
+    reps = replicated(g, group, replicates, seed).groupBy("model", "rep").agg((F.sum(F.col("weight") * F.col("de")) / F.sum(F.col("weight") * F.col("n"))).alias("d"))
     limits = reps.groupBy("model").agg(F.percentile("d", F.lit(0.025)).alias("lower"), F.percentile("d", F.lit(0.975)).alias("upper"), F.avg((F.col("d") < 0).cast("double")).alias("probability_better"))
     return point.join(limits, "model")

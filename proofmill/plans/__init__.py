@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality", "modelling", "storage", "splitting", "panels")
+MODULES = ("measurements", "aggregates", "evaluation", "relations", "quality", "modelling", "storage", "splitting", "panels", "regimes")
 
 
 def load():

@@ -11,6 +11,7 @@ from proofmill.operators import resample as S
 from proofmill.operators import splits as P
 from proofmill.plans.aggregates import ncdf_sql, rounded
 from proofmill.plans.measurements import rnd
+from proofmill.plans.regimes import poisson_sql
 from proofmill.plans.registry import VIEWS, query
 
 VIEWS["err"] = "select *, observed-predicted as e, abs(observed-predicted) as ae, abs(observed-baseline) as be from @predictions"
@@ -409,14 +410,12 @@ def regime_pool(t):
     return per.groupBy("origin").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_subjects"))
 
 
-BOOT = """
-gi as (select grp, row_number() over (order by md5(grp), grp)-1 as i from (select distinct grp from @predictions)), gn as (select count(*) as n from gi),
-dr as (select r.r as rep, ('0x'||substr(md5('{seed}:'||r.r||':'||j.i),1,8))::bigint%gn.n as pick from gi j, gn, range(1,{reps}+1) r(r))
-"""
+def boot_sql(seed: int, reps: int) -> str:
+    return f"dr as (select r.r as rep, grp, {poisson_sql(seed, 'r.r', 'grp')} as weight from (select distinct grp from @predictions), range(1,{reps + 1}) r(r))"
 
 
 @query("group_bootstrap_metrics", f"""
-with {BOOT.format(seed=11, reps=200)}, g as (select grp, count(*) as n, sum(ae) as a, sum(e*e) as s from @err group by 1), b as (select rep, sum(a)/sum(n) as mae, sqrt(sum(s)/sum(n)) as rmse from dr join gi on gi.i=dr.pick join g using(grp) group by 1)
+with {boot_sql(11, 200)}, g as (select grp, count(*) as n, sum(ae) as a, sum(e*e) as s from @err group by 1), b as (select rep, sum(weight*a)/sum(weight*n) as mae, sqrt(sum(weight*s)/sum(weight*n)) as rmse from dr join g using(grp) where weight>0 group by 1)
 select 'mae' as metric, round(quantile_cont(mae,0.025),6) as lower, round(quantile_cont(mae,0.975),6) as upper, count(*) as n_replicates from b union all select 'rmse', round(quantile_cont(rmse,0.025),6), round(quantile_cont(rmse,0.975),6), count(*) from b
 """)
 def group_bootstrap_metrics(t):
@@ -432,7 +431,7 @@ def group_bootstrap_metrics(t):
 
 
 @query("paired_group_bootstrap", f"""
-with {BOOT.format(seed=3, reps=200)}, g as (select grp, count(*) as n, sum(be-ae) as s from @err group by 1), b as (select rep, sum(s)/sum(n) as b from dr join gi on gi.i=dr.pick join g using(grp) group by 1),
+with {boot_sql(3, 200)}, g as (select grp, count(*) as n, sum(be-ae) as s from @err group by 1), b as (select rep, sum(weight*s)/sum(weight*n) as b from dr join g using(grp) where weight>0 group by 1),
 f as (select r.r as rep, abs(sum(case when ('0x'||substr(md5('flip3:'||r.r||':'||grp),1,8))::bigint%2=0 then s else -s end)) as f, abs(sum(s)) as o from g, range(1,201) r(r) group by 1)
 select round((select sum(s)/sum(n) from g),6) as effect, (select sum(n)::bigint from g) as n_rows, (select count(*) from g) as n_groups, round(quantile_cont(b,0.025),6) as lower, round(quantile_cont(b,0.975),6) as upper, round(avg((b>0)::int),6) as probability_positive,
  (select round((count_if(f>=o-1e-9)+1)/(count(*)+1),6) from f) as sign_flip_p from b
@@ -463,26 +462,6 @@ def conditional_strata(t):
     return d.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("change_point_scan", """
-with c as (select unnest([10.0,20.0,30.0,40.0])::double as cut), s as (select cut, l_quantity<cut as l, count(*)::double as n, sum(l_quantity) as sx, sum(y) as sy, sum(l_quantity*l_quantity) as sxx, sum(l_quantity*y) as sxy, sum(y*y) as syy from c, (select l_quantity, l_extendedprice/1000.0 as y from lineitem) group by 1,2),
- k as (select cut, sum(n) as n, sum(syy-sy*sy/n-pow(sxy-sx*sy/n,2)/(sxx-sx*sx/n)) as rs, sum(syy)-sum(sy)*sum(sy)/sum(n)-pow(sum(sxy)-sum(sx)*sum(sy)/sum(n),2)/(sum(sxx)-sum(sx)*sum(sx)/sum(n)) as r1 from s group by 1)
-select cut, n, round(rs,1) as rss_segmented, round(r1,1) as rss_single, round(n*ln(rs/n)+5*ln(n),3) as bic_segmented, round(n*ln(r1/n)+2*ln(n),3) as bic_single from k
-""")
-def change_point_scan(t):
-    d = t.lineitem.select("l_quantity", (F.col("l_extendedprice") / 1000.0).alias("y"))
-    c = S.change_point(d, "l_quantity", "y", (10.0, 20.0, 30.0, 40.0))
-    return c.select("cut", "n", *rnd("rss_segmented", "rss_single", digits=1), *rnd("bic_segmented", "bic_single", digits=3))
-
-
-@query("change_point_bootstrap")
-def change_point_bootstrap(t):
-    d = t.lineitem.select(F.concat(F.lit("G"), "l_suppkey").alias("grp"), "l_quantity", (F.col("l_extendedprice") / 1000.0).alias("y"))
-    w = S.bootstrap_weights(d, "grp", 50, 21)
-    c = S.change_point(d, "l_quantity", "y", (10.0, 20.0, 30.0, 40.0), group="grp", weights=w)
-    b = S.best_change_point(c, ["rep"])
-    return b.groupBy("cut").agg(F.count(F.lit(1)).alias("n_replicates"), F.avg("segmented_probability").alias("mean_probability"))
-
-
 @query("label_permutation_null", """
 with h as (select doc_id, score, label, row_number() over (order by md5('home4:'||doc_id), doc_id) as pos from @scores), p as (select r.r as rep, label, row_number() over (partition by r.r order by md5('4:'||r.r||':'||doc_id), doc_id) as pos from @scores, range(1,41) r(r))
 select p.rep::int as rep, round(corr(h.score, p.label),6) as r from p join h on h.pos=p.pos group by 1

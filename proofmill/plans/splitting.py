@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from proofmill.operators import splitplan as SP
 from proofmill.plans.aggregates import rounded
+from proofmill.plans.regimes import poisson_sql
 from proofmill.plans.registry import VIEWS, query
 
 VIEWS["planrows"] = """
@@ -78,12 +79,11 @@ select b.grp, b.y, my as train_mean, my+wa*(b.a-ma)+wb*(b.b-mb) as ridge from b
 """
 
 
-@query("group_baselines", """
+@query("group_baselines", f"""
 with e as (select grp, y, train_mean, 'ridge' as model, ridge as p from @lgo union all select grp, y, train_mean, 'train_mean', train_mean from @lgo),
 g as (select model, grp, count(*) as n, sum(abs(y-p)) as ae, sum((y-p)*(y-p)) as se, sum(abs(y-p)-abs(y-train_mean)) as de from e group by 1,2),
-gs as (select grp, row_number() over (order by md5(grp), grp)-1 as i, count(*) over () as k from (select distinct grp from g)),
-w as (select d.rep, x.grp, count(*) as weight from (select i as j, k, r.rep from gs, range(1,101) r(rep)) d join gs x on x.i=('0x'||substr(md5('7:'||d.rep||':'||d.j),1,8))::bigint%d.k group by 1,2),
-b as (select model, rep, sum(weight*de)/sum(weight*n) as d from w join g using (grp) group by 1,2),
+w as (select r.rep, grp, {poisson_sql(7, 'r.rep', 'grp')} as weight from (select distinct grp from g), range(1,101) r(rep)),
+b as (select model, rep, sum(weight*de)/sum(weight*n) as d from w join g using (grp) where weight>0 group by 1,2),
 l as (select model, quantile_cont(d,0.025) as lower, quantile_cont(d,0.975) as upper, avg((d<0)::int::double) as probability_better from b group by 1)
 select model, sum(n)::bigint as n_rows, count(*) as n_groups, round(sum(ae)/sum(n),6) as mae, round(sqrt(sum(se)/sum(n)),6) as rmse, round(sum(de)/sum(n),6) as delta_mae, round(any_value(lower),6) as lower, round(any_value(upper),6) as upper, round(any_value(probability_better),6) as probability_better from g join l using (model) group by 1
 """)
