@@ -89,18 +89,24 @@ def sse(m: np.ndarray, names, model: Linear) -> float:
     return float(v[-1, -1] - 2 * b @ v[:-1, -1] + b @ v[:-1, :-1] @ b)
 
 
+def score_candidates(sums: dict, names, candidates, subsets: dict) -> list[dict]:
+    """Grouped CV error of each (family, penalty) among ``candidates``; folds come from the sums' keys."""
+    total = sum(sums.values())
+    rows = []
+    for family, alpha in candidates:
+        err = n = 0.0
+        for m in sums.values():
+            err += sse(m, names, ridge(total - m, names, alpha, subsets[family]))
+            n += m[0, 0]
+        rows.append({"family": family, "alpha": float(alpha), "n": int(n), "rmse": math.sqrt(max(err / n, 0.0))})
+    return rows
+
+
 def cross_validate(sums: dict, names, alphas, subsets=None) -> list[dict]:
-    """Grouped CV error of every (feature subset, penalty); folds come from the sums' keys."""
+    """Grouped CV error of every (feature subset, penalty), and of the out-of-fold mean."""
     subsets = subsets or {"all": tuple(names)}
     total = sum(sums.values())
-    rows = []
-    for label, sub in subsets.items():
-        for a in alphas:
-            err = n = 0.0
-            for m in sums.values():
-                err += sse(m, names, ridge(total - m, names, a, sub))
-                n += m[0, 0]
-            rows.append({"family": label, "alpha": float(a), "n": int(n), "rmse": math.sqrt(max(err / n, 0.0))})
+    rows = score_candidates(sums, names, [(label, a) for label in subsets for a in alphas], subsets)
     # the dummy: out-of-fold mean
     err = n = 0.0
     for m in sums.values():
@@ -111,6 +117,21 @@ def cross_validate(sums: dict, names, alphas, subsets=None) -> list[dict]:
     return rows
 
 
+def nested_validation(sums: dict, names, alphas, subsets: dict) -> list[dict]:
+    """One row for each outer fold: the candidate that the other folds choose among themselves, and its error on the fold.
+
+    Inner and outer fits all come from one table of moments, so no row is read again.
+    """
+    grid = [(label, a) for label in subsets for a in alphas]
+    out = []
+    for f, m in sorted(sums.items()):
+        inner = {k: v for k, v in sums.items() if k != f}
+        best = min(score_candidates(inner, names, grid, subsets), key=lambda r: (round(r["rmse"], 12), r["family"], r["alpha"]))
+        err = sse(m, names, ridge(sum(inner.values()), names, best["alpha"], subsets[best["family"]]))
+        out.append({"fold": int(f), "family": best["family"], "alpha": best["alpha"], "inner_rmse": best["rmse"], "n": int(m[0, 0]), "outer_rmse": math.sqrt(max(err / m[0, 0], 0.0))})
+    return out
+
+
 def out_of_fold(df: DataFrame, sums: dict, names, fold: str, alpha: float, out: str, subset=None) -> DataFrame:
     """Each row predicted by the model of the other folds."""
     total = sum(sums.values())
@@ -131,19 +152,26 @@ def grouped_benchmark(df: DataFrame, features, target: str, fold: str, alphas, c
     return cross_conformal(p, "residual", fold, len(s), coverage).withColumn("alpha", F.lit(best["alpha"]))
 
 
-def successive_halving(df: DataFrame, features, target: str, fold: str, group: str, alphas, subsets: dict, *, fraction: float, seed: int) -> list[dict]:
-    """Score the grid on a hash sample of groups, keep the better half plus the best of every family,
-    then score the survivors on everything.  Two passes whatever the grid size."""
+def successive_halving(df: DataFrame, features, target: str, fold: str, group: str, alphas, subsets: dict, *, fractions=(0.25, 0.5, 1.0), seed: int) -> list[dict]:
+    """Candidates scored on growing samples of whole groups, one row for each candidate and stage that scored it.
+
+    After a stage the better half and the best of every family go on; the others are not scored again.  A stage is one
+    pass over its rows, whatever the number of candidates.
+    """
     from proofmill.functions.draws import hash_unit
 
-    small = moment_sums(df.where(hash_unit(F.lit(seed), F.col(group)) < fraction), features, target, fold)
-    first = sorted(cross_validate(small, features, alphas, subsets), key=lambda r: (r["rmse"], r["family"], r["alpha"]))
-    keep = {(r["family"], r["alpha"]) for r in first[: max(1, len(first) // 2)]}
-    for fam in {r["family"] for r in first}:
-        b = next(r for r in first if r["family"] == fam)
-        keep.add((fam, b["alpha"]))
-    full = cross_validate(moment_sums(df, features, target, fold), features, alphas, subsets)
-    return [dict(r, stage="full") for r in full if (r["family"], r["alpha"]) in keep]
+    left, out = [(label, a) for label in subsets for a in alphas], []
+    for stage, fraction in enumerate(fractions, 1):
+        part = df if fraction >= 1 else df.where(hash_unit(F.lit(seed), F.col(group)) < fraction)
+        rows = score_candidates(moment_sums(part, features, target, fold), features, left, subsets)
+        rows.sort(key=lambda r: (round(r["rmse"], 12), r["family"], r["alpha"]))
+        last = stage == len(fractions)
+        keep = {(r["family"], r["alpha"]) for r in rows[: 1 if last else max(1, len(rows) // 2)]}
+        if not last:
+            keep |= {(r["family"], r["alpha"]) for i, r in enumerate(rows) if r["family"] not in {q["family"] for q in rows[:i]}}
+        out += [dict(r, stage=stage, kept=(r["family"], r["alpha"]) in keep) for r in rows]
+        left = [c for c in left if (c[0], float(c[1])) in keep]
+    return out
 
 
 def standardize_by_train(df: DataFrame, columns, train: str) -> DataFrame:
@@ -295,15 +323,39 @@ def censoring_scenarios(df: DataFrame, features, lower: str, upper: str, alpha:
     return out
 
 
-def seed_stability(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean, sample deviation and range per row over repeated fits."""
-    return df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_seeds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.max(value) - F.min(value)).alias("range")
-    )
+def seeded_refits(df: DataFrame, group: str, features, target: str, alpha: float, seeds: int, seed: int = 0) -> DataFrame:
+    """(seed, n, intercept, coefficients): one ridge for each seed, on groups that count by Poisson weights of their own.
 
+    Every refit comes from per-group sums in one pass; a group draws its weight in each seed where it is.
+    """
+    from proofmill.operators.resample import replicated
+    from proofmill.operators.splitplan import group_moments
 
-def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
+    names, d = list(features), len(list(features)) + 2
+    drawn = replicated(group_moments(df, group, names, target), group, seeds, seed)
+    sums = drawn.groupBy("rep").agg(*[F.sum(F.col("weight") * F.col("m")[i]).alias(f"m{i}") for i in range(d * d)])
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for values in pdf[[f"m{i}" for i in range(d * d)]].to_numpy(float):
+                m = values.reshape(d, d)
+                fit = ridge(m, names, alpha)
+                rows.append((m[0, 0], fit.intercept, list(fit.coefficients)))
+            yield pd.DataFrame({"seed": pdf["rep"], "n": [r[0] for r in rows], "intercept": [r[1] for r in rows], "coefficients": [r[2] for r in rows]})
+
+    return sums.mapInPandas(solve, "seed int, n double, intercept double, coefficients array<double>")
+
+
+def seed_stability(df: DataFrame, refits: DataFrame, features) -> DataFrame:
+    """Each row's mean, deviation and range of the predictions of all refits (their number is a parameter)."""
+    fits = sorted((r["seed"], r["intercept"], r["coefficients"]) for r in refits.collect())
+    values = F.array(*[sum((F.col(c) * F.lit(float(b)) for c, b in zip(features, w)), F.lit(float(i))) for _, i, w in fits])
+    n = len(fits)
+    mean = F.aggregate("__p", F.lit(0.0), lambda a, v: a + v) / n
+    spread = F.sqrt(F.aggregate("__p", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean"))) / max(1, n - 1))
+    d = df.withColumn("__p", values).withColumn("mean", mean)
+    return d.withColumns({"sd": spread, "range": F.array_max("__p") - F.array_min("__p")}).drop("__p")
 
 
 def forest_out_of_fold(df: DataFrame, features, target: str, fold: str, folds, *, trees: int = 20, depth: int = 6, seed: int = 13) -> DataFrame:

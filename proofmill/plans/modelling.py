@@ -8,11 +8,63 @@ from proofmill.operators import features as FT
 from proofmill.operators import models as MD
 from proofmill.plans.aggregates import rounded
 from proofmill.plans.measurements import rnd
+from proofmill.plans.regimes import poisson_sql
 from proofmill.plans.registry import query
 
 FEATURES = ("l_quantity", "l_discount", "l_tax")
 
 
+NUMBERS = "l_quantity::double, l_discount::double, l_tax::double"
+SUBSETS = {"all": FEATURES, "quantity": FEATURES[:1], "rates": FEATURES[1:]}
+BASE = "select 'G'||l_suppkey as grp, (l_orderkey%5)::int as fold, [1.0::double, l_quantity::double, l_discount::double, l_tax::double, log10(l_extendedprice)::double] as x from lineitem"
+
+
+def moments_sql(name: str, rows: str, key: str, weight: str = "1") -> str:
+    """CTE ``name`` (key, i, j, v): sums of products of [1, features, target]."""
+    return f"{name} as materialized (select {key}, i, j, sum({weight}*x[i+1]*x[j+1]) as v from ({rows}), range(5) a(i), range(5) b(j) group by all)"
+
+
+def fits_sql(name: str, moments: str, keys: str, candidates: str) -> str:
+    """CTE ``name``_f (keys, family, alpha, w): ridge weights, the intercept first and -1 for the target last, by Gauss and Jordan on standardised columns.
+
+    ``moments`` has keys, i, j, v; ``candidates`` has family, alpha, features (their numbers).
+    """
+    k = keys.split(", ")
+    on = lambda a, b, extra=(): " and ".join(f"{a}.{c}={b}.{c}" for c in [*k, *extra])
+    fa = ("family", "alpha")
+    steps = [
+        f"{name}_n as (select {keys}, v as n from {moments} where i=0 and j=0)",
+        f"{name}_a as (select m.{', m.'.join(k)}, m.i, m.v/n as mean, sqrt(greatest(q.v/n-(m.v/n)**2,0)) as sd from {moments} m join {name}_n n on {on('m', 'n')} join {moments} q on {on('m', 'q')} and q.i=m.i and q.j=m.i where m.j=0 and m.i>0)",
+        f"{name}_0 as materialized (select m.{', m.'.join(k)}, family, alpha, m.i, m.j, (m.v/n-a.mean*b.mean)/(a.sd*case when m.j=4 then 1 else b.sd end)+case when m.i=m.j then alpha/n else 0 end as v from {moments} m join {name}_n n on {on('m', 'n')} join {name}_a a on {on('m', 'a')} and a.i=m.i join {name}_a b on {on('m', 'b')} and b.i=m.j, ({candidates}) c where list_contains(features, m.i) and (m.j=4 or list_contains(features, m.j)))",
+    ]
+    for f in range(1, 4):
+        was = f"{name}_{f - 1}"
+        same = on("a", "{0}", fa)
+        steps.append(
+            f"{name}_{f} as materialized (select a.* replace (case when p.v is null then a.v when a.i={f} then a.v/p.v else a.v-c.v*r.v/p.v end as v) from {was} a left join {was} p on {same.format('p')} and p.i={f} and p.j={f} left join {was} r on {same.format('r')} and r.i={f} and r.j=a.j left join {was} c on {same.format('c')} and c.i=a.i and c.j={f})"
+        )
+    steps.append(f"{name}_w as (select s.{', s.'.join(k)}, family, alpha, s.i, s.v/a.sd as w, s.v/a.sd*a.mean as shift from {name}_3 s join {name}_a a on {on('s', 'a')} and a.i=s.i where s.j=4)")
+    steps.append(
+        f"{name}_f as (select {keys}, family, alpha, i, w from {name}_w union all select w.{', w.'.join(k)}, family, alpha, 0, any_value(a.mean)-sum(shift) from {name}_w w join {name}_a a on {on('w', 'a')} and a.i=4 group by w.{', w.'.join(k)}, family, alpha"
+        f" union all select distinct {keys}, family, alpha, 4, -1.0::double from {name}_w)"
+    )
+    return ",\n".join(steps)
+
+
+def grid_sql(alphas) -> str:
+    number = {c: i for i, c in enumerate(FEATURES, 1)}
+    return "select * from (values " + ", ".join(f"('{f}', {float(a)!r}::double, {[number[c] for c in cs]})" for f, cs in SUBSETS.items() for a in alphas) + ") g(family, alpha, features)"
+
+
+def cv_sql(name: str, rows: str, candidates: str) -> str:
+    """CTE ``name`` (family, alpha, n, rmse) of grouped cross-validation by fold."""
+    train = f"select a.fold, a.i, a.j, t.v-a.v as v from {name}_m a join (select i, j, sum(v) as v from {name}_m group by 1,2) t on t.i=a.i and t.j=a.j"
+    return f"""{moments_sql(name + '_m', rows, 'fold')}, {name}_t as materialized ({train}),
+{fits_sql(name, name + '_t', 'fold', candidates)},
+{name}_e as (select x.fold, x.family, x.alpha, sum(x.w*y.w*m.v) as e from {name}_f x join {name}_f y on y.fold=x.fold and y.family=x.family and y.alpha=x.alpha join {name}_m m on m.fold=x.fold and m.i=x.i and m.j=y.i group by 1,2,3),
+{name} as (select family, alpha, (select sum(v) from {name}_m where i=0 and j=0)::bigint as n, sqrt(greatest(sum(e)/(select sum(v) from {name}_m where i=0 and j=0),0)) as rmse from {name}_e group by 1,2)"""
+
+
 def table(t):
     return t.lineitem.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
@@ -24,12 +76,32 @@ def table(t):
     )
 
 
-@query("ridge_selection")
+@query("ridge_selection", f"""
+with {cv_sql('a', BASE, grid_sql((0.1, 1.0, 10.0)))}
+select family, alpha, n, round(rmse,7) as rmse from a union all
+select 'mean', 0.0, sum(n)::bigint, round(sqrt(sum(e)/sum(n)),7) from (select count(*) as n, sum((x[5]-m)**2) as e from ({BASE}) b join (select k.fold, avg(x[5]) as m from (select distinct fold from ({BASE})) k join ({BASE}) r on r.fold<>k.fold group by 1) o on o.fold=b.fold)
+""")
 def ridge_selection(t):
     """Candidate comparison: out-of-fold mean and ridge at several penalties and feature subsets."""
     s = MD.moment_sums(table(t), FEATURES, "y", "fold")
     subs = {"all": FEATURES, "quantity": FEATURES[:1], "rates": FEATURES[1:]}
-    return t.spark.createDataFrame(MD.cross_validate(s, FEATURES, (0.1, 1.0, 10.0), subs), "family string, alpha double, n long, rmse double")
+    return rounded(t.spark.createDataFrame(MD.cross_validate(s, FEATURES, (0.1, 1.0, 10.0), subs), "family string, alpha double, n long, rmse double"), 7)
+
+
+@query("nested_validation", f"""
+with {moments_sql('m', BASE, 'fold')}, p as (select a.fold as outer_fold, b.fold as fold, b.i, b.j, b.v from (select distinct fold from m) a join m b on b.fold<>a.fold),
+tr as materialized (select p.outer_fold, p.fold, p.i, p.j, t.v-p.v as v from p join (select outer_fold, i, j, sum(v) as v from p group by 1,2,3) t on t.outer_fold=p.outer_fold and t.i=p.i and t.j=p.j),
+{fits_sql('a', 'tr', 'outer_fold, fold', grid_sql((0.1, 100.0, 10000.0)))},
+e as (select x.outer_fold, x.family, x.alpha, sum(x.w*y.w*m.v) as e from a_f x join a_f y on y.outer_fold=x.outer_fold and y.fold=x.fold and y.family=x.family and y.alpha=x.alpha join m on m.fold=x.fold and m.i=x.i and m.j=y.i group by 1,2,3),
+c as (select e.*, sqrt(e/n) as rmse, row_number() over (partition by e.outer_fold order by round(sqrt(e/n),12), family, alpha) as rk from e join (select outer_fold, sum(v) as n from p where i=0 and j=0 group by 1) n using (outer_fold)),
+ot as materialized (select outer_fold as fold, i, j, sum(v) as v from p group by 1,2,3), {fits_sql('b', 'ot', 'fold', grid_sql((0.1, 100.0, 10000.0)))},
+o as (select x.fold, x.family, x.alpha, sum(x.w*y.w*m.v) as e from b_f x join b_f y on y.fold=x.fold and y.family=x.family and y.alpha=x.alpha join m on m.fold=x.fold and m.i=x.i and m.j=y.i group by 1,2,3)
+select o.fold, o.family, o.alpha, round(c.rmse,7) as inner_rmse, n.v::bigint as n, round(sqrt(o.e/n.v),7) as outer_rmse from o join c on c.outer_fold=o.fold and c.family=o.family and c.alpha=o.alpha and c.rk=1 join m n on n.fold=o.fold and n.i=0 and n.j=0
+""")
+def nested_validation(t):
+    s = MD.moment_sums(table(t), FEATURES, "y", "fold")
+    rows = MD.nested_validation(s, FEATURES, (0.1, 100.0, 10000.0), SUBSETS)
+    return rounded(t.spark.createDataFrame(rows, "fold int, family string, alpha double, inner_rmse double, n long, outer_rmse double"), 7)
 
 
 @query("out_of_fold_baseline", """
@@ -50,11 +122,21 @@ def grouped_benchmark(t):
     return MD.grouped_benchmark(table(t), FEATURES, "y", "fold", (0.1, 1.0, 10.0))
 
 
-@query("model_grid_halving")
+def _halving_sql(alphas, fractions) -> str:
+    steps, last = [], len(fractions)
+    for k, fraction in enumerate(fractions, 1):
+        rows = BASE if fraction >= 1 else f"select * from ({BASE}) where ('0x'||substr(md5('5:'||grp),1,8))::bigint/4294967296.0::double<{fraction}"
+        before = "" if k == 1 else f" where exists (select 1 from k{k - 1} o where o.kept and o.family=g.family and o.alpha=g.alpha)"
+        steps.append(cv_sql(f"s{k}", rows, grid_sql(alphas) + before))
+        keep = "rk=1" if k == last else "rk<=greatest(1,c//2) or fk=1"
+        steps.append(f"k{k} as (select *, {keep} as kept, {k} as stage from (select *, row_number() over (order by round(rmse,12), family, alpha) as rk, row_number() over (partition by family order by round(rmse,12), alpha) as fk, count(*) over () as c from s{k}))")
+    return "with " + ",\n".join(steps) + " " + " union all ".join(f"select stage, family, alpha, n, round(rmse,7) as rmse, kept from k{k}" for k in range(1, last + 1))
+
+
+@query("model_grid_halving", _halving_sql((0.1, 10.0, 1000.0, 100000.0), (0.25, 0.5, 1.0)))
 def model_grid_halving(t):
-    subs = {"all": FEATURES, "quantity": FEATURES[:1], "rates": FEATURES[1:]}
-    rows = MD.successive_halving(table(t), FEATURES, "y", "fold", "grp", (0.1, 1.0, 10.0), subs, fraction=0.4, seed=5)
-    return t.spark.createDataFrame(rows, "family string, alpha double, n long, rmse double, stage string")
+    rows = MD.successive_halving(table(t), FEATURES, "y", "fold", "grp", (0.1, 10.0, 1000.0, 100000.0), SUBSETS, fractions=(0.25, 0.5, 1.0), seed=5)
+    return rounded(t.spark.createDataFrame(rows, "stage int, family string, alpha double, n long, rmse double, kept boolean"), 7)
 
 
 @query("train_standardization", """
@@ -100,12 +182,29 @@ def censoring_sensitivity(t):
     return t.spark.createDataFrame(rows, "scenario string, n long, sigma double, intercept double, l_quantity double, l_discount double, l_tax double")
 
 
-@query("seed_stability", """
-select row_id, 3::bigint as n_seeds, round((predicted+baseline+(predicted+baseline)/2)/3+1e-9,6) as mean, round(abs(predicted-baseline)/2+1e-9,6) as sd, round(abs(predicted-baseline)+1e-9,6) as range from @predictions
+SEEDED = f"""
+w as (select r.r as seed, grp, {poisson_sql(31, 'r.r', 'grp')} as weight from (select distinct grp from ({BASE})), range(1,7) r(r)),
+{moments_sql('m', f'select seed, weight, x from ({BASE}) join w using (grp) where weight>0', 'seed', 'weight')},
+{fits_sql('a', 'm', 'seed', "select 'all' as family, 1.0::double as alpha, [1,2,3] as features")}
+"""
+
+
+@query("seeded_refits", f"with {SEEDED} select f.seed::int as seed, m.v as n, round(max(w) filter (f.i=0),6) as intercept, round(max(w) filter (f.i=1),6) as quantity, round(max(w) filter (f.i=2),4) as discount, round(max(w) filter (f.i=3),4) as tax from a_f f join m on m.seed=f.seed and m.i=0 and m.j=0 group by 1,2")
+def seeded_refits(t):
+    f = MD.seeded_refits(table(t), "grp", FEATURES, "y", 1.0, 6, 31)
+    c = F.col("coefficients")
+    return f.select("seed", "n", F.round("intercept", 6).alias("intercept"), F.round(c[0], 6).alias("quantity"), F.round(c[1], 4).alias("discount"), F.round(c[2], 4).alias("tax"))
+
+
+@query("seed_stability", f"""
+with {SEEDED}, b as (select seed, max(w) filter (i=0) as w0, max(w) filter (i=1) as w1, max(w) filter (i=2) as w2, max(w) filter (i=3) as w3 from a_f group by 1),
+p as (select l_orderkey||':'||l_linenumber||':'||l_partkey||':'||l_suppkey as row_id, w0+w1*l_quantity+w2*l_discount+w3*l_tax as p from lineitem, b)
+select row_id, round(avg(p),5) as mean, round(stddev_samp(p),5) as sd, round(max(p)-min(p),5) as range from p group by 1
 """)
 def seed_stability(t):
-    v = F.explode(F.array(F.col("predicted"), F.col("baseline"), (F.col("predicted") + F.col("baseline")) / 2))
-    return rounded(MD.seed_stability(t.predictions.select("row_id", v.alias("v")), "row_id", "v"), nudge=1e-9)
+    d = table(t)
+    s = MD.seed_stability(d, MD.seeded_refits(d, "grp", FEATURES, "y", 1.0, 6, 31), FEATURES)
+    return rounded(s.select("row_id", "mean", "sd", "range"), 5)
 
 
 @query("forest_regression")

@@ -63,3 +63,51 @@ def test_cluster_holdout_keeps_clusters_whole(spark):
     s = MD.cluster_holdout(g, "id").toPandas()
     assert len(s) == 200 and s.groupby("cluster").role.nunique().max() == 1 and set(s.role) == {"train", "test"}
     assert g.select("cluster").distinct().count() <= 14
+
+
+def test_pruned_candidates_are_not_scored_again(spark, data):
+    pdf, _ = data
+    df = spark.createDataFrame(pdf.assign(g=[f"g{i % 60}" for i in range(600)]))
+    subsets = {"both": ("a", "b"), "a": ("a",), "b": ("b",)}
+    rows = MD.successive_halving(df, ["a", "b"], "y", "fold", "g", (0.1, 10.0, 1000.0), subsets, fractions=(0.3, 0.6, 1.0), seed=2)
+    stages = {s: [r for r in rows if r["stage"] == s] for s in (1, 2, 3)}
+    assert len(stages[1]) == 9 and len(stages[1]) > len(stages[2]) > len(stages[3])
+    for s in (1, 2):
+        kept = {(r["family"], r["alpha"]) for r in stages[s] if r["kept"]}
+        assert {(r["family"], r["alpha"]) for r in stages[s + 1]} == kept
+        assert {f for f, _ in kept} == set(subsets)  # the best of every family goes on
+    assert stages[1][0]["n"] < stages[2][0]["n"] < stages[3][0]["n"] == 600
+    (best,) = [r for r in stages[3] if r["kept"]]
+    assert best["family"] == "both"
+
+
+def test_nested_validation_never_sees_the_outer_fold(data):
+    pdf, df = data
+    sums = MD.moment_sums(df, ["a", "b"], "y", "fold")
+    subsets = {"both": ("a", "b"), "a": ("a",)}
+    for r in MD.nested_validation(sums, ["a", "b"], (0.1, 1000.0), subsets):
+        inner = {k: v for k, v in sums.items() if k != r["fold"]}
+        scores = {(f, a): MD.score_candidates(inner, ["a", "b"], [(f, a)], subsets)[0]["rmse"] for f in subsets for a in (0.1, 1000.0)}
+        assert scores[r["family"], r["alpha"]] == min(scores.values()) == r["inner_rmse"]
+        part = pdf[pdf.fold == r["fold"]]
+        fit = MD.ridge(sum(inner.values()), ["a", "b"], r["alpha"], subsets[r["family"]])
+        p = fit.intercept + sum(part[c] * b for c, b in zip(fit.features, fit.coefficients))
+        assert r["outer_rmse"] == pytest.approx(np.sqrt(((part.y - p) ** 2).mean()))
+
+
+def test_seeded_refits_differ_and_agree_with_weighted_fits(spark, data):
+    from proofmill.operators.resample import replicated
+
+    pdf, _ = data
+    pdf = pdf.assign(g=[f"g{i % 40}" for i in range(600)])
+    df = spark.createDataFrame(pdf)
+    fits = {r.seed: r for r in MD.seeded_refits(df, "g", ["a", "b"], "y", 0.0, 5, 9).collect()}
+    assert len({r.intercept for r in fits.values()}) == 5
+    weights = {(r.rep, r.g): r.weight for r in replicated(df.select("g").distinct(), "g", 5, 9).collect()}
+    for s, r in fits.items():
+        w = np.sqrt([weights.get((s, g), 0) for g in pdf.g])
+        want = np.linalg.lstsq(np.column_stack([np.ones(600), pdf.a, pdf.b]) * w[:, None], pdf.y * w, rcond=None)[0]
+        np.testing.assert_allclose([r.intercept, *r.coefficients], want, rtol=1e-6)
+    spread = MD.seed_stability(df, MD.seeded_refits(df, "g", ["a", "b"], "y", 0.0, 5, 9), ["a", "b"]).first()
+    p = [r.intercept + r.coefficients[0] * spread.a + r.coefficients[1] * spread.b for r in fits.values()]
+    assert (spread.mean, spread.sd, spread.range) == pytest.approx((np.mean(p), np.std(p, ddof=1), max(p) - min(p)))
