@@ -129,3 +129,31 @@ def greedy_matching(pairs: DataFrame, a: str, b: str, order) -> DataFrame:
             return res.drop("__k")
         out = take if out is None else out.unionByName(take)
         live = cut_lineage(live.join(take.select(a), a, "left_anti").join(take.select(b), b, "left_anti"))
+
+
+def capacity_matching(pairs: DataFrame, a: str, b: str, places_a: DataFrame, places_b: DataFrame, order) -> DataFrame:
+    """``pairs`` with ``units``, ``start_a``, ``start_b``: pairs taken best first, each as often as both ends have places left.
+
+    ``places_a`` (a, places) and ``places_b`` say how often an end can be matched; ``order`` is total over the pairs.  In a round
+    every pair that is the best of both its ends is taken; one of them is then used up, so the result is that of the sequential
+    walk.  ``start_*`` counts the places of an end that earlier pairs took.
+    """
+    key = F.struct(*[o if not isinstance(o, str) else F.col(o) for o in order])
+    live = pairs.join(places_a.select(a, F.col("places").cast("long").alias("left_a")), a).join(places_b.select(b, F.col("places").cast("long").alias("left_b")), b)
+    live = cut_lineage(live.withColumns({"__k": key, "start_a": F.lit(0).cast("long"), "start_b": F.lit(0).cast("long")}).where("left_a > 0 and left_b > 0"))
+    out = None
+    while True:
+        best_a = live.groupBy(a).agg(F.min("__k").alias("__ka"))
+        best_b = live.groupBy(b).agg(F.min("__k").alias("__kb"))
+        take = live.join(best_a, a).join(best_b, b).where("__k = __ka and __k = __kb").withColumn("units", F.least("left_a", "left_b"))
+        take = cut_lineage(take.drop("__ka", "__kb"))
+        if take.isEmpty():
+            res = out if out is not None else live.limit(0).withColumn("units", F.lit(0).cast("long"))
+            return res.select(*pairs.columns, "units", "start_a", "start_b")
+        out = take if out is None else out.unionByName(take)
+        used_a, used_b = take.select(a, F.col("units").alias("ua")), take.select(b, F.col("units").alias("ub"))
+        gone = take.select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+        live = live.join(gone, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left_anti").join(used_a, a, "left").join(used_b, b, "left")
+        ua, ub = F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0))
+        live = live.withColumns({"left_a": F.col("left_a") - ua, "left_b": F.col("left_b") - ub, "start_a": F.col("start_a") + ua, "start_b": F.col("start_b") + ub}).drop("ua", "ub")
+        live = cut_lineage(live.where("left_a > 0 and left_b > 0"))

@@ -584,16 +584,22 @@ def diverse_ranking(t):
     return G.greedy_independent(n, p, "doc_id", "place")
 
 
-@query("cross_class_matching")
+@query("cross_class_matching", """
+with recursive d as (select doc_id, toks, quality from @docs join labels using (doc_id) where len(toks)>0), g as materialized (select toks, min(doc_id) as rep, count(*) filter (quality=1) as n1, count(*) filter (quality=0) as n0 from d group by 1),
+k as (select rep, unnest(toks) as tok, len(toks) as n, n1, n0 from g),
+p as materialized (select *, row_number() over (order by round(similarity,9) desc, a, b) as i from (select x.rep as a, y.rep as b, any_value(x.n1) as n1, any_value(y.n0) as n0, count(*)/(any_value(x.n)+any_value(y.n)-count(*)) as similarity from k x join k y on x.tok=y.tok where x.n1>0 and y.n0>0 group by 1,2) where similarity>=0.1-1e-12),
+ia as (select a, n1, row_number() over (order by a) as ai from (select distinct a, n1 from p)), ib as (select b, n0, row_number() over (order by b) as bi from (select distinct b, n0 from p)),
+q as materialized (select i, a, b, similarity, ai, bi from p join ia using (a) join ib using (b)),
+w(i, ca, cb, m, sa, sb) as (select 0::bigint, (select list(n1 order by ai) from ia), (select list(n0 order by bi) from ib), 0::bigint, 0::bigint, 0::bigint union all
+ select q.i, list_transform(ca, lambda v, j: case when j=q.ai then v-least(ca[q.ai], cb[q.bi]) else v end), list_transform(cb, lambda v, j: case when j=q.bi then v-least(ca[q.ai], cb[q.bi]) else v end), least(ca[q.ai], cb[q.bi]), ca[q.ai], cb[q.bi] from w join q on q.i=w.i+1),
+u as (select a, b, similarity, unnest(range(1, m+1)) as u, sa, sb from w join q using (i) where m>0),
+r as (select doc_id, g.rep, quality, g.n1, g.n0, row_number() over (partition by g.rep, quality order by doc_id) as at from d join g using (toks))
+select x.doc_id as id_a, y.doc_id as id_b, round(similarity,6) as similarity from u join r x on x.rep=a and x.quality=1 and x.at=x.n1-sa+u.u join r y on y.rep=b and y.quality=0 and y.at=y.n0-sb+u.u
+""")
 def cross_class_matching(t):
-    """Non-overlapping best pairs across the two label classes."""
+    """Non-overlapping best pairs of rows across the two label classes; every labelled row can be matched, copies included."""
     d = doc_sets(t).join(t.labels.select("doc_id", "quality"), "doc_id")
-    sets, _ = SI.collapse_copies(d, "doc_id", "tokens")
-    o = SI.rarity_ordered(sets)
-    lab = d.select(F.col("doc_id").alias("rep"), "quality")
-    q, r = o.join(lab.where("quality = 1"), "rep", "left_semi"), o.join(lab.where("quality = 0"), "rep", "left_semi")
-    c = SI.cross_similar(q, r, 0.1)
-    return rounded(G.greedy_matching(c, "id_a", "id_b", [F.negate(F.round("similarity", 9)), F.col("id_a"), F.col("id_b")]))
+    return rounded(SI.matched_classes(d, "doc_id", "tokens", "quality", 0.1))
 
 
 @query("interval_contrasts", """

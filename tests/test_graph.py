@@ -174,3 +174,24 @@ def test_quotas(spark):
     got = picks.toPandas()
     assert got.id.is_unique and got.groupby("series").size().max() <= 2
     assert {r.category: r.shortfall for r in summary.collect()} == {"top": 0, "rest": 8}
+
+
+def test_matching_over_copies_uses_every_row(spark):
+    r = random.Random(8)
+    texts = [frozenset(r.sample("abcdefgh", r.randint(2, 4))) for _ in range(9)]
+    rows = [(i, sorted(r.choice(texts[:3] if i % 2 else texts)), i % 3 != 0) for i in range(70)]
+    df = spark.createDataFrame([(i, x, int(y)) for i, x, y in rows], "id int, tokens array<string>, y int")
+    rep = {}
+    for i, x, _ in rows:
+        rep.setdefault(tuple(x), i)
+    order = sorted((-round(jac(set(a), set(b)), 9), rep[tuple(a)], rep[tuple(b)], i, j) for i, a, p in rows for j, b, q in rows if p and not q and jac(set(a), set(b)) >= 0.3)
+    seen, want = set(), []
+    for s, ra, rb, i, j in order:  # one pair of rows after another
+        if i not in seen and j not in seen:
+            seen |= {i, j}
+            want.append((ra, rb, -s))
+    got = SI.matched_classes(df, "id", "tokens", "y", 0.3).collect()
+    sets = {i: rep[tuple(x)] for i, x, _ in rows}
+    assert sorted((sets[x.id_a], sets[x.id_b], round(x.similarity, 9)) for x in got) == sorted(want)
+    ids = [k for x in got for k in (x.id_a, x.id_b)]
+    assert len(ids) == len(set(ids))
