@@ -174,9 +174,10 @@ def predict_languages(docs: DataFrame, learned, key: str = "doc_id", text: str =
     """
     names, tables = learned
     body = F.col(text).cast("string")
-    src = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), (hashed_remainder(F.col(key), folds) == 0).alias("held_out"), body.alias("text"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    kind = docs.schema[key].dataType.simpleString()
+    src = small_batches(docs).select(F.col(key).alias("doc_id"), (hashed_remainder(F.col(key), folds) == 0).alias("held_out"), body.alias("text"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     none = src.where("not lettered" if names else "true").select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if not names:
         return none
-    found = src.where("lettered").select("doc_id", "held_out", "text").mapInArrow(_predict(names, tables), "doc_id long, held_out boolean, lang string, p double")
+    found = src.where("lettered").select("doc_id", "held_out", "text").mapInArrow(_predict(names, tables), f"doc_id {kind}, held_out boolean, lang string, p double")
     return found.select("doc_id", "held_out", F.col("lang").alias("lang_pred"), F.least(F.col("p"), F.lit(1.0)).alias("score")).unionByName(none)

@@ -18,13 +18,21 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Names each row of a staged table; keys may be null or repeated.
-ROW = "__row"
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """The rows once in the shared folder, with an id of their own in ``ROW``: every later read sees the same ids."""
-    return stage(df.withColumn(ROW, F.monotonically_increasing_id()))
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows once in the shared folder with an id of their own, and the id's name: every later read sees the same ids.
+
+    Keys may be null or repeated, so decisions about rows are carried back by this id.
+    """
+    name = free_name(df, "__row")
+    return stage(df.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:

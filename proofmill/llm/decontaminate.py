@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import ALNUM, U64, chunks, shingle_hashes, utf8, word_hashes, word_spans
-from proofmill.llm.common import ROW, bit_table, numbered, small_batches, stage, unpack_bits
+from proofmill.llm.common import bit_table, numbered, small_batches, stage, unpack_bits
 
 #: The bit table has 2**BITS bits; false matches only cost work.
 BITS = 22
@@ -122,7 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     joined by commas.  Null and empty texts have no words; an item without words has no window; an
     empty benchmark gives zero hits; repeated rows are counted one by one.  Other columns are not read.
     """
-    src = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    src = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     made = stage(bench.mapInArrow(_item_windows(window, k), "item string, words string, length int, tokens array<long>"))
     windows = made.groupBy("words").agg(F.first("length").alias("length"), F.first("tokens").alias("tokens"))
@@ -138,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     index = stage(index.where("r.df > 0").select("words", "length", "r.token", "r.offset"))
 
     bits = bit_table(index, "token", BITS)
-    rows = src.mapInArrow(_candidates(bits, lengths, window), "doc_id long, n_words long, marks array<struct<token: long, pos: long, base: long, context: string>>")
+    rows = src.mapInArrow(_candidates(bits, lengths, window), f"doc_id {kind}, n_words long, marks array<struct<token: long, pos: long, base: long, context: string>>")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()))
     marks = rows.where(F.size("marks") > 0).select("row", "n_words", F.explode("marks").alias("m")).select("row", "n_words", "m.*")
     start = F.col("pos") - F.col("offset")
@@ -166,6 +167,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns; each row is judged by itself, whatever its key."""
-    rows = numbered(docs)
-    bad = contamination(rows, benchmark, ROW, text, **how).where("contaminated").select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").drop(ROW)
+    rows, row = numbered(docs)
+    bad = contamination(rows, benchmark, row, text, **how).where("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").drop(row)

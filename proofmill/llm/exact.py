@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import utf8
-from proofmill.llm.common import stage
+from proofmill.llm.common import numbered, stage
 
 COUNTERS = 1024
 
@@ -56,8 +56,15 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     winners are computed with map-side sums and broadcast.  Every other group is smaller than that
     share, so the shuffle of the rest has no hot key.
     """
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"))
-    rows = stage(src.withColumn("row", F.monotonically_increasing_id()))
+    src = docs.select(F.col(key).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"))
+    out = _decided(stage(src.withColumn("row", F.monotonically_increasing_id())), counters)
+    return out.select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+def _decided(rows: DataFrame, counters: int) -> DataFrame:
+    """``rows`` (doc_id, digest, row; stored) with ``first`` (unnamed, doc_id, row), the row that stays of their group, and ``group_size``."""
     seen = rows.select("digest").mapInArrow(_frequent(counters), "digest binary, seen long").groupBy("digest").agg(F.sum("seen").alias("seen"))
     total = rows.count()
     frequent = seen.where(F.col("seen") * (counters + 1) >= total).select("digest")  # at most counters + 1 rows
@@ -66,22 +73,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     winners = stage(settle(rows.join(F.broadcast(frequent), "digest")))
     heavy = rows.join(F.broadcast(winners), "digest")
     light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    out = heavy.unionByName(light.join(settle(light), "digest"))
-    return out.select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    return heavy.unionByName(light.join(settle(light), "digest"))
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows that stay, with all columns of ``docs``."""
-    found = exact_duplicates(docs, key, text, counters)
-    stay = found.where("kept").select(F.col("doc_id").alias("__key"), F.unhex("text_sha256").alias("__digest"))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text)), 256)))
-    both = marked.join(stay, F.col(key).cast("long").eqNullSafe(stay["__key"]) & (marked["__digest"] == stay["__digest"]), "left_semi")
-    # rows that repeat key and text are told apart from nothing else, so one of each is taken
-    again = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__key"), F.unhex("text_sha256").alias("__digest"))
-    again = stage(again)
-    same = F.col(key).cast("long").eqNullSafe(again["__key"]) & (both["__digest"] == again["__digest"])
-    single = both.join(again, same, "left_anti")
-    double = both.join(again, same, "left_semi").dropDuplicates([key, "__digest"])
-    return single.unionByName(double).drop("__digest")
+    """The rows that stay, with all columns of ``docs``; decided by row, so rows that repeat key and text are told apart."""
+    rows, row = numbered(docs)
+    src = rows.select(F.col(key).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"), F.col(row).alias("row"))
+    gone = _decided(stage(src), counters).where("row <> first.row").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)

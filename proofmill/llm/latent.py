@@ -18,13 +18,15 @@ from pyspark.sql import types as T
 
 from proofmill.llm.arrowtext import SPACED, U64, chunks, mix, utf8, word_hashes, word_spans
 from proofmill.llm.bytecnn import hashed_remainder
-from proofmill.llm.common import hash_sample, small_batches
+from proofmill.llm.common import free_name, hash_sample, small_batches
 
 #: Hashed terms of each kind (shapes; words and their pairs), length of a shape, latent axes.
 KIND, GRAM, RANK = 4096, 4, 32
 TERMS = 2 * KIND
 #: Length of the word part of a document's vector; that of the shape part is 1.
 WORDS = 0.5
+#: Texts whose terms a task holds at a time.
+STEP = 64
 #: At most this many labelled rows of each label are learned from.
 SAMPLE, NEIGHBOURS, SHARPNESS = 800, 15, 4
 
@@ -78,8 +80,8 @@ def _frequencies(batches):
     for batch in batches:
         buf, off, _ = utf8(batch.column(0))
         for lo, hi in chunks(off):
-            for a in range(lo, hi, 256):
-                b = min(hi, a + 256)
+            for a in range(lo, hi, STEP):
+                b = min(hi, a + STEP)
                 total[:TERMS] += (term_counts(buf[off[a] : off[b]], off[a : b + 1] - off[a]) > 0).sum(0)
         total[TERMS] += batch.num_rows
     at = np.flatnonzero(total)
@@ -148,11 +150,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
         df[r["term"]] = r["n"]
     idf = np.log1p(df[TERMS] / np.maximum(1, df[:TERMS])).astype(np.float32)
 
-    known = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
+    known = labels.select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     known = known.where(hashed_remainder(F.col("key"), folds) != held).groupBy("key").agg(F.min("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = hash_sample(known, "label", ["key"], sample).select("key", "label")  # at most 2 * sample rows
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "key")
+    texts = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "key")
     texts = texts.groupBy("key", "label").agg(F.min("text").alias("text")).select("label", "text")
     rows = texts.mapInArrow(_sparse, "label int, terms array<long>, counts array<long>").collect()
     rows.sort(key=lambda r: (r["label"], r["terms"], r["counts"]))
@@ -189,8 +191,8 @@ def with_score(docs: DataFrame, model: LatentVote, name: str, text: str = "text"
             buf, off, _ = utf8(batch.column(place))
             out = np.zeros(batch.num_rows)
             for lo, hi in chunks(off):
-                for a in range(lo, hi, 256):
-                    b = min(hi, a + 256)
+                for a in range(lo, hi, STEP):
+                    b = min(hi, a + STEP)
                     out[a:b] = model.scores(term_counts(buf[off[a] : off[b]], off[a : b + 1] - off[a]))
             done = pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
             yield done if least is None else done.filter(pa.array(out >= least))
@@ -206,14 +208,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     learned (0.5 without any).  Repeated rows score alike; an empty table gives no rows.
     """
     model = learn_quality(docs, labels, key=key, text=text, folds=folds, held=held)
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), (hashed_remainder(F.col(key), folds) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
+    src = docs.select(F.col(key).alias("doc_id"), (hashed_remainder(F.col(key), folds) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
     out = with_score(src, model, "score", "text")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, known: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more under a model of ``known`` and ``labels``, with the columns of ``docs``."""
-    name = "__score"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "__score")
     return with_score(docs, learn_quality(known, labels, key=key, text=text), name, text, 0.5).drop(name)

@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrowtext import SPACED, U64, chunks, mix, shingle_hashes, utf8, word_hashes, word_spans
-from proofmill.llm.common import ROW, bit_table, numbered, small_batches, stage, unpack_bits
+from proofmill.llm.common import bit_table, numbered, small_batches, stage, unpack_bits
 from proofmill.operators.graph import connected_components
 
+#: Chance with which a pair at the limit may be missed.
+MISSED = 1e-4
 BANDS, ROWS = 32, 5
 #: The table that marks the texts whose sets are fetched again has 2**BITS bits; false marks only cost work.
 BITS = 24
@@ -182,7 +184,14 @@ def _outside(counts: np.ndarray, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def banding(percent: int, values: int = BANDS * ROWS, missed: float = 4e-6) -> tuple[int, int]:
+    """(bands, rows): the longest bands of an even number of values that miss a pair at the limit with no more than ``missed``."""
+    fit = [r for r in range(1, values // 2 + 1) if (1 - (percent / 100) ** r) ** (values // r // 2 * 2) <= missed]
+    r = max(fit, default=1)
+    return values // r // 2 * 2, r
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept): one row per row of ``docs``.
 
     Rows are linked when 100 * |A ∩ B| >= percent * |A ∪ B| for their sets of k-word shingles (64-bit
@@ -192,10 +201,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     nothing.  Null keys never name a component; such a row is kept only where its component has no
     key at all.  Repeated rows are one class.  Other columns are not read.
 
-    A pair at the limit misses all buckets with probability (1 - 0.8^5)^32, about 3e-6.
+    A pair at the limit misses all buckets with probability (1 - (percent / 100)^rows)^bands, about 3e-6 for 80 percent;
+    bands and rows follow the percentage unless they are given, and values that miss more than MISSED are refused.
     """
-    src = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketches = stage(src.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
+    if bands is None and rows is None:
+        bands, rows = banding(percent)
+    bands, rows = bands or BANDS, rows or ROWS
+    if (1 - (percent / 100) ** rows) ** bands > MISSED:
+        raise ValueError(f"{bands} bands of {rows} miss too many pairs of {percent} percent")
+    src = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    sketches = stage(src.mapInArrow(_sketch(k, bands, rows), f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sketch binary"))
     full = sketches.where("n_shingles > 0").groupBy("digest")
     classes = full.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()))
@@ -206,11 +222,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members = stage(spread.join(shared, "bucket"))
     wanted = classes.select("cid", "digest", "rep").join(members.select("cid").distinct(), "cid", "left_semi")
     bits = bit_table(wanted.select(F.xxhash64("rep").alias("h")), "h", BITS)
-    sets = src.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_full_sets(k, bits, BITS), "doc_id long, digest binary, items binary").alias("s")
+    sets = src.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_full_sets(k, bits, BITS), f"doc_id {kind}, digest binary, items binary").alias("s")
     sets = sets.join(wanted.alias("w"), (F.col("s.digest") == F.col("w.digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     sets = stage(sets.groupBy("s.digest", "cid").agg(F.first("items").alias("items")).select("cid", "items"))
 
-    labels = _components(members, classes.select("cid", "sketch"), sets, percent)
+    labels = _components(members, classes.select("cid", "sketch"), sets, percent, bands * rows)
     named = classes.select("cid", "digest", "rep").join(labels, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("digest", F.col("rep").alias("class_id"), "component_id")
@@ -227,20 +243,20 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     It is the row with the smallest key; rows without a key come last, and the row id decides between
     rows of one key.  Null and empty texts are components of one row, so all of them stay.
     """
-    rows = numbered(docs)
-    found = near_duplicates(rows, ROW, text, k, percent).select(F.col("doc_id").alias(ROW), "component_id")
-    named = rows.select(ROW, F.col(key).cast("long").alias("key")).join(found, ROW)
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", ROW))
-    stay = named.groupBy("component_id").agg(first.alias("m")).select(F.col(f"m.{ROW}").alias(ROW))
-    return rows.join(stay, ROW, "left_semi").drop(ROW)
+    rows, row = numbered(docs)
+    found = near_duplicates(rows, row, text, k, percent).select(F.col("doc_id").alias("row"), "component_id")
+    named = rows.select(F.col(row).alias("row"), F.col(key).alias("key")).join(found, "row")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    stay = named.groupBy("component_id").agg(first.alias("m")).select(F.col("m.row").alias(row))
+    return rows.join(stay, row, "left_semi").drop(row)
 
 
-def _compared(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, values: int) -> DataFrame:
     """(a, b, na, nb, shared) of the pairs whose sketches do not rule a link out (six standard deviations)."""
     one = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("x"))
     two = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("y"))
     p = percent / 100
-    least = p - 6 * (p * (1 - p) / (BANDS * ROWS)) ** 0.5
+    least = p - 6 * (p * (1 - p) / values) ** 0.5
     close = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
     close = stage(close)
     one = sets.select(F.col("cid").alias("a"), F.col("items").alias("x"))
@@ -253,13 +269,13 @@ def _linked(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b")
 
 
-def _components(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _components(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, values: int) -> DataFrame:
     """(cid, component) of the classes that have a link; ``members`` has bucket, cid and the number of others in the bucket."""
     weight = stage(members.groupBy("cid").agg(F.sum("others").alias("weight")))
     lead = members.join(weight, "cid").groupBy("bucket").agg(F.max(F.struct("weight", "cid")).alias("m")).select("bucket", F.col("m.cid").alias("lead"))
     led = stage(members.select("bucket", "cid").join(lead, "bucket"))
     pairs = led.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
-    met = _compared(pairs, sketches, sets, percent)
+    met = _compared(pairs, sketches, sets, percent, values)
     star = _linked(met, percent)
 
     # each class: the most similar leader, and the weightiest leader that it is linked with
@@ -275,7 +291,7 @@ def _components(members: DataFrame, sketches: DataFrame, sets: DataFrame, percen
     live = led.join(named, "cid")
     mixed = live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     live = stage(live.join(mixed, "bucket").select("lead", "cid", "label", "home").distinct())
-    more = _linked(_compared(_open_pairs(live, named, sets, percent), sketches, sets, percent), percent)
+    more = _linked(_compared(_open_pairs(live, named, sets, percent), sketches, sets, percent, values), percent)
     edges = star.unionByName(more)
     return connected_components(edges.select(F.col("a").alias("cid")).union(edges.select("b")), edges, "cid", "a", "b")
 

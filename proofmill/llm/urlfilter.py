@@ -9,12 +9,34 @@ from pyspark.sql import functions as F
 
 from proofmill.llm.common import ascii_lower
 
-#: Term -> weight.  A strict term weighs as much as the limit, a soft one 1.
 STRICT, SOFT = 2, 1
-VOCABULARY = {
-    **dict.fromkeys(("casino", "porn", "xxx", "viagra", "escort", "spam", "adult-x", "warez", "phishing", "malware"), STRICT),
-    **dict.fromkeys(("ads", "adult", "bet", "bets", "bonus", "cheap", "dating", "farm", "free", "jackpot", "loan", "pills", "poker", "sex", "track", "tracker", "win"), SOFT),
-}
+#: Terms that decide alone, by subject: gambling, pornography, drugs, fraud and malware, piracy.
+STRICT_TERMS = (
+    "casino casinos roulette blackjack sportsbook betway slotmachine slotmachines "
+    "porn porno pornhub pornography xxx hentai camgirl camgirls milf escort escorts nsfw "
+    "viagra cialis levitra xanax tramadol oxycontin steroids "
+    "spam spammer phishing malware ransomware botnet keylogger carding cvv scam "
+    "warez keygen crackz torrentz nulled"
+)
+#: Terms that decide with another one.  Single letters are ratings.
+SOFT_TERMS = (
+    "bet bets betting gamble gambling jackpot jackpots lottery lotto poker slot slots win winner winners wager odds spin spins "
+    "adult adults sex sexy nude nudes naked erotic fetish dating hookup singles cam cams webcam x xx 18plus "
+    "pill pills pharmacy pharma meds prescription diet weightloss slimming supplement supplements cbd kratom "
+    "cheap discount deal deals bargain coupon coupons promo promos bonus bonuses free freebie gratis prize prizes giveaway reward rewards "
+    "loan loans credit payday mortgage refinance debt cash money earn income rich millionaire crypto bitcoin forex binary investment "
+    "ad ads adserver banner banners click clicks popup popups track tracker trackers tracking pixel affiliate affiliates traffic seo backlink backlinks "
+    "crack cracked serial serials torrent torrents mp3 stream streams download downloads "
+    "replica replicas fake counterfeit rolex essay essays followers likes farm farms clickbait viral"
+)
+
+
+def weighted(strict: str, soft: str) -> dict[str, int]:
+    """Term -> weight: a strict term weighs as much as the limit, a soft one 1."""
+    return {**dict.fromkeys(soft.split(), SOFT), **dict.fromkeys(strict.split(), STRICT)}
+
+
+VOCABULARY = weighted(STRICT_TERMS, SOFT_TERMS)
 LIMIT = 2
 
 #: Fixed values: (verdict, host, path).
@@ -64,6 +86,14 @@ def _count(vocabulary: dict[str, int], limit: int):
     return run
 
 
+def vocabulary_of(table: DataFrame, term: str = "term", weight: str = "weight", most: int = 100_000) -> dict[str, int]:
+    """A vocabulary from a table of terms and weights (lower-case terms; the largest weight of a repeated term), at most ``most`` terms."""
+    rows = table.where(F.col(term).isNotNull() & F.col(weight).isNotNull() & (F.col(term) != "")).groupBy(F.col(term).alias("t")).agg(F.max(weight).alias("w")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return {r["t"]: int(r["w"]) for r in rows}
+
+
 def url_verdicts(pages: DataFrame, rules=RULES, vocabulary=None, limit: int = LIMIT, key: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, n_strict, n_soft): one row per row of ``pages``.
 

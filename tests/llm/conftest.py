@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASH = "size long, shard int, digest string, bands string, words string, row long, score double, label string, part int, token string, n_words long"
+CLASH = "size long, shard int, digest string, bands string, words string, row long, score double, label string, part int, token string, n_words long, __row long, __digest string, __key string, __score double"
 
 
 def prose(seed: int, n: int, syllables=("an", "the", "re", "on", "Ti", "ou", "é", "st", "3", "ing")) -> str:
@@ -28,7 +28,7 @@ def edge_rows():
 
 @pytest.fixture(scope="session")
 def edge_docs(spark, edge_rows):
-    extra = [7, 7, "x", "x", "x", 7, 7.0, "x", 7, "x", 7]
+    extra = [7, 7, "x", "x", "x", 7, 7.0, "x", 7, "x", 7, 7, "x", "x", 7.0]
     return spark.createDataFrame([(*r, *extra) for r in edge_rows], f"doc_id long, text string, {CLASH}").repartition(3)
 
 

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from proofmill.llm.arrowtext import SPACED, U64, shingle_hashes, word_hashes, word_spans
 from proofmill.llm.minmax import _permutations, drop_near_duplicates, min_max_bands, near_duplicates
@@ -107,3 +108,17 @@ def test_word_hashes_do_not_depend_on_place_or_spacing():
     one, two, three, four = hashes(["Ab cd", "ab\n cd ", "", "x" * 3_000_000 + " ab"])
     assert one == two and three == [] and four[1] == one[0]
     assert len(shingle_hashes(np.arange(3, dtype=U64), 5)) == 0
+
+
+def test_bands_follow_the_percentage():
+    from proofmill.llm.minmax import banding
+
+    assert banding(80) == (32, 5)
+    for percent in (50, 60, 70, 90, 95):
+        bands, rows = banding(percent)
+        assert bands * rows <= 160 and (1 - (percent / 100) ** rows) ** bands <= 4e-6
+
+
+def test_bands_that_miss_pairs_are_refused(no_docs):
+    with pytest.raises(ValueError):
+        near_duplicates(no_docs, percent=50, bands=32, rows=5)

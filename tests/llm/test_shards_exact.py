@@ -84,3 +84,19 @@ def test_hot_group(spark):
     got = exact_duplicates(docs, counters=16)
     assert got.where("group_size = 2000 and keep_id = 0").count() == 2000
     assert got.where("kept").count() == got.select("text_sha256").distinct().count()
+
+
+def test_text_keys_and_columns_with_names_of_ours(spark):
+    from proofmill.llm.exact import drop_exact_duplicates, exact_duplicates
+    from proofmill.llm.minmax import drop_near_duplicates
+
+    rows = [("b", "one  text", 1, "x", 0.5), ("a", "one text", 2, "y", 0.5), (None, "one text", 3, "z", 0.5), ("c", "another", 4, None, 0.5), ("c", "another", 5, None, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __row long, __digest string, __score double")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs).collect()}
+    assert {("b", "a", 3, False), ("a", "a", 3, True), (None, "a", 3, False)} <= got
+    for drop in (drop_exact_duplicates, drop_near_duplicates):
+        left = drop(docs)
+        assert left.columns == docs.columns
+        kept = left.collect()
+        assert {r.doc_id for r in kept} == {"a", "c"} and len(kept) == 2
+        assert {r["__row"] for r in kept} <= {1, 2, 4, 5} and (2 in {r["__row"] for r in kept})

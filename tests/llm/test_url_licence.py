@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 from proofmill.llm.licences import BASE, NOTICES, licence_scan
-from proofmill.llm.urlfilter import RULES, url_verdicts
+from proofmill.llm.urlfilter import RULES, url_verdicts, vocabulary_of
 from tests.llm.conftest import prose
 
 
@@ -15,7 +15,8 @@ def test_url_parts_rules_and_terms(spark):
         ("http://x.net", "x.net", "", None, "allow"),
         ("x://w.org/fr/casino", "w.org", "/fr/casino", "org/fr/", "allow"),
         ("http://casino-win.example.org/en/", "casino-win.example.org", "/en/", None, "block"),
-        ("http://casinos.org/cheap", "casinos.org", "/cheap", None, "allow"),
+        ("http://casinos.org/cheap", "casinos.org", "/cheap", None, "block"),
+        ("http://casinosx.org/cheap", "casinosx.org", "/cheap", None, "allow"),
         ("http://a.org/cheap/Pills", "a.org", "/cheap/Pills", None, "block"),
         ("http://a.org/cheap/cheap", "a.org", "/cheap/cheap", None, "allow"),
         ("http://a.org/x?casino", "a.org", "/x", None, "allow"),
@@ -32,6 +33,23 @@ def test_url_parts_rules_and_terms(spark):
     assert len({h + p for _, h, p in RULES}) == len(RULES)
 
 
+def test_urls_of_other_kinds(spark):
+    bad = ["http://www.best-online-casinos.biz/", "https://buy-viagra.example.org/order", "http://cdn.x.org/banner/click.js", "http://quick-payday.loan/apply", "http://a.org/free/mp3/", "https://rolex-replica.shop", "http://adult.dating.example.org", "http://t.example.org/pixel/track?id=1", "http://tube.xxx/a"]
+    good = ["https://en.example.org/wiki/Betting_odd", "http://university.example.org/adult-education", "http://news.example.org/2019/economy", "https://docs.python.example.org/3/library/os.html", "http://skincare.example.org/", "http://farmersmarket.example.org/free", "https://analytics.example.org/win32", "http://essex.example.org/", "http://classics.example.org/spamalot"]
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id int, url string")
+    got = {r.page_id: r.verdict for r in url_verdicts(pages, rules=()).collect()}
+    assert [got[i] for i in range(len(bad))] == ["block"] * len(bad)
+    assert [got[i] for i in range(len(bad), len(got))] == ["allow"] * len(good)
+
+
+def test_a_vocabulary_can_be_a_table(spark):
+    table = spark.createDataFrame([("teapot", 2), ("tea", 1), ("cup", 1), ("cup", 1), (None, 2), ("", 2)], "term string, weight int")
+    words = vocabulary_of(table)
+    assert words == {"teapot": 2, "tea": 1, "cup": 1}
+    pages = spark.createDataFrame([(1, "x://teapot.org"), (2, "x://a.org/tea"), (3, "x://a.org/tea/cup"), (4, "x://casino.org")], "page_id int, url string")
+    assert {r.page_id: r.verdict for r in url_verdicts(pages, rules=(), vocabulary=words).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
 def expected(rows):
     out = Counter()
     for key, text in rows:
