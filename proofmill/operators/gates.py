@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofmill.functions import values as V
 from proofmill.functions.text import clean, join_flags, stable_id
 from proofmill.operators.ranking import null_safe_join
+from proofmill.session import cut_lineage
 
 
 def normalize_values(df: DataFrame, *, endpoint_names: dict | None = None, unit_table=None) -> DataFrame:
@@ -127,19 +128,20 @@ def gate(
     df: DataFrame,
     *,
     core_endpoints,
-    extra_rules: tuple[tuple[Column, str, bool], ...] = (),
+    extra_rules: tuple[tuple[Column, str | None, str | None], ...] = (),
     reported_p: str | None = None,
     tolerance: float = 0.05,
+    carried: str | None = None,
 ) -> DataFrame:
     """Attach flags, exclusion reasons and eligibility; nothing is dropped.
 
-    ``extra_rules`` holds (condition, flag, excludes) for source-specific checks such as target
-    relevance, variant exclusion or a source's own validity comments.
+    ``extra_rules`` holds (condition, flag, reason) as the rule functions below make them; a reason excludes, a
+    flag without one only asks for review.  ``carried`` names a column of earlier flags, joined by semicolons.
     """
-    # both lookups are built from the input itself, so its plan is not nested twice
-    base = measurement_ids(df)
+    # parsed once and stored: the two lookups and the rows themselves all read it
+    base = cut_lineage(measurement_ids(df))
     firsts = repeated_identities(base, ("measurement_id",), "record_id", "row_key")
-    conflicts = conflicting_records(df, RECORD, COMPARED, "record_id")
+    conflicts = conflicting_records(base, RECORD, COMPARED, "record_id")
     out = flag_duplicates(base, fields=("measurement_id",), repeated=firsts)
     out = flag_record_conflicts(out, conflicts=conflicts)
     rules: list[tuple[Column, Column, bool]] = [
@@ -156,11 +158,15 @@ def gate(
     if reported_p:
         delta = F.abs(F.col(reported_p) - F.col("p_value"))
         rules.append((delta > tolerance, F.lit("conversion_mismatch"), True))
-    rules += [(c, F.lit(f), x) for c, f, x in extra_rules]
+    flags = [F.when(c, f) for c, f, _ in rules] + [F.when(c, f if isinstance(f, Column) else F.lit(f)) for c, f, _ in extra_rules if f is not None]
+    reasons = [F.when(c, f) for c, f, x in rules if x] + [F.when(c, F.lit(r)) for c, _, r in extra_rules if r is not None]
+    all_flags = F.array(*flags)
+    if carried:
+        all_flags = F.concat(all_flags, F.filter(F.split(F.coalesce(F.col(carried), F.lit("")), ";"), lambda x: x != ""))
     return out.withColumns(
         {
-            "quality_flags": join_flags(F.array(*[F.when(c, f) for c, f, _ in rules])),
-            "exclusion_reason": join_flags(F.array(*[F.when(c, f) for c, f, x in rules if x])),
+            "quality_flags": join_flags(all_flags),
+            "exclusion_reason": join_flags(F.array(*reasons)),
             "is_core_endpoint": F.col("endpoint").isin(*core_endpoints),
         }
     ).withColumns(
@@ -171,6 +177,42 @@ def gate(
     )
 
 
+def structure_rules(original: str, status: str, *, invalid, unchecked):
+    """Rules for the subject's own description: missing, of an invalid status (flagged as it is), or never checked."""
+    gone = clean(original) == ""
+    bad = ~gone & clean(status).isin(*invalid)
+    return (
+        (gone, "missing_structure", "missing_structure"),
+        (bad, clean(status), "invalid_structure"),
+        (~gone & ~bad & clean(status).isin(*unchecked), "structure_not_validated", None),
+    )
+
+
+def target_rules(relevant: str, relevance: str, *, excluded):
+    """Rules for rows whose target does not count: decided against, or undecided."""
+    off = ~F.coalesce(F.col(relevant), F.lit(False))
+    against = clean(relevance).isin(*excluded)
+    return ((off & against, "target_not_relevant", "target_not_relevant"), (off & ~against, "target_relevance_unresolved", "target_relevance_unresolved"))
+
+
+def curated_source_rules(source: str, name: str, *, standard: str, comment: str, accepted, duplicate: str | None = None):
+    """Rules for a source that marks its own records: not of standard form, a comment on validity, a possible duplicate."""
+    own = F.lower(clean(source)) == name
+    number = lambda c: F.col(c).cast("double")
+    rules = [
+        (own & ~F.coalesce(number(standard) == 1, F.lit(False)), f"{name}_nonstandard_measurement"),
+        (own & ~F.lower(clean(comment)).isin(*accepted), f"{name}_data_validity_warning"),
+    ]
+    if duplicate:
+        rules.append((own & F.coalesce(number(duplicate) == 1, F.lit(False)), f"{name}_potential_duplicate"))
+    return tuple((c, f, f) for c, f in rules)
+
+
+def variant_rules(variant: str):
+    """Rows measured on a variant of the target are left out."""
+    return ((clean(variant) != "", "variant_excluded", "variant_excluded"),)
+
+
 def quarantine(df: DataFrame, eligible: str = "is_eligible") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) views of one gated table."""
     ok = F.coalesce(F.col(eligible), F.lit(False))

@@ -9,6 +9,7 @@ from proofmill.functions import values as V
 from proofmill.functions.classify import Rule, any_listed, classify, classify_struct, first_pattern, first_term, first_verdict
 from proofmill.operators import aggregate as A
 from proofmill.operators import gates as G
+from proofmill.plans.bindings import CORE_ENDPOINTS
 from proofmill.plans.registry import VIEWS, query
 
 
@@ -334,6 +335,50 @@ def eligibility_gate(t):
     return t.gated.select("row_key", "exclusion_reason", "is_eligible")
 
 
+ACCEPTED_COMMENTS = ("", "checked")
+
+
+@query("full_gate", """
+with d as (select *, split_part(row_key,':',1)::bigint as ok, split_part(row_key,':',2)::int as ln, split_part(row_key,':',3)::bigint as pk, split_part(row_key,':',4)::bigint as sk,
+ row_number() over (partition by source,record_id,subject_id,assay_id,endpoint,relation,value_numeric,unit_normalized,document_id order by row_key)>1 as is_duplicate,
+ coalesce(min(value_numeric) over r < max(value_numeric) over r, false) or coalesce(min(subject_id) over r < max(subject_id) over r, false) as record_conflict from (
+  select * replace (case when pk0%41=0 then '' else subject_id end as subject_id, case when sk0%17=0 then '?' else relation end as relation, case when sk0%19=0 then -value_numeric else value_numeric end as value_numeric, case when ln0%2=1 and sk0%5=0 then 'R'||ok0 else record_id end as record_id)
+  from (select *, split_part(row_key,':',1)::bigint as ok0, split_part(row_key,':',2)::int as ln0, split_part(row_key,':',3)::bigint as pk0, split_part(row_key,':',4)::bigint as sk0 from @normalized)) window r as (partition by source,record_id,endpoint)),
+e as (select *, case when pk%37=0 then '' else 'C'||pk end as original, case when pk%31=0 then 'invalid_form' when pk%31=1 then 'failed' when pk%31=2 then 'unavailable' else 'standard' end as status, sk%23<>0 as relevant, case when sk%2=0 then 'off_target' when sk%3=0 then 'manual_exclude' else '' end as relevance,
+ case when ok%29=0 then 0 when ok%29<>1 then 1 end as standard, case when ok%13=0 then ' Outside range' when ok%13=1 then 'CHECKED' else '' end as comment, case when ok%11=0 then 1 else 0 end as maybe, case when pk%43=0 then 'V12' else ' ' end as variant, p_value+case when ok%7=0 then 0.2 else 0.01 end as reported,
+ case when ok%5=0 then 'hand_entered;late' when ok%5=1 then 'late' end as earlier from d),
+f as (select *, [case when subject_id='' then 'missing_subject' end, case when value_numeric is null then 'missing_or_non_numeric_value' end, case when value_numeric<=0 then 'nonpositive_value' end, case when unit_status<>'converted' then unit_status end, case when endpoint not in ('urgent','high','medium','low') then 'unsupported_endpoint' end,
+  case when relation not in ('<','<=','=','>=','>','~') then 'invalid_relation' end, case when is_duplicate then 'duplicate_measurement' end, case when record_conflict then 'source_record_conflict' end, case when abs(reported-p_value)>0.05 then 'conversion_mismatch' end,
+  case when trim(original)='' then 'missing_structure' end, case when not relevant and relevance in ('off_target','manual_exclude') then 'target_not_relevant' end, case when not relevant and relevance not in ('off_target','manual_exclude') then 'target_relevance_unresolved' end,
+  case when source='alpha' and (standard is null or standard<>1) then 'alpha_nonstandard_measurement' end, case when source='alpha' and lower(trim(comment)) not in ('','checked') then 'alpha_data_validity_warning' end, case when source='alpha' and maybe=1 then 'alpha_potential_duplicate' end, case when trim(variant)<>'' then 'variant_excluded' end] as shared,
+  case when trim(original)<>'' and status in ('invalid_form','failed') then status end as bad from e),
+g as (select *, list_filter(shared || [case when bad is not null then 'invalid_structure' end], lambda x: x is not null) as why, list_filter(shared || [bad, case when relation='~' then 'approximate_value' end, case when trim(original)<>'' and bad is null and status='unavailable' then 'structure_not_validated' end] || list_filter(string_split(coalesce(earlier,''),';'), lambda x: x<>''), lambda x: x is not null) as what from f)
+select row_key, array_to_string(list_sort(list_distinct(what)),';') as quality_flags, array_to_string(list_sort(list_distinct(why)),';') as exclusion_reason, len(why)=0 as is_eligible, len(what)>0 as requires_review from g
+""")
+def full_gate(t):
+    """Every kind of reason at once, on columns that are derived so that each occurs."""
+    part = F.split("row_key", ":")
+    ok, ln, pk, sk = (F.element_at(part, i).cast("long") for i in (1, 2, 3, 4))
+    d = t.normalized.withColumns(
+        {
+            "subject_id": F.when(pk % 41 == 0, "").otherwise(F.col("subject_id")), "relation": F.when(sk % 17 == 0, "?").otherwise(F.col("relation")), "value_numeric": F.when(sk % 19 == 0, -F.col("value_numeric")).otherwise(F.col("value_numeric")),
+            "record_id": F.when((ln % 2 == 1) & (sk % 5 == 0), F.concat(F.lit("R"), ok)).otherwise(F.col("record_id")),
+            "original": F.when(pk % 37 == 0, "").otherwise(F.concat(F.lit("C"), pk)), "status": F.when(pk % 31 == 0, "invalid_form").when(pk % 31 == 1, "failed").when(pk % 31 == 2, "unavailable").otherwise("standard"),
+            "relevant": sk % 23 != 0, "relevance": F.when(sk % 2 == 0, "off_target").when(sk % 3 == 0, "manual_exclude").otherwise(""),
+            "standard": F.when(ok % 29 == 0, 0).when(ok % 29 != 1, 1), "comment": F.when(ok % 13 == 0, " Outside range").when(ok % 13 == 1, "CHECKED").otherwise(""), "maybe": F.when(ok % 11 == 0, 1).otherwise(0),
+            "variant": F.when(pk % 43 == 0, "V12").otherwise(" "), "reported": F.col("p_value") + F.when(ok % 7 == 0, 0.2).otherwise(0.01), "earlier": F.when(ok % 5 == 0, "hand_entered;late").when(ok % 5 == 1, "late"),
+        }
+    )
+    rules = (
+        *G.structure_rules("original", "status", invalid=("invalid_form", "failed"), unchecked=("unavailable",)),
+        *G.target_rules("relevant", "relevance", excluded=("off_target", "manual_exclude")),
+        *G.curated_source_rules("source", "alpha", standard="standard", comment="comment", accepted=ACCEPTED_COMMENTS, duplicate="maybe"),
+        *G.variant_rules("variant"),
+    )
+    g = G.gate(d, core_endpoints=CORE_ENDPOINTS, extra_rules=rules, reported_p="reported", carried="earlier")
+    return g.select("row_key", "quality_flags", "exclusion_reason", "is_eligible", "requires_review")
+
+
 @query("duplicate_flags", """
 select row_key, is_duplicate from (select row_key, row_number() over (partition by subject_id,endpoint,relation,value_numeric,unit_normalized order by row_key)>1 as is_duplicate from @normalized)
 """)
