@@ -77,7 +77,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def classification_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5, keys=()) -> DataFrame:
-    """Confusion-based metrics, Brier, log loss, ROC AUC (rank sum) and average precision."""
+    """Confusion-based metrics, Brier, log loss, ROC AUC (rank sum) and average precision; the last two are null with one class."""
     keys = list(keys)
     p = F.least(F.greatest(F.col(score), F.lit(1e-7)), F.lit(1 - 1e-7))
     d = df.select(*keys, F.col(label).cast("int").alias("__y"), p.alias("__p"))
@@ -96,6 +96,8 @@ def classification_metrics(df: DataFrame, label: str, score: str, threshold: flo
     sens, spec = _ratio(tp, tp + fn), _ratio(tn, tn + fp)
     m = m.withColumns(
         {
+            "accuracy": _ratio(tp + tn, tp + fp + fn + tn),
+            "precision": _ratio(tp, tp + fp),
             "sensitivity": sens,
             "specificity": spec,
             "balanced_accuracy": (sens + spec) / 2,
@@ -110,7 +112,7 @@ def classification_metrics(df: DataFrame, label: str, score: str, threshold: flo
     negatives = (F.max("n_group") - F.max("__y_group")).cast("double")
     auc = r.groupBy(*keys).agg(
         (F.sum(F.col("__y_tied") * (neg_before + neg_tied / 2)) / F.nullif(F.max("__y_group") * negatives, F.lit(0.0))).alias("roc_auc"),
-        (F.sum(F.col("__y_tied") * hits / at_or_above) / F.nullif(F.max("__y_group").cast("double"), F.lit(0.0))).alias("average_precision"),
+        F.when(negatives > 0, F.sum(F.col("__y_tied") * hits / at_or_above) / F.nullif(F.max("__y_group").cast("double"), F.lit(0.0))).alias("average_precision"),
     )
     return attach_one(m, auc, keys)
 

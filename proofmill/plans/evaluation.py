@@ -54,7 +54,7 @@ def log_scale_metrics(t):
 with s as (select label as y, score as p from @scores), c as (select count(*) as n, count_if(p>=0.5 and y=1) as tp, count_if(p>=0.5 and y=0) as fp, count_if(p<0.5 and y=1) as fn, count_if(p<0.5 and y=0) as tn, avg((p-y)*(p-y)) as brier, avg(-case when y=1 then ln(p) else ln(1-p) end) as ll from s),
  d as (select p, count(*) as k, sum(y) as ky from s group by 1), r as (select *, sum(k) over (order by p)-k as nb, sum(ky) over (order by p)-ky as yb from d),
  a as (select sum(ky*((nb-yb)+(k-ky)/2.0))/((select sum(ky) from d)*(select sum(k-ky) from d)) as auc, sum(ky*((select sum(ky) from d)-yb)/((select sum(k) from d)-nb))/(select sum(ky) from d) as ap from r)
-select n, tp, fp, fn, tn, round(brier,6) as brier, round(ll,6) as log_loss, round(tp/(tp+fn),6) as sensitivity, round(tn/(tn+fp),6) as specificity, round((tp/(tp+fn)+tn/(tn+fp))/2,6) as balanced_accuracy, round(2.0*tp/(2*tp+fp+fn),6) as f1,
+select n, tp, fp, fn, tn, round(brier,6) as brier, round(ll,6) as log_loss, round((tp+tn)/n,6) as accuracy, round(tp/(tp+fp),6) as precision, round(tp/(tp+fn),6) as sensitivity, round(tn/(tn+fp),6) as specificity, round((tp/(tp+fn)+tn/(tn+fp))/2,6) as balanced_accuracy, round(2.0*tp/(2*tp+fp+fn),6) as f1,
  round((tp::double*tn-fp::double*fn)/sqrt((tp+fp)::double*(tp+fn)*(tn+fp)*(tn+fn)),6) as mcc, round(auc,6) as roc_auc, round(ap,6) as average_precision from c, a
 """)
 def classification_metrics(t):

@@ -765,20 +765,22 @@ def robust_ranking(t):
 
 
 @query("constraint_evaluation", """
-select p_partkey, "constraint", round(edge,6) as conservative_value, round(margin,6) as margin, case when edge is null then 'fail' when "constraint"='potency_floor' and not inside then 'fail' when margin<0 then 'fail' when "constraint"<>'potency_floor' and not inside then 'warning' else 'pass' end as status from (
-select p_partkey, inside, 'potency_floor' as "constraint", potency-0.3 as edge, potency-0.3-7 as margin from @items union all select p_partkey, inside, 'risk_cap', probability+0.1, 0.5-(probability+0.1) from @items union all select p_partkey, inside, 'potency_gain', (potency-0.3)-7.3, (potency-0.3)-7.3-0.2 from @items)
+select p_partkey, "constraint", round(edge,6) as conservative_value, round(margin,6) as margin, case when edge is null then 'fail' when "constraint" in ('potency_floor','potency_step') and not inside then 'fail' when margin<0 then 'fail' when not inside then 'warning' else 'pass' end as status from (
+select p_partkey, inside, 'potency_floor' as "constraint", potency-0.3 as edge, potency-0.3-7 as margin from @items union all select p_partkey, inside, 'risk_cap', probability+0.1, 0.5-(probability+0.1) from @items union all select p_partkey, inside, 'potency_gain', (potency-0.3)-7.3, (potency-0.3)-7.3-0.2 from @items union all select p_partkey, inside and violations<>2, 'potency_step', (potency-0.3)-6.9, (potency-0.3)-6.9-0.1 from @items)
 """)
 def constraint_evaluation(t):
     d = items(t).select(
         "p_partkey",
         (F.col("potency") - 0.3).alias("potency_lower"), (F.col("potency") + 0.3).alias("potency_upper"), F.col("inside").alias("potency_inside"),
         F.lit(6.7).alias("potency_start_lower"), F.lit(7.3).alias("potency_start_upper"),
+        F.lit(6.1).alias("potency_previous_lower"), F.lit(6.9).alias("potency_previous_upper"), (F.col("violations") != 2).alias("potency_previous_inside"),
         (F.col("probability") - 0.1).alias("risk_lower"), (F.col("probability") + 0.1).alias("risk_upper"), F.col("inside").alias("risk_inside"),
     )
     spec = [
         {"name": "potency_floor", "endpoint": "potency", "operator": ">=", "value": 7.0, "outside": "reject"},
         {"name": "risk_cap", "endpoint": "risk", "operator": "<=", "value": 0.5, "outside": "warn"},
         {"name": "potency_gain", "endpoint": "potency", "operator": ">=", "value": 0.2, "relative": "start", "outside": "warn"},
+        {"name": "potency_step", "endpoint": "potency", "operator": ">=", "value": 0.1, "relative": "previous", "outside": "reject"},
     ]
     return rounded(PI.evaluate_constraints(d, "p_partkey", spec))
 

@@ -37,12 +37,16 @@ def read_inband_csv(
     raw = raw.select("_c0", F.array(*fields).alias("values"), F.col("_metadata.file_path").alias("__file"), F.regexp_extract(F.col(f"_metadata.{id_from}"), file_pattern, 1).alias("file_id"))
     if allowed is not None:
         raw = raw.where(F.col("file_id").isin(*allowed))
-    names = raw.where(F.col("_c0") == tag).groupBy("__file").agg(F.first(F.array_compact("values")).alias("names"))
+    heads = raw.where(F.col("_c0") == tag).groupBy("__file").agg(F.first("values").alias("heads"))
+    # a column keeps its place though a header cell before it is empty; of repeated names the first column counts
+    at = F.transform("heads", lambda x, i: F.struct(x.alias("name"), i.alias("at")))
+    at = F.filter(at, lambda x: (F.coalesce(x["name"], F.lit("")) != "") & (F.array_position("heads", x["name"]) == x["at"] + 1))
+    names = heads.select("__file", at.alias("places"), F.transform(at, lambda x: x["name"]).alias("names"))
     if columns is None:  # as many rows as there are column names
         found = names.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
         columns = [r["name"] for r in sorted(found.collect(), key=lambda r: (r["at"], r["name"]))]
     rows = raw.where(F.coalesce(F.col("_c0"), F.lit("")) != tag).join(names, "__file")
-    rows = rows.withColumn("cells", F.map_from_arrays("names", F.slice("values", F.lit(1), F.size("names"))))
+    rows = rows.withColumn("cells", F.map_from_arrays("names", F.transform("places", lambda x: F.col("values")[x["at"]])))
     head = F.coalesce(F.col("_c0").startswith(prefix), F.lit(False))
     units = rows.where(F.col("_c0") == unit_row).groupBy("__file").agg(F.first("cells").alias("cells"))
     units = units.select("__file", F.map_filter(F.transform_values("cells", lambda _, v: F.trim(v)), lambda k, v: (v != "") & (k != tag)).alias("units"))

@@ -29,6 +29,12 @@ def test_inband_csv_units_and_missing_unit_row(spark, tmp_path):
     assert got == {"11": ("5", "2.5", None, {"Value": "uM"}), "12": ("6", "7", None, None), "13": ("8", None, "a,b", {"Other": "nM"})}
 
 
+def test_an_empty_header_cell_does_not_shift_the_columns_after_it(spark, tmp_path):
+    (tmp_path / "aid_21.csv").write_text("TAG,,SID,Value,SID\nRESULT_UNIT,x,,uM,\n1,gone,5,2.5,again\n")
+    r = TB.read_inband_csv(spark, str(tmp_path), tag="TAG").first()
+    assert (r.TAG, r.SID, r.Value, r.units) == ("1", "5", "2.5", {"Value": "uM"})
+
+
 def test_missing_csv_is_empty_and_tsv_is_tagged(spark, tmp_path):
     sch = T.StructType([T.StructField("a", S)])
     assert TB.read_csv(spark, str(tmp_path / "none.csv"), sch).count() == 0
