@@ -148,3 +148,43 @@ def regime_pool(internal: DataFrame, external: DataFrame, key: str, test_groups:
         ext.withColumn("origin", F.lit("external")), allowMissingColumns=True
     )
     return pool.join(test_groups.select(group).distinct(), group, "left_anti")
+
+
+def source_mass(pool: DataFrame, origin: str, inner, out: str = "weight") -> DataFrame:
+    """Half of all weight to the ``inner`` origins and half to the others, 1 on average; alone, a side weighs 1 a row."""
+    own = F.col(origin).isin(*inner)
+    t = pool.agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("a")).first()
+    if not t.a or t.a == t.n:
+        return pool.withColumn(out, F.lit(1.0))
+    return pool.withColumn(out, F.when(own, t.n / (2.0 * t.a)).otherwise(t.n / (2.0 * (t.n - t.a))))
+
+
+#: Training regimes: which tables they join, whether external rows are limited, whether the sources' masses are balanced.
+REGIMES = {
+    "internal_only": ((), None, False),
+    "plus_extension": (("extension",), None, False),
+    "plus_external_naive": (("external",), "all", False),
+    "plus_external_balanced": (("external",), "all", True),
+    "plus_external_large": (("external",), "large", True),
+    "plus_extension_and_external_balanced": (("extension", "external"), "all", True),
+}
+
+
+def regime_pools(internal: DataFrame, extension: DataFrame, external: DataFrame, key: str, group: str, test_groups: DataFrame, large) -> DataFrame:
+    """(regime, origin, weight, columns of ``internal``): the training rows of every regime.
+
+    No row belongs to a test group; external rows never repeat an internal key; ``large`` is the condition of the
+    regime that only takes such external rows.  Internal rows and their extension balance the external ones.
+    """
+    out = None
+    parts = {"extension": extension, "external": external.join(internal.select(key).distinct(), key, "left_anti")}
+    for regime, (names, which, balanced) in REGIMES.items():
+        pool = internal.withColumn("origin", F.lit("internal"))
+        for n in names:
+            part = parts[n].where(large) if n == "external" and which == "large" else parts[n]
+            pool = pool.unionByName(part.select(*internal.columns).withColumn("origin", F.lit(n)))
+        pool = pool.join(test_groups.select(group).distinct(), group, "left_anti")
+        pool = source_mass(pool, "origin", ("internal", "extension")) if balanced else pool.withColumn("weight", F.lit(1.0))
+        pool = pool.select(F.lit(regime).alias("regime"), "origin", "weight", *internal.columns)
+        out = pool if out is None else out.unionByName(pool)
+    return out

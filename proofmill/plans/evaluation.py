@@ -410,6 +410,20 @@ def regime_pool(t):
     return per.groupBy("origin").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_subjects"))
 
 
+@query("regime_pools", """
+with i as (select * from @predictions where stratum='A' and sigma<0.07), x as (select * from @predictions where stratum='A' and sigma>=0.1), e as (select * from @predictions where stratum='N' and subject not in (select subject from i)), tg as (select distinct grp from @predictions where subject in ('S5','S6')),
+u as (select 'internal' as origin, false as big, * from i union all select 'extension', false, * from x union all select 'external', observed>=4.6, * from e),
+p as (select r.regime, u.* from u join (values ('internal_only','internal'),('plus_extension','internal'),('plus_extension','extension'),('plus_external_naive','internal'),('plus_external_naive','external'),('plus_external_balanced','internal'),('plus_external_balanced','external'),('plus_external_large','internal'),('plus_external_large','external'),
+ ('plus_extension_and_external_balanced','internal'),('plus_extension_and_external_balanced','extension'),('plus_extension_and_external_balanced','external')) r(regime, origin) using (origin) where grp not in (select grp from tg) and (r.regime<>'plus_external_large' or origin='internal' or big)),
+t as (select regime, count(*) as n, count_if(origin<>'external') as a from p group by 1)
+select regime, origin, count(*) as n, round(avg(case when regime like '%balanced' or regime like '%large' then case when a=t.n then 1.0 when origin<>'external' then t.n/(2.0*a) else t.n/(2.0*(t.n-a)) end else 1.0 end),9) as weight from p join t using (regime) group by 1,2
+""")
+def regime_pools(t):
+    p = t.predictions
+    pools = P.regime_pools(p.where("stratum = 'A' and sigma < 0.07"), p.where("stratum = 'A' and sigma >= 0.1"), p.where("stratum = 'N'"), "subject", "grp", p.where("subject in ('S5', 'S6')"), F.col("observed") >= 4.6)
+    return rounded(pools.groupBy("regime", "origin").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("weight")), 9)
+
+
 def boot_sql(seed: int, reps: int) -> str:
     return f"dr as (select r.r as rep, grp, {poisson_sql(seed, 'r.r', 'grp')} as weight from (select distinct grp from @predictions), range(1,{reps + 1}) r(r))"
 
