@@ -195,3 +195,37 @@ def test_matching_over_copies_uses_every_row(spark):
     assert sorted((sets[x.id_a], sets[x.id_b], round(x.similarity, 9)) for x in got) == sorted(want)
     ids = [k for x in got for k in (x.id_a, x.id_b)]
     assert len(ids) == len(set(ids))
+
+
+def test_near_copies_meet_once(spark):
+    """A pair is met at the first token it shares, not at every token of its prefixes."""
+    rows = [(i, [f"w{j}" for j in range(100) if j != 50 + i]) for i in range(4)]
+    df = spark.createDataFrame(rows, "rep int, tokens array<string>")
+    o = SI.rarity_ordered(df)
+    a, b = (SI._prefix(o, s, SI._standard(0.65)) for s in "ab")
+    met = SI._blocked(a, b, 2).where("id_a < id_b").where(SI._first_meeting(0.65))
+    assert met.select("id_a", "id_b").distinct().count() == 6
+    assert met.count() <= 12  # 36 tokens a prefix
+
+
+def test_sketches_lose_no_pair(spark):
+    """Sketches of several lengths rule out pairs that share rare tokens only, and none that are similar."""
+    rng = random.Random(4)
+    rows, at = [], 0
+    for n in (5, 40, 300, 700, 1500):
+        base = [f"v{n}_{j}" for j in range(n)]
+        for cut in (0.0, 0.1, 0.25, 0.6):
+            keep = [w for w in base if rng.random() >= cut]
+            rows.append((at, sorted(set(keep + [f"x{at}_{j}" for j in range(int(cut * 10))] + ["rare1", "rare2"]))))
+            at += 1
+    df = spark.createDataFrame(rows, "rep int, tokens array<string>")
+    o = SI.rarity_ordered(df).cache()
+    sets = {i: set(t) for i, t in rows}
+    sim = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    cand = spark.createDataFrame([(i, j) for i, j in sim], "id_a int, id_b int")
+    for t in (0.3, 0.65, 0.9):
+        kept = {(r.id_a, r.id_b) for r in SI._sketched(cand, o, o, t).collect()}
+        want = {p for p, s in sim.items() if s >= t}
+        assert want <= kept
+        assert {(r.id_a, r.id_b) for r in SI.similar_sets(o, t, block=3).collect()} == want
+    assert len(kept) < len(sim) / 2  # sets of far lengths are kept
