@@ -229,3 +229,16 @@ def test_sketches_lose_no_pair(spark):
         assert want <= kept
         assert {(r.id_a, r.id_b) for r in SI.similar_sets(o, t, block=3).collect()} == want
     assert len(kept) < len(sim) / 2  # sets of far lengths are kept
+
+
+def test_searches_leave_out_no_reference_row(spark, tmp_path):
+    """The nearest row of a query row may be a query row, in the plain search and in the domain."""
+    from proofmill.plans import load
+
+    rows = [(0, "a b c d e"), (100, "a b c d f"), (1, "a x y z w"), (2, "x y z v u"), (3, "x y z v t")]
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in rows], "doc_id long, text string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.neighbor for r in load().QUERIES["nearest_neighbor"](spark, str(tmp_path)).collect()}
+    assert got == {0: 100, 100: 0}
+    inside = {r.doc_id: r.similarity for r in load().QUERIES["applicability_domain"](spark, str(tmp_path)).collect()}
+    assert inside == {0: round(4 / 6, 6), 100: round(4 / 6, 6)}
