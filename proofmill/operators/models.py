@@ -373,6 +373,17 @@ def forest_out_of_fold(df: DataFrame, features, target: str, fold: str, folds, *
     return out
 
 
+def logistic_score(model, features: str = "features") -> Column:
+    """Probability of label 1 from the fitted numbers alone.
+
+    The model's own transform takes its training summary, and with it the session, into every task; a session that
+    has observed a table cannot be sent.
+    """
+    w = F.array(*[F.lit(float(x)) for x in model.coefficients])
+    terms = F.zip_with(vector_to_array(features), w, lambda x, y: x * y)
+    return 1 / (1 + F.exp(-F.aggregate(terms, F.lit(float(model.intercept)), lambda s, x: s + x)))
+
+
 def classifier_out_of_fold(df: DataFrame, label: str, fold: str, folds, candidates: dict, weight: str | None = None) -> DataFrame:
     """(candidate, rows) out-of-fold probabilities; ``df`` has a ``features`` vector.
 
@@ -390,7 +401,11 @@ def classifier_out_of_fold(df: DataFrame, label: str, fold: str, folds, candidat
                 est = cls(featuresCol="features", labelCol=label, **params)
                 if weight:
                     est = est.setWeightCol(weight)
-                scored = est.fit(train).transform(test).withColumn("score", vector_to_array("probability")[1])
+                model = est.fit(train)
+                if kind == "logistic":
+                    scored = test.withColumn("score", logistic_score(model))
+                else:  # a copy leaves the training summary behind
+                    scored = model.copy().transform(test).withColumn("score", vector_to_array("probability")[1])
             r = scored.select(*[c for c in df.columns if c != "features"], "score").withColumn("candidate", F.lit(name))
             out = r if out is None else out.unionByName(r)
     return out
@@ -476,7 +491,7 @@ def hybrid_out_of_fold(df: DataFrame, vec: str, label: str, fold: str, folds, co
         train = df.where(F.col(fold) != f)
         h = hybrid_features(train, df, vec, components, clusters)
         m = LogisticRegression(featuresCol="features", labelCol=label, **params).fit(h.where(F.col(fold) != f))
-        parts.append(m.transform(h.where(F.col(fold) == f)).withColumn("score", vector_to_array("probability")[1]).select(*[c for c in df.columns if c != vec], "score"))
+        parts.append(h.where(F.col(fold) == f).withColumn("score", logistic_score(m)).select(*[c for c in df.columns if c != vec], "score"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -111,3 +111,27 @@ def test_seeded_refits_differ_and_agree_with_weighted_fits(spark, data):
     spread = MD.seed_stability(df, MD.seeded_refits(df, "g", ["a", "b"], "y", 0.0, 5, 9), ["a", "b"]).first()
     p = [r.intercept + r.coefficients[0] * spread.a + r.coefficients[1] * spread.b for r in fits.values()]
     assert (spread.mean, spread.sd, spread.range) == pytest.approx((np.mean(p), np.std(p, ddof=1), max(p) - min(p)))
+
+
+def test_classifiers_score_in_a_session_that_has_observed(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    y = (x[:, 0] + rng.normal(size=200) * 0.5 > 0).astype(float)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c), i % 2) for i, ((a, b), c) in enumerate(zip(x, y))], "id long, a double, b double, label double, fold int")
+    d = MD.assemble(df, ["a", "b"])
+    cands = {"prior": ("prior", {}), "logistic": ("logistic", {"regParam": 0.1}), "forest": ("forest", {"numTrees": 3, "seed": 1})}
+    got = MD.classifier_out_of_fold(d, "label", "fold", range(2), cands).toPandas()
+    assert got.groupby("candidate").size().to_dict() == {"prior": 200, "logistic": 200, "forest": 200}
+    m = LogisticRegression(regParam=0.1).fit(d.where("fold <> 0"))
+    want = 1 / (1 + np.exp(-(x[::2] @ m.coefficients.toArray() + m.intercept)))
+    part = got[(got.candidate == "logistic") & (got.fold == 0)].sort_values("id")
+    np.testing.assert_allclose(part.score, want, rtol=1e-9)
+    h = df.withColumn("v", F.array("a", "b")).drop("a", "b")
+    hybrid = MD.hybrid_out_of_fold(h, "v", "label", "fold", range(2), 1, 2, regParam=0.1).toPandas()
+    assert len(hybrid) == 200 and hybrid.score.between(0, 1).all()
