@@ -58,6 +58,24 @@ def pair_context(pairs: DataFrame, contexts: DataFrame, a: str, b: str, key: str
     return out.withColumn("context_grade", chain.otherwise("cross_context"))
 
 
+def with_contexts(df: DataFrame, contexts: DataFrame, key: str, columns) -> DataFrame:
+    """Rows with the distinct, non-blank values of each context column that their key has, as arrays."""
+    named = lambda c: F.when(F.col(c) != "", F.col(c))
+    sets = contexts.groupBy(key).agg(*[F.collect_set(named(c)).alias(f"contexts_{c}") for c in columns])  # bounded by one key's own rows
+    return df.join(sets, key, "left")
+
+
+def carried_context(pairs: DataFrame, levels: dict) -> DataFrame:
+    """:func:`pair_context` of pairs that carry both sides' ``contexts_<column>``."""
+    shared = {f"shared_{c}": F.coalesce(F.arrays_overlap(f"contexts_{c}_a", f"contexts_{c}_b"), F.lit(False)) for c in levels}
+    out = pairs.withColumns(shared)
+    chain = None
+    for column, grade in levels.items():
+        cond = F.col(f"shared_{column}")
+        chain = F.when(cond, grade) if chain is None else chain.when(cond, grade)
+    return out.withColumn("context_grade", chain.otherwise("cross_context"))
+
+
 def nearest_choice(df: DataFrame, keys, column: str, target: float, tie: str) -> DataFrame:
     """One row per key: the one whose ``column`` is nearest the target."""
     cols = [c for c in df.columns if c not in keys]

@@ -242,3 +242,42 @@ def test_searches_leave_out_no_reference_row(spark, tmp_path):
     assert got == {0: 100, 100: 0}
     inside = {r.doc_id: r.similarity for r in load().QUERIES["applicability_domain"](spark, str(tmp_path)).collect()}
     assert inside == {0: round(4 / 6, 6), 100: round(4 / 6, 6)}
+
+
+def test_matched_pairs_keep_the_largest_core_and_carry_columns(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, f"c{rnd.randrange(4)}", f"f{rnd.randrange(3)}", float(rnd.randrange(50)), rnd.randrange(1, 4), f"x{i % 3}") for i in range(120)]
+    rows += [(i, f"c{rnd.randrange(4)}", f"f{rnd.randrange(3)}", float(rnd.randrange(50)), rnd.randrange(1, 4), f"x{i % 3}") for i in range(0, 120, 3)]
+    df = spark.createDataFrame(rows, "id int, core string, fragment string, value double, core_size int, ctx string")
+    df = df.join(df.groupBy("core").agg(F.max("core_size").alias("s")), "core").drop("core_size").withColumnRenamed("s", "core_size")
+    size = {r.core: r.core_size for r in df.collect()}
+    best = {}
+    for a, b in itertools.product(rows, rows):
+        if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and abs(a[3] - b[3]) >= 10:
+            k = (a[0], b[0])
+            best[k] = min(best.get(k, (9, "")), (-size[a[1]], a[1]))
+    monkeypatch.setattr(SI, "TASK_PAIRS", 100)
+    p = PR.matched_pairs(df, min_delta=10.0, carry=("ctx",))
+    got = p.collect()
+    assert len(got) == len(best) and {(r.id_a, r.id_b): (-r.core_size, r.core) for r in got} == best
+    assert all(r.ctx_a == f"x{r.id_a % 3}" and r.ctx_b == f"x{r.id_b % 3}" for r in got)
+    # tasks follow the pairs, not the bytes of the rows that make them
+    assert p.rdd.getNumPartitions() > 20
+
+
+def test_carried_columns_give_what_joins_of_pairs_give(spark):
+    from proofmill.operators import joins as J
+
+    rnd = random.Random(5)
+    f = spark.createDataFrame([(i, f"c{i % 3}", f"f{rnd.randrange(3)}", float(rnd.randrange(50)), 1, rnd.choice(["p", "q", "", None])) for i in range(40)], "id int, core string, fragment string, value double, core_size int, ctx string")
+    obs = spark.createDataFrame([(i, e, float(rnd.randrange(9)), 0.0, 9.0) for i in range(0, 40) for e in "AN" if rnd.random() < 0.6], "id int, ep string, value double, lower double, upper double")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    plain = PR.matched_pairs(f, min_delta=5.0)
+    e = PR.carried_evidence(PR.matched_pairs(PR.with_evidence(f, obs, "id", "ep"), min_delta=5.0, carry=("evidence",)), "ep")
+    assert rows(e) == rows(PR.pair_evidence(plain, obs, "id", "ep")) != []
+    want = J.pair_context(plain.select("id_a", "id_b"), f, "id_a", "id_b", "id", {"ctx": "same"})
+    got = J.carried_context(PR.matched_pairs(J.with_contexts(f, f, "id", ["ctx"]), min_delta=5.0, carry=("contexts_ctx",)), {"ctx": "same"})
+    assert rows(got.select(want.columns)) == rows(want) and {r[-1] for r in rows(want)} == {"same", "cross_context"}
+    one = PR.prediction_means(obs, "id", "value", "upper")
+    d = PR.carried_directions(PR.matched_pairs(f.join(one, "id"), min_delta=5.0, carry=("o", "p")))
+    assert rows(d) == rows(PR.direction_table(plain, obs, "id", "value", "upper")) != []
