@@ -11,6 +11,7 @@ from proofmill.operators import aggregate as A
 from proofmill.operators import gates as G
 from proofmill.plans.bindings import CORE_ENDPOINTS
 from proofmill.plans.registry import VIEWS, query
+from proofmill.session import cut_lineage
 
 
 def rnd(*cols, digits=6):
@@ -413,7 +414,8 @@ select policy, count(*) as n, count(distinct subject_id) as n_subjects from (
 group by policy
 """)
 def censoring_policy(t):
-    base = t.gated.where("is_eligible")
+    # read by every policy, so gated once
+    base = cut_lineage(t.gated.where("is_eligible").select("subject_id", "endpoint", "is_exact"))
     parts = []
     for p in ("strict_exact", "include_all", "prefer_exact_per_subject"):
         d = G.apply_censoring_policy(base, p, ["subject_id", "endpoint"])
@@ -427,7 +429,7 @@ def censoring_policy(t):
 select case when is_eligible then 'accepted' else 'rejected' end as side, source, count(*) as n from @gated group by 1,2
 """)
 def quarantine_split(t):
-    ok, no = G.quarantine(t.gated)
+    ok, no = G.quarantine(cut_lineage(t.gated.select("source", "is_eligible")))
     u = ok.select(F.lit("accepted").alias("side"), "source").unionAll(no.select(F.lit("rejected").alias("side"), "source"))
     return u.groupBy("side", "source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofmill.operators.gates import quarantine
+from proofmill.session import cut_lineage
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
@@ -67,7 +68,7 @@ def read_canonical(spark: SparkSession, root: str, names) -> dict[str, DataFrame
 
 def write_processed(gated: DataFrame, summaries: dict, root: str) -> None:
     """Curated rows, quarantined rows and summaries as Parquet; arrays must already be text."""
-    ok, bad = quarantine(gated)
+    ok, bad = quarantine(cut_lineage(gated))  # written by both sides, so gated once
     ok.write.mode("overwrite").partitionBy("source").parquet(f"{root}/curated")
     bad.write.mode("overwrite").partitionBy("source").parquet(f"{root}/quarantine")
     for name, df in summaries.items():

@@ -1,9 +1,13 @@
+import re
+
+from __spark_entry__ import SMOKE_DIR
 from pyspark.sql import functions as F
 
 from proofmill.functions import text as T
 from proofmill.functions import values as V
 from proofmill.operators import gates as G
 from proofmill.operators import joins as J
+from proofmill.plans.bindings import Tables
 
 
 def one(spark, expr, *vals):
@@ -46,6 +50,36 @@ def test_bounds_invert_on_p_scale(spark):
     assert got["3"].value_scaled is None and got["3"].exclusion_reason == "unsupported_unit" and not got["3"].is_eligible
 
 
+MEASUREMENTS = "row_key string, source string, subject_id string, record_id string, endpoint string, family string, relation string, value_text string, unit string, assay_id string, document_id string, yr int"
+
+
+def test_parsing_compiles_to_methods_that_the_jvm_compiles(spark, capsys):
+    huge = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.codegen.hugeMethodLimit")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        Tables(spark, SMOKE_DIR).normalized.explain("codegen")
+    finally:
+        for k, v in huge.items():
+            spark.conf.set(k, v)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_gate_flags_equal_those_of_the_whole_table(spark):
+    rows = []
+    for i in range(60):  # a row and the second next with its j are duplicates, the one between has another value
+        j = i % 20
+        record = [f"R{j % 9}", f" R{j % 9}", "", None][j % 4]
+        rows.append((f"k{i:02d}", "ab"[j % 2], f"s{j % 3}", record, "e", "f", "=", str(1 + i // 20 % 2), "nM", "a", ["d", None][j % 2], 2000))
+    d = G.normalize_values(spark.createDataFrame(rows, MEASUREMENTS))
+    whole = G.flag_record_conflicts(G.flag_duplicates(G.measurement_ids(d), fields=("measurement_id",)))
+    flags = ("row_key", "measurement_id", "is_duplicate", "record_conflict")
+    want = sorted(tuple(r) for r in whole.select(*flags).collect())
+    assert any(r[2] for r in want) and any(r[3] for r in want)
+    assert sorted(tuple(r) for r in G.gate(d, core_endpoints=("e",)).select(*flags).collect()) == want
+
+
 def test_mirrors_need_eligible_preferred(spark):
     rows = [("1", "alpha", "x", True), ("2", "beta", "x", True), ("3", "beta", "x", True), ("4", "alpha", "y", False), ("5", "beta", "y", True)]
     d = spark.createDataFrame(rows, "row_key string, source string, subject_id string, is_eligible boolean")
