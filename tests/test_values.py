@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from __spark_entry__ import SMOKE_DIR
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import text as T
 from proofmill.functions import values as V
+from proofmill.operators import features as FT
 from proofmill.operators import gates as G
 from proofmill.operators import joins as J
 from proofmill.plans.bindings import Tables
@@ -66,6 +68,14 @@ def test_parsing_compiles_to_methods_that_the_jvm_compiles(spark, capsys):
     assert sizes and max(sizes) <= 8000
 
 
+def test_hashed_ngrams_take_characters_outside_the_first_plane_whole(spark):
+    texts = ["a\U0001F600b\U0001F601cd", " ab\ncde ", "", None, "x"]
+    grams = [{t[i : i + n] for t in [(x or "").strip(" ")] for n in (2, 3, 4) for i in range(len(t) - n + 1)} for x in texts]
+    want = [sorted({int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 1024 for g in gs}) for gs in grams]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r.bits for r in FT.hashed_ngrams(d, "text").orderBy("i").collect()] == want
+
+
 def test_gate_flags_equal_those_of_the_whole_table(spark):
     rows = []
     for i in range(60):  # a row and the second next with its j are duplicates, the one between has another value
