@@ -15,20 +15,26 @@ def reason_panel(df: DataFrame, key: str, size_col: str, classes: dict, *, size:
     """One extreme row per class (first matching class), then the largest rows, up to ``size``.
 
     A class's extreme comes from ``min_by``; the fill is a bounded top-``size``, so nothing is sorted
-    as a whole.
+    as a whole.  Rows without a size come last, and a key counts once however often it is repeated.
     """
     names = list(classes)
     chain = None
     for i, n in enumerate(names):
         chain = F.when(classes[n], i) if chain is None else chain.when(classes[n], i)
     d = df.withColumn("__c", chain)
-    order = F.struct(F.negate(F.col(size_col)), F.col(key))
+    order = F.struct(F.col(size_col).isNull(), F.negate(F.col(size_col)), F.col(key))
     best = d.where(F.col("__c").isNotNull()).groupBy("__c").agg(F.min_by(F.struct(key, size_col), order).alias("b"))
     best = best.select(F.lit(0).alias("__t"), "__c", F.col(f"b.{key}").alias(key), F.col(f"b.{size_col}").alias(size_col))
-    fill = d.orderBy(F.desc(size_col), key).limit(size + len(names)).select(F.lit(1).alias("__t"), F.lit(len(names)).alias("__c"), key, size_col)
+    most = size + len(names)
+    largest = lambda x: x.orderBy(F.desc_nulls_last(size_col), key).limit(most).select(key, size_col)
+    fill = cut_lineage(largest(d))
+    found = fill.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    if found[0] == most and found[1] < most:  # repeated keys took places
+        fill = largest(d.groupBy(key).agg(F.max(size_col).alias(size_col)))
+    fill = fill.select(F.lit(1).alias("__t"), F.lit(len(names)).alias("__c"), key, size_col)
     u = best.unionByName(fill)  # at most size + 2 * classes rows
-    first = u.groupBy(key).agg(F.min(F.struct("__t", "__c", F.negate(size_col).alias("s"))).alias("k"))
-    out = first.orderBy("k.__t", "k.__c", "k.s", key).limit(size)
+    first = u.groupBy(key).agg(F.min(F.struct("__t", "__c", F.col(size_col).isNull().alias("none"), F.negate(size_col).alias("s"))).alias("k"))
+    out = first.orderBy("k.__t", "k.__c", "k.none", "k.s", key).limit(size)
     label = F.element_at(F.array(*map(F.lit, [*names, "largest_error"])), F.col("k.__c") + 1)
     return out.select(key, label.alias("reason"))
 
