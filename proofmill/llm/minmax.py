@@ -296,6 +296,30 @@ def _components(members: DataFrame, sketches: DataFrame, sets: DataFrame, percen
     return connected_components(edges.select(F.col("a").alias("cid")).union(edges.select("b")), edges, "cid", "a", "b")
 
 
+def _within():
+    """Most that A ∩ B may hold inside the leader: what neither lacks."""
+    alone = lambda x, y: sum(F.bit_count(F.col(f"{g}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{g}_{y}")))) for g in GONE)
+    both_lost = F.least(F.col("lost_a") - alone("a", "b"), F.col("lost_b") - alone("b", "a"))
+    return F.col("inside_a") - F.col("lost_b") + both_lost
+
+
+def _meetings(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
+    """Rows of two members at a prefix token that both have, with ``open``: the tokens they must share outside the leader.
+
+    The tokens outside are in one order for all, so a shared token's places bound what the pair can share outside: what stands
+    before it and what follows.  Where that is less than ``open``, the pair is not made; a linked pair keeps all its shared tokens.
+    """
+    apart = F.when(F.col("at_home"), F.col("label_a") < F.col("label_b")).otherwise((F.col("label_a") != F.col("label_b")) & (F.col("home_a") != F.col("home_b")))
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    t = percent / 100
+    open_ = (F.col("n_a") + F.col("n_b")) * (t / (1 + t)) - _within() - 1e-6
+    rest = lambda s: F.col(f"n_{s}") - F.col(f"inside_{s}") - F.col(f"place_{s}")
+    most = F.least("place_a", "place_b") + F.least(rest("a"), rest("b"))
+    slim = lambda d, s: d.select("at_home", "lead", F.posexplode("tokens").alias(f"place_{s}", "token"), *(f"{c}_{s}" for c in ("cid", "label", "home", "n", "inside", "need", "lost", *GONE)))
+    met = slim(one, "a").join(slim(two, "b"), ["at_home", "lead", "token"]).where(apart & sized & (most >= open_))
+    return met.withColumn("open", open_)
+
+
 def _open_pairs(live: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of differently labelled members of one leader's buckets that may be linked.
 
@@ -319,20 +343,12 @@ def _open_pairs(live: DataFrame, named: DataFrame, sets: DataFrame, percent: int
 
     one = rows.where("odd").toDF(*(c if c in ("at_home", "lead", "tokens") else f"{c}_a" for c in rows.columns))
     two = rows.toDF(*(c if c in ("at_home", "lead", "tokens") else f"{c}_b" for c in rows.columns))
-    apart = F.when(F.col("at_home"), F.col("label_a") < F.col("label_b")).otherwise((F.col("label_a") != F.col("label_b")) & (F.col("home_a") != F.col("home_b")))
-    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     t = percent / 100
     half = t / (1 + t)
-    by = ["at_home", "lead", "token"]
-    slim = lambda d, s: d.select("at_home", "lead", F.explode("tokens").alias("token"), *(f"{c}_{s}" for c in ("cid", "label", "home", "n", "inside", "need", "lost", *GONE)))
-    met = slim(one, "a").join(slim(two, "b"), by).where(apart & sized)
+    within = _within()
+    met = _meetings(one, two, percent)
     # beyond the prefix that ends first lie at most need - 1 of its own tokens; with them a pair must reach what the parts inside the leader leave open
-    alone = lambda x, y: sum(F.bit_count(F.col(f"{g}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{g}_{y}")))) for g in GONE)
-    both_lost = F.least(F.col("lost_a") - alone("a", "b"), F.col("lost_b") - alone("b", "a"))
-    # A ∩ B inside the leader: what neither lacks
-    within = F.col("inside_a") - F.col("lost_b") + both_lost
-    open_ = (F.col("n_a") + F.col("n_b")) * half - within - 1e-6
-    met = met.groupBy("at_home", "lead", "cid_a", "cid_b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("rest"), F.max(open_).alias("open"))
+    met = met.groupBy("at_home", "lead", "cid_a", "cid_b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("rest"), F.max("open").alias("open"))
     token = met.where(F.col("shared") + F.col("rest") - 1 >= F.col("open")).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
 
     low, high = F.ceil(F.col("n_a") * t), F.floor((F.col("inside_a") + 1) / half - F.col("n_a"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from proofmill.llm.arrowtext import SPACED, U64, shingle_hashes, word_hashes, word_spans
-from proofmill.llm.minmax import _permutations, drop_near_duplicates, min_max_bands, near_duplicates
+from proofmill.llm.minmax import GONE, _meetings, _permutations, drop_near_duplicates, min_max_bands, near_duplicates
 from tests.llm.conftest import edited, prose
 
 
@@ -122,3 +122,13 @@ def test_bands_follow_the_percentage():
 def test_bands_that_miss_pairs_are_refused(no_docs):
     with pytest.raises(ValueError):
         near_duplicates(no_docs, percent=50, bands=32, rows=5)
+
+
+def test_members_that_cannot_share_enough_do_not_meet(spark):
+    # 10 of 110 tokens outside the leader, of which each lacks 8 others: 220 * 0.8 / 1.8 - 92 = 5.8 of those outside must be shared
+    tokens = {1: range(10), 2: [9, *range(100, 109)], 3: [*range(10, 14), 4, 5, 6, 7, 8, 9]}
+    rows = [(False, 7, c, c, c, 110, 100, 1, 8, 255 << 8 * c, *[0] * (len(GONE) - 1), list(t)) for c, t in tokens.items()]
+    names = ["cid", "label", "home", "n", "inside", "need", "lost", *GONE]
+    sides = [spark.createDataFrame(rows, "at_home boolean, lead long, " + ", ".join(f"{c}_{x} long" for c in names) + ", tokens array<long>") for x in "ab"]
+    met = Counter((r.cid_a, r.cid_b) for r in _meetings(*sides, 80).collect() if r.cid_a < r.cid_b)
+    assert met == {(1, 3): 6}  # the first token of 2 is the last one of 1 and 3, so nothing can follow
