@@ -77,28 +77,33 @@ def paired_bootstrap(df: DataFrame, group: str, delta: str, *, replicates: int,
     return out.drop("__one")
 
 
-def hash_position(df: DataFrame, keys, hash_col: str, tie: str, out: str) -> DataFrame:
-    """1-based position by (hash, tie) within keys; a big group is split by hash prefix."""
+def hash_position(df: DataFrame, keys, hash_col: str, out: str) -> DataFrame:
+    """1-based position by a binary hash within keys; a big group is split by the hash's first byte.
+
+    Keys and byte are one struct, in which nulls are equal, so that the join with the offsets finds rows where the window left them.
+    """
     keys = list(keys)
-    d = df.withColumn("__b", F.substring(hash_col, 1, 2))
-    sizes = d.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select(*keys, "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
-    d = d.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(hash_col, tie)))
-    return null_safe_join(d, offs, [*keys, "__b"]).withColumn(out, F.col("__o") + F.col("__rn")).drop("__b", "__o", "__rn")
+    d = df.withColumn("__k", F.struct(*keys, F.substring(hash_col, 1, 1).alias("__b"))).drop(*keys)
+    sizes = d.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*[f"__k.{k}" for k in keys]).orderBy("__k.__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("__k", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
+    d = d.withColumn("__rn", F.row_number().over(Window.partitionBy("__k").orderBy(hash_col))).drop(hash_col)
+    d = d.join(offs, "__k").withColumn(out, F.col("__o") + F.col("__rn")).drop("__o", "__rn")
+    return d.select(*[F.col(f"__k.{k}").alias(k) for k in keys], *[c for c in d.columns if c != "__k"])
 
 
 def permuted(df: DataFrame, row_id: str, value: str, *, within=(), replicates: int, seed: int, carry=()) -> DataFrame:
     """(rep, within, row_id, carry, permuted value): values shuffled among rows of the same cell."""
     within = list(within)
-    base = df.select(*within, row_id, value, *carry).withColumn("__h", hash_text(F.lit(f"home{seed}"), F.col(row_id)))
-    home = hash_position(base, within, "__h", row_id, "__pos").select(*within, row_id, "__pos", *carry)
+    drawn = lambda *parts: F.unhex(hash_text(*parts))
+    place = F.struct(*within, "__pos").alias("__at")
+    base = df.select(*within, row_id, value, *carry)
+    home = base.drop(value).withColumn("__h", drawn(F.lit(f"home{seed}"), F.col(row_id)))
+    home = hash_position(home, within, "__h", "__pos").select(place, row_id, *carry)
     reps = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    reps = reps.withColumn("__h", hash_text(F.lit(seed), F.col("rep"), F.col(row_id)))
-    moved = hash_position(reps, [*within, "rep"], "__h", row_id, "__pos").select(
-        *within, "rep", "__pos", F.col(value).alias(f"permuted_{value}")
-    )
-    return null_safe_join(moved, home, [*within, "__pos"]).drop("__pos")
+    reps = reps.select(*within, "rep", value, drawn(F.lit(seed), F.col("rep"), F.col(row_id)).alias("__h"))
+    moved = hash_position(reps, [*within, "rep"], "__h", "__pos").select(place, "rep", F.col(value).alias(f"permuted_{value}"))
+    return home.join(moved, "__at").select("rep", *[F.col(f"__at.{k}").alias(k) for k in within], row_id, *carry, f"permuted_{value}")
 
 
 def permutation_correlation(df: DataFrame, row_id: str, x: str, y: str, *, within=(), replicates: int, seed: int) -> DataFrame:

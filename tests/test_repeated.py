@@ -38,3 +38,20 @@ def test_directions_of_repeated_parts(spark):
     assert sorted((r.id_a, r.id_b) for r in got.collect()) == [(1, 2)] * 5  # four over oak, one over elm
     d = spark.createDataFrame([(r[0], r[1].split()[1], r[1].split()[0], r[5], 3) for r in parts], "id long, core string, fragment string, value double, core_size int")
     assert PR.matched_pairs(d).count() == 1
+
+
+def test_permuted_rows_stay_where_their_places_are_counted(spark):
+    from proofmill.operators.resample import permuted
+
+    d = spark.createDataFrame([(i, [None, "a", "b"][i % 3], float(i)) for i in range(60)], "id int, k string, v double")
+    p = permuted(d, "id", "v", within=["k"], replicates=2, seed=3)
+    rows = p.collect()
+    for rep in (1, 2):
+        for k in (None, "a", "b"):
+            own = {i for i in range(60) if [None, "a", "b"][i % 3] == k}
+            assert {r.id for r in rows if r.rep == rep and r.k == k} == own == {int(r.permuted_v) for r in rows if r.rep == rep and r.k == k}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = permuted(d, "id", "v", within=["k"], replicates=2, seed=3)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") <= 10
