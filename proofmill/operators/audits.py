@@ -49,8 +49,8 @@ def _varies(df: DataFrame, keys, columns, out: str) -> DataFrame:
     return g.select(*keys, bad.alias(out))
 
 
-def annotate(df: DataFrame, policy: AuditPolicy) -> DataFrame:
-    """Attach the grouped facts that row rules need; every one is an aggregate joined back."""
+def _base(df: DataFrame, policy: AuditPolicy, key: str) -> DataFrame:
+    """The stored columns that rules and grouped facts read."""
     d = df.withColumns(
         {
             "__source": clean("source"),
@@ -62,30 +62,45 @@ def annotate(df: DataFrame, policy: AuditPolicy) -> DataFrame:
     )
     d = d.withColumn("__scaled", F.col("__value") * unit_factor("unit", policy.units))
     content = F.sha2(F.concat_ws("\0", *[clean(c) for c in df.columns if c != "row_key"]), 256)
-    # six grouped facts are read from this table, so it is stored once
-    base = cut_lineage(d.withColumn("__content", content))
-    usable = clean("relation").isin("", "=") & (F.col("__scaled") > 0)
-    ids = base.where(F.col("__record") != "").groupBy("__source", "__record").agg(F.count(F.lit(1)).alias("__id_n")).where("__id_n > 1")
-    id_bad = _varies(base, ["__source", "__record"], policy.compare, "__id_bad").where("__id_bad")
-    same = base.groupBy("__content").agg(F.count(F.lit(1)).alias("__same_n")).where("__same_n > 1")
+    # the tests of one row and the grouped facts are read from this table, so it is stored once
+    return cut_lineage(d.withColumn("__content", F.substring(F.unhex(content), 1, 16)).withColumn("__usable", clean("relation").isin("", "=") & (F.col("__scaled") > 0)))
+
+
+def grouped_findings(base: DataFrame, policy: AuditPolicy, key: str) -> DataFrame:
+    """Findings that depend on other rows.  Each is a few columns joined with the groups that break its rule; whole rows never move."""
+    row = lambda code, severity, column: (F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(column).alias("column"))
+    names = ["__source", "__record"]
+    named = base.where(F.col("__record") != "")
+    ids = named.groupBy(*names).agg(F.count(F.lit(1)).alias("__id_n")).where("__id_n > 1").select(*names)
+    # rows of one content share their identifier, and only identifiers that occur twice can conflict
+    twice = cut_lineage(named.select(key, *names, "__content", *policy.compare).join(ids, names))
+    same = twice.groupBy("__content").agg(F.count(F.lit(1)).alias("__same_n")).where("__same_n > 1").select("__content")
+    id_bad = _varies(twice, names, policy.compare, "__id_bad").where("__id_bad").select(*names)
     a, b = policy.identity
-    ident = _varies(base, [a], [b], "__ident_bad").where("__ident_bad")
-    desc = _varies(base, ["__desc"], ["method", "target_id"], "__desc_bad").where("__desc_bad")
+    ident = _varies(base, [a], [b], "__bad").where("__bad").select(a)
+    desc = _varies(base, ["__desc"], ["method", "target_id"], "__bad").where("__bad").select("__desc")
     keys = ["subject_id", "endpoint", "target_id"]
-    rep = base.where(usable).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__rep_n"), (F.log10(F.max("__scaled")) - F.log10(F.min("__scaled"))).alias("__rep_spread")
-    )
-    rep = rep.where((F.col("__rep_n") > 1) & (F.col("__rep_spread") >= policy.repeat_log10))
-    out = base.join(ids, ["__source", "__record"], "left").join(id_bad, ["__source", "__record"], "left")
-    out = out.join(same, "__content", "left").join(desc, "__desc", "left")
-    out = null_safe_join(out, ident, [a], "left")
-    out = null_safe_join(out, rep, keys, "left").withColumn("__usable", usable)
-    return out.fillna({"__id_n": 1, "__same_n": 1, "__id_bad": False, "__desc_bad": False, "__ident_bad": False})
+    usable = base.where("__usable")
+    spread = F.log10(F.max("__scaled")) - F.log10(F.min("__scaled"))
+    rep = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rep_n"), spread.alias("__rep_spread"))
+    rep = rep.where((F.col("__rep_n") > 1) & (F.col("__rep_spread") >= policy.repeat_log10)).select(*keys)
+    found = [
+        twice.select(key, *row("duplicate_identifier", "warning", "record_id")),
+        twice.select(key, "__content").join(same, "__content").select(key, *row("exact_duplicate_row", "warning", "record_id")),
+        twice.select(key, *names).join(id_bad, names).select(key, *row("conflicting_identifier", "error", "record_id")),
+        null_safe_join(base.select(key, a), ident, [a]).select(key, *row("identity_conflict", "error", a)),
+        base.select(key, "__desc").where(F.col("__desc") != "").join(desc, "__desc").select(key, *row("assay_metadata_conflict", "warning", "description")),
+        null_safe_join(usable.select(key, *keys), rep, keys).select(key, *row("conflicting_repeated_measurement", "warning", "value_text")),
+    ]
+    out = found[0]
+    for d in found[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def findings(df: DataFrame, policy: AuditPolicy, key: str = "row_key") -> DataFrame:
     """(key, code, severity, column, value) for every violated rule."""
-    d = annotate(df, policy)
+    d = _base(df, policy, key)
     conc = F.col("endpoint").isin(*policy.concentration_endpoints)
     known = [*policy.units, *policy.extra_units]
     missing_unit = F.col("__unit") == ""
@@ -98,7 +113,6 @@ def findings(df: DataFrame, policy: AuditPolicy, key: str = "row_key") -> DataFr
     id_hit = F.arrays_overlap(F.transform(F.split(F.lower(tid), "[,;|]"), lambda x: F.trim(x)), F.array(*map(F.lit, policy.expected_target_ids)))
     name_hit = F.lower(tname).rlike("|".join(policy.expected_target_terms) or "$^")
     desc, method = F.col("__desc"), clean("method")
-    repeated = F.col("__usable") & F.col("__rep_n").isNotNull()
     sev = lambda c, a, b: F.when(c, a).otherwise(b)
     rules: list[tuple[Column, str, object, str]] = [
         *[(clean(c) == "", "missing_required_value", "error", c) for c in policy.required],
@@ -112,10 +126,6 @@ def findings(df: DataFrame, policy: AuditPolicy, key: str = "row_key") -> DataFr
         (conc & ~missing_unit & ~F.col("__unit").isin(*policy.units) & ~mass_ok, "incompatible_unit", "error", "unit"),
         (mass_ok, "mass_unit_needs_weight", "info", "unit"),
         (~clean("relation").isin(*RELATIONS), "unknown_relation", "warning", "relation"),
-        ((F.col("__record") != "") & (F.col("__id_n") > 1), "duplicate_identifier", "warning", "record_id"),
-        ((F.col("__record") != "") & (F.col("__same_n") > 1), "exact_duplicate_row", "warning", "record_id"),
-        ((F.col("__record") != "") & (F.col("__id_n") > 1) & F.col("__id_bad"), "conflicting_identifier", "error", "record_id"),
-        (F.col("__ident_bad"), "identity_conflict", "error", policy.identity[0]),
         ((tid == "") & (tname == "") & ~relevant, "missing_target", "error", "target_id"),
         ((tid == "") & (tname == "") & relevant, "target_identity_derived", "warning", "target_id"),
         ((tid == "") != (tname == ""), "incomplete_target_identity", "warning", "target_id"),
@@ -125,14 +135,13 @@ def findings(df: DataFrame, policy: AuditPolicy, key: str = "row_key") -> DataFr
         (method == "", "missing_method", "warning", "method"),
         ((desc == "") & (method == ""), "assay_ambiguity", "warning", "description"),
         (desc.rlike("|".join(policy.ambiguous_terms)), "ambiguous_context", "warning", "description"),
-        ((desc != "") & F.col("__desc_bad"), "assay_metadata_conflict", "warning", "description"),
-        (repeated, "conflicting_repeated_measurement", "warning", "value_text"),
     ]
     items = []
     for cond, code, severity, column in rules:
         s = severity if isinstance(severity, Column) else F.lit(severity)
         items.append(F.when(cond, F.struct(F.lit(code).alias("code"), s.alias("severity"), F.lit(column).alias("column"))))
-    return d.select(key, F.explode(F.array_compact(F.array(*items))).alias("x")).select(key, "x.*")
+    alone = d.select(key, F.explode(F.array_compact(F.array(*items))).alias("x")).select(key, "x.*")
+    return alone.unionByName(grouped_findings(d, policy, key))
 
 
 def summarize(found: DataFrame, key: str = "row_key") -> DataFrame:
